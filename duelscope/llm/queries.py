@@ -5,17 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .ngramjoin import groups
+from . import decontaminate, mixing, ngramjoin, quality, urlfilter, warc
 from .shared import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.col("near_items").alias("n_near_items"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(table(spark, sf_dir, "documents"))
+    return ngramjoin.groups(table(spark, sf_dir, "documents"))
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.judged(pages, urlfilter.labelled_pages(pages, table(spark, sf_dir, "labels")))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents")).drop("d2")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_ngram_join": op3_ngram_join,
+    "op4_mix_sources": op4_mix_sources,
+    "op7_url_filter": op7_url_filter,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_warc": op10_warc,
 }
 
-SQL: dict[str, str] = {}
+#: Only what SQL can express over whole tables in reasonable time.
+SQL: dict[str, str] = {
+    "op4_mix_sources": mixing.SQL,
+    "op10_warc": warc.SQL,
+}
