@@ -154,3 +154,41 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = 80) -> bool:
     if np.abs(parts[0] - parts[1]).sum() > len(a) + len(b) - 2 * need:
         return False
     return overlap(a, b) >= need
+
+
+#: Codes of the characters of the basic plane; others are mixed as they come.
+PLANE = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x9E37))
+
+
+def character_shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``width`` characters in order, and for each line the index of its first (one more at the end).
+
+    A line shorter than that is one run; the lines hold no line ends and none is empty.
+    """
+    points = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass") + b"\n\0\0\0", dtype=np.uint32)
+    codes = PLANE[np.minimum(points, 0xFFFF)]
+    beyond = np.flatnonzero(points > 0xFFFF)
+    if len(beyond):
+        codes[beyond] = mix(points[beyond].astype(np.uint64) + np.uint64(0x9E37))
+    total = np.zeros(len(points) + 1, dtype=np.uint64)
+    np.cumsum(codes * powers(len(points), BASE, "up"), out=total[1:])
+    sizes = np.array([len(x) for x in lines], dtype=np.int64)
+    starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
+    runs = np.maximum(sizes - width + 1, 1)
+    first = np.r_[0, np.cumsum(runs)]
+    at = np.arange(first[-1]) + np.repeat(starts - first[:-1], runs)
+    length = np.repeat(np.minimum(sizes, width), runs)
+    return mix((total[at + length] - total[at]) * powers(len(points), INVERSE, "down")[at] + length.astype(np.uint64)), first
+
+
+def minhashes(hashes: np.ndarray, first: np.ndarray, count: int) -> np.ndarray:
+    """A (lines, count) table of smallest images under ``count`` bijections of 32 bits."""
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    seeds = mix(np.arange(1, 2 * count + 1, dtype=np.uint64))
+    out = np.empty((len(first) - 1, count), dtype=np.uint32)
+    moved = np.empty_like(short)
+    for k in range(count):
+        np.multiply(short, np.uint32(int(seeds[2 * k]) & 0xFFFFFFFF | 1), out=moved)
+        moved ^= np.uint32(int(seeds[2 * k + 1]) & 0xFFFFFFFF)
+        out[:, k] = np.minimum.reduceat(moved, first[:-1])
+    return out

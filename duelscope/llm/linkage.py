@@ -197,22 +197,24 @@ def _compared(pairs: DataFrame, info: DataFrame, fetch: Callable[[DataFrame], Da
     maybe = stash(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(near, "a long, b long"), "maybe")
     if maybe.isEmpty():
         return maybe
-    ends = stash(maybe.select(F.explode(F.array("a", "b")).alias("ent")).distinct().join(info.select("ent", "doc_id"), "ent"), "ends")
-    sets = stash(fetch(ends.select("doc_id").distinct()).join(ends.select("ent"), "ent", "left_semi").dropDuplicates(["ent"]), "sets")
+    ends = stash(maybe.select(F.explode(F.array("a", "b")).alias("ent")).distinct().join(info.drop("n", "bits"), "ent"), "ends")
+    sets = stash(fetch(ends).join(ends.select("ent"), "ent", "left_semi").dropDuplicates(["ent"]), "sets")
     a, b = (sets.select(F.col("ent").alias(s), F.col("members").alias(f"set_{s}")) for s in "ab")
     links = stash(maybe.join(a, "a").join(b, "b").mapInArrow(exact, "a long, b long"), "links")
     forget(maybe, ends, sets)
     return links
 
 
-def linked(rows: DataFrame, info: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int = 80) -> DataFrame:
+def linked(rows: DataFrame, describe: Callable[[DataFrame], DataFrame], fetch: Callable[[DataFrame], DataFrame], percent: int = 80) -> DataFrame:
     """(ent, root) of every entity that is similar to another one.
 
-    info: (ent, n, bits, doc_id), an entity once.  fetch: for a table of doc_id,
-    the sets (ent, members: sorted 64-bit hashes) of at least the entities that
-    have these documents in ``info``.
+    describe: for the buckets that entities share, a table (ent, n, bits, and
+    where the entity is found) with a row for each of them.  fetch: for rows of
+    that table without n and bits, the sets (ent, members: sorted 64-bit
+    hashes) of at least these entities.
     """
     buckets = stash(shared_only(rows), "buckets")
+    info = describe(buckets)
     # the table is read in the order in which it was written, so it is dealt out again
     links = _compared(stash(_neighbours(buckets.repartition("token").sortWithinPartitions("token", "ent"), percent, 0), "pairs"), info, fetch, percent)
     large = buckets.where(F.col("m") > SMALL)

@@ -111,7 +111,8 @@ def _fetcher(docs: DataFrame, width: int):
                 sets = shingle_sets(texts[lo : lo + 512], width)
                 yield pa.record_batch([pa.array([identity(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["ent", "members"])
 
-    return lambda ids: documents_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids).select("text").mapInArrow(run, "ent long, members binary")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return lambda ends: documents_of(own, ends.select("doc_id").distinct()).select("text").mapInArrow(run, "ent long, members binary")
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -120,7 +121,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     rows = described.where("kind = 0").select("doc_id", "n", "ent", "bits")
     info = stash(rows.where("n > 0 and doc_id is not null").groupBy("ent").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "entities")
     prefixes = _prefixes(docs, _class_counts(described), width, percent)
-    roots = linked(prefixes, info, _fetcher(docs, width), percent)
+    roots = linked(prefixes, lambda _: info, _fetcher(docs, width), percent)
     first = info.select("ent", "doc_id").join(roots, "ent", "left").withColumn("root", F.coalesce("root", "ent"))
     smallest = first.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of = stash(first.join(smallest, "root").select("ent", "component_id"), "of")
