@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, ngramjoin, quality, urlfilter, warc
+from . import chat, decontaminate, htmlextract, licences, linededup, mixing, ngramjoin, quality, urlfilter, warc
 from .shared import table
 
 
@@ -16,6 +16,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.col("near_items").alias("n_near_items"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.coalesce("__removed", F.array().cast("array<int>"))
+    return docs.select("doc_id", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed, ",").alias("removed_lines"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.groups(table(spark, sf_dir, "documents"))
 
@@ -24,6 +30,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlextract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return urlfilter.judged(pages, urlfilter.labelled_pages(pages, table(spark, sf_dir, "labels")))
@@ -33,6 +47,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).drop("d2")
 
 
+def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preferences(*chat.stale_replies(table(spark, sf_dir, "conversations")))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read(warc.write(table(spark, sf_dir, "pages")))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -40,15 +58,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_line_dedup": op2_line_dedup,
     "op3_ngram_join": op3_ngram_join,
     "op4_mix_sources": op4_mix_sources,
+    "op5_license_scan": op5_license_scan,
+    "op6_html_extraction": op6_html_extraction,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
+    "op9_preference_format": op9_preference_format,
     "op10_warc": op10_warc,
 }
 
 #: Only what SQL can express over whole tables in reasonable time.
 SQL: dict[str, str] = {
     "op4_mix_sources": mixing.SQL,
+    "op5_license_scan": licences.SQL,
+    "op9_preference_format": chat.SQL,
     "op10_warc": warc.SQL,
 }
