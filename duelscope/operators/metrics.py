@@ -133,10 +133,10 @@ def diagnostics(predictions: DataFrame) -> DataFrame:
     rows = predictions.where("eligible and p1 is not null")
     dims = F.array(
         F.struct(F.lit("overall").alias("dimension"), F.lit("all").alias("value")),
-        F.struct(F.lit("surface"), F.coalesce("surface", F.lit("missing"))),
-        F.struct(F.lit("format"), F.coalesce(F.col("best_of").cast("string"), F.lit("missing"))),
-        F.struct(F.lit("year"), F.col("year").cast("string")),
-        F.struct(F.lit("round"), F.coalesce("round", F.lit("missing"))),
+        F.struct(F.lit("surface").alias("dimension"), (F.coalesce("surface", F.lit("missing"))).alias("value")),
+        F.struct(F.lit("format").alias("dimension"), (F.coalesce(F.col("best_of").cast("string"), F.lit("missing"))).alias("value")),
+        F.struct(F.lit("year").alias("dimension"), (F.col("year").cast("string")).alias("value")),
+        F.struct(F.lit("round").alias("dimension"), (F.coalesce("round", F.lit("missing"))).alias("value")),
     )
     won = F.col("winner_is_player_1").cast("int")
     p = F.greatest(F.lit(1e-12), F.when(F.col("winner_is_player_1"), F.col("p1")).otherwise(1.0 - F.col("p1")))

@@ -77,7 +77,7 @@ def rank_seed_descriptive(contests: DataFrame) -> DataFrame:
     """How often the better ranked and the better seeded side loses, over all rounds, by era and by round."""
     number = lambda c: F.regexp_extract(F.col(c), "[0-9]+", 0).try_cast("int")
     rows = contests.where("slam is not null and not is_walkover").withColumns({"ws": number("winner_seed"), "ls": number("loser_seed"), "era": era(F.col("year"))})
-    dims = F.array(F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("value")), F.struct(F.lit("era"), F.col("era")), F.struct(F.lit("round"), F.coalesce("round", F.lit("missing"))))
+    dims = F.array(F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("value")), F.struct(F.lit("era").alias("dimension"), (F.col("era")).alias("value")), F.struct(F.lit("round").alias("dimension"), F.coalesce("round", F.lit("missing")).alias("value")))
     rows = rows.withColumn("d", F.explode(dims))
     ranked = F.col("winner_rank").isNotNull() & F.col("loser_rank").isNotNull()
     seeded = F.col("ws").isNotNull() | F.col("ls").isNotNull()
