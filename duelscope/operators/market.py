@@ -7,9 +7,12 @@ power method is done in array functions without leaving the row.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import probability as P
 
@@ -153,3 +156,15 @@ def market_predictions(consensual: DataFrame) -> DataFrame:
     one = F.coalesce(F.col("winner_id") <= F.col("loser_id"), F.lit(True))
     p1 = F.when(one, F.col("p_winner")).otherwise(F.col("p_loser"))
     return consensual.withColumns({"model": F.lit("market_odds"), "winner_is_player_1": one, "p1": p1, "p2": 1.0 - p1, "exclusion": F.when(F.col("p_winner").isNull(), "missing_odds").when(F.col("is_walkover"), "walkover"), "edition_id": F.concat_ws(":", F.col("year").cast("string"), "tourney_id")})
+
+
+@F.pandas_udf(T.DoubleType())
+def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Similarity of two names, for proposals to a reviewer; nothing is matched by it."""
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
+
+
+def proposals(unmatched: DataFrame, candidates: DataFrame) -> DataFrame:
+    """For each unmatched name (id, context, name) the most similar candidate (context, other) of its context."""
+    pairs = unmatched.join(candidates, "context").withColumn("score", F.round(ratio("name", "other"), 6))
+    return pairs.groupBy("id", "name").agg(F.max_by("other", F.struct("score", "other")).alias("proposal"), F.max("score").alias("score"))
