@@ -7,16 +7,20 @@ process, and are the same on every executor.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: An odd multiplier for the polynomial over the bytes of a word.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that one vectorised step takes together; long texts make a step of their own.
-STEP_BYTES = 1_000_000
+STEP_BYTES = 400_000
 
 
 def _byte_codes() -> np.ndarray:
@@ -83,6 +87,17 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, bounds)
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """The sorted distinct values of a short array."""
+    if len(hashes) < 2:
+        return hashes.copy()
+    s = np.sort(hashes)
+    keep = np.empty(len(s), dtype=bool)
+    keep[0] = True
+    np.not_equal(s[1:], s[:-1], out=keep[1:])
+    return s[keep]
+
+
 def shingle_sets(texts: list[bytes | None], width: int = 5):
     """For each text its sorted distinct shingle hashes.
 
@@ -100,7 +115,7 @@ def shingle_sets(texts: list[bytes | None], width: int = 5):
         full = mix(full)
         for a, b in zip(first[:-1], first[1:]):
             if b - a >= width:
-                out.append(np.unique(full[a : b - width + 1]))
+                out.append(distinct(full[a : b - width + 1]))
             elif b > a:
                 short = np.uint64(b - a)
                 with np.errstate(over="ignore"):
@@ -144,14 +159,18 @@ def identity(members: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = 80) -> bool:
-    """Whether 100 |a & b| >= percent |a | b|; a count over 16 hash ranges (the suffix filter) goes first."""
+def spread(members: np.ndarray) -> np.ndarray:
+    """How many of the hashes lie in each of 16 equal ranges."""
+    return np.bincount((members >> np.uint64(60)).astype(np.int64), minlength=16)
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int = 80, spreads: tuple[np.ndarray, np.ndarray] | None = None) -> bool:
+    """Whether 100 |a & b| >= percent |a | b|; the suffix filter, counts over hash ranges, goes first."""
     need = needed(len(a), len(b), percent)
     if need > min(len(a), len(b)) or not need:
         return False
-    cuts = (np.arange(1, 16, dtype=np.uint64) << np.uint64(60)).astype(np.uint64)
-    parts = [np.diff(np.r_[0, np.searchsorted(x, cuts), len(x)]) for x in (a, b)]
-    if np.abs(parts[0] - parts[1]).sum() > len(a) + len(b) - 2 * need:
+    x, y = spreads or (spread(a), spread(b))
+    if np.abs(x - y).sum() > len(a) + len(b) - 2 * need:
         return False
     return overlap(a, b) >= need
 
@@ -160,35 +179,55 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = 80) -> bool:
 PLANE = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x9E37))
 
 
-def character_shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of ``width`` characters in order, and for each line the index of its first (one more at the end).
+def character_shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes by place, and for each line where its runs of ``width`` characters begin and how many they are.
 
-    A line shorter than that is one run; the lines hold no line ends and none is empty.
+    A line shorter than that is one run.  Hashes at other places, those that
+    would cross the end of a line, mean nothing.  No line is empty or holds a
+    line end.
     """
     points = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass") + b"\n\0\0\0", dtype=np.uint32)
     codes = PLANE[np.minimum(points, 0xFFFF)]
     beyond = np.flatnonzero(points > 0xFFFF)
     if len(beyond):
         codes[beyond] = mix(points[beyond].astype(np.uint64) + np.uint64(0x9E37))
-    total = np.zeros(len(points) + 1, dtype=np.uint64)
-    np.cumsum(codes * powers(len(points), BASE, "up"), out=total[1:])
+    down = powers(len(points), INVERSE, "down")
+    total = np.zeros(len(points) + width, dtype=np.uint64)
+    codes *= powers(len(points), BASE, "up")
+    np.cumsum(codes, out=total[1 : len(points) + 1])
+    total[len(points) + 1 :] = total[len(points)]
     sizes = np.array([len(x) for x in lines], dtype=np.int64)
     starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
-    runs = np.maximum(sizes - width + 1, 1)
-    first = np.r_[0, np.cumsum(runs)]
-    at = np.arange(first[-1]) + np.repeat(starts - first[:-1], runs)
-    length = np.repeat(np.minimum(sizes, width), runs)
-    return mix((total[at + length] - total[at]) * powers(len(points), INVERSE, "down")[at] + length.astype(np.uint64)), first
+    hashes = mix((total[width:] - total[:-width]) * down[: len(total) - width] + np.uint64(width))
+    short = starts[sizes < width]
+    if len(short):
+        n = sizes[sizes < width]
+        hashes[short] = mix((total[short + n] - total[short]) * down[short] + n.astype(np.uint64))
+    return hashes, starts, np.maximum(sizes - width + 1, 1)
 
 
-def minhashes(hashes: np.ndarray, first: np.ndarray, count: int) -> np.ndarray:
+def minhashes(hashes: np.ndarray, starts: np.ndarray, runs: np.ndarray, count: int) -> np.ndarray:
     """A (lines, count) table of smallest images under ``count`` bijections of 32 bits."""
     short = (hashes >> np.uint64(32)).astype(np.uint32)
     seeds = mix(np.arange(1, 2 * count + 1, dtype=np.uint64))
-    out = np.empty((len(first) - 1, count), dtype=np.uint32)
+    bounds = np.stack([starts, np.minimum(starts + runs, len(short) - 1)], axis=1).ravel()
+    out = np.empty((len(starts), count), dtype=np.uint32)
     moved = np.empty_like(short)
     for k in range(count):
         np.multiply(short, np.uint32(int(seeds[2 * k]) & 0xFFFFFFFF | 1), out=moved)
         moved ^= np.uint32(int(seeds[2 * k + 1]) & 0xFFFFFFFF)
-        out[:, k] = np.minimum.reduceat(moved, first[:-1])
+        out[:, k] = np.minimum.reduceat(moved, bounds)[::2]
     return out
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function, giving memory back to the system when its partition is done: workers stay for later tasks."""
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped

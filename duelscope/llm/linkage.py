@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import PARITY_BITS, mix, needed, similar
+from .kernels import PARITY_BITS, lean, mix, needed, similar, spread
 from .shared import forget, keyed, stash
 from .unionfind import components
 
@@ -40,7 +40,7 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
+def grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
     """Batches in which no group of rows with equal ``by`` is cut; the rows come sorted by them."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -74,8 +74,14 @@ def shared_only(rows: DataFrame) -> DataFrame:
     names = ["token", "ent", "n", "pos", "m"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _grouped(batches, ["token"]):
+        for batch in grouped(batches, ["token"]):
             token, ent = _column(batch, "token"), _column(batch, "ent")
+            alike = np.r_[False, token[1:] == token[:-1]]
+            order = np.flatnonzero(alike | np.r_[alike[1:], False])
+            if not len(order):
+                continue
+            order = order[np.lexsort((ent[order], token[order]))]
+            token, ent = token[order], ent[order]
             new = np.r_[True, token[1:] != token[:-1]]
             once = np.flatnonzero(new | np.r_[True, ent[1:] != ent[:-1]])
             starts = np.flatnonzero(new[once])
@@ -83,9 +89,10 @@ def shared_only(rows: DataFrame) -> DataFrame:
             m = np.repeat(sizes, sizes)
             keep = once[m > 1]
             if len(keep):
-                yield pa.record_batch([pa.array(token[keep]), pa.array(ent[keep]), pa.array(_column(batch, "n")[keep].astype(np.int32)), pa.array(_column(batch, "pos")[keep].astype(np.int32)), pa.array(m[m > 1].astype(np.int32))], names=names)
+                at = order[keep]
+                yield pa.record_batch([pa.array(token[keep]), pa.array(ent[keep]), pa.array(_column(batch, "n")[at].astype(np.int32)), pa.array(_column(batch, "pos")[at].astype(np.int32)), pa.array(m[m > 1].astype(np.int32))], names=names)
 
-    return rows.repartition("token").sortWithinPartitions("token", "ent").mapInArrow(run, schema)
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(lean(run), schema)
 
 
 class Bucket:
@@ -117,7 +124,7 @@ def _neighbours(rows: DataFrame, percent: int, first_order: int) -> DataFrame:
     rooted = "root" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _grouped(batches, ["token"]):
+        for batch in grouped(batches, ["token"]):
             token, m = _column(batch, "token"), _column(batch, "m")
             b = Bucket(_column(batch, "ent"), _column(batch, "n"), _column(batch, "pos"), percent)
             root = _column(batch, "root") if rooted else b.ent
@@ -139,8 +146,8 @@ def _neighbours(rows: DataFrame, percent: int, first_order: int) -> DataFrame:
             yield from _pairs(found)
 
     if rooted:
-        rows = rows.repartition("token").sortWithinPartitions("token", "ent")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+        rows = rows.repartition("token").sortWithinPartitions("token")
+    return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
@@ -150,7 +157,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
     the others stand in all, and ``share`` says which one compares them.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _grouped(batches, ["token", "share"]):
+        for batch in grouped(batches, ["token", "share"]):
             token, share, inner, root = (_column(batch, c) for c in ("token", "share", "inner", "root"))
             b = Bucket(_column(batch, "ent"), _column(batch, "n"), _column(batch, "pos"), percent)
             bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype=np.uint64).reshape(len(token), -1)
@@ -174,10 +181,15 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
                         found, held = [], 0
             yield from _pairs(found)
 
-    return rows.repartition("token", "share").sortWithinPartitions("token", "share").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("token", "share").sortWithinPartitions("token", "share").mapInArrow(lean(run), "a long, b long").distinct()
 
 
-def _compared(pairs: DataFrame, info: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def hashed_sets(members: list[bytes]) -> list[np.ndarray]:
+    """Sets that were sent as their sorted hashes."""
+    return [np.frombuffer(m, np.uint64) for m in members]
+
+
+def _compared(pairs: DataFrame, info: DataFrame, fetch: Callable[[DataFrame], DataFrame], decode: Callable[[list[bytes]], list[np.ndarray]], percent: int) -> DataFrame:
     """The pairs that are similar; parity maps go first, then each pair is compared exactly once."""
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,34 +201,39 @@ def _compared(pairs: DataFrame, info: DataFrame, fetch: Callable[[DataFrame], Da
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column("set_a"), batch.column("set_b")
-            k = np.array([similar(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64), percent) for i in range(batch.num_rows)], dtype=bool)
-            yield pa.record_batch([pa.array(_column(batch, c)[k]) for c in ("a", "b")], names=["a", "b"])
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                ends = [part.column(c).to_pylist() for c in ("a", "b")]
+                texts: dict[int, bytes] = {}
+                for ids, c in zip(ends, ("set_a", "set_b")):
+                    texts.update(zip(ids, part.column(c).to_pylist()))
+                sets = dict(zip(texts, decode(list(texts.values()))))
+                counts = {e: spread(s) for e, s in sets.items()}
+                k = np.array([similar(sets[a], sets[b], percent, (counts[a], counts[b])) for a, b in zip(*ends)], dtype=bool)
+                yield pa.record_batch([pa.array(_column(part, c)[k]) for c in ("a", "b")], names=["a", "b"])
 
     side = lambda s: info.select(F.col("ent").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
-    maybe = stash(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(near, "a long, b long"), "maybe")
+    maybe = stash(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(near), "a long, b long"), "maybe")
     if maybe.isEmpty():
         return maybe
     ends = stash(maybe.select(F.explode(F.array("a", "b")).alias("ent")).distinct().join(info.drop("n", "bits"), "ent"), "ends")
     sets = stash(fetch(ends).join(ends.select("ent"), "ent", "left_semi").dropDuplicates(["ent"]), "sets")
     a, b = (sets.select(F.col("ent").alias(s), F.col("members").alias(f"set_{s}")) for s in "ab")
-    links = stash(maybe.join(a, "a").join(b, "b").mapInArrow(exact, "a long, b long"), "links")
+    links = stash(maybe.join(a, "a").join(b, "b").mapInArrow(lean(exact), "a long, b long"), "links")
     forget(maybe, ends, sets)
     return links
 
 
-def linked(rows: DataFrame, describe: Callable[[DataFrame], DataFrame], fetch: Callable[[DataFrame], DataFrame], percent: int = 80) -> DataFrame:
+def linked(buckets: DataFrame, info: DataFrame, fetch: Callable[[DataFrame], DataFrame], decode: Callable[[list[bytes]], list[np.ndarray]] = hashed_sets, percent: int = 80) -> DataFrame:
     """(ent, root) of every entity that is similar to another one.
 
-    describe: for the buckets that entities share, a table (ent, n, bits, and
-    where the entity is found) with a row for each of them.  fetch: for rows of
-    that table without n and bits, the sets (ent, members: sorted 64-bit
-    hashes) of at least these entities.
+    buckets: a stashed result of ``shared_only``.  info: a row (ent, n, bits,
+    and where the entity is found) for each entity of the buckets.  fetch: for
+    rows of ``info`` without n and bits, (ent, members) of at least these
+    entities.  decode: members to sorted 64-bit hashes.
     """
-    buckets = stash(shared_only(rows), "buckets")
-    info = describe(buckets)
     # the table is read in the order in which it was written, so it is dealt out again
-    links = _compared(stash(_neighbours(buckets.repartition("token").sortWithinPartitions("token", "ent"), percent, 0), "pairs"), info, fetch, percent)
+    links = _compared(stash(_neighbours(buckets.repartition("token").sortWithinPartitions("token"), percent, 0), "pairs"), info, fetch, decode, percent)
     large = buckets.where(F.col("m") > SMALL)
     if large.isEmpty():
         return components(links)
@@ -236,7 +253,7 @@ def linked(rows: DataFrame, describe: Callable[[DataFrame], DataFrame], fetch: C
         pairs = stash(pairs, "pairs")
         if pairs.isEmpty():
             continue
-        more = _compared(pairs, info, fetch, percent)
+        more = _compared(pairs, info, fetch, decode, percent)
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = components(links)

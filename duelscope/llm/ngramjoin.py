@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import identity, parity, shingle_sets
-from .linkage import documents_of, linked
+from .kernels import identity, lean, parity, shingle_sets
+from .linkage import documents_of, linked, shared_only
 from .shared import keyed, stash
 
 #: Hash classes whose counts order the shingles: 2 ** CLASS_BITS of 4 bytes.
@@ -59,7 +59,7 @@ def _described(docs: DataFrame, width: int) -> DataFrame:
         packed = [zlib.compress(counts[k * PER_SLICE : (k + 1) * PER_SLICE].astype(np.uint32).tobytes(), 1) for k in used]
         yield pa.record_batch([pa.array(np.ones(len(used), np.int32)), pa.array(used, pa.int64()), pa.array(np.zeros(len(used), np.int32)), pa.array(np.zeros(len(used), np.int64)), pa.array(packed, pa.binary())], names=["kind", "doc_id", "n", "ent", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)
 
 
 def _class_counts(described: DataFrame) -> np.ndarray:
@@ -73,7 +73,7 @@ def _class_counts(described: DataFrame) -> np.ndarray:
         yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array([np.minimum(v, 0xFFFFFFFF).astype(np.uint32).tobytes() for v in sums.values()], pa.binary())], names=["slice", "counts"])
 
     out = np.zeros(1 << CLASS_BITS, dtype=np.uint32)
-    slices = described.where("kind = 1").select("doc_id", "bits").repartition(SLICES, "doc_id").mapInArrow(run, "slice long, counts binary")
+    slices = described.where("kind = 1").select("doc_id", "bits").repartition(SLICES, "doc_id").mapInArrow(lean(run), "slice long, counts binary")
     for row in slices.collect():
         out[row["slice"] * PER_SLICE : (row["slice"] + 1) * PER_SLICE] = np.frombuffer(row["counts"], np.uint32)
     return out
@@ -100,7 +100,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) ->
             if token:
                 yield pa.record_batch([pa.array(np.concatenate(v)) for v in (token, ent, n, pos)], names=["token", "ent", "n", "pos"])
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(run, "token long, ent long, n int, pos int")
+    return docs.where("doc_id is not null").select("text").mapInArrow(lean(run), "token long, ent long, n int, pos int")
 
 
 def _fetcher(docs: DataFrame, width: int):
@@ -112,16 +112,16 @@ def _fetcher(docs: DataFrame, width: int):
                 yield pa.record_batch([pa.array([identity(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["ent", "members"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return lambda ends: documents_of(own, ends.select("doc_id").distinct()).select("text").mapInArrow(run, "ent long, members binary")
+    return lambda ends: documents_of(own, ends.select("doc_id").distinct()).select("text").mapInArrow(lean(run), "ent long, members binary")
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row per document, the smallest doc_id that links reach."""
-    described = stash(_described(docs, width), "described")
+    described = stash(_described(docs, width), "described", by="kind")
     rows = described.where("kind = 0").select("doc_id", "n", "ent", "bits")
     info = stash(rows.where("n > 0 and doc_id is not null").groupBy("ent").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "entities")
-    prefixes = _prefixes(docs, _class_counts(described), width, percent)
-    roots = linked(prefixes, lambda _: info, _fetcher(docs, width), percent)
+    buckets = stash(shared_only(_prefixes(docs, _class_counts(described), width, percent)), "buckets")
+    roots = linked(buckets, info, _fetcher(docs, width), percent=percent)
     first = info.select("ent", "doc_id").join(roots, "ent", "left").withColumn("root", F.coalesce("root", "ent"))
     smallest = first.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of = stash(first.join(smallest, "root").select("ent", "component_id"), "of")

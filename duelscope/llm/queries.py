@@ -18,7 +18,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    removed = F.coalesce("__removed", F.array().cast("array<int>"))
+    removed = F.coalesce("removed_lines", F.array().cast("array<int>"))
     return docs.select("doc_id", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed, ",").alias("removed_lines"), F.sha2("text", 256).alias("text_sha256"))
 
 

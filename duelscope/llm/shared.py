@@ -7,6 +7,8 @@ reread and nothing else.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -17,11 +19,17 @@ from pyspark.sql import functions as F
 #: a few short columns they take well under 100 MB.  Above it, rows are shuffled.
 BROADCAST_ROWS = 400_000
 
+#: Rows that go to a Python worker at once while a table is written: whole texts
+#: are long, and both sides hold a batch several times over.
+ARROW_KEY, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 3000
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own: dict[str, str] = {}
+#: Written tables of this process that nobody has deleted yet.
+_left: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,24 +46,46 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/duelscope/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write the rows once and read them back: lineage ends here and no later job computes them again."""
+def stash(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
+    """Write the rows once and read them back: lineage ends here and no later job computes them again.
+
+    by: a column of few values that later plans select one of; each gets a folder of its own.
+    """
     spark = df.sparkSession
     path = fresh(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(ARROW_KEY, None)
+    spark.conf.set(ARROW_KEY, ARROW_ROWS)
+    try:
+        writer = df.write.option("compression", "snappy")
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    finally:
+        spark.conf.set(ARROW_KEY, before) if before is not None else spark.conf.unset(ARROW_KEY)
     back = spark.read.schema(df.schema).parquet(path)
     back._stashed = path
+    if not _left:
+        atexit.register(clean, spark)
+    _left.add(path)
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _left.discard(path)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete stashed tables that no later plan reads."""
     for df in tables:
-        path = getattr(df, "_stashed", None)
-        if path:
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path := getattr(df, "_stashed", None):
+            _delete(df.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all written tables of this process, results that read them included; also done when it ends."""
+    for path in list(_left):
+        with contextlib.suppress(Exception):
+            _delete(spark, path)
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -63,6 +93,14 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def keyed(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a table with a smaller one: sent to all executors if it has few rows, else shuffled (AQE splits hot keys)."""
     return big.join(F.broadcast(small) if small_enough(small, rows) else small, on, how)
