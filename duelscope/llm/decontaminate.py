@@ -13,8 +13,9 @@ themselves, so results are exact.
 
 Defined cases: null text has no words and no hits; an item without words has no
 window; an item of fewer words than a window is one window of its own length;
-repeated items count by their item_id; repeated and null doc_ids give one row
-per row, each judged by its own text; an empty table on either side gives
+items count by their item_id, a null one is left out; repeated and null
+doc_ids give one row per row, each judged by its own text, but ``clean`` drops
+an id for any of its texts; an empty table on either side gives
 zero hits; other columns are ignored.
 """
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, keyed, stash
+from .shared import LOWER, UPPER, keyed, stash, unused
 
 #: Everything that is not in a word, A-Z being folded to a-z.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -147,6 +148,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, span: i
 
 def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents in which no window of an item occurs, with all their columns."""
-    gone = stash(contamination(docs, items, width).where("n_hit > 0").select("doc_id").distinct(), "contaminated").withColumnRenamed("doc_id", "__doc")
+    gone = stash(contamination(docs, items, width).where("n_hit > 0").select("doc_id").distinct(), "contaminated")
     small = gone.limit(MATCHED_ROWS + 1).count() <= MATCHED_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti")
+    key = unused(docs, "__doc")
+    gone = gone.withColumnRenamed("doc_id", key)
+    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")

@@ -1,7 +1,7 @@
 """URL filters: a rule list, and association rules mined from labels.
 
 FP-growth finds combinations of URL tokens that go with blocked labels.  Rules
-under a support or a confidence are dropped, and so are those that lift the
+under a support, a count or a confidence are dropped, and so are those that lift the
 base rate too little.  The rules left stand in an inverted index under their
 rarest token; a URL meets only the rules of its own tokens and is blocked when
 it has all tokens of one.
@@ -27,6 +27,8 @@ from .shared import ascii_lower, keyed, stash
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 FIT_ROWS = 200_000
 MIN_SUPPORT = 0.002
+#: Labelled URLs that a rule must rest on whatever their number: fewer are chance.
+MIN_COUNT = 25
 MIN_CONFIDENCE = 0.6
 MIN_LIFT = 1.5
 #: Tokens of a rule at most.
@@ -80,9 +82,10 @@ def mined(labelled: DataFrame, fit_rows: int = FIT_ROWS, min_support: float = MI
     if n > fit_rows:
         rows = rows.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
     baskets = stash(rows.select(F.concat(tokens(F.col("url")), F.array(F.when(F.col("blocked"), F.lit("label:block")).otherwise(F.lit("label:allow")))).alias("items")), "baskets")
-    if baskets.isEmpty():
+    if baskets.count() < MIN_COUNT:
         return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    support = min(1.0, max(min_support, MIN_COUNT / baskets.count()))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == "label:block") & (F.size("antecedent") <= MAX_TOKENS) & (F.col("lift") >= min_lift))
     rules = rules.where(~F.exists("antecedent", lambda t: t.startswith("label:")))
     rules = stash(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", "lift").withColumn("rule", F.xxhash64("tokens")), "rules")
