@@ -165,3 +165,18 @@ def agreement(cells: DataFrame) -> DataFrame:
     """Per cell which model scores best and in how many the excess is positive; ties go to the smaller name."""
     rows = summaries(cells)
     return rows.groupBy("population", "tour", "slam").agg(F.min_by("model", F.struct("brier_score", "model")).alias("best_brier"), F.min_by("model", F.struct("log_loss_score", "model")).alias("best_log_loss"), F.count_if(F.col("excess_per_100") > 0).alias("positive"), F.count_if(F.col("excess_per_100") < 0).alias("negative"))
+
+
+def identity_change_grid(observed: DataFrame, a: str, b: str) -> DataFrame:
+    """The changes of ``identity_changes`` on a full grid of populations, tours, Slams and kinds, with zero cells."""
+    kinds = F.explode(F.array(*map(F.lit, ("flip", "tie_created", "tie_removed"))))
+    grid = observed.where("score_eligible and slam is not null").select("population", "tour", "slam").distinct().withColumn("change", kinds)
+    found = identity_changes(observed, a, b)
+    return grid.join(found, ["population", "tour", "slam", "change"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def with_metadata(observed: DataFrame, metadata: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Adds columns of the rating models' rows; the market model borrows those of overall ratings."""
+    lookup = metadata.select("match_id", F.col("model").alias("lookup_model"), *columns)
+    rows = observed.withColumn("lookup_model", F.when(F.col("model") == "market_odds", "overall_elo").otherwise(F.col("model")))
+    return rows.join(lookup, ["match_id", "lookup_model"], "left").drop("lookup_model")

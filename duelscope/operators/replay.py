@@ -253,3 +253,10 @@ def best_of_selection(losses: DataFrame) -> DataFrame:
     """Per tour the candidate of least log loss, then Brier score, then name, over both windows together."""
     total = losses.groupBy("variant", "tour").agg((F.sum(F.col("log_loss") * F.col("n")) / F.sum("n")).alias("log_loss"), (F.sum(F.col("brier") * F.col("n")) / F.sum("n")).alias("brier"))
     return total.groupBy("tour").agg(F.min_by("variant", F.struct("log_loss", "brier", "variant")).alias("variant"), F.min("log_loss").alias("log_loss"))
+
+
+def duplicate_audit(contests: DataFrame) -> DataFrame:
+    """Every contest of a probable-duplicate group with what keeping one means for it."""
+    rows = prepared(contests).where("duplicate")
+    decision = F.when(F.col("base").isNotNull(), F.concat(F.lit("ineligible:"), "base")).when(F.col("representative"), "kept").otherwise("removed")
+    return rows.select("match_id", "tour", "year", "representative", decision.alias("decision"))

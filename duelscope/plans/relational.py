@@ -132,3 +132,15 @@ query("a30_candidate_losses")(lambda s, d: replay.selection(src.contests(s, d),
 query("elo21_history_summaries")(lambda s, d: rating_history(src.contests(s, d)))
 query("elo22_selection_by_policy")(lambda s, d: replay.selection(src.contests(s, d), (1995, 1998), (1999, 2001), [replay.Variant(f"{n}-k{k:g}", k=k, **p) for n, p in (("current", {}), ("strict", {"skip_retirements": True}), ("skip", {"duplicates": "skip_all"})) for k in (16.0, 32.0)]).select("variant", "tour", "window", "n", F.round("log_loss", 6).alias("log_loss")))
 
+query("elo23_duplicate_audit", f"""with {C}, b as (select *, case when winner_id = loser_id then 'identical_players' when is_walkover then 'walkover' when (case when slam is not null and best_of in (3, 5) then 3 else best_of end) not in (3, 5) then 'unsupported_format' end as base from contests),
+g as (select *, count(*) over (partition by tour, year, event_date, lower(tourney_name), round, least(winner_id, loser_id), greatest(winner_id, loser_id)) > 1 as dup,
+  base is null and row_number() over (partition by base is null, tour, year, event_date, lower(tourney_name), round, least(winner_id, loser_id), greatest(winner_id, loser_id) order by source_file, match_id) = 1 as representative from b)
+select match_id, tour, year, representative, case when base is not null then 'ineligible:' || base when representative then 'kept' else 'removed' end as decision from g where dup""")(lambda s, d: replay.duplicate_audit(src.contests(s, d)))
+query("j22_change_grid", f"""with {OBSERVED}, o as (select *, case when p1 = p2 then 0 when p1 < p2 then 1 else 2 end as u from observed where score_eligible and slam is not null),
+k as (select a.population, a.tour, a.slam, case when a.u = 0 then 'tie_removed' when b.u = 0 then 'tie_created' else 'flip' end as change, count(*) as n from o a join o b on a.match_id = b.match_id and a.population = b.population where a.model = 'overall_elo' and b.model = 'surface_elo' and a.u <> b.u group by all),
+g as (select distinct population, tour, slam, unnest(['flip', 'tie_created', 'tie_removed']) as change from o)
+select g.*, coalesce(k.n, 0) as n from g left join k on g.population = k.population and g.tour = k.tour and g.slam = k.slam and g.change = k.change""")(lambda s, d: metrics.identity_change_grid(observed(s, d), "overall_elo", "surface_elo"))
+query("j07_borrowed_metadata", f"""with {PRICED}, {FORECASTS.split(C + ',')[1]}, m as (select match_id, 'market_odds' as model from consensus where p_winner is not null union all select match_id, model from forecasts)
+select m.model, count(*) as n, count(f.match_id) as found, count(*) filter (f.format_conflict) as conflicts, count(distinct f.edition_id) as editions from m left join forecasts f on f.match_id = m.match_id and f.model = case when m.model = 'market_odds' then 'overall_elo' else m.model end group by m.model""")(
+    lambda s, d: metrics.with_metadata(market.consensus(priced(s, d)).where("p_winner is not null").select("match_id", F.lit("market_odds").alias("model")).unionByName(src.forecasts(s, d).select("match_id", "model")), src.forecasts(s, d), ("format_conflict", "edition_id")).groupBy("model").agg(
+        F.count("*").alias("n"), F.count("edition_id").alias("found"), F.count_if("format_conflict").alias("conflicts"), F.count_distinct("edition_id").alias("editions")))
