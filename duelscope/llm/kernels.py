@@ -231,3 +231,18 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
             trim(0)
 
     return wrapped
+
+
+class Recent:
+    """Remembers ids for a while: enough to send repeats of a task once, never more than a fixed number of them."""
+
+    def __init__(self, most: int = 100_000):
+        self.most, self.ids = most, set()
+
+    def new(self, e: int) -> bool:
+        if e in self.ids:
+            return False
+        if len(self.ids) >= self.most:
+            self.ids.clear()
+        self.ids.add(e)
+        return True

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import identity, lean, parity, shingle_sets
+from .kernels import Recent, identity, lean, parity, shingle_sets
 from .linkage import documents_of, linked, shared_only
 from .shared import keyed, stash
 
@@ -83,14 +83,12 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) ->
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency = shared.value
+        frequency, sent = shared.value, Recent()
         for batch in batches:
-            seen: set[int] = set()
             token, ent, n, pos = [], [], [], []
             for s in shingle_sets(_texts(batch), width):
-                if not len(s) or (e := identity(s)) in seen:
+                if not len(s) or not sent.new(e := identity(s)):
                     continue
-                seen.add(e)
                 k = len(s) - -(-percent * len(s) // 100) + 1
                 rare = s[np.lexsort((s, frequency[(s >> np.uint64(64 - CLASS_BITS)).astype(np.int64)]))[:k]]
                 token.append(rare.view(np.int64))

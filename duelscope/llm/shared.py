@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 #: a few short columns they take well under 100 MB.  Above it, rows are shuffled.
 BROADCAST_ROWS = 400_000
 
-#: Rows that go to a Python worker at once while a table is written: whole texts
-#: are long, and both sides hold a batch several times over.
-ARROW_KEY, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 3000
+#: What goes to a Python worker at once while a table is written: whole texts are
+#: long, and both sides hold a batch several times over.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 10_000, "spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20}
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -53,13 +53,15 @@ def stash(df: DataFrame, name: str = "table", by: str | None = None) -> DataFram
     """
     spark = df.sparkSession
     path = fresh(spark, name)
-    before = spark.conf.get(ARROW_KEY, None)
-    spark.conf.set(ARROW_KEY, ARROW_ROWS)
+    before = {key: spark.conf.get(key, None) for key in ARROW}
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
     try:
         writer = df.write.option("compression", "snappy")
         (writer.partitionBy(by) if by else writer).parquet(path)
     finally:
-        spark.conf.set(ARROW_KEY, before) if before is not None else spark.conf.unset(ARROW_KEY)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
     back = spark.read.schema(df.schema).parquet(path)
     back._stashed = path
     if not _left:
