@@ -92,8 +92,8 @@ def candidates(index: DataFrame, terms: DataFrame, wins: DataFrame) -> DataFrame
 
 def nearby(index: DataFrame, terms: DataFrame, rarity: DataFrame, span: int = SPAN, most: int = 3) -> DataFrame:
     """Proximity matches (doc_id, item_id): all of an item's rarest terms within ``span`` words of the rarest one."""
-    distinct = terms.groupBy("item_id", "term").agg(F.min("j").alias("j")).join(rarity, "term")
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("n", "term"))
+    distinct = terms.groupBy("item_id", "term").agg(F.min(F.get("words", "j")).alias("word")).join(rarity, "term")
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("n", "word"))
     chosen = distinct.withColumn("k", rank).where(F.col("k") <= most)
     wanted = chosen.withColumn("of", F.count("*").over(Window.partitionBy("item_id"))).select("item_id", "term", "k", "of")
     there = keyed(index, wanted, ["term"], "inner").select("doc_id", "item_id", "pos", "k", "of")
@@ -153,3 +153,33 @@ def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     key = unused(docs, "__doc")
     gone = gone.withColumnRenamed("doc_id", key)
     return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
+
+
+#: The query in DuckDB's SQL, from words instead of an index.
+SQL = r"""
+with docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null),
+wins as (
+  select distinct item_id, least(len(w), 10) as n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda s: w[s:s + least(len(w), 10) - 1])) as win from items where len(w) > 0),
+sizes as (select distinct n from wins),
+places as (
+  select doc_id, n, unnest(range(1, len(w) - n + 2)) as p, w from docs, sizes where len(w) >= n),
+hits as (select q.doc_id, q.n, q.p, x.item_id from (select doc_id, n, p, w[p:p + n - 1] as win from places) q join wins x on q.win = x.win),
+covered as (select doc_id, count(distinct spot) as n_hit from (select doc_id, unnest(range(p, p + n)) as spot from (select distinct doc_id, p, n from hits)) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from hits) group by doc_id),
+tokens as (select doc_id, unnest(w) as word, unnest(range(0, len(w))) as pos from docs),
+vocabulary as (select distinct item_id, unnest(w) as word from items),
+seen as (select word, count(*) as n from tokens where word in (select word from vocabulary) group by word),
+ranked as (select v.item_id, v.word, row_number() over (partition by v.item_id order by coalesce(s.n, 0), v.word) as k from vocabulary v left join seen s on s.word = v.word),
+chosen as (select *, count(*) over (partition by item_id) as total from ranked where k <= 3),
+there as (select t.doc_id, c.item_id, t.pos, c.k, c.total from tokens t join chosen c on c.word = t.word),
+near as (
+  select a.doc_id, a.item_id from there a join there b on a.doc_id = b.doc_id and a.item_id = b.item_id and b.k > 1 and abs(a.pos - b.pos) < 30
+  where a.k = 1 group by a.doc_id, a.item_id, a.pos, a.total having count(distinct b.k) = a.total - 1
+  union select doc_id, item_id from there where k = 1 and total = 1),
+closeby as (select doc_id, count(distinct item_id) as n from near group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(c.n_hit, 0) as n_hit, coalesce(f.n_items, 0) as n_items, sha256(coalesce(f.items, '')) as items_sha256, coalesce(c.n_hit, 0) > 0 as contaminated, coalesce(k.n, 0) as n_near_items
+from docs d left join covered c on c.doc_id = d.doc_id left join found f on f.doc_id = d.doc_id left join closeby k on k.doc_id = d.doc_id
+"""

@@ -140,3 +140,21 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         return kept
     twice = keyed(kept, again, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
     return keyed(kept, again, ["doc_id"], "left_anti").unionByName(twice)
+
+
+#: The same groups in DuckDB's SQL: all pairs that share a shingle, then everything that links reach.
+SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from w),
+e as (select doc_id, len(s) as n, unnest(s) as g from s),
+l as (
+  select a.doc_id as a, b.doc_id as b from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n
+  having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges as (select a, b from l union all select b, a from l),
+reach(id, r) as (select doc_id, doc_id from documents union select reach.id, edges.b from reach join edges on edges.a = reach.r),
+first as (select id, min(r) as component_id from reach group by id)
+select s.doc_id, len(s.s)::bigint as n_shingles, first.component_id from s join first on first.id = s.doc_id
+"""

@@ -71,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Only what SQL can express over whole tables in reasonable time.
 SQL: dict[str, str] = {
+    "op1_decontaminate": decontaminate.SQL,
+    "op3_ngram_join": ngramjoin.SQL,
     "op4_mix_sources": mixing.SQL,
     "op5_license_scan": licences.SQL,
     "op9_preference_format": chat.SQL,
