@@ -154,20 +154,22 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs of a bucket's share that lie in different components and whose parity maps allow it.
 
     Rows with ``inner`` (of the bucket's largest component) stand in one share;
-    the others stand in all, and ``share`` says which one compares them.
+    the others stand in all.  Two of the others are compared in the share that is
+    ``own`` to the one with the smaller ent: rows may come in another order in
+    each share, so their places say nothing.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped(batches, ["token", "share"]):
             token, share, inner, root = (_column(batch, c) for c in ("token", "share", "inner", "root"))
             b = Bucket(_column(batch, "ent"), _column(batch, "n"), _column(batch, "pos"), percent)
             bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype=np.uint64).reshape(len(token), -1)
-            own = _column(batch, "own")
+            own, ent = _column(batch, "own"), b.ent
             starts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (share[1:] != share[:-1])])
             found, held = [], 0
             for lo, hi in zip(starts, np.r_[starts[1:], len(token)]):
                 here = np.arange(lo, hi)
                 for x in here[~inner[lo:hi]]:
-                    y = here[inner[lo:hi] | ((here > x) & (own[x] == share[x]))]
+                    y = here[inner[lo:hi] | ((ent[here] > ent[x]) & (own[x] == share[x]))]
                     y = y[root[y] != root[x]]
                     xs = np.full(len(y), x)
                     k = b.allowed(xs, y)

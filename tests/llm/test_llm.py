@@ -93,6 +93,21 @@ def test_large_bucket_finds_every_link(spark):
     assert got == {i: c for i, (_, c) in brute_groups(rows).items()}
 
 
+def test_shares_compare_every_pair_in_any_order_of_rows(spark):
+    """Members outside the largest component stand in every share, each time in another order."""
+    rng = random.Random(12)
+    shares, members = 3, [(rng.getrandbits(62) - 2**61, rng.randrange(3), i % 4 == 0) for i in range(40)]
+    rows = []
+    for share in range(shares):
+        here = [(5, share, inner, own, 0 if inner else ent, ent, 50, 0, bytes(kernels.PARITY_BITS // 8)) for ent, own, inner in members if not inner or own == share]
+        rng.shuffle(here)
+        rows += here
+    table = spark.createDataFrame(rows, "token long, share int, inner boolean, own int, root long, ent long, n int, pos int, bits binary").coalesce(1)
+    got = {(r["a"], r["b"]) for r in linkage._across(table, 80).collect()}
+    ids = sorted((ent, inner) for ent, _, inner in members)
+    assert got == {(a, b) for a, x in ids for b, y in ids if a < b and not (x and y)}
+
+
 def test_parity_bounds_and_needed():
     rng = np.random.default_rng(1)
     for _ in range(50):
