@@ -6,7 +6,7 @@ each window are shifted by the terms' offsets, so that a document position
 that starts the window is the same number in both, and intersected; windows
 that survive are compared word by word.  Only the lists that a search reads
 are stored: the postings of the terms that are rarest somewhere, over all
-documents.  Proximity search reads the same lists.
+documents, and of each item's three rarest, which proximity search reads.
 
 Terms are 64-bit hashes in the index; the last comparison is of the words
 themselves, so results are exact.
@@ -90,13 +90,20 @@ def candidates(index: DataFrame, terms: DataFrame, wins: DataFrame) -> DataFrame
     return kept.select("doc_id", "item_id", "diagonal", F.transform("wins", lambda w: F.struct(w["s"].alias("s"), w["len"].alias("len"))).alias("starts"))
 
 
-def nearby(index: DataFrame, terms: DataFrame, rarity: DataFrame, span: int = SPAN, most: int = 3) -> DataFrame:
-    """Proximity matches (doc_id, item_id): all of an item's rarest terms within ``span`` words of the rarest one."""
+def rarest(terms: DataFrame, rarity: DataFrame, most: int = 3) -> DataFrame:
+    """(item_id, term, k, of): the rarest terms of each item, that proximity search looks for; equal counts go by the word."""
     distinct = terms.groupBy("item_id", "term").agg(F.min(F.get("words", "j")).alias("word")).join(rarity, "term")
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy("n", "word"))
     chosen = distinct.withColumn("k", rank).where(F.col("k") <= most)
-    wanted = chosen.withColumn("of", F.count("*").over(Window.partitionBy("item_id"))).select("item_id", "term", "k", "of")
-    there = keyed(index, wanted, ["term"], "inner").select("doc_id", "item_id", "pos", "k", "of")
+    return chosen.withColumn("of", F.count("*").over(Window.partitionBy("item_id"))).select("item_id", "term", "k", "of")
+
+
+def nearby(index: DataFrame, terms: DataFrame, rarity: DataFrame, span: int = SPAN, most: int = 3) -> DataFrame:
+    """Proximity matches (doc_id, item_id): all of an item's rarest terms within ``span`` words of the rarest one.
+
+    The index holds the postings of ``rarest`` at least.
+    """
+    there = keyed(index, rarest(terms, rarity, most), ["term"], "inner").select("doc_id", "item_id", "pos", "k", "of")
     anchor = there.where("k = 1").select("doc_id", "item_id", F.col("pos").alias("at"), "of", F.floor(F.col("pos") / span).alias("cell"))
     cell = F.floor(F.col("pos") / span)
     other = there.where("k > 1").select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), "pos", F.col("k").alias("other"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("c"))
@@ -117,7 +124,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, span: i
     rarity = stash(counts(docs, terms), "rarity")
     wins = stash(windows(terms, rarity, width), "windows")
     rare = wins.select("item_id", F.explode(F.array("first", "second")).alias("j")).where("j is not null").distinct()
-    index = stash(postings(docs, terms.join(rare, ["item_id", "j"], "left_semi")), "postings")
+    searched = terms.join(rare, ["item_id", "j"], "left_semi").select("term").unionByName(rarest(terms, rarity).select("term"))
+    index = stash(postings(docs, searched), "postings")
     own = terms.groupBy("item_id").agg(F.first("words").alias("words"))
     found = keyed(candidates(index, terms, wins), own, ["item_id"], "inner")
     per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonal", "starts", "words")).alias("maybe"))

@@ -213,6 +213,29 @@ def test_proximity_finds_scattered_rare_terms(spark):
     assert [(r["doc_id"], r["item_id"]) for r in near] == [(1, 9)]
 
 
+def brute_near(text, items, seen):
+    """Items whose three rarest words lie within 30 words of the rarest one; an item_id has the words of all its texts."""
+    low = lambda t: WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+    w, words = low(text), collections.defaultdict(set)
+    for i, t in items:
+        words[i].update(low(t))
+    out = set()
+    for i, own in words.items():
+        first, *others = sorted(own, key=lambda x: (seen[x], x))[:3] or [None]
+        if any(w[a] == first and all(x in w[max(0, a - 29) : a + 30] for x in others) for a in range(len(w))):
+            out.add(i)
+    return len(out)
+
+
+def test_proximity_of_short_items_and_ties_through_contamination(spark):
+    items = [(1, "red green blue"), (2, "ash oak elm fir yew"), (3, "one two"), (4, "solo"), (5, "pea bean corn rice oats " + "the " * 20 + "wheat rye")]
+    texts = ["blue x red x x green", "the red the", "yew the ash fir elm oak", "two " + "the " * 40 + "one", "one or two", "solo", "bean corn oats the pea rice rye wheat", "green green red the blue blue", "elm fir ash", None, ""]
+    seen = collections.Counter(x for t in texts for x in (t or "").split())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["near_items"] for r in decontaminate.contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {i: brute_near(t, items, seen) for i, t in enumerate(texts)} and sum(got.values()) > 5
+
+
 # --- mixing --------------------------------------------------------------------
 
 
