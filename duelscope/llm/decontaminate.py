@@ -13,7 +13,8 @@ themselves, so results are exact.
 
 Defined cases: null text has no words and no hits; an item without words has no
 window; an item of fewer words than a window is one window of its own length;
-items count by their item_id, a null one is left out; repeated and null
+items count by their item_id, a null one is left out; a repeated item is one,
+and texts that share an item_id are searched each by itself; repeated and null
 doc_ids give one row per row, each judged by its own text, but ``clean`` drops
 an id for any of its texts; an empty table on either side gives
 zero hits; other columns are ignored.
@@ -59,35 +60,38 @@ def counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def item_terms(items: DataFrame) -> DataFrame:
-    """(item_id, words, j, term): a row per word of each item with words."""
-    own = items.select("item_id", raw_words(fold(F.col("text"))).alias("words"))
-    return own.select("item_id", "words", F.posexplode("words").alias("j", "word")).select("item_id", "words", "j", F.xxhash64("word").alias("term"))
+    """(key, item_id, words, j, term): a row per word of each distinct item with words.
+
+    The keys are dealt out anew by each run, so the table is written before joins by them.
+    """
+    own = items.select("item_id", raw_words(fold(F.col("text"))).alias("words")).distinct().withColumn("key", F.monotonically_increasing_id())
+    return own.select("key", "item_id", "words", F.posexplode("words").alias("j", "word")).select("key", "item_id", "words", "j", F.xxhash64("word").alias("term"))
 
 
 def windows(terms: DataFrame, rarity: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(item_id, s, len, first, second): the item offsets of the two rarest terms of each window."""
-    ranked = terms.join(rarity, "term").select("item_id", "j", F.size("words").alias("size"), F.struct("n", "term", "j").alias("rank"))
+    """(key, s, len, first, second): the item offsets of the two rarest terms of each window."""
+    ranked = terms.join(rarity, "term").select("key", "j", F.size("words").alias("size"), F.struct("n", "term", "j").alias("rank"))
     last = F.greatest(F.col("size") - width, F.lit(0))
-    spread = ranked.select("item_id", "size", "rank", F.explode(F.sequence(F.greatest(F.col("j") - width + 1, F.lit(0)), F.least(F.col("j"), last))).alias("s"))
-    lists = spread.groupBy("item_id", "s").agg(F.first("size").alias("size"), F.slice(F.array_sort(F.collect_list("rank")), 1, 2).alias("rarest"))
-    return lists.select("item_id", "s", F.least("size", F.lit(width)).alias("len"), F.col("rarest")[0]["j"].alias("first"), F.get("rarest", F.lit(1))["j"].alias("second"))
+    spread = ranked.select("key", "size", "rank", F.explode(F.sequence(F.greatest(F.col("j") - width + 1, F.lit(0)), F.least(F.col("j"), last))).alias("s"))
+    lists = spread.groupBy("key", "s").agg(F.first("size").alias("size"), F.slice(F.array_sort(F.collect_list("rank")), 1, 2).alias("rarest"))
+    return lists.select("key", "s", F.least("size", F.lit(width)).alias("len"), F.col("rarest")[0]["j"].alias("first"), F.get("rarest", F.lit(1))["j"].alias("second"))
 
 
 def candidates(index: DataFrame, terms: DataFrame, wins: DataFrame) -> DataFrame:
-    """(doc_id, item_id, diagonal, starts): windows whose two rarest terms stand at their offsets.
+    """(doc_id, key, diagonal, starts): windows whose two rarest terms stand at their offsets.
 
     A posting at ``pos`` of the item's word ``j`` shifts to the diagonal
     ``pos - j``; both lists of a window meet in the same one.
     """
-    used = wins.select("item_id", F.explode(F.array("first", "second")).alias("j")).where("j is not null").distinct()
-    lists = terms.select("item_id", "j", "term").join(used, ["item_id", "j"])
-    shifted = keyed(index, lists, ["term"], "inner").select("doc_id", "item_id", (F.col("pos") - F.col("j")).alias("diagonal"), "j")
-    met = shifted.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set("j").alias("js"))
-    single = wins.groupBy("item_id").agg(F.collect_list(F.struct("s", "len", "first", "second")).alias("wins"), F.min(F.col("second").isNotNull().cast("int")).alias("two"))
-    found = keyed(met, single, ["item_id"], "inner").where("size(js) > two")
+    used = wins.select("key", F.explode(F.array("first", "second")).alias("j")).where("j is not null").distinct()
+    lists = terms.select("key", "j", "term").join(used, ["key", "j"])
+    shifted = keyed(index, lists, ["term"], "inner").select("doc_id", "key", (F.col("pos") - F.col("j")).alias("diagonal"), "j")
+    met = shifted.groupBy("doc_id", "key", "diagonal").agg(F.collect_set("j").alias("js"))
+    single = wins.groupBy("key").agg(F.collect_list(F.struct("s", "len", "first", "second")).alias("wins"), F.min(F.col("second").isNotNull().cast("int")).alias("two"))
+    found = keyed(met, single, ["key"], "inner").where("size(js) > two")
     both = lambda w: F.array_contains("js", w["first"]) & (w["second"].isNull() | F.array_contains("js", w["second"])) & (F.col("diagonal") + w["s"] >= 0)
     kept = found.withColumn("wins", F.filter("wins", both)).where("size(wins) > 0")
-    return kept.select("doc_id", "item_id", "diagonal", F.transform("wins", lambda w: F.struct(w["s"].alias("s"), w["len"].alias("len"))).alias("starts"))
+    return kept.select("doc_id", "key", "diagonal", F.transform("wins", lambda w: F.struct(w["s"].alias("s"), w["len"].alias("len"))).alias("starts"))
 
 
 def rarest(terms: DataFrame, rarity: DataFrame, most: int = 3) -> DataFrame:
@@ -123,11 +127,11 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, span: i
     terms = stash(item_terms(items.select("item_id", "text").where("item_id is not null")), "terms")
     rarity = stash(counts(docs, terms), "rarity")
     wins = stash(windows(terms, rarity, width), "windows")
-    rare = wins.select("item_id", F.explode(F.array("first", "second")).alias("j")).where("j is not null").distinct()
-    searched = terms.join(rare, ["item_id", "j"], "left_semi").select("term").unionByName(rarest(terms, rarity).select("term"))
+    rare = wins.select("key", F.explode(F.array("first", "second")).alias("j")).where("j is not null").distinct()
+    searched = terms.join(rare, ["key", "j"], "left_semi").select("term").unionByName(rarest(terms, rarity).select("term"))
     index = stash(postings(docs, searched), "postings")
-    own = terms.groupBy("item_id").agg(F.first("words").alias("words"))
-    found = keyed(candidates(index, terms, wins), own, ["item_id"], "inner")
+    own = terms.where("j = 0").select("key", "item_id", "words")
+    found = keyed(candidates(index, terms, wins), own, ["key"], "inner")
     per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonal", "starts", "words")).alias("maybe"))
     near = nearby(index, terms, rarity, span).groupBy("doc_id").agg(F.count("*").alias("near_items"))
     near = near.withColumnRenamed("doc_id", "near_doc")

@@ -213,6 +213,19 @@ def test_proximity_finds_scattered_rare_terms(spark):
     assert [(r["doc_id"], r["item_id"]) for r in near] == [(1, 9)]
 
 
+def test_repeated_items_and_two_texts_under_one_id(spark):
+    rng = random.Random(15)
+    long, other = prose(rng, 25), prose(rng, 14)
+    items = [(1, "short item here"), (1, "short item here"), (2, "solo"), (2, "SOLO"), (3, long), (3, long), (4, other), (4, "another text entirely"), (4, None)]
+    a, b = long.split(), other.split()
+    texts = ["a short item here", "solo", long, " ".join(a[7:18]), " ".join(b[2:13]), "another text entirely", other + " another text entirely", "item here", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(df, bench).collect()}
+    assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
+    assert {r["doc_id"] for r in decontaminate.clean(df, bench).collect()} == {7, 8}
+
+
 def brute_near(text, items, seen):
     """Items whose three rarest words lie within 30 words of the rarest one; an item_id has the words of all its texts."""
     low = lambda t: WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
