@@ -227,9 +227,9 @@ s as (select g.*, r.r, unnest(range(0, len(l))) as slot from g, range(0, 200) r(
 dr as (select *, l[(('0x' || substr(md5(name || '|' || r || '|' || slot), 1, 8))::bigint % len(l) + 1)::int] as x from s),
 v as (select {BASE}, r, round(100.0::double * (sum(x[3]) - sum(x[2])) / nullif(sum(x[1]), 0), 9) as value from dr group by {BASE}, r)
 select {BASE}, round(quantile_cont(value, 0.025), 6) as low, round(quantile_cont(value, 0.975), 6) as high from v group by {BASE}""")(lambda s, d: resample.hash_intervals(cells(s, d)))
-query("bs02_seeded_intervals")(lambda s, d: resample.intervals(cells(s, d), replicates=500).select(*metrics.BASE, "metric", "editions", *[F.round(c, 6).alias(c) for c in ("point", "low", "high")]))
-query("bs05_joint_contrast")(lambda s, d: resample.joint_contrast(cells(s, d), replicates=500))
-query("bs06_paired_intervals")(lambda s, d: resample.paired_intervals(metrics.paired_differences(observed(s, d), "surface_adjusted_elo", "overall_elo"), replicates=500))
+query("bs02_seeded_intervals")(lambda s, d: resample.intervals(cells(s, d)).select(*metrics.BASE, "metric", "editions", *[F.round(c, 6).alias(c) for c in ("point", "low", "high")]))
+query("bs05_joint_contrast")(lambda s, d: resample.joint_contrast(cells(s, d)))
+query("bs06_paired_intervals")(lambda s, d: resample.paired_intervals(metrics.paired_differences(observed(s, d), "surface_adjusted_elo", "overall_elo")))
 
 # --- windows, flags, audit ---------------------------------------------------
 

@@ -391,3 +391,22 @@ def test_streamed_ratings_follow_the_batch(spark, folder, tmp_path):
     got = {r["match_id"]: r["p_overall"] for r in spark.table("streamed").where("not late").collect()}
     want = {r["match_id"]: r["p_overall"] for r in catalogue.event_replay(spark, folder).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("query, operator", [("bs02_seeded_intervals", "intervals"), ("bs05_joint_contrast", "joint_contrast"), ("bs06_paired_intervals", "paired_intervals"), ("bs09_rolling_intervals", "rolling_intervals")])
+def test_registered_bootstraps_draw_the_published_replicates(spark, folder, monkeypatch, query, operator):
+    import inspect
+
+    from duelscope.plans import catalogue, relational  # noqa: F401
+
+    signature, seen = inspect.signature(getattr(resample, operator)), []
+
+    def spy(*args, **options):
+        bound = signature.bind(*args, **options)
+        bound.apply_defaults()
+        seen.append(bound.arguments["replicates"])
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in ("population", "tour", "slam", "model", "metric", "editions")) + ", point double, low double, high double")
+
+    monkeypatch.setattr(resample, operator, spy)
+    catalogue.QUERIES[query](spark, folder)
+    assert seen == [2000]
