@@ -9,14 +9,15 @@ are stored: the postings of the terms that are rarest somewhere, over all
 documents, and of each item's three rarest, which proximity search reads.
 
 Terms are 64-bit hashes in the index; the last comparison is of the words
-themselves, so results are exact.
+themselves, so results are exact.  Documents are told apart by doc_id and a
+64-bit key of their text.
 
 Defined cases: null text has no words and no hits; an item without words has no
 window; an item of fewer words than a window is one window of its own length;
 items count by their item_id, a null one is left out; a repeated item is one,
 and texts that share an item_id are searched each by itself; repeated and null
-doc_ids give one row per row, each judged by its own text, but ``clean`` drops
-an id for any of its texts; an empty table on either side gives
+doc_ids give one row per row, each judged and dropped by its own text; very
+long texts and items are searched whole; an empty table on either side gives
 zero hits; other columns are ignored.
 """
 
@@ -25,15 +26,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, keyed, stash, unused
+from .shared import LOWER, UPPER, keyed, row_key, rows_but, sent, stash
 
 #: Everything that is not in a word, A-Z being folded to a-z.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WIDTH = 10
 #: Words within which the rarest terms of an item count as near each other.
 SPAN = 30
-#: Rows of matched documents that are sent to all executors rather than shuffled to their texts.
-MATCHED_ROWS = 30_000
 
 
 def fold(text: Column) -> Column:
@@ -46,125 +45,135 @@ def raw_words(text: Column) -> Column:
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index: (term, doc_id, pos) of every occurrence of the given terms, positions from 0."""
-    every = docs.select("doc_id", F.posexplode(raw_words(F.col("text"))).alias("pos", "word"))
-    return keyed(every.select(F.xxhash64(fold(F.col("word"))).alias("term"), "doc_id", "pos"), terms.select("term").distinct(), ["term"], "inner")
+    """The index: (term, doc_id, key, pos) of every occurrence of the given distinct terms, positions from 0; key is of the text."""
+    every = docs.select("doc_id", row_key(docs, "text").alias("key"), F.posexplode(raw_words(F.col("text"))).alias("pos", "word"))
+    return keyed(every.select(F.xxhash64(fold(F.col("word"))).alias("term"), "doc_id", "key", "pos"), terms, ["term"], "inner")
 
 
 def counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): occurrences in all documents, 0 for terms that never occur."""
+    """(term, n): occurrences of the given distinct terms in all documents, 0 for those that never occur."""
     every = docs.select(F.explode(raw_words(F.col("text"))).alias("word")).select(F.xxhash64(fold(F.col("word"))).alias("term"))
-    wanted = terms.select("term").distinct()
-    seen = keyed(every, wanted, ["term"], "inner").groupBy("term").agg(F.count("*").alias("n"))
-    return wanted.join(seen, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
+    seen = keyed(every, terms, ["term"], "inner").groupBy("term").agg(F.count("*").alias("n"))
+    return terms.join(seen, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def item_terms(items: DataFrame) -> DataFrame:
-    """(key, item_id, words, j, term): a row per word of each distinct item with words.
+def item_words(items: DataFrame) -> DataFrame:
+    """(item, item_id, words): each distinct item with words under a number of its own.
 
-    The keys are dealt out anew by each run, so the table is written before joins by them.
+    The numbers are dealt out anew by each run, so the table is written before joins by them.
     """
-    own = items.select("item_id", raw_words(fold(F.col("text"))).alias("words")).distinct().withColumn("key", F.monotonically_increasing_id())
-    return own.select("key", "item_id", "words", F.posexplode("words").alias("j", "word")).select("key", "item_id", "words", "j", F.xxhash64("word").alias("term"))
+    own = items.where("item_id is not null").select("item_id", raw_words(fold(F.col("text"))).alias("words"))
+    return own.where(F.size("words") > 0).distinct().withColumn("item", F.monotonically_increasing_id())
+
+
+def item_terms(own: DataFrame) -> DataFrame:
+    """(item, item_id, size, j, word, term): a row per word of an item."""
+    each = own.select("item", "item_id", F.size("words").alias("size"), F.posexplode("words").alias("j", "word"))
+    return each.withColumn("term", F.xxhash64("word"))
 
 
 def windows(terms: DataFrame, rarity: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(key, s, len, first, second): the item offsets of the two rarest terms of each window."""
-    ranked = terms.join(rarity, "term").select("key", "j", F.size("words").alias("size"), F.struct("n", "term", "j").alias("rank"))
+    """(item, s, len, first, second): the item offsets of the two rarest terms of each window."""
+    ranked = terms.join(sent(rarity), "term").select("item", "j", "size", F.struct("n", "term", "j").alias("rank"))
     last = F.greatest(F.col("size") - width, F.lit(0))
-    spread = ranked.select("key", "size", "rank", F.explode(F.sequence(F.greatest(F.col("j") - width + 1, F.lit(0)), F.least(F.col("j"), last))).alias("s"))
-    lists = spread.groupBy("key", "s").agg(F.first("size").alias("size"), F.slice(F.array_sort(F.collect_list("rank")), 1, 2).alias("rarest"))
-    return lists.select("key", "s", F.least("size", F.lit(width)).alias("len"), F.col("rarest")[0]["j"].alias("first"), F.get("rarest", F.lit(1))["j"].alias("second"))
+    spread = ranked.select("item", "size", "rank", F.explode(F.sequence(F.greatest(F.col("j") - width + 1, F.lit(0)), F.least(F.col("j"), last))).alias("s"))
+    lists = spread.groupBy("item", "s").agg(F.first("size").alias("size"), F.slice(F.array_sort(F.collect_list("rank")), 1, 2).alias("rarest"))
+    return lists.select("item", "s", F.least("size", F.lit(width)).alias("len"), F.col("rarest")[0]["j"].alias("first"), F.get("rarest", F.lit(1))["j"].alias("second"))
 
 
 def candidates(index: DataFrame, terms: DataFrame, wins: DataFrame) -> DataFrame:
-    """(doc_id, key, diagonal, starts): windows whose two rarest terms stand at their offsets.
+    """(doc_id, key, item, diagonal, len, starts): windows whose two rarest terms stand at their offsets.
 
     A posting at ``pos`` of the item's word ``j`` shifts to the diagonal
     ``pos - j``; both lists of a window meet in the same one.
     """
-    used = wins.select("key", F.explode(F.array("first", "second")).alias("j")).where("j is not null").distinct()
-    lists = terms.select("key", "j", "term").join(used, ["key", "j"])
-    shifted = keyed(index, lists, ["term"], "inner").select("doc_id", "key", (F.col("pos") - F.col("j")).alias("diagonal"), "j")
-    met = shifted.groupBy("doc_id", "key", "diagonal").agg(F.collect_set("j").alias("js"))
-    single = wins.groupBy("key").agg(F.collect_list(F.struct("s", "len", "first", "second")).alias("wins"), F.min(F.col("second").isNotNull().cast("int")).alias("two"))
-    found = keyed(met, single, ["key"], "inner").where("size(js) > two")
-    both = lambda w: F.array_contains("js", w["first"]) & (w["second"].isNull() | F.array_contains("js", w["second"])) & (F.col("diagonal") + w["s"] >= 0)
-    kept = found.withColumn("wins", F.filter("wins", both)).where("size(wins) > 0")
-    return kept.select("doc_id", "key", "diagonal", F.transform("wins", lambda w: F.struct(w["s"].alias("s"), w["len"].alias("len"))).alias("starts"))
+    used = wins.select("item", F.explode(F.array("first", "second")).alias("j")).where("j is not null").distinct()
+    lists = stash(terms.join(used, ["item", "j"]).select("item", "j", "term"), "lists")
+    shifted = keyed(index, lists, ["term"], "inner").select("doc_id", "key", "item", (F.col("pos") - F.col("j")).alias("diagonal"), "j")
+    met = shifted.groupBy("doc_id", "key", "item", "diagonal").agg(F.collect_set("j").alias("js"))
+    begun = met.withColumn("first", F.explode("js"))
+    pairs = keyed(begun, wins, ["item", "first"], "inner").where((F.col("diagonal") + F.col("s") >= 0) & (F.col("second").isNull() | F.array_contains("js", F.col("second"))))
+    return pairs.groupBy("doc_id", "key", "item", "diagonal", "len").agg(F.sort_array(F.collect_list("s")).alias("starts"))
 
 
 def rarest(terms: DataFrame, rarity: DataFrame, most: int = 3) -> DataFrame:
     """(item_id, term, k, of): the rarest terms of each item, that proximity search looks for; equal counts go by the word."""
-    distinct = terms.groupBy("item_id", "term").agg(F.min(F.get("words", "j")).alias("word")).join(rarity, "term")
+    distinct = terms.groupBy("item_id", "term").agg(F.min("word").alias("word")).join(sent(rarity), "term")
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy("n", "word"))
     chosen = distinct.withColumn("k", rank).where(F.col("k") <= most)
     return chosen.withColumn("of", F.count("*").over(Window.partitionBy("item_id"))).select("item_id", "term", "k", "of")
 
 
-def nearby(index: DataFrame, terms: DataFrame, rarity: DataFrame, span: int = SPAN, most: int = 3) -> DataFrame:
-    """Proximity matches (doc_id, item_id): all of an item's rarest terms within ``span`` words of the rarest one.
+def nearby(index: DataFrame, rare: DataFrame, span: int = SPAN) -> DataFrame:
+    """Proximity matches (doc_id, key, item_id): all of an item's rarest terms within ``span`` words of the rarest one.
 
-    The index holds the postings of ``rarest`` at least.
+    rare: a stashed result of ``rarest``, whose postings the index holds.
     """
-    there = keyed(index, rarest(terms, rarity, most), ["term"], "inner").select("doc_id", "item_id", "pos", "k", "of")
-    anchor = there.where("k = 1").select("doc_id", "item_id", F.col("pos").alias("at"), "of", F.floor(F.col("pos") / span).alias("cell"))
+    there = keyed(index, rare, ["term"], "inner").select("doc_id", "key", "item_id", "pos", "k", "of")
     cell = F.floor(F.col("pos") / span)
-    other = there.where("k > 1").select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), "pos", F.col("k").alias("other"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("c"))
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("i")) & (F.col("cell") == F.col("c")) & (F.abs(F.col("pos") - F.col("at")) < span)
-    near = anchor.join(other, same).groupBy("doc_id", "item_id", "at", "of").agg(F.countDistinct("other").alias("got")).where("got = of - 1")
-    return anchor.where("of = 1").select("doc_id", "item_id").unionByName(near.select("doc_id", "item_id")).distinct()
+    anchor = there.where("k = 1").select("doc_id", "key", "item_id", F.col("pos").alias("at"), "of", cell.alias("cell"))
+    other = there.where("k > 1").select(F.col("doc_id").alias("d"), F.col("key").alias("t"), F.col("item_id").alias("i"), "pos", F.col("k").alias("other"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("c"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("t")) & (F.col("item_id") == F.col("i")) & (F.col("cell") == F.col("c")) & (F.abs(F.col("pos") - F.col("at")) < span)
+    near = anchor.join(other, same).groupBy("doc_id", "key", "item_id", "at", "of").agg(F.countDistinct("other").alias("got")).where("got = of - 1")
+    return anchor.where("of = 1").select("doc_id", "key", "item_id").unionByName(near.select("doc_id", "key", "item_id")).distinct()
+
+
+def _covered(spans: str) -> Column:
+    """How many words sorted spans (start, len) cover."""
+    def step(acc: Column, s: Column) -> Column:
+        end = F.greatest(acc["end"], s["start"] + s["len"])
+        return F.struct(end.alias("end"), (acc["n"] + end - F.greatest(acc["end"], F.least(s["start"], end))).alias("n"))
+
+    return F.aggregate(spans, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step)["n"]
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, span: int = SPAN) -> DataFrame:
-    """A row per document: doc_id, n_words, n_hit, n_items, items, spans (start, len), near_items.
+    """A row per document: doc_id, key, n_words, n_hit, n_items, items, spans (start, len), near_items.
 
-    n_hit counts the words inside occurrences of windows; items lists the
-    item_ids with an occurring window, as sorted strings; near_items counts
-    the items found by proximity.
+    key is of the text; n_hit counts the words inside occurrences of windows;
+    items lists the item_ids with an occurring window, as sorted strings;
+    near_items counts the items found by proximity.
     """
     docs = docs.select("doc_id", "text")
-    terms = stash(item_terms(items.select("item_id", "text").where("item_id is not null")), "terms")
-    rarity = stash(counts(docs, terms), "rarity")
+    own = stash(item_words(items.select("item_id", "text")), "items")
+    terms = stash(item_terms(own), "terms")
+    rarity = stash(counts(docs, stash(terms.select("term").distinct(), "vocabulary")), "rarity")
     wins = stash(windows(terms, rarity, width), "windows")
-    rare = wins.select("key", F.explode(F.array("first", "second")).alias("j")).where("j is not null").distinct()
-    searched = terms.join(rare, ["key", "j"], "left_semi").select("term").unionByName(rarest(terms, rarity).select("term"))
+    near = stash(rarest(terms, rarity), "rarest")
+    used = wins.select("item", F.explode(F.array("first", "second")).alias("j")).where("j is not null").distinct()
+    searched = stash(terms.join(used, ["item", "j"], "left_semi").select("term").unionByName(near.select("term")).distinct(), "searched")
     index = stash(postings(docs, searched), "postings")
-    own = terms.where("j = 0").select("key", "item_id", "words")
-    found = keyed(candidates(index, terms, wins), own, ["key"], "inner")
-    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonal", "starts", "words")).alias("maybe"))
-    near = nearby(index, terms, rarity, span).groupBy("doc_id").agg(F.count("*").alias("near_items"))
-    near = near.withColumnRenamed("doc_id", "near_doc")
-    both = per_doc.join(near, F.col("doc_id").eqNullSafe(F.col("near_doc")), "full")
-    known = stash(both.select(F.coalesce("doc_id", "near_doc").alias("__doc"), "maybe", "near_items"), "matched")
-    known = F.broadcast(known) if known.limit(MATCHED_ROWS + 1).count() <= MATCHED_ROWS else known
-    joined = docs.join(known, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").select("doc_id", "text", "maybe", "near_items")
-    counted = joined.select("doc_id", F.size(raw_words(F.col("text"))).cast("long").alias("n_words"), "near_items", "maybe", F.when(F.col("maybe").isNotNull(), raw_words(fold(F.col("text")))).alias("words"))
-
-    def true_starts(m: Column) -> Column:
-        there = lambda w: F.slice("words", m["diagonal"] + w["s"] + 1, w["len"]) == F.slice(m["words"], w["s"] + 1, w["len"])
-        return F.transform(F.filter(m["starts"], there), lambda w: F.struct((m["diagonal"] + w["s"]).alias("start"), w["len"].alias("len"), m["item_id"].cast("string").alias("item")))
-
-    hits = counted.withColumn("hits", F.coalesce(F.flatten(F.transform("maybe", true_starts)), F.array().cast("array<struct<start:int,len:int,item:string>>")))
-    spans = F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.struct(h["start"], h["len"]))))
-    zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
-
-    def cover(acc: Column, s: Column) -> Column:
-        end = F.greatest(acc["end"], s["start"] + s["len"])
-        return F.struct(end.alias("end"), (acc["n"] + end - F.greatest(acc["end"], s["start"])).alias("n"))
-
-    out = hits.select("doc_id", "n_words", "near_items", spans.alias("spans"), F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"]))).alias("items"))
-    n_hit = F.aggregate("spans", zero, lambda acc, s: F.when(s["start"] + s["len"] > acc["end"], cover(acc, s)).otherwise(acc))["n"]
-    return out.select("doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", F.coalesce("near_items", F.lit(0)).alias("near_items"))
+    found = candidates(index, terms, wins).groupBy("doc_id", "key").agg(F.collect_list(F.struct("item", "diagonal", "len", "starts")).alias("maybe"))
+    close = nearby(index, near, span).groupBy("doc_id", "key").agg(F.count("*").alias("near_items")).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "near_items")
+    both = found.join(close, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "full")
+    known = stash(both.select(F.coalesce("doc_id", "d").alias("d"), F.coalesce("key", "k").alias("k"), "maybe", "near_items"), "matched")
+
+    # the words at the places of candidates leave with the document's row; whole texts meet nothing but these places
+    keyed_docs = docs.select("doc_id", row_key(docs, "text").alias("key"), "text")
+    joined = keyed_docs.join(sent(known), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
+    counted = joined.select("doc_id", "key", F.size(raw_words(F.col("text"))).cast("long").alias("n_words"), "near_items", "maybe", F.when(F.col("maybe").isNotNull(), raw_words(fold(F.col("text")))).alias("words"))
+
+    # words are read twice here, so that they stay a column and are not taken from the text for each place
+    def piece(m: Column) -> Column:
+        lo, hi = m["starts"][0], F.element_at(m["starts"], -1) + m["len"]
+        return F.struct(m["item"].alias("item"), m["diagonal"].alias("diagonal"), m["len"].alias("len"), m["starts"].alias("starts"), F.slice("words", m["diagonal"] + lo + 1, F.least(hi - lo, F.size("words"))).alias("there"))
+
+    rows = counted.select(F.monotonically_increasing_id().alias("row"), "doc_id", "key", "n_words", "near_items", F.transform("maybe", piece).alias("pieces"))
+    rows = stash(rows, "pieces")
+    pieces = rows.where("pieces is not null").select("row", F.explode("pieces").alias("p")).select("row", "p.*").join(sent(own), "item")
+    equal = lambda s: F.slice("there", s - F.col("starts")[0] + 1, F.col("len")) == F.slice("words", s + 1, F.col("len"))
+    true = pieces.select("row", "item_id", "len", F.explode(F.transform(F.filter("starts", equal), lambda s: F.col("diagonal") + s)).alias("start"))
+    hits = true.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "len"))).alias("spans"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    none = F.array().cast("array<struct<start:int,len:int>>")
+    out = rows.select("row", "doc_id", "key", "n_words", "near_items").join(sent(stash(hits, "hits")), "row", "left")
+    out = out.select("doc_id", "key", "n_words", "near_items", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select("doc_id", "key", "n_words", _covered("spans").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", F.coalesce("near_items", F.lit(0)).alias("near_items"))
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents in which no window of an item occurs, with all their columns."""
-    gone = stash(contamination(docs, items, width).where("n_hit > 0").select("doc_id").distinct(), "contaminated")
-    small = gone.limit(MATCHED_ROWS + 1).count() <= MATCHED_ROWS
-    key = unused(docs, "__doc")
-    gone = gone.withColumnRenamed("doc_id", key)
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
+    gone = contamination(docs, items, width).where("n_hit > 0").select("doc_id", "key").distinct()
+    return rows_but(docs, stash(gone, "contaminated"), "text")
 
 
 #: The query in DuckDB's SQL, from words instead of an index.

@@ -5,17 +5,18 @@ space aside.  Each distinct line gets a signature; lines that agree in a whole
 band of it are candidates.  BANDS bands of ROWS hashes find a pair of
 similarity 0.8 with probability 1 - (1 - 0.8 ** 4) ** 10, over 99.4 %.  The
 candidates' exact Jaccard similarity decides (see ``linkage``), union-find
-joins what is similar, and of each component the first line stays, by doc_id
-and then place.
+joins what is similar, and of each component the first line stays: by doc_id,
+null last, then a hash of the document's text, then place.
 
 Lines without a character other than white space are neither compared nor
 removed.  Equal lines are one entity however often they occur.
 
 Defined cases: null text has no lines and stays null; a text loses lines only,
-the others keep their spelling and order; rows with a null doc_id are left as
-they are; rows that repeat a doc_id are taken as copies of one document and
-lose the same lines; an empty table gives no rows; other columns pass through
-(n_chars, where there is one, follows the text).
+the others keep their spelling and order; rows that share a doc_id or have none
+are told apart by their text and lose lines of their own; rows that are equal
+in both lose the same lines; very long lines and texts are compared whole; an
+empty table gives no rows; other columns pass through (n_chars, where there is
+one, follows the text).
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import Recent, character_shingles, distinct, lean, minhashes, mix, parity, steps
-from .linkage import grouped, linked
-from .shared import keyed, small_enough, stash, unused
+from .linkage import linked, paired
+from .shared import keyed, row_key, sent, stash, unused
 
 WIDTH = 8
 BANDS = 10
@@ -55,10 +56,10 @@ def signed(ids: list[int]) -> np.ndarray:
 def _read(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """One pass over the texts.
 
-    Every line that is not blank gives a row (token, ent, doc_id, line) with a
-    token that only spreads it; every distinct line of a task, or now and then
-    a repeated one, gives a row for each band, with line -1 and the band's hash
-    as token.
+    Every line that is not blank gives a row (token, ent, doc_id, line) with the
+    document's key as token; every distinct line of a task, or now and then a
+    repeated one, gives a row for each band, with line -1 and the band's hash as
+    token.
     """
     names = ["token", "ent", "doc_id", "line"]
 
@@ -73,30 +74,30 @@ def _read(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
         n = bands * len(lines)
         return pa.record_batch([pa.array(np.concatenate(tokens)), pa.array(np.tile(signed(ids), bands)), pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, -1, np.int32))], names=names)
 
-    def placed(ent: list[int], doc: list[int], place: list[int]) -> pa.RecordBatch:
-        d, k = np.array(doc, np.int64), np.array(place, np.int32)
-        return pa.record_batch([pa.array(mix(d.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + k.astype(np.uint64)).view(np.int64)), pa.array(signed(ent)), pa.array(d), pa.array(k)], names=names)
+    def placed(token: list[int], ent: list[int], doc: list[int | None], place: list[int]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(token, pa.int64()), pa.array(signed(ent)), pa.array(doc, pa.int64()), pa.array(place, pa.int32())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = Recent()
         for batch in batches:
             seen: dict[str, int] = {}
-            ent, doc, place = [], [], []
-            for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            token, ent, doc, place = [], [], [], []
+            for d, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text"))):
                 for k, line in enumerate((text or "").lower().split("\n")):
                     x = " ".join(line.split())
                     if x:
                         e = seen.get(x)
                         if e is None:
                             e = seen[x] = line_id(x)
+                        token.append(key)
                         ent.append(e)
                         doc.append(d)
                         place.append(k)
                 if len(ent) > 100_000:
-                    yield placed(ent, doc, place)
-                    ent, doc, place = [], [], []
+                    yield placed(token, ent, doc, place)
+                    token, ent, doc, place = [], [], [], []
             if ent:
-                yield placed(ent, doc, place)
+                yield placed(token, ent, doc, place)
             lines = [x for x, e in seen.items() if sent.new(e)]
             ids = [seen[x] for x in lines]
             for lo, hi in steps([len(x) for x in lines], STEP):
@@ -106,29 +107,15 @@ def _read(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
 
 def _gathered(rows: DataFrame) -> DataFrame:
-    """The rows of lines as they are, and of the bands those that two distinct lines share, with the number ``m`` that do."""
+    """The rows of lines as they are, and of the bands those that two distinct lines share."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in grouped(batches, ["token"]):
-            token, ent, line = (batch.column(c).to_numpy() for c in ("token", "ent", "line"))
-            alike = np.r_[False, token[1:] == token[:-1]]
-            at = np.flatnonzero(alike | np.r_[alike[1:], False] | (line >= 0))
-            at = at[np.lexsort((ent[at], token[at]))]
-            token, ent, line = token[at], ent[at], line[at]
-            new = np.r_[True, token[1:] != token[:-1]]
-            once = np.flatnonzero(new | np.r_[True, ent[1:] != ent[:-1]] | (line >= 0))
-            starts = np.flatnonzero(new[once])
-            sizes = np.diff(np.r_[starts, len(once)])
-            m = np.repeat(sizes, sizes)
-            keep = (m > 1) | (line[once] >= 0)
-            if keep.any():
-                found = once[keep]
-                yield pa.record_batch([pa.array(token[found]), pa.array(ent[found]), pa.array(m[keep].astype(np.int32)), pa.array(batch.column("doc_id").to_numpy()[at[found]]), pa.array(line[found])], names=["token", "ent", "m", "doc_id", "line"])
-
-    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(lean(run), "token long, ent long, m int, doc_id long, line int")
-
-
-def _wanted(docs: DataFrame, found: DataFrame, width: int, described: bool) -> DataFrame:
-    """For lines (ent, doc_id, line): their text (ent, members), or their set's size and parity map (ent, n, bits)."""
+        yield from paired(batches, "line")
+
+    return rows.repartition("token").sortWithinPartitions("token", "ent").mapInArrow(lean(run), "token long, ent long, doc_id long, line int")
+
+
+def _wanted(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
+    """For lines (doc_id, key, line): ent, their set's size and parity map, and their text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts: dict[str, None] = {}
@@ -138,15 +125,17 @@ def _wanted(docs: DataFrame, found: DataFrame, width: int, described: bool) -> D
             lines = [x for x in texts if x]
             for lo, hi in steps([len(x) for x in lines], STEP):
                 part = lines[lo:hi]
-                ent = pa.array(signed([line_id(x) for x in part]))
-                if described:
-                    sets = _sets(part, width)
-                    yield pa.record_batch([ent, pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s) for s in sets], pa.binary())], names=["ent", "n", "bits"])
-                else:
-                    yield pa.record_batch([ent, pa.array([x.encode("utf-8", "surrogatepass") for x in part], pa.binary())], names=["ent", "members"])
+                sets = _sets(part, width)
+                yield pa.record_batch([pa.array(signed([line_id(x) for x in part])), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s) for s in sets], pa.binary()), pa.array([x.encode("utf-8", "surrogatepass") for x in part], pa.binary())], names=["ent", "n", "bits", "members"])
+
+    per_doc = stash(found.groupBy("doc_id", "key").agg(F.collect_set("line").alias("places")), "places")
+    return _at(docs, per_doc, "inner").select("text", "places").mapInArrow(lean(run), "ent long, n int, bits binary, members binary")
 
-    per_doc = stash(found.groupBy("doc_id").agg(F.collect_set("line").alias("places")), "places")
-    return keyed(docs, per_doc, ["doc_id"], "inner").select("text", "places").mapInArrow(lean(run), "ent long, n int, bits binary" if described else "ent long, members binary")
+
+def _at(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """Join documents that have a key of their text with a table of (doc_id, key, more), whose ids are left out."""
+    there = sent(other).withColumnsRenamed({"doc_id": "__d", "key": "__k"})
+    return docs.join(there, (F.col("key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")), how).drop("__d", "__k")
 
 
 def _sets(lines: list[str], width: int) -> list[np.ndarray]:
@@ -155,35 +144,44 @@ def _sets(lines: list[str], width: int) -> list[np.ndarray]:
 
 
 def removals(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, percent: int = 80) -> DataFrame:
-    """(doc_id, removed): the places, from 0, of the lines that a document loses; only documents that lose any."""
-    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(doc_id, key, removed): the places, from 0, of the lines that a document loses; only documents that lose any. key is of the text."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs, "text").alias("key"), "text")
     read = stash(_gathered(_read(own, width, bands, rows)).withColumn("kind", (F.col("line") >= 0).cast("int")), "lines", by="kind")
     zero = F.lit(0)
-    buckets = read.where("kind = 0").select("token", "ent", zero.alias("n"), zero.alias("pos"), "m")
-    every = read.where("kind = 1").select("doc_id", "line", "ent")
-    firsts = every.groupBy("ent").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("copies"))
+    buckets = read.where("kind = 0").select("token", "ent", zero.alias("n"), zero.alias("pos"))
+    every = read.where("kind = 1").select("doc_id", F.col("token").alias("key"), "line", "ent")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
+    firsts = every.groupBy("ent").agg(F.min(place).alias("at"), F.count("*").alias("copies"))
     shared = buckets.select("ent", F.lit(True).alias("shared")).distinct()
     # of all lines only those that repeat or share a band matter from here on
-    known = stash(firsts.join(shared, "ent", "left").where("copies > 1 or shared").select("ent", "copies", "shared", "at.doc_id", "at.line"), "known")
-    found = known.where("shared").select("ent", "doc_id", "line")
-    info = stash(found.join(_wanted(own, found, width, True).dropDuplicates(["ent"]), "ent"), "described")
+    known = stash(firsts.join(shared, "ent", "left").where("copies > 1 or shared").select("ent", "copies", "shared", "at"), "known")
+    info = stash(_wanted(own, known.where("shared").select("at.doc_id", "at.key", "at.line"), width).dropDuplicates(["ent"]), "described")
     decode = lambda members: _sets([m.decode("utf-8", "surrogatepass") for m in members], width)
-    roots = linked(buckets, info, lambda ends: _wanted(own, ends, width, False), decode, percent)
-    of = known.join(roots, "ent", "left").where("copies > 1 or root is not null").select("ent", F.coalesce("root", "ent").alias("of"), F.struct("doc_id", "line").alias("at"))
-    of = stash(of.join(of.groupBy("of").agg(F.min("at").alias("first")), "of").select("ent", "first"), "of")
-    gone = keyed(every, of, ["ent"], "inner").where(F.struct("doc_id", "line") != F.col("first"))
-    return stash(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")
+    roots = linked(buckets, info, None, decode, percent)
+    of = keyed(known, roots, ["ent"], "left").where("copies > 1 or root is not null").select("ent", F.coalesce("root", "ent").alias("of"), "at")
+    number = lambda c: F.xxhash64(F.col(f"{c}doc_id").isNull(), F.col(f"{c}doc_id"), F.col(f"{c}key"), F.col(f"{c}line"))
+    first = of.groupBy("of").agg(F.min("at").alias("first")).select("of", number("first.").alias("first"))
+    of = stash(of.select("ent", "of").join(first, "of").select("ent", "first"), "of")
+    gone = keyed(every, of, ["ent"], "inner").where(number("") != F.col("first"))
+    return stash(gone.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")
 
 
 def deduplicated(docs: DataFrame, places: str = "removed_lines", **parameters) -> DataFrame:
-    """The documents with their columns, text without its duplicate lines, and the places removed (null where none are)."""
-    key = unused(docs, "__doc")
-    gone = removals(docs, **parameters).select(F.col("doc_id").alias(key), F.col("removed").alias(places))
-    sent = F.broadcast(gone) if small_enough(gone, 200_000) else gone
-    joined = docs.join(sent, F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
-    changed = F.col(places).isNotNull()
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(places, i)), "\n")
-    out = joined.withColumn("text", F.when(changed, left).otherwise(F.col("text")))
+    """The documents with their columns, text without its duplicate lines, and the places removed (null where none are).
+
+    The last column is named ``places``, with underscores before it if the table has such a column.
+    """
+    key, places = unused(docs, "__key"), unused(docs, places)
+    gone = removals(docs, **parameters)
+    there = sent(gone).select(F.col("doc_id").alias(f"{key}d"), F.col("key").alias(f"{key}k"), F.col("removed").alias(places))
+    told = docs.withColumn(key, row_key(docs, "text"))
+    joined = told.join(there, (F.col(key) == F.col(f"{key}k")) & F.col("doc_id").cast("long").eqNullSafe(F.col(f"{key}d")), "left").drop(key, f"{key}d", f"{key}k")
+    changed, lines = F.col(places).isNotNull(), unused(docs, "__lines")
+    # a column of its own, and read twice, so that a text is divided once and not for each line
+    joined = joined.withColumn(lines, F.when(changed, F.split("text", "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+    left = F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n")
+    out = joined.withColumn("text", F.when(changed, left).otherwise(F.col("text"))).drop(lines)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out
@@ -191,7 +189,9 @@ def deduplicated(docs: DataFrame, places: str = "removed_lines", **parameters) -
 
 def without_repeats(docs: DataFrame, **parameters) -> DataFrame:
     """The documents without duplicate lines; those that lose their last line that is not blank go."""
-    places = unused(docs, "__removed")
-    out = deduplicated(docs, places, **parameters)
-    emptied = F.col(places).isNotNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
-    return out.where(~emptied).select(*docs.columns)
+    places, text = unused(docs, "__removed"), unused(docs, "__text")
+    # lines that are not blank, of the text as it was: a filter on the new text would make it anew for the filter
+    told = F.size(F.filter(F.split(text, "\n"), lambda line: line.rlike(r"\S")))
+    out = deduplicated(docs.withColumn(text, F.col("text")), places, **parameters)
+    emptied = F.col(places).isNotNull() & (told <= F.size(places))
+    return out.where(~emptied).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,13 +8,17 @@ connected need not be compared:
 
 1. In small buckets all pairs become candidates; in large ones, where a group
    of near copies would give the square of its size, only neighbours in a few
-   pseudo-random orders do.
+   pseudo-random orders do.  A large bucket is dealt out by a hash of its
+   members first, so that no task holds it.
 2. Candidates are compared exactly and joined by distributed union-find.
-3. Large buckets are gone through again, once more by neighbours and then for
-   all pairs that still lie in different components and whose parity maps
-   allow the similarity.  No pair is left out but those already connected.
-
-A large bucket is dealt out over several tasks: members of its largest
+3. Large buckets that still hold several components are gone through for all
+   pairs across them.  Where that would be too many pairs, a bucket is divided
+   by a second element first: of two similar sets, prefixes that are one
+   element longer share two elements.  So sets that have no more in common
+   than the bucket's element never meet.
+
+No pair is left out but those already connected, and none is compared twice.
+A divided bucket is dealt out over several tasks: members of its largest
 component once, the others to every share.
 """
 
@@ -28,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import PARITY_BITS, lean, mix, needed, similar, spread
-from .shared import forget, keyed, stash
+from .shared import empty, forget, keyed, lookup, sent, stash
 from .unionfind import components
 
 SMALL = 32
-ORDERS = 3
+ORDERS = 6
 SHARE = 2048
+#: Pairs across components above which a bucket is divided by a second element.
+MANY_PAIRS = 1 << 20
 
 
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -68,31 +74,41 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.concat_batches(parts) if len(parts) > 1 else parts[0]
 
 
-def shared_only(rows: DataFrame) -> DataFrame:
-    """The rows of buckets with two entities or more, each entity once, with the bucket's size ``m``."""
-    schema = "token long, ent long, n int, pos int, m int"
-    names = ["token", "ent", "n", "pos", "m"]
+def paired(batches: Iterator[pa.RecordBatch], always: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (token, ent) those whose token another entity has too, each entity once; batch by batch.
+
+    always: a column of numbers; rows in which it is not negative are kept whatever their token.
+    """
+    last: pa.RecordBatch | None = None  # the last distinct row, and whether it was given out
+    given = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if last is not None:
+            batch = pa.concat_batches([last, batch])
+        token, ent = _column(batch, "token"), _column(batch, "ent")
+        free = _column(batch, always) >= 0 if always else np.zeros(len(token), dtype=bool)
+        once = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (ent[1:] != ent[:-1])] | free)
+        t = token[once]
+        alike = np.r_[False, t[1:] == t[:-1]]
+        keep = alike | np.r_[alike[1:], False] | free[once]
+        end = int(once[-1])
+        was_kept = bool(keep[-1])
+        if last is not None and given:
+            keep[0] = False
+            was_kept = was_kept or len(once) == 1
+        out = once[keep]
+        if len(out):
+            yield batch.take(pa.array(out))
+        last, given = batch.slice(end, 1), was_kept
+
 
+def shared_only(rows: DataFrame) -> DataFrame:
+    """The rows of buckets with two entities or more, each entity once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in grouped(batches, ["token"]):
-            token, ent = _column(batch, "token"), _column(batch, "ent")
-            alike = np.r_[False, token[1:] == token[:-1]]
-            order = np.flatnonzero(alike | np.r_[alike[1:], False])
-            if not len(order):
-                continue
-            order = order[np.lexsort((ent[order], token[order]))]
-            token, ent = token[order], ent[order]
-            new = np.r_[True, token[1:] != token[:-1]]
-            once = np.flatnonzero(new | np.r_[True, ent[1:] != ent[:-1]])
-            starts = np.flatnonzero(new[once])
-            sizes = np.diff(np.r_[starts, len(once)])
-            m = np.repeat(sizes, sizes)
-            keep = once[m > 1]
-            if len(keep):
-                at = order[keep]
-                yield pa.record_batch([pa.array(token[keep]), pa.array(ent[keep]), pa.array(_column(batch, "n")[at].astype(np.int32)), pa.array(_column(batch, "pos")[at].astype(np.int32)), pa.array(m[m > 1].astype(np.int32))], names=names)
-
-    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(lean(run), schema)
+        yield from paired(batches)
+
+    return rows.select("token", "ent", "n", "pos").repartition("token").sortWithinPartitions("token", "ent").mapInArrow(lean(run), "token long, ent long, n int, pos int")
 
 
 class Bucket:
@@ -116,38 +132,34 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatc
             yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-def _neighbours(rows: DataFrame, percent: int, first_order: int) -> DataFrame:
-    """Pairs next to each other in pseudo-random orders of a bucket; all pairs where it is small.
+def _neighbours(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of rows (token, ent, n, pos, m), where m is null in small buckets.
 
-    With a column ``root``, only pairs of different roots.  Linear in the rows.
+    All pairs of small buckets; of large ones those next to each other in
+    pseudo-random orders.  Linear in the rows, and no group is large.
     """
-    rooted = "root" in rows.columns
+    shares = F.ceil(F.col("m") / SHARE)
+    order = lambda r: F.struct(F.xxhash64("token", r, F.pmod(F.xxhash64("ent", r), shares)).alias("at"), F.xxhash64(r, "ent").alias("key"))
+    orders = F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), order)
+    whole = F.array(F.struct(F.col("token").alias("at"), F.col("ent").alias("key")))
+    dealt = rows.withColumn("big", F.col("m").isNotNull()).withColumn("place", F.explode(F.when(F.col("m").isNull(), whole).otherwise(orders)))
+    dealt = dealt.select("place.at", "place.key", "big", "ent", "n", "pos").repartition("at").sortWithinPartitions("at", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in grouped(batches, ["token"]):
-            token, m = _column(batch, "token"), _column(batch, "m")
+        for batch in grouped(batches, ["at"]):
+            at, big = _column(batch, "at"), _column(batch, "big")
             b = Bucket(_column(batch, "ent"), _column(batch, "n"), _column(batch, "pos"), percent)
-            root = _column(batch, "root") if rooted else b.ent
             found = []
             for step in range(1, SMALL):
-                x = np.flatnonzero((token[step:] == token[:-step]) & (m[step:] <= SMALL)) if len(token) > step else np.empty(0, np.int64)
+                x = np.flatnonzero((at[step:] == at[:-step]) & (~big[step:] | (step == 1))) if len(at) > step else np.empty(0, np.int64)
                 if not len(x):
                     break
                 y = x + step
-                k = b.allowed(x, y) & (root[x] != root[y])
+                k = b.allowed(x, y)
                 found.append(b.ordered(x[k], y[k]))
-            if (m > SMALL).any():
-                for order in range(first_order, first_order + ORDERS):
-                    key = mix(b.ent.view(np.uint64) * np.uint64(2 * order + 1) + np.uint64(order))
-                    o = np.lexsort((key, token))
-                    x, y = o[:-1], o[1:]
-                    k = (token[x] == token[y]) & (m[x] > SMALL) & b.allowed(x, y) & (root[x] != root[y])
-                    found.append(b.ordered(x[k], y[k]))
             yield from _pairs(found)
 
-    if rooted:
-        rows = rows.repartition("token").sortWithinPartitions("token")
-    return rows.mapInArrow(lean(run), "a long, b long").distinct()
+    return dealt.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
@@ -191,77 +203,135 @@ def hashed_sets(members: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(m, np.uint64) for m in members]
 
 
-def _compared(pairs: DataFrame, info: DataFrame, fetch: Callable[[DataFrame], DataFrame], decode: Callable[[list[bytes]], list[np.ndarray]], percent: int) -> DataFrame:
+Decode = Callable[[list[bytes]], list[np.ndarray]]
+Fetch = Callable[[DataFrame], DataFrame]
+
+
+def _compared(pairs: DataFrame, info: DataFrame, fetch: Fetch | None, decode: Decode, percent: int) -> DataFrame:
     """The pairs that are similar; parity maps go first, then each pair is compared exactly once."""
+    def possible(batch: pa.RecordBatch) -> np.ndarray:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, PARITY_BITS // 64) for c in ("bits_a", "bits_b"))
+        n = _column(batch, "n_a").astype(np.int64), _column(batch, "n_b").astype(np.int64)
+        return np.flatnonzero(np.bitwise_count(x ^ y).sum(axis=1) <= n[0] + n[1] - 2 * needed(*n, percent))
+
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, PARITY_BITS // 64) for c in ("bits_a", "bits_b"))
-                n = _column(batch, "n_a").astype(np.int64), _column(batch, "n_b").astype(np.int64)
-                k = np.bitwise_count(x ^ y).sum(axis=1) <= n[0] + n[1] - 2 * needed(*n, percent)
-                yield pa.record_batch([pa.array(_column(batch, c)[k]) for c in ("a", "b")], names=["a", "b"])
+                yield batch.select(["a", "b"]).take(pa.array(possible(batch)))
+
+    def links_of(part: pa.RecordBatch) -> pa.RecordBatch:
+        ends = [part.column(c).to_pylist() for c in ("a", "b")]
+        texts: dict[int, bytes] = {}
+        for ids, c in zip(ends, ("set_a", "set_b")):
+            texts.update(zip(ids, part.column(c).to_pylist()))
+        sets = dict(zip(texts, decode(list(texts.values()))))
+        counts = {e: spread(s) for e, s in sets.items()}
+        k = np.array([similar(sets[a], sets[b], percent, (counts[a], counts[b])) for a, b in zip(*ends)], dtype=bool)
+        return pa.record_batch([pa.array(_column(part, c)[k]) for c in ("a", "b")], names=["a", "b"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                ends = [part.column(c).to_pylist() for c in ("a", "b")]
-                texts: dict[int, bytes] = {}
-                for ids, c in zip(ends, ("set_a", "set_b")):
-                    texts.update(zip(ids, part.column(c).to_pylist()))
-                sets = dict(zip(texts, decode(list(texts.values()))))
-                counts = {e: spread(s) for e, s in sets.items()}
-                k = np.array([similar(sets[a], sets[b], percent, (counts[a], counts[b])) for a, b in zip(*ends)], dtype=bool)
-                yield pa.record_batch([pa.array(_column(part, c)[k]) for c in ("a", "b")], names=["a", "b"])
-
-    side = lambda s: info.select(F.col("ent").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
-    maybe = stash(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(near), "a long, b long"), "maybe")
-    if maybe.isEmpty():
+                yield links_of(batch.slice(lo, 512))
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                part = batch.take(pa.array(possible(batch)))
+                for lo in range(0, part.num_rows, 512):
+                    yield links_of(part.slice(lo, 512))
+
+    known = ["n", "bits"] if fetch else ["n", "bits", "members"]
+    side = lambda s: info.select(F.col("ent").alias(s), *[F.col(c).alias(f"{'set' if c == 'members' else c}_{s}") for c in known])
+    wide = pairs.join(side("a"), "a").join(side("b"), "b")
+    if fetch is None:
+        return stash(wide.mapInArrow(lean(both), "a long, b long"), "links")
+    maybe = stash(wide.mapInArrow(lean(near), "a long, b long"), "maybe")
+    if empty(maybe):
         return maybe
     ends = stash(maybe.select(F.explode(F.array("a", "b")).alias("ent")).distinct().join(info.drop("n", "bits"), "ent"), "ends")
-    sets = stash(fetch(ends).join(ends.select("ent"), "ent", "left_semi").dropDuplicates(["ent"]), "sets")
+    sets = stash(keyed(fetch(ends), ends.select("ent"), ["ent"], "left_semi").dropDuplicates(["ent"]), "sets")
     a, b = (sets.select(F.col("ent").alias(s), F.col("members").alias(f"set_{s}")) for s in "ab")
     links = stash(maybe.join(a, "a").join(b, "b").mapInArrow(lean(exact), "a long, b long"), "links")
     forget(maybe, ends, sets)
     return links
 
 
-def linked(buckets: DataFrame, info: DataFrame, fetch: Callable[[DataFrame], DataFrame], decode: Callable[[list[bytes]], list[np.ndarray]] = hashed_sets, percent: int = 80) -> DataFrame:
+def _divided(rows: DataFrame, info: DataFrame, fetch: Fetch | None, decode: Decode, order: Callable[[np.ndarray], np.ndarray], percent: int) -> DataFrame:
+    """The rows (token, ent, n, root), once for each element of a longer prefix, with a token of both; pos is 0.
+
+    Two similar sets of more than one element share two elements of prefixes
+    that are one longer than is needed to share one; so beside the element of
+    their bucket, if it is one, they share another.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                token, out = _column(part, "token"), []
+                for i, s in enumerate(decode(part.column("members").to_pylist())):
+                    first = s[order(s)][: len(s) - -(-percent * len(s) // 100) + 2]
+                    first = first[first.view(np.int64) != token[i]]
+                    out.append((mix(first * np.uint64(0x9E3779B97F4A7C15) + token[i : i + 1].view(np.uint64)).view(np.int64), i))
+                if out:
+                    at = np.repeat([i for _, i in out], [len(k) for k, _ in out]).astype(np.int64)
+                    n = len(at)
+                    yield pa.record_batch([pa.array(np.concatenate([k for k, _ in out])), pa.array(_column(part, "ent")[at]), pa.array(_column(part, "n")[at]), pa.array(np.zeros(n, np.int32)), pa.array(_column(part, "root")[at])], names=["token", "ent", "n", "pos", "root"])
+
+    if fetch is None:
+        sets = info.select("ent", "members")
+    else:
+        ends = stash(rows.select("ent").distinct().join(info.drop("n", "bits"), "ent"), "ends")
+        sets = stash(keyed(fetch(ends), ends.select("ent"), ["ent"], "left_semi").dropDuplicates(["ent"]), "sets")
+    return rows.select("token", "ent", "n", "root").join(sets, "ent").select("token", "ent", "n", "root", "members").mapInArrow(lean(run), "token long, ent long, n int, pos int, root long")
+
+
+def _open_buckets(rows: DataFrame) -> DataFrame:
+    """(token, main, all, top) of buckets whose rows (token, ent, root) lie in several components."""
+    sizes = rows.groupBy("token", "root").count()
+    main = sizes.groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("top"))
+    return main.where("top < all")
+
+
+def _dealt(rows: DataFrame, main: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs across the components of these buckets."""
+    shares = sent(main).select("token", "main", F.ceil(F.col("all") / SHARE).cast("int").alias("shares"))
+    placed = rows.join(shares, "token").join(info.select("ent", "bits"), "ent")
+    placed = placed.withColumn("inner", F.col("root") == F.col("main")).withColumn("own", F.pmod(F.xxhash64("ent"), "shares").cast("int"))
+    placed = placed.withColumn("share", F.explode(F.when(F.col("inner"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("shares") - 1))))
+    return _across(placed.select("token", "share", "inner", "own", "root", "ent", "n", "pos", "bits"), percent)
+
+
+def linked(buckets: DataFrame, info: DataFrame, fetch: Fetch | None, decode: Decode = hashed_sets, percent: int = 80, order: Callable[[np.ndarray], np.ndarray] = lambda s: np.arange(len(s))) -> DataFrame:
     """(ent, root) of every entity that is similar to another one.
 
-    buckets: a stashed result of ``shared_only``.  info: a row (ent, n, bits,
-    and where the entity is found) for each entity of the buckets.  fetch: for
-    rows of ``info`` without n and bits, (ent, members) of at least these
-    entities.  decode: members to sorted 64-bit hashes.
+    buckets: a stashed result of ``shared_only``.  info: a stashed row (ent, n,
+    bits, and where the entity is found, or its members) for each entity of the
+    buckets.  fetch: for rows of ``info`` without n and bits, (ent, members) of
+    at least these entities; none where info has them.  decode: members to
+    sorted 64-bit hashes.  order: the places of such a set's elements, rare
+    first where tokens are elements of a set.
     """
-    # the table is read in the order in which it was written, so it is dealt out again
-    links = _compared(stash(_neighbours(buckets.repartition("token").sortWithinPartitions("token"), percent, 0), "pairs"), info, fetch, decode, percent)
-    large = buckets.where(F.col("m") > SMALL)
-    if large.isEmpty():
-        return components(links)
+    large = stash(buckets.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > SMALL), "large")
+    rows = buckets.withColumn("m", F.lit(None).cast("long")) if empty(large) else lookup(buckets, large, "token")
+    compared = stash(_neighbours(rows, percent), "pairs")
+    links = _compared(compared, info, fetch, decode, percent)
     roots = components(links)
-    for last in (False, True):
-        with_roots = large.join(roots, "ent", "left").withColumn("root", F.coalesce("root", "ent"))
-        if last:
-            sizes = with_roots.groupBy("token", "root").count()
-            main = sizes.groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("top"))
-            main = main.where("top < all").select("token", "main", F.ceil(F.col("all") / SHARE).cast("int").alias("shares"))
-            placed = with_roots.join(main, "token").join(info.select("ent", "bits"), "ent")
-            placed = placed.withColumn("inner", F.col("root") == F.col("main")).withColumn("own", F.pmod(F.xxhash64("ent"), "shares").cast("int"))
-            placed = placed.withColumn("share", F.explode(F.when(F.col("inner"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("shares") - 1))))
-            pairs = _across(placed.select("token", "share", "inner", "own", "root", "ent", "n", "pos", "bits"), percent)
-        else:
-            pairs = _neighbours(with_roots, percent, ORDERS)
-        pairs = stash(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        more = _compared(pairs, info, fetch, decode, percent)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = components(links)
-    return roots
-
-
-def documents_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents of these ids (one row each); few ids go to all executors, many are shuffled."""
-    return keyed(docs, ids, ["doc_id"], "left_semi")
+    if empty(large):
+        return roots
+    rooted = keyed(buckets, large.select("token"), ["token"], "left_semi")
+    rooted = stash(keyed(rooted, roots, ["ent"], "left").withColumn("root", F.coalesce("root", "ent")), "rooted")
+    main = stash(_open_buckets(rooted), "open")
+    if empty(main):
+        return roots
+    many = F.col("all") * (F.col("all") - F.col("top")) > MANY_PAIRS
+    few, much = stash(main.where(~many), "few"), stash(main.where(many), "much")
+    pairs = _dealt(rooted, few, info, percent)
+    if not empty(much):
+        parts = stash(_divided(keyed(rooted, much.select("token"), ["token"], "left_semi"), info, fetch, decode, order, percent), "divided")
+        pairs = pairs.unionByName(_dealt(parts, stash(_open_buckets(parts), "open"), info, percent)).distinct()
+    pairs = stash(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+    if empty(pairs):
+        return roots
+    more = _compared(pairs, info, fetch, decode, percent)
+    return roots if empty(more) else components(links.unionByName(more))

@@ -1,21 +1,28 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each source gets a target of words; each of its documents an expected number
-of copies, equal or by a weight.  The whole part of that number is certain.
-For the rest, documents are ranked by random odds divided by inclusion odds,
-``u / (1 - u) * (1 - p) / p``, and taken in that order until the source's
-missing words are reached: a sample of fixed size, in words, with unequal
-inclusion probabilities.  The document at the boundary gives only its first
-missing words, so every source meets its target to the word.
-
-``u`` is a hash of doc_id and seed, so reruns agree.  The boundary of a source
-is found from word counts in 4096 cells of the rank, and only documents of the
-one boundary cell are sorted; no task holds a whole source.
+of copies in proportion to a weight: by default the binary digits of its word
+count, so that a text of twice the length is a little more likely to be in the
+mix.  No document is expected more than MAX_COPIES times; a level per source
+is found such that the expected words are the target with that cap.  The whole
+part of a document's number is certain.  For the rest, documents are ranked by
+random odds divided by inclusion odds, ``u / (1 - u) * (1 - p) / p``, and taken
+in that order until the source's missing words are reached: a sample of fixed
+size, in words, with unequal inclusion probabilities.  The document at the
+boundary gives only its first missing words, so every source meets its target
+to the word.
+
+``u`` is a hash of seed, doc_id and text, so reruns agree.  The boundary of a
+source is found from word counts in 4096 cells of the rank, then in 4096 parts
+of the boundary cell, and only documents of that one part are sorted; no task
+holds a whole source.
 
 Defined cases: null text and text without words have size 0 and give nothing;
-null is a source of its own, after all others; repeated rows share their rank
-and are told apart by nothing else, so which of them is cut does not show; an
-empty table gives no rows; other columns are ignored.
+null is a source of its own, after all others; rows that share a doc_id or have
+none are drawn each by its text, and rows that are equal in both share their
+rank, so which of them is cut does not show; ranks that tie go by doc_id and
+size; very long texts are counted whole; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +30,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lookup, stash, words
+from .shared import lookup, sent, stash, words
 
+#: Cells of the rank, and parts of a cell.
 CELLS = 4096
 WEIGHTS = (3, 1, 2)
 #: Twice the share of all words that the mix has: 150 %.
@@ -58,52 +66,84 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame
 
 
 def uniform(key: Column, seed: int) -> Column:
-    """A number strictly between 0 and 1 from a key: 52 bits of its MD5."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary")), 1, 13)
+    """A number strictly between 0 and 1 from a string: 52 bits of an MD5."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary")), 1, 13)
     return (F.conv(digits, 16, 10).cast("bigint").cast("double") + 0.5) / float(1 << 52)
 
 
+def levels(classes: DataFrame, goal: DataFrame) -> DataFrame:
+    """(source, source_size, target, level): a document of weight w is expected least(MAX_COPIES, level * w) times.
+
+    classes: (source, w, words).  Weights are gone through from the greatest
+    on, each capped if the level that is left asks for the cap or more; the
+    first that isn't sets the level, and it is null if all are.
+    """
+    down = Window.partitionBy("source").orderBy(F.col("w").desc())
+    before = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("w") * F.col("words")).over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rows = classes.join(sent(goal).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = rows.withColumn("before", before).withColumn("rest", rest)
+    rows = rows.withColumn("level", F.try_divide(F.col("target") - (MAX_COPIES * F.col("before")).cast("double"), F.col("rest").cast("double")))
+    free = F.col("level") * F.col("w") < MAX_COPIES
+    out = rows.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.max_by("level", F.when(free, F.col("w"))).alias("level"))
+    return out
+
+
 def mix(docs: DataFrame, seed: int = 20, weights: tuple[int, ...] = WEIGHTS, weight: str | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document.
 
-    weight: a column of positive weights by which documents of a source are
-    expected in the mix; equal without it.  Where a weight asks for more than
-    MAX_COPIES of a document, it gets those and the others what is left.
+    weight: a column of whole numbers, 1 at least (null and less count as 1),
+    by which documents of a source are expected in the mix; the binary digits
+    of their size without it.  Distinct weights are few, or as many groups.
     """
-    own = F.col(weight).cast("double") if weight else F.lit(1.0)
-    sized = stash(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), own.alias("w")), "sizes")
-    of = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("w") * F.col("size")).alias("weighted"))
-    goal = stash(targets(of.select("source", "source_size"), weights).join(of.select(F.col("source").alias("s"), "weighted"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "targets")
-    rows = lookup(sized, goal, "source")
-    wanted = F.when(F.col("size") == 0, F.lit(0.0)).otherwise(F.least(F.lit(float(MAX_COPIES)), F.col("target") * F.col("w") / F.col("weighted")))
-    rows = rows.withColumn("copies", wanted).withColumn("whole", F.floor("copies"))
-    rows = rows.withColumn("p", F.col("copies") - F.col("whole")).withColumn("u", uniform(F.col("doc_id"), seed))
+    size = F.size(words(F.col("text"))).cast("long")
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))
+    own = docs.select("doc_id", "source", size.alias("size"), (F.col(f"`{weight}`").cast("long") if weight else F.lit(None).cast("long")).alias("w"), uniform(key, seed).alias("u"))
+    own = own.withColumn("w", F.greatest(F.col("w"), F.lit(1)) if weight else F.length(F.bin("size")).cast("long"))
+    sized = stash(own, "sizes")
+    classes = stash(sized.groupBy("source", "w").agg(F.sum("size").alias("words")), "classes")
+    goal = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights)
+    rows = lookup(sized, stash(levels(classes, stash(goal, "targets")), "levels"), "source")
+    wanted = F.when(F.col("level").isNull(), F.lit(float(MAX_COPIES))).otherwise(F.least(F.lit(float(MAX_COPIES)), F.col("level") * F.col("w")))
+    rows = rows.withColumn("copies", F.when(F.col("size") == 0, F.lit(0.0)).otherwise(wanted)).withColumn("whole", F.floor("copies"))
+    rows = rows.withColumn("p", F.col("copies") - F.col("whole"))
     odds = F.col("u") / (1 - F.col("u")) * ((1 - F.col("p")) / F.col("p"))
-    rows = rows.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds))
-    rows = rows.withColumn("cell", F.when(F.col("rank").isNotNull(), F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * CELLS), F.lit(CELLS - 1))))
-    rows = stash(rows.select("doc_id", "source", "size", "source_size", "target", "whole", "rank", "cell"), "ranked")
+    rows = rows.withColumn("rank", F.when(F.col("p") > 0, odds))
+    fine = F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * (CELLS * CELLS)), F.lit(CELLS * CELLS - 1))
+    rows = rows.withColumn("cell", F.floor(fine / CELLS)).withColumn("part", F.pmod(fine, F.lit(CELLS)))
+    rows = stash(rows.select("doc_id", "source", "size", "source_size", "target", "whole", "rank", "cell", "part"), "ranked")
     cells = rows.groupBy("source", "cell").agg(F.sum(F.when(F.col("rank").isNotNull(), F.col("size")).otherwise(0)).alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("goal"))
-    in_order = Window.partitionBy("source").orderBy(F.col("cell").asc_nulls_first())
-    run = cells.withColumn("until", F.sum("words").over(in_order)).withColumn("missing", F.floor("goal").cast("long") - F.sum("certain").over(Window.partitionBy("source")))
-    edge = run.where("until >= missing and words > 0 and missing > 0").groupBy("source").agg(F.min(F.struct("cell", F.expr("missing - (until - words)").alias("room"))).alias("edge"))
+    run = cells.withColumn("missing", F.floor("goal").cast("long") - F.sum("certain").over(Window.partitionBy("source")))
+    run = run.withColumn("until", F.sum("words").over(Window.partitionBy("source").orderBy(F.col("cell").asc_nulls_first())))
+    room = F.col("missing") - (F.col("until") - F.col("words"))
+    edge = F.min(F.when((F.col("until") >= F.col("missing")) & (F.col("words") > 0) & (F.col("missing") > 0), F.struct("cell", room.alias("room"))))
+    ends = run.groupBy("source").agg(F.first("missing").alias("missing"), edge.alias("edge"))
     # a source whose ranked words do not reach its target gives all of them
-    ends = run.groupBy("source").agg(F.first("missing").alias("missing")).join(edge.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
     ends = stash(ends.select("source", F.when(F.col("missing") <= 0, F.lit(-1)).otherwise(F.coalesce("edge.cell", F.lit(CELLS))).alias("last"), F.col("edge.room").alias("room")), "ends")
+    parts = lookup(rows.where("rank is not null"), ends, "source").where("cell = last").groupBy("source", "part").agg(F.sum("size").alias("words"), F.first("last").alias("last"), F.first("room").alias("room"))
+    parts = parts.withColumn("until", F.sum("words").over(Window.partitionBy("source").orderBy("part")))
+    inner = F.min(F.when((F.col("until") >= F.col("room")) & (F.col("words") > 0), F.struct("part", (F.col("room") - (F.col("until") - F.col("words"))).alias("room"))))
+    inner = parts.groupBy("source").agg(inner.alias("inner")).select(F.col("source").alias("s"), F.col("inner.part").alias("last_part"), F.col("inner.room").alias("rest"))
+    ends = stash(ends.join(inner, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "last", "last_part", "rest"), "ends")
     placed = lookup(rows, ends, "source")
     sure = F.col("whole") * F.col("size")
-    inside = placed.where("rank is null or cell <> last").withColumn("taken", sure + F.when(F.col("rank").isNotNull() & (F.col("cell") < F.col("last")), F.col("size")).otherwise(0))
-    sorted_cell = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at_edge = placed.where("rank is not null and cell = last").withColumn("through", F.sum("size").over(sorted_cell))
-    part = F.least("size", F.greatest(F.lit(0), F.col("room") - (F.col("through") - F.col("size"))))
-    at_edge = at_edge.withColumn("taken", sure + part).drop("through")
+    at_end = F.coalesce((F.col("cell") == F.col("last")) & (F.col("part") == F.col("last_part")), F.lit(False))
+    within = (F.col("cell") < F.col("last")) | ((F.col("cell") == F.col("last")) & (F.col("part") < F.col("last_part")))
+    inside = placed.where(~at_end).withColumn("taken", sure + F.when(within, F.col("size")).otherwise(0))
+    in_order = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edges = placed.where(at_end).withColumn("through", F.sum("size").over(in_order))
+    edges = edges.withColumn("taken", sure + F.least("size", F.greatest(F.lit(0), F.col("rest") - (F.col("through") - F.col("size")))))
     out = ["doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")]
-    return inside.select(*out).unionByName(at_edge.select(*out))
+    return inside.select(*out).unionByName(edges.select(*out))
 
 
 #: The same mix in DuckDB's SQL.
 SQL = r"""
 with sized as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    (('0x' || substr(md5('20:' || coalesce(doc_id::varchar, 'null') || ':' || coalesce(text, '')), 1, 13))::bigint::double + 0.5::double) / 4503599627370496.0::double as u
+  from documents),
+weighed as (select *, length(bin(size)) as w from sized),
 of as (select source, sum(size)::bigint as source_size from sized group by source),
 named as (
   select *, [3, 1, 2][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight,
@@ -121,18 +161,26 @@ goal as (
   select source, source_size, case when first is null then (2 * source_size)::double
     else least((2 * source_size)::double, first * weight) end as target
   from (select *, (select min_by(level, (source_size / weight, place)) from capped where not is_capped) as first from capped)),
+classes as (select source, w, sum(size)::bigint as words from weighed group by source, w),
+shares as (
+  select c.source, c.w, g.source_size, g.target,
+    (g.target - (2 * coalesce(sum(c.words) over (partition by c.source order by c.w desc rows between unbounded preceding and 1 preceding), 0))::double)
+      / nullif((sum(c.w * c.words) over (partition by c.source order by c.w desc rows between current row and unbounded following))::double, 0) as level
+  from classes c join goal g on c.source is not distinct from g.source),
+per_source as (select source, any_value(source_size) as source_size, any_value(target) as target, max_by(level, w) filter (where level * w < 2) as level from shares group by source),
 copied as (
-  select s.doc_id, s.source, s.size, g.source_size, g.target,
-    case when s.size = 0 then 0.0::double else least(2.0::double, g.target / g.source_size) end as copies,
-    (('0x' || substr(md5('20:' || coalesce(s.doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5::double) / 4503599627370496.0::double as u
-  from sized s join goal g on s.source is not distinct from g.source),
+  select s.*, g.source_size, g.target,
+    case when s.size = 0 then 0.0::double when g.level is null then 2.0::double else least(2.0::double, g.level * s.w) end as copies
+  from weighed s join per_source g on s.source is not distinct from g.source),
 ranked as (
-  select *, floor(copies)::bigint as whole, copies - floor(copies) > 0 as drawn from copied),
+  select *, floor(copies)::bigint as whole, copies - floor(copies) as p from copied),
+ordered as (
+  select *, case when p > 0 then u / (1 - u) * ((1 - p) / p) end as rank from ranked),
 run as (
-  select *, sum(case when drawn then size else 0 end) over (partition by source order by u, doc_id, size rows unbounded preceding) as through,
+  select *, sum(case when rank is not null then size else 0 end) over (partition by source order by rank nulls last, doc_id, size rows unbounded preceding) as through,
     floor(target)::bigint - sum(whole * size) over (partition by source) as missing
-  from ranked)
+  from ordered)
 select doc_id, size, source_size, target,
-  (whole * size + case when drawn then least(size, greatest(0, missing - (through - size))) else 0 end)::bigint as taken
+  (whole * size + case when rank is not null then least(size, greatest(0, missing - (through - size))) else 0 end)::bigint as taken
 from run
 """

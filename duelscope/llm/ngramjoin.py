@@ -13,9 +13,10 @@ all executors; equal counts go by the hash, which keeps the order total.
 Defined cases: null text and text without words have an empty set, are linked
 with nothing and form their own group; fewer than ``width`` words are one
 shingle; equal sets are one entity however often they occur; a repeated doc_id
-gives a row for each of its rows, each with the group of its own text; a null
-doc_id is linked with nothing and has a null group; an empty table gives no
-rows; other columns are ignored.
+gives a row for each of its rows, each with the group of its own text; a row
+with a null doc_id has the group of its text, null if no row of the group has
+an id; very long texts are one set as any other; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import Recent, identity, lean, parity, shingle_sets
-from .linkage import documents_of, linked, shared_only
-from .shared import keyed, stash
+from .linkage import linked, shared_only
+from .shared import empty, keyed, row_key, rows_but, sent, stash, unused
 
 #: Hash classes whose counts order the shingles: 2 ** CLASS_BITS of 4 bytes.
 CLASS_BITS = 19
@@ -44,7 +46,8 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
 
 def _described(docs: DataFrame, width: int) -> DataFrame:
     """One pass over the texts: a row per document, and counts of hash classes in slices (kind 1)."""
-    schema = "kind int, doc_id long, n int, ent long, bits binary"
+    schema = "kind int, doc_id long, key long, n int, ent long, bits binary"
+    names = ["kind", "doc_id", "key", "n", "ent", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CLASS_BITS, dtype=np.int64)
@@ -54,12 +57,13 @@ def _described(docs: DataFrame, width: int) -> DataFrame:
                 continue
             for lo in range(0, len(sets), 512):
                 counts += np.bincount(np.concatenate([s >> np.uint64(64 - CLASS_BITS) for s in sets[lo : lo + 512]]).astype(np.int64), minlength=len(counts))
-            yield pa.record_batch([pa.array(np.zeros(len(sets), np.int32)), batch.column("doc_id"), pa.array(np.array([len(s) for s in sets], np.int32)), pa.array([identity(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary())], names=["kind", "doc_id", "n", "ent", "bits"])
+            yield pa.record_batch([pa.array(np.zeros(len(sets), np.int32)), batch.column("doc_id"), batch.column("key"), pa.array(np.array([len(s) for s in sets], np.int32)), pa.array([identity(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary())], names=names)
         used = [k for k in range(SLICES) if counts[k * PER_SLICE : (k + 1) * PER_SLICE].any()]
         packed = [zlib.compress(counts[k * PER_SLICE : (k + 1) * PER_SLICE].astype(np.uint32).tobytes(), 1) for k in used]
-        yield pa.record_batch([pa.array(np.ones(len(used), np.int32)), pa.array(used, pa.int64()), pa.array(np.zeros(len(used), np.int32)), pa.array(np.zeros(len(used), np.int64)), pa.array(packed, pa.binary())], names=["kind", "doc_id", "n", "ent", "bits"])
+        none = np.zeros(len(used), np.int64)
+        yield pa.record_batch([pa.array(np.ones(len(used), np.int32)), pa.array(used, pa.int64()), pa.array(none), pa.array(none.astype(np.int32)), pa.array(none), pa.array(packed, pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs, "text").alias("key"), "text").mapInArrow(lean(run), schema)
 
 
 def _class_counts(described: DataFrame) -> np.ndarray:
@@ -79,29 +83,34 @@ def _class_counts(described: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def _rare_first(counts: Broadcast):
+    def order(s: np.ndarray) -> np.ndarray:
+        return np.lexsort((s, counts.value[(s >> np.uint64(64 - CLASS_BITS)).astype(np.int64)]))
 
+    return order
+
+
+def _prefixes(docs: DataFrame, order, width: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency, sent = shared.value, Recent()
+        sent = Recent()
         for batch in batches:
             token, ent, n, pos = [], [], [], []
             for s in shingle_sets(_texts(batch), width):
                 if not len(s) or not sent.new(e := identity(s)):
                     continue
                 k = len(s) - -(-percent * len(s) // 100) + 1
-                rare = s[np.lexsort((s, frequency[(s >> np.uint64(64 - CLASS_BITS)).astype(np.int64)]))[:k]]
-                token.append(rare.view(np.int64))
+                token.append(s[order(s)[:k]].view(np.int64))
                 ent.append(np.full(k, e, np.int64))
                 n.append(np.full(k, len(s), np.int32))
                 pos.append(np.arange(k, dtype=np.int32))
             if token:
                 yield pa.record_batch([pa.array(np.concatenate(v)) for v in (token, ent, n, pos)], names=["token", "ent", "n", "pos"])
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(lean(run), "token long, ent long, n int, pos int")
+    return docs.select("text").mapInArrow(lean(run), "token long, ent long, n int, pos int")
 
 
 def _fetcher(docs: DataFrame, width: int):
+    """The sets of entities (ent, key), read again from the rows with these keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _texts(batch)
@@ -109,37 +118,59 @@ def _fetcher(docs: DataFrame, width: int):
                 sets = shingle_sets(texts[lo : lo + 512], width)
                 yield pa.record_batch([pa.array([identity(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["ent", "members"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return lambda ends: documents_of(own, ends.select("doc_id").distinct()).select("text").mapInArrow(lean(run), "ent long, members binary")
+    own = docs.select("doc_id", row_key(docs, "text").alias("key"), "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+    def fetch(ends: DataFrame) -> DataFrame:
+        wanted = sent(ends).select(F.col("doc_id").alias("d"), F.col("key").alias("k"))
+        return own.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").select("text").mapInArrow(lean(run), "ent long, members binary")
+
+    return fetch
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """A row per document: doc_id, key (of its text), n, and root, which is equal for a group and null for empty sets."""
+    described = stash(_described(docs, width), "described", by="kind")
+    rows = described.where("kind = 0").select("doc_id", "key", "n", "ent", "bits")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    info = stash(rows.where("n > 0").groupBy("ent").agg(F.min(place).alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits")).select("ent", "at.doc_id", "at.key", "n", "bits"), "entities")
+    counts = docs.sparkSession.sparkContext.broadcast(_class_counts(described))
+    order = _rare_first(counts)
+    buckets = stash(shared_only(_prefixes(docs, order, width, percent)), "buckets")
+    roots = linked(buckets, info, _fetcher(docs, width), percent=percent, order=order)
+    counts.destroy()
+    own = rows.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.col("ent")).alias("ent"))
+    return keyed(own, roots, ["ent"], "left").select("doc_id", "key", "n", F.coalesce("root", "ent").alias("root"))
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row per document, the smallest doc_id that links reach."""
-    described = stash(_described(docs, width), "described", by="kind")
-    rows = described.where("kind = 0").select("doc_id", "n", "ent", "bits")
-    info = stash(rows.where("n > 0 and doc_id is not null").groupBy("ent").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "entities")
-    buckets = stash(shared_only(_prefixes(docs, _class_counts(described), width, percent)), "buckets")
-    roots = linked(buckets, info, _fetcher(docs, width), percent=percent)
-    first = info.select("ent", "doc_id").join(roots, "ent", "left").withColumn("root", F.coalesce("root", "ent"))
-    smallest = first.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of = stash(first.join(smallest, "root").select("ent", "component_id"), "of")
-    out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("ent")).alias("ent"))
-    return out.join(of, "ent", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = stash(_grouped(docs, width, percent), "grouped")
+    smallest = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("first"), F.count("*").alias("many")).where("many > 1")
+    out = keyed(rows, stash(smallest.select("root", "first"), "firsts"), ["root"], "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those whose group has a smaller doc_id; rows that repeat a kept doc_id go too.
+    """The documents without those whose group has an earlier one: by doc_id, null last, and then by a hash of the text.
 
-    Documents without words are kept.  A null doc_id is never another's copy.
+    Documents without words are kept.  Of rows that are equal in both only one is.
     """
-    found = stash(groups(docs, width, percent), "groups")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = keyed(docs, gone, ["doc_id"], "left_anti")
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
+    rows = stash(_grouped(docs, width, percent).where("root is not null"), "grouped")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    firsts = stash(rows.groupBy("root").agg(F.min(place).alias("at"), F.count("*").alias("many")).where("many > 1").select("root", F.col("at.doc_id").alias("d"), F.col("at.key").alias("k")), "firsts")
+    members = rows.join(sent(firsts), "root")
+    first = (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    members = stash(members.groupBy("doc_id", "key").agg(F.max(first).alias("first"), F.count("*").alias("copies")), "members")
+    kept = rows_but(docs, stash(members.where("not first").select("doc_id", "key"), "gone"), "text")
+    again = stash(members.where("first and copies > 1").select("doc_id", "key"), "again")
+    if empty(again):
         return kept
-    twice = keyed(kept, again, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return keyed(kept, again, ["doc_id"], "left_anti").unionByName(twice)
+    key = unused(docs, "__key")
+    told = kept.withColumn(key, row_key(kept, "text"))
+    other = sent(again).select(F.col("doc_id").alias(f"{key}d"), F.col("key").alias(f"{key}k"))
+    same = (F.col(key) == F.col(f"{key}k")) & F.col("doc_id").eqNullSafe(F.col(f"{key}d"))
+    once = told.join(other, same, "left_semi").dropDuplicates(["doc_id", key])
+    return told.join(other, same, "left_anti").unionByName(once).drop(key)
 
 
 #: The same groups in DuckDB's SQL: all pairs that share a shingle, then everything that links reach.

@@ -4,23 +4,29 @@ Every document gets a vector of five transformed statistics.  For each
 language and source, the minimum covariance determinant estimate of its
 centre and scatter is found from a deterministic start (medians and quartile
 ranges) by concentration steps: each keeps the three quarters of the rows that
-lie nearest and estimates again, which never raises the determinant.  A
-document is rejected when its squared Mahalanobis distance exceeds ``LIMIT``.
-Small groups use the estimate of their language, small languages that of all
-rows.
-
-Statistics such as the share of repeated lines are zero for most clean text;
-a bare scatter estimate would then be singular and call every other value an
-outlier.  As in the regularised form of the estimate, a floor is added to each
+lie nearest and estimates again.  Steps go on until no group's determinant
+falls by more than a thousandth, STEPS at most.  A document is rejected when
+its squared Mahalanobis distance exceeds ``LIMIT``.
+
+Every group has its own estimate, however small.  Statistics such as the share
+of repeated lines are zero for most clean text, and a group may have a handful
+of rows; a bare scatter estimate would then be singular and call every other
+value an outlier.  As in the regularised form of the estimate, the scatter of
+the nearest rows is blended with a target, here by adding a floor to each
 variance: the spread that is never held against a document.
 
 Everything is column expressions: distances come from a Cholesky factor that
 is worked out in columns, one row per group, and moments and quantiles are
-partial aggregates, so a group of any size is summed in pieces.
+partial aggregates, so a group of any size is summed in pieces.  Quantiles are
+those of ``percentile_approx`` at its default accuracy: the place among n rows
+is off by n / 10000 at most, and exact for smaller groups.
 
 Defined cases: null text counts as empty and fails the word limit; null lang
-and null source are groups of their own; repeated rows are judged alike; an
-empty table gives no rows; other columns are ignored.
+and null source are groups of their own; rows that tie with the quantile are
+kept; repeated rows are judged alike, and rows that share a doc_id or have none
+each by its own text; a group of one row is its own centre and keeps it; very
+long texts are counted whole; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +34,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, keyed, lookup, stash, words
+from .shared import WORD, forget, lookup, row_key, rows_but, small_enough, stash, words
 
 MIN_WORDS = 10
 #: Per cent of words in repeated windows above which a text fails.
 MAX_REPEAT = 20
 WINDOW = 5
-#: Rows below which a group borrows a wider group's estimate.
-MIN_GROUP = 100
-STEPS = 3
+#: Concentration steps at most; the first ones do nearly all.
+STEPS = 10
+#: Fall of a determinant's logarithm below which a group is settled.
+SETTLED = 1e-3
 KEEP = 0.75
 #: Rescales the scatter of the nearest three quarters of five normal variables:
 #: 0.75 / P(chi2_7 <= 6.626), 6.626 being the 0.75 quantile of chi2_5.
@@ -51,12 +58,12 @@ D = len(VECTOR)
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
+    """doc_id, key (of the row), lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
-    own = docs.select("doc_id", "lang", "source", text.alias("text"), words(F.col("text")).alias("words"), lines.alias("lines"))
+    own = docs.select("doc_id", row_key(docs, "text", "lang", "source").alias("key"), "lang", "source", text.alias("text"), words(F.col("text")).alias("words"), lines.alias("lines"))
     hashed = own.select(
-        "doc_id", "lang", "source",
+        "doc_id", "key", "lang", "source",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -89,7 +96,7 @@ def _vector(stats: DataFrame) -> DataFrame:
 
 
 def _factor(estimates: DataFrame, scale: float) -> DataFrame:
-    """(key, m0.., l00, l10, l11, ..): the Cholesky factor of the scaled scatter plus the floors, column by column."""
+    """(g, centre m0.., l00, l10, l11, .., logdet): the Cholesky factor of the scaled scatter plus the floors, column by column."""
     c = lambda i, j: F.col(f"c{max(i, j)}{min(i, j)}")
     rows = estimates
     for j in range(D):
@@ -105,13 +112,14 @@ def _factor(estimates: DataFrame, scale: float) -> DataFrame:
             below[f"l{i}{j}"] = value / F.col(f"l{j}{j}")
         if below:
             rows = rows.withColumns(below)
-    return rows.select("key", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i in range(D) for j in range(i + 1)])
+    logdet = sum((F.log(f"l{i}{i}") for i in range(D)), F.lit(0.0))
+    return rows.select("g", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i in range(D) for j in range(i + 1)], logdet.alias("logdet"))
 
 
 def _distances(rows: DataFrame, factors: DataFrame) -> DataFrame:
-    """The rows with their squared distance ``d2`` from their key's centre."""
+    """The rows with their squared distance ``d2`` from their group's centre."""
     keep = rows.columns
-    out = lookup(rows, factors, "key")
+    out = lookup(rows, factors, "g")
     for i in range(D):
         z = F.col(f"x{i}") - F.col(f"m{i}")
         for j in range(i):
@@ -124,55 +132,52 @@ def _distances(rows: DataFrame, factors: DataFrame) -> DataFrame:
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("key").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(D)], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i in range(D) for j in range(i + 1)])
+    return rows.groupBy("g").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(D)], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i in range(D) for j in range(i + 1)])
 
 
 def _start(rows: DataFrame) -> DataFrame:
     """Medians, and quartile ranges as standard deviations, without covariances."""
-    quartiles = rows.groupBy("key").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"p{i}") for i in range(D)])
+    quartiles = rows.groupBy("g").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75]).alias(f"p{i}") for i in range(D)])
     sd = lambda i: (F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349
-    return quartiles.select("key", *[F.col(f"p{i}")[1].alias(f"m{i}") for i in range(D)], *[(sd(i) * sd(i) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(D) for j in range(i + 1)])
+    return quartiles.select("g", *[F.col(f"p{i}")[1].alias(f"m{i}") for i in range(D)], *[(sd(i) * sd(i) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(D) for j in range(i + 1)])
 
 
 def estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(key, centre, Cholesky factor) of the minimum covariance determinant estimate of each key's rows."""
+    """(g, centre, Cholesky factor) of the minimum covariance determinant estimate of each group's rows."""
     factors = stash(_factor(_start(vectors), 1.0), "start")
-    for _ in range(steps):
-        far = stash(_distances(vectors, factors), "distances")
-        bound = far.groupBy("key").agg(F.percentile_approx("d2", KEEP, 1000).alias("bound"))
-        nearest = lookup(far, stash(bound, "bounds"), "key").where("d2 <= bound")
-        factors = stash(_factor(_moments(nearest), CONSISTENCY), "factors")
-    return factors
-
-
-def _keys() -> tuple[Column, Column, Column]:
+    for step in range(steps):
+        far = _distances(vectors, factors)
+        bound = far.groupBy("g").agg(F.percentile_approx("d2", KEEP).alias("bound"))
+        # as many rows as factors, and shorter ones
+        near = far.join(F.broadcast(bound), "g") if small_enough(factors) else lookup(far, stash(bound, "bounds"), "g")
+        closer = _factor(_moments(near.where("d2 <= bound")), CONSISTENCY).withColumnRenamed("logdet", "now")
+        before = factors.select(F.col("g").alias("old"), "logdet")
+        before = F.broadcast(before) if small_enough(factors) else before
+        closer = closer.join(before, F.col("g") == F.col("old")).withColumn("moved", F.abs(F.col("now") - F.col("logdet")) > SETTLED)
+        nearer = stash(closer.drop("old", "logdet").withColumnRenamed("now", "logdet"), "factors")
+        forget(factors)
+        factors = nearer
+        if step and factors.where("moved").isEmpty():
+            break
+    return factors.drop("moved")
+
+
+def _group() -> Column:
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    return F.concat_ws("\x1f", F.lit("group"), name("lang"), name("source")), F.concat_ws("\x1f", F.lit("lang"), name("lang")), F.lit("all")
+    return F.concat_ws("\x1f", name("lang"), name("source"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and d2 (null where the limits failed)."""
+    """doc_id, key (of the row), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and d2 (null where the limits failed)."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    stats = stash(_vector(statistics(docs)).withColumn("base_failed", failed), "stats")
-    group, language, every = _keys()
-    sound = stats.where("not base_failed")
-    levels = sound.select(F.explode(F.array(group, language, every)).alias("key"), *VECTOR)
-    factors = estimates(levels)
-    sizes = stash(levels.groupBy("key").count(), "sizes")
-    enough = lambda key, out: lambda df: keyed(df, sizes.where(F.col("count") >= MIN_GROUP).select(F.col("key").alias(key), F.lit(True).alias(out)), [key], "left")
-    placed = stats.withColumn("k0", group).withColumn("k1", language)
-    placed = enough("k1", "has1")(enough("k0", "has0")(placed))
-    placed = placed.withColumn("key", F.when(F.col("has0"), F.col("k0")).when(F.col("has1"), F.col("k1")).otherwise(every))
-    out = _distances(placed.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "key", *VECTOR), factors)
+    stats = stash(_vector(statistics(docs)).withColumn("base_failed", failed).withColumn("g", _group()), "stats")
+    factors = estimates(stats.where("not base_failed").select("g", *VECTOR))
+    out = _distances(stats.drop("lang", "source", "n_lines"), factors)
     d2 = F.when(~F.col("base_failed"), F.col("d2"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(d2 <= LIMIT, F.lit(True))).alias("kept"), d2.alias("d2"))
+    return out.select("doc_id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(d2 <= LIMIT, F.lit(True))).alias("kept"), d2.alias("d2"))
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns.
-
-    A repeated doc_id goes if any of its rows is rejected; rows with a null
-    doc_id cannot be told apart by it and stay.
-    """
-    gone = stash(judged(docs).where("not kept and doc_id is not null").select("doc_id").distinct(), "rejected")
-    return keyed(docs, gone, ["doc_id"], "left_anti")
+    """The documents that pass, with all their columns; each row by its own text."""
+    gone = stash(judged(docs).where("not kept").select("doc_id", "key").distinct(), "rejected")
+    return rows_but(docs, gone, "text", "lang", "source")

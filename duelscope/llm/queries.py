@@ -44,7 +44,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(table(spark, sf_dir, "documents")).drop("d2")
+    return quality.judged(table(spark, sf_dir, "documents")).drop("d2", "key")
 
 
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:

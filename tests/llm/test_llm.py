@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -66,8 +67,8 @@ def test_ngram_groups_against_brute_force(docs, rows):
     want = brute_groups(rows)
     got = ngramjoin.groups(extended(docs).drop("ent", "n")).collect()
     assert len(got) == len(rows)
-    for r in got:
-        assert (r["n_shingles"], r["component_id"]) == want.get(r["doc_id"], (len(shingles(rows[0][1])), None))
+    for r in got:  # the row without an id has the group of its text
+        assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"] or 0]
 
 
 def test_one_of_each_keeps_columns_and_clean_documents(docs, rows):
@@ -76,7 +77,19 @@ def test_one_of_each_keeps_columns_and_clean_documents(docs, rows):
     want = brute_groups(rows)
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
     assert sorted(i for i in ids if i is not None) == sorted(i for i, (_, c) in want.items() if i == c)
-    assert ids.count(None) == 1
+    assert ids.count(None) == 0
+
+
+def test_rows_of_one_id_are_told_apart_by_their_text(spark):
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    df = spark.createDataFrame([(1, a), (1, b), (2, b), (2, c), (None, a), (None, c + " more"), (3, c), (3, c), (None, None)], "doc_id long, text string")
+    kept = sorted(((r["doc_id"] or 0, r["text"] or "") for r in ngramjoin.one_of_each(df).collect()))
+    assert kept == sorted([(1, a), (1, b), (2, c), (0, "")])
+    assert [tuple(r) for r in ngramjoin.groups(df.where("doc_id is null")).collect()] in ([(None, n, None) for n in order] for order in ((36, 37, 0), (36, 0, 37), (37, 36, 0), (37, 0, 36), (0, 36, 37), (0, 37, 36)))
+    items = spark.createDataFrame([(7, a)], "item_id long, text string")
+    clean = sorted(((r["doc_id"] or 0, r["text"] or "") for r in decontaminate.clean(df, items).collect()))
+    assert clean == sorted([(1, b), (2, b), (2, c), (0, c + " more"), (3, c), (3, c), (0, "")])
 
 
 def test_large_bucket_finds_every_link(spark):
@@ -93,6 +106,86 @@ def test_large_bucket_finds_every_link(spark):
     assert got == {i: c for i, (_, c) in brute_groups(rows).items()}
 
 
+def brute_linked(sets, percent=80):
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if kernels.similar(sets[a], sets[b], percent):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in ids}
+
+
+def described(spark, sets):
+    rows = [(i, len(s), kernels.parity(s), s.tobytes()) for i, s in sets.items()]
+    return spark.createDataFrame([(i, n, bytearray(b), bytearray(m)) for i, n, b, m in rows], "ent long, n int, bits binary, members binary")
+
+
+def test_many_dissimilar_sets_of_one_token_are_divided(spark, monkeypatch):
+    """A bucket of unlike sets and a few alike ones: the second element divides it, no link is lost."""
+    monkeypatch.setattr(linkage, "MANY_PAIRS", 100)
+    rng = np.random.default_rng(5)
+    sets = {i: np.unique(np.r_[np.uint64(7), rng.integers(1000, 2**63, 30).astype(np.uint64)]) for i in range(150)}
+    for i in range(150, 190):
+        sets[i] = np.unique(np.r_[sets[i - 150][:-2], rng.integers(1000, 2**63, 2).astype(np.uint64)])
+    info = linkage.stash(described(spark, sets), "info")
+    rows = linkage.stash(spark.createDataFrame([(7, i, len(s), 0) for i, s in sets.items()], "token long, ent long, n int, pos int"), "rows")
+    buckets = linkage.stash(linkage.shared_only(rows), "buckets")
+    want = brute_linked(sets)
+    for fetch in (None, lambda ends: info.select("ent", "members")):
+        got = {r["ent"]: r["root"] for r in linkage.linked(buckets, info if fetch is None else linkage.stash(info.drop("members"), "narrow"), fetch).collect()}
+        assert {i: got.get(i, i) for i in sets} == want and len(set(want.values())) == 150
+
+
+def test_fifty_thousand_sets_of_one_token(spark):
+    """Pairs that are compared stay in proportion to the members, though each shares the token with all."""
+    rng = np.random.default_rng(6)
+    n = 50_000
+    members = [np.unique(np.r_[np.uint64(7), row]) for row in rng.integers(1000, 2**63, (n, 6)).astype(np.uint64)]
+    members[-1] = members[3].copy()
+    members[-1][-1] -= np.uint64(1)
+    sets = dict(enumerate(members))
+    info = linkage.stash(described(spark, {i: s for i, s in sets.items()}).repartition(8), "info")
+    rows = linkage.stash(info.select(F.lit(7).cast("long").alias("token"), "ent", "n", F.lit(0).alias("pos")), "rows")
+    made = []
+    compared = linkage._compared
+    linkage._compared = lambda pairs, *a: made.append(pairs.count()) or compared(pairs, *a)
+    try:
+        got = linkage.linked(linkage.stash(linkage.shared_only(rows), "buckets"), info, None, percent=70).collect()
+    finally:
+        linkage._compared = compared
+    assert [tuple(sorted((r["ent"], r["root"]) for r in got))] == [((3, 3), (n - 1, 3))]
+    assert sum(made) < 20 * n
+
+
+def test_pairs_of_a_token_are_kept_across_batches():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    for _ in range(200):
+        rows = sorted((rng.randrange(6), rng.randrange(3), rng.choice((-1, -1, -1, 5))) for _ in range(rng.randrange(25)))
+        rows = [(t + 100 * (k >= 0), e, k) for t, e, k in rows]
+        rows.sort()
+        batches, at = [], 0
+        while at < len(rows):
+            n = rng.randrange(1, 5)
+            batches.append(pa.record_batch([pa.array([r[c] for r in rows[at : at + n]], pa.int64()) for c in range(3)], names=["token", "ent", "line"]))
+            at += n
+        got = [tuple(r.values()) for b in linkage.paired(iter(batches), "line") for r in b.to_pylist()]
+        own = collections.defaultdict(set)
+        for t, e, _ in rows:
+            own[t].add(e)
+        free = [r for r in rows if r[2] >= 0]
+        bands = sorted({r for r in rows if r[2] < 0 and len(own[r[0]]) > 1})
+        assert sorted(got) == sorted(free + bands)
+
+
 def test_shares_compare_every_pair_in_any_order_of_rows(spark):
     """Members outside the largest component stand in every share, each time in another order."""
     rng = random.Random(12)
@@ -132,6 +225,14 @@ def test_components_are_the_smallest_reachable_id(spark):
     assert unionfind.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_in_rounds_are_the_same(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    want = sorted(map(tuple, unionfind.components(df).collect()))
+    assert sorted(map(tuple, unionfind.components(df, finish=40).collect())) == want == sorted(map(tuple, unionfind.components(df, finish=0).collect()))
+
+
 def test_grouped_never_cuts_a_group():
     import pyarrow as pa
 
@@ -153,12 +254,30 @@ def test_lines_keep_the_first_of_each_component(spark):
     got = {r["doc_id"]: r for r in linededup.deduplicated(df).collect()}
     assert got[1]["text"] == rows[0][1] and got[1]["removed_lines"] is None
     assert got[2]["text"] == "beta text is other\n\n" and got[2]["removed_lines"] == [1] and got[2]["n_chars"] == len("beta text is other\n\n")
-    assert got[3]["text"] == "" and got[4]["text"] is None and got[5]["text"] == "" and got[None]["text"] == long
+    assert got[3]["text"] == "" and got[4]["text"] is None and got[5]["text"] == "" and got[None]["text"] == ""
     kept = linededup.without_repeats(df)
-    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 4, 5, None}
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 4, 5}
     assert linededup.without_repeats(df.limit(0)).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id_and_clashing_names(spark):
+    rng = random.Random(31)
+    said, unique = prose(rng, 12), "I am entirely unique and must not be lost"
+    rows = [(1, said, 0), (2, f"{said}\nnext to it", 0), (2, f"{unique}\n{prose(rng, 9)}", 0), (3, prose(rng, 9), 0), (3, prose(rng, 9), 0), (4, f"{said}\nboth copies", 0), (4, f"{said}\nboth copies", 0)]
+    out = linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, removed_lines int"))
+    assert out.columns == ["doc_id", "text", "removed_lines", "_removed_lines"]
+    got = sorted(r["text"] for r in out.collect())
+    assert got == sorted([said, "next to it", rows[2][1], rows[3][1], rows[4][1], "both copies", "both copies"])
+
+
+def test_a_very_long_text_loses_its_repeated_lines(spark):
+    rng = random.Random(32)
+    lines = [prose(rng, 6) for _ in range(6000)]
+    text = "\n".join(lines + lines[::-1] + ["x" * 300_000])
+    got = linededup.deduplicated(spark.createDataFrame([(1, text), (2, "\n".join(lines[5:9]))], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: "\n".join(lines + ["x" * 300_000]), 2: ""}
+
+
 def test_character_shingles_against_plain_sets():
     lines = ["abcdefghij", "abc", "é" * 12, "\U0001f600 wide and more", "x"]
     sets = linededup._sets(lines, 8)
@@ -199,7 +318,7 @@ def test_contamination_against_brute_force(spark):
     real = [x for x in items if x[0] is not None]
     assert got == collections.Counter((i, *(lambda h: (h[0], h[1], tuple(h[2])))(brute_hits(t, real))) for i, t, *_ in rows)
     kept = decontaminate.clean(df, bench)
-    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i in range(12) if not any(brute_hits(t, real)[1] for j, t, *_ in rows if j == i)}
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, t, *_ in rows if not brute_hits(t, real)[1])
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
     assert decontaminate.contamination(df, bench.limit(0)).where("n_hit > 0").count() == 0
 
@@ -207,9 +326,9 @@ def test_contamination_against_brute_force(spark):
 def test_proximity_finds_scattered_rare_terms(spark):
     df = spark.createDataFrame([(1, "alpha " + "the " * 10 + "beta the the gamma"), (2, "alpha " + "the " * 60 + "beta gamma"), (3, "the the")], "doc_id long, text string")
     items = spark.createDataFrame([(9, "alpha the beta the gamma the the the the the")], "item_id long, text string")
-    terms = decontaminate.item_terms(items)
-    rarity = decontaminate.counts(df, terms)
-    near = decontaminate.nearby(decontaminate.postings(df, terms), terms, rarity, span=30).collect()
+    terms = decontaminate.item_terms(decontaminate.item_words(items))
+    own = terms.select("term").distinct()
+    near = decontaminate.nearby(decontaminate.postings(df, own), decontaminate.rarest(terms, decontaminate.counts(df, own)), span=30).collect()
     assert [(r["doc_id"], r["item_id"]) for r in near] == [(1, 9)]
 
 
@@ -293,11 +412,54 @@ def test_mix_meets_targets_and_limits(spark):
 
 
 def test_mix_weights_make_unequal_probabilities(spark):
-    rows = [(i, "w " * 10, "s", 4.0 if i < 200 else 1.0) for i in range(1000)]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, boost double"), weight="boost").collect()
+    rows = [(i, "w " * 10, "s", 4 if i < 200 else 1) for i in range(1000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, boost long"), weight="boost").collect()
     heavy = np.mean([r["taken"] for r in got if r["doc_id"] < 200])
     light = np.mean([r["taken"] for r in got if r["doc_id"] >= 200])
-    assert heavy == 20.0 and 5 < light < 15
+    # the target is 1.5 copies of all: the cap of 2 for the heavy, what is left for the others
+    assert heavy == 20.0 and light == 13.75 and sum(r["taken"] for r in got) == 15_000
+
+
+def brute_mix(rows, weigh):
+    """Pareto order sampling of one source, from (doc_id, text): words taken."""
+    sizes = [len((t or "").split()) for _, t in rows]
+    weights = [weigh(n) for n in sizes]
+    target, level, capped = 1.5 * sum(sizes), 0.0, set()
+    while True:
+        rest = sum(w * n for k, (w, n) in enumerate(zip(weights, sizes)) if k not in capped)
+        level = (target - 2 * sum(sizes[k] for k in capped)) / rest if rest else 0.0
+        more = {k for k, w in enumerate(weights) if k not in capped and level * w >= 2}
+        if not more:
+            break
+        capped |= more
+    copies = [2.0 if k in capped else level * w for k, w in enumerate(weights)]
+    u = [(int(hashlib.md5(f"20:{i}:{t or ''}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i, t in rows]
+    taken = [int(c) * n for c, n in zip(copies, sizes)]
+    missing = int(target) - sum(taken)
+    ranked = sorted((u[k] / (1 - u[k]) * ((1 - (c - int(c))) / (c - int(c))), rows[k][0], k) for k, c in enumerate(copies) if c > int(c) and sizes[k])
+    for _, _, k in ranked:
+        more = min(sizes[k], max(0, missing))
+        taken[k] += more
+        missing -= more
+    return taken
+
+
+def test_mix_ranks_by_the_pareto_ratio(spark):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, rng.choice((1, 2, 5, 40, 41, 700, 3000)))) for i in range(200)]
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")).collect()}
+    assert [got[i] for i, _ in rows] == brute_mix(rows, lambda n: n.bit_length() or 1)
+    by_size = collections.defaultdict(list)
+    for i, t in rows:
+        by_size[len(t.split())].append(got[i] / len(t.split()))
+    assert np.mean(by_size[1]) < np.mean(by_size[40] + by_size[41]) < np.mean(by_size[700] + by_size[3000])
+
+
+def test_mix_of_equal_ranks_and_one_hot_row(spark):
+    rows = [(5, "same words of it", "a")] * 400 + [(None, prose(random.Random(i), 3), None) for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sum(r["taken"] for r in got if r["doc_id"]) == min(int(next(r["target"] for r in got if r["doc_id"])), 3200)
+    assert len({r["taken"] for r in got if not r["doc_id"]}) > 1 and max(r["taken"] for r in got if not r["doc_id"]) <= 6
 
 
 def test_mix_level_is_water_filling(spark):
@@ -337,7 +499,7 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
 def test_mahalanobis_distances_against_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 5)) @ rng.normal(size=(5, 5))
-    df = spark.createDataFrame([("k", *map(float, v)) for v in x], "key string, " + ", ".join(f"x{i} double" for i in range(5)))
+    df = spark.createDataFrame([("k", *map(float, v)) for v in x], "g string, " + ", ".join(f"x{i} double" for i in range(5)))
     got = np.sort([r["d2"] for r in quality._distances(df, quality._factor(quality._moments(df), 1.0)).collect()])
     cov = np.cov(x.T, bias=True) + np.diag(np.square(quality.FLOORS))
     d = x - x.mean(axis=0)
@@ -347,11 +509,20 @@ def test_mahalanobis_distances_against_numpy(spark):
 def test_robust_estimate_resists_a_quarter_of_outliers(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=(800, 5)), 50 + rng.normal(size=(200, 5))])
-    df = spark.createDataFrame([("k", *map(float, v)) for v in x], "key string, " + ", ".join(f"x{i} double" for i in range(5)))
+    df = spark.createDataFrame([("k", *map(float, v)) for v in x], "g string, " + ", ".join(f"x{i} double" for i in range(5)))
     centre = quality.estimates(df).first()
     assert all(abs(centre[f"m{i}"]) < 0.3 for i in range(5))
 
 
+def test_every_group_has_its_own_estimate(spark):
+    """What is usual in one small group is an outlier in another; a group of one keeps its row."""
+    rng = random.Random(17)
+    noisy = lambda n: "### $$$ ".join(prose(rng, n).split())
+    rows = [(i, prose(rng, 60), "en", "prose", 1) for i in range(12)] + [(100 + i, noisy(60), "en", "code", 1) for i in range(12)] + [(200, noisy(60), "en", "prose", 1), (300, noisy(50), "de", None, 1), (400, None, None, "prose", 1)]
+    kept = {r["doc_id"] for r in quality.accepted(spark.createDataFrame(rows, DOCS)).collect()}
+    assert kept == {*range(12), *range(100, 112), 300}
+
+
 # --- chat ----------------------------------------------------------------------
 
 
@@ -438,13 +609,92 @@ def test_url_parts_and_listed_rules(spark):
     ]
 
 
-def test_mined_rules_block_what_the_labels_show(spark):
-    rows = [(f"http://h{i % 7}.org/{'spam' if i % 3 == 0 else 'ham'}/{i}", i % 3 == 0) for i in range(300)]
+def url_tokens(url):
+    """The tokens in plain Python."""
+    m = re.match(r"(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$", url or "", re.S)
+    if not m:
+        return set()
+    scheme, host, path, query, fragment = m.groups(default="")
+    low = host.translate({c: c + 32 for c in range(65, 91)})
+    out = {f"host{k + 1}:{x}" for k, x in enumerate(low.split(".")[::-1])} | {f"scheme:{scheme}"}
+    out |= {f"path{k + 1}:{x}" for k, x in enumerate([x for x in re.sub("[0-9]+", "0", path).split("/") if x])}
+    out |= {f"query:{x.split('=')[0]}" for x in query[1:].split("&") if x}
+    if kind := re.search(r"\.([A-Za-z][A-Za-z0-9]*)$", path):
+        out.add(f"type:{kind[1].lower()}")
+    return out | ({"fragment"} if fragment else set()) | ({"folder"} if path.endswith("/") else set())
+
+
+def brute_rules(rows):
+    """Every combination of tokens, with those of the same URLs taken together: tokens to (confidence, support)."""
+    import itertools
+
+    rows = [(url_tokens(u), b) for u, b in rows if u is not None and b is not None]
+    n, base = len(rows), sum(b for _, b in rows) / len(rows)
+    least = max(math.ceil(urlfilter.MIN_SUPPORT * n), math.ceil(urlfilter.MIN_CONFIDENCE * urlfilter.Z**2 / (1 - urlfilter.MIN_CONFIDENCE)))
+    of = collections.defaultdict(list)
+    for t in set().union(*(o for o, _ in rows)):
+        of[frozenset(k for k, (o, _) in enumerate(rows) if t in o)].append(t)
+    classes = {tuple(sorted(ts)): at for at, ts in of.items() if len(at) >= least}
+    out, level = {}, [((), frozenset(range(n)))]
+    names = sorted(classes)
+    while level:
+        level = [((*c, x), at & classes[x]) for c, at in level for x in names if not c or x > c[-1]]
+        level = [(c, at) for c, at in level if sum(rows[k][1] for k in at) >= least]
+        for c, at in level:
+            m, share, z = len(at), sum(rows[k][1] for k in at) / len(at), urlfilter.Z
+            low = (share + z * z / (2 * m) - z * math.sqrt((share * (1 - share) + z * z / (4 * m)) / m)) / (1 + z * z / m)
+            if low >= urlfilter.MIN_CONFIDENCE and low > base:
+                out[tuple(sorted(itertools.chain(*c)))] = (round(share, 9), round(share * m / n, 9))
+    return out
+
+
+def planted_urls(n=400):
+    rng = random.Random(23)
+    rows = []
+    for i in range(n):
+        host, word = rng.choice(("a.example.org", "b.example.com", "x.y.z.deep.net")), rng.choice(("news", "shop", "casino"))
+        url = f"{rng.choice(('http', 'https'))}://{host}/1/2/3/four/{word}/{i}{rng.choice(('', '.html', '/', '?ref=1', '#top'))}"
+        rows.append((url, (word == "casino" and host.startswith("x.")) or rng.random() < 0.05))
+    return [*rows, (None, True), ("http://u", None), rows[0], rows[0]]
+
+
+def test_mined_rules_against_brute_force(spark):
+    rows = planted_urls()
     df = spark.createDataFrame(rows, "url string, blocked boolean")
-    rules = urlfilter.mined(df)
-    assert any(r["tokens"] == ["path0:spam"] for r in rules.collect())
-    met = {r["url"] for r in urlfilter.matched(df, rules).collect()}
-    assert met == {u for u, b in rows if b}
+    rules = urlfilter.stash(urlfilter.mined(df), "rules")
+    got = {tuple(r["tokens"]): (round(r["confidence"], 9), round(r["support"], 9)) for r in rules.collect()}
+    want = brute_rules(rows)
+    assert got == want and any("path5:casino" in t and "host5:x" in t for t in got)
+    asked = sorted({u for u, _ in rows if u})
+    met = {r["url"]: r["rules"] for r in urlfilter.matched(df, rules).collect()}
+    assert met == {u: k for u in asked if (k := sum(url_tokens(u) >= set(t) for t in want))}
+    assert {u for u in met} >= {u for u in asked if "//x." in u and "casino" in u}
+
+
+def test_labels_without_signal_or_rows_mine_nothing(spark):
+    rng = random.Random(24)
+    rows = [(f"http://h{rng.randrange(5)}.org/{rng.choice('abc')}/{i}", rng.random() < 0.1) for i in range(300)]
+    schema = "url string, blocked boolean"
+    assert urlfilter.mined(spark.createDataFrame(rows, schema)).count() == len(brute_rules(rows)) == 0
+    assert urlfilter.mined(spark.createDataFrame(rows[:3], schema)).count() == urlfilter.mined(spark.createDataFrame([], schema)).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert urlfilter.judged(pages, spark.createDataFrame(rows, schema)).count() == 0
+
+
+def test_fit_rows_thin_each_url_in_proportion(spark):
+    rows = [("http://spam.org/x", True)] * 3000 + [(f"http://h{i % 3}.org/{i}", False) for i in range(3000)]
+    rules = urlfilter.mined(spark.createDataFrame(rows, "url string, blocked boolean"), fit_rows=1000).collect()
+    assert any("host2:spam" in r["tokens"] and r["confidence"] == 1.0 and abs(r["support"] - 0.5) < 0.05 for r in rules)
+
+
+def test_long_urls_are_read_whole_and_do_not_multiply_rules(spark):
+    long = "http://l." + ".".join(f"s{k}" for k in range(60)) + ".org/" + "/".join(f"p{k}" for k in range(400))
+    rows = [(f"{long}/{i}", True) for i in range(30)] + [(f"http://h.org/p0/{i}", False) for i in range(30)]
+    rules = urlfilter.stash(urlfilter.mined(spark.createDataFrame(rows, "url string, blocked boolean")), "rules")
+    assert 0 < rules.count() < 50 and all("path400:p399" in r["tokens"] for r in rules.collect() if "path2:p1" in r["tokens"])
+    pages = spark.createDataFrame([(1, f"{long}/77"), (1, f"{long}/77"), (2, long[:-5]), (3, "http://h.org/p0/1")], "page_id long, url string")
+    got = sorted((r["page_id"], r["verdict"]) for r in urlfilter.judged(pages, spark.createDataFrame(rows, "url string, blocked boolean")).collect())
+    assert got == [(1, "block"), (1, "block"), (2, "allow"), (3, "allow")]
 
 
 # --- warc ----------------------------------------------------------------------

@@ -32,17 +32,24 @@ def statistics(text):
     return failed, vector
 
 
-def robust(x):
-    """Centre and scatter with floors after the concentration steps."""
+def robust(groups):
+    """Centre and scatter with floors of every group after the concentration steps, which all take together."""
     floors = np.diag(np.square(quality.FLOORS))
-    centre = np.array([approximate(c, 0.5) for c in x.T])
-    sd = np.array([(approximate(c, 0.75) - approximate(c, 0.25)) / 1.349 for c in x.T])
-    scatter = np.diag(sd**2) + floors
-    for _ in range(quality.STEPS):
-        d2 = distances(x, centre, scatter)
-        near = x[d2 <= approximate(d2.tolist(), quality.KEEP)]
-        centre, scatter = near.mean(axis=0), quality.CONSISTENCY * np.cov(near.T, bias=True) + floors
-    return centre, scatter
+    models = {}
+    for g, x in groups.items():
+        sd = np.array([(approximate(c, 0.75) - approximate(c, 0.25)) / 1.349 for c in x.T])
+        models[g] = np.array([approximate(c, 0.5) for c in x.T]), np.diag(sd**2) + floors
+    for step in range(quality.STEPS):
+        moved = False
+        for g, x in groups.items():
+            centre, scatter = models[g]
+            d2 = distances(x, centre, scatter)
+            near = x[d2 <= approximate(d2.tolist(), quality.KEEP)]
+            models[g] = near.mean(axis=0), quality.CONSISTENCY * np.cov(near.T, bias=True).reshape(5, 5) + floors
+            moved |= abs(np.linalg.slogdet(models[g][1])[1] - np.linalg.slogdet(scatter)[1]) / 2 > quality.SETTLED
+        if step and not moved:
+            break
+    return models
 
 
 def distances(x, centre, scatter):
@@ -52,19 +59,12 @@ def distances(x, centre, scatter):
 
 def brute_quality(docs):
     stats = {d[0]: statistics(d[1]) for d in docs}
-    keys = {d[0]: ((d[2], d[3]), d[2], "all") for d in docs}
     members = collections.defaultdict(list)
-    for i, (failed, v) in stats.items():
-        if not failed:
-            for level, k in enumerate(keys[i]):
-                members[level, k].append(v)
-    models = {k: robust(np.array(v)) for k, v in members.items() if k[0] == 2 or len(v) >= quality.MIN_GROUP}
-    out = set()
-    for i, (failed, v) in stats.items():
-        at = next((level, k) for level, k in enumerate(keys[i]) if (level, k) in models)
-        if not failed and distances(np.array([v]), *models[at])[0] <= quality.LIMIT:
-            out.add(i)
-    return [d for d in docs if d[0] in out]
+    for d in docs:
+        if not stats[d[0]][0]:
+            members[d[2], d[3]].append(stats[d[0]][1])
+    models = robust({g: np.array(v) for g, v in members.items()})
+    return [d for d in docs if not stats[d[0]][0] and distances(np.array([stats[d[0]][1]]), *models[d[2], d[3]])[0] <= quality.LIMIT]
 
 
 def brute_lines(docs):
