@@ -1,8 +1,10 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes.
 
-A page is parsed into a tree; every element gets features of its subtree (text,
-link and tag density), its attribute tokens, its depth and its siblings.
-Boosted trees say how likely it is part of the main text.  Decoding is over
+A page is parsed into a tree, by the rules of the HTML standard for tags,
+attributes and omitted end tags, in time linear in its length; every element
+gets features of its subtree (text, link and tag density), its attribute
+tokens, its depth and its siblings.  An attribute token counts by how often
+training elements that have it are main text.  Boosted trees say how likely it is part of the main text.  Decoding is over
 the whole tree: an element can be main only where its parent is, and among all
 such choices the most likely one is found by dynamic programming, so no
 descendant of a rejected element is ever kept.
@@ -17,8 +19,9 @@ blocks give nothing.  Block elements and ``br`` begin new blocks.
 
 Defined cases: null html is an empty page; an empty page or one without main
 text gives an empty string; markup that never closes is closed by the end of
-the page; a stray end tag is passed over; text outside any element belongs to
-the body; repeated rows are alike; an empty table gives no rows; other
+the page, a tag whose quote never closes by its next ``>``; a stray end tag is
+passed over; text outside any element belongs to the body; very long pages are
+read whole; repeated rows are alike; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -34,31 +37,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TRAIN_PAGES = 800
-TREES = 60
+TRAIN_PAGES = 1000
+TREES = 80
 DEPTH = 4
 RATE = 0.25
 BINS = 24
 SEED = 6
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is not markup.
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp".split())
-#: Elements that never hold main text.
-HIDDEN = frozenset("head script style noscript template iframe svg math title textarea select button option object canvas xmp datalist".split())
+#: Elements whose content is not markup; none of it is shown as text, or it is a form's.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Elements that never hold main text: what is not shown, and parts of forms.
+HIDDEN = frozenset("head script style template iframe title textarea select option datalist noembed noframes".split())
+HEAD = frozenset("head title meta link script style base noscript template".split())
 BLOCK = frozenset("html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption header footer nav aside form fieldset legend address details summary hr br center dialog search hgroup menu head title".split())
-#: An opening tag of the key ends these open elements, up to a boundary.
-CLOSES = {
-    "li": (("li",), ("ul", "ol", "menu")),
-    "dt": (("dt", "dd"), ("dl",)),
-    "dd": (("dt", "dd"), ("dl",)),
-    "tr": (("tr", "td", "th"), ("table",)),
-    "td": (("td", "th"), ("tr", "table")),
-    "th": (("td", "th"), ("tr", "table")),
-    "option": (("option",), ("select",)),
-}
+#: Kinds of elements whose end tag may be left out; each node knows the innermost open one of each kind in its scope.
+PARAGRAPH, ITEM, TERM, ROW, CELL, OPTION, FOREIGN = range(7)
+KIND = {"p": PARAGRAPH, "li": ITEM, "dt": TERM, "dd": TERM, "tr": ROW, "td": CELL, "th": CELL, "option": OPTION, "svg": FOREIGN, "math": FOREIGN}
+#: Kinds that the key's content does not see.
+NEW_SCOPE = {
+    "table": (PARAGRAPH, ITEM, TERM, ROW, CELL), "td": (PARAGRAPH, ITEM, TERM), "th": (PARAGRAPH, ITEM, TERM), "caption": (PARAGRAPH, ITEM, TERM), "button": (PARAGRAPH,),
+    "ul": (ITEM,), "ol": (ITEM,), "menu": (ITEM,), "dl": (TERM,), "tr": (CELL,), "select": (OPTION,), "foreignobject": (FOREIGN,),
+}
+#: What an opening tag of the key ends, the outermost first.
+CLOSES = {"li": (ITEM,), "dt": (TERM,), "dd": (TERM,), "tr": (ROW, CELL), "td": (CELL,), "th": (CELL,), "option": (OPTION,)}
+#: An end tag of another element does not reach beyond these.
+CELLS = frozenset("td th caption".split())
+TABLE = frozenset("table thead tbody tfoot tr td th caption html body".split())
 ENDS_P = BLOCK - frozenset("br html body head title".split())
-#: Words of class, id and role that tell main text from the rest (fixed values).
+#: Names that the generated training pages give to their parts (fixed values).
 TOKENS = (
     ("main", "article content main post entry story body text prose page markdown"),
     ("menu", "nav menu navbar breadcrumb breadcrumbs navigation toc tabs pagination pager links skip"),
@@ -73,72 +80,159 @@ TOKENS = (
 )
 TAGS = ("article main section div p h1 h2 h3 h4 h5 h6 ul ol li a nav header footer aside form table td blockquote pre figure figcaption b i em strong span code label button").split()
 
-_tag = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_attribute = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
+_gap, _name, _equals, _bare = (re.compile(x) for x in (r"[\s/]*", r"=?[^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
+_tag_name = re.compile(r"[a-zA-Z][^\s/>]*")
+_raw_end = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)", re.I) for tag in RAW}
 _token = re.compile(r"[a-z]+")
 _white = re.compile(r"\s+")
-_kinds = {word: k for k, (_, words) in enumerate(TOKENS) for word in words.split()}
+NAMED = frozenset("class id role aria-label itemprop".split())
 
 
 class Node:
-    __slots__ = ("attrs", "children", "depth", "parent", "tag", "main")
+    __slots__ = ("attrs", "children", "depth", "parent", "scope", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
+    def __init__(self, tag: str, parent: Node | None, attrs: tuple[tuple[str, str], ...] = ()):
         self.tag, self.parent, self.attrs = tag, parent, attrs
         #: Elements and pieces of text, in order.
         self.children: list[Node | str] = []
         self.depth = parent.depth + 1 if parent else 0
-        self.main = False
+        scope = parent.scope if parent else (None,) * 7
+        if tag in KIND or tag in NEW_SCOPE:
+            mine: list[Node | None] = list(scope)
+            for kind in NEW_SCOPE.get(tag, ()):
+                mine[kind] = None
+            if tag in KIND:
+                mine[KIND[tag]] = self
+            scope = tuple(mine)
+        #: The innermost open element of each kind, as this one's content sees it.
+        self.scope = scope
+
+
+def _attributes(page: str, at: int) -> tuple[list[tuple[str, str]], int, bool]:
+    """The attributes from here on, where the tag ends (the end of the page if nowhere), and whether a slash ends it."""
+    found: list[tuple[str, str]] = []
+    n = len(page)
+    while True:
+        start, at = at, _gap.match(page, at).end()
+        if at >= n:
+            return found, n, False
+        if page[at] == ">":
+            return found, at + 1, page[at - 1] == "/" and at > start
+        m = _name.match(page, at)
+        at = m.end()
+        equals = _equals.match(page, at)
+        if not equals:
+            found.append((m[0].lower(), ""))
+            continue
+        at = equals.end()
+        quote = page[at : at + 1]
+        if quote in ("'", '"'):
+            end = page.find(quote, at + 1)
+            if end < 0:  # there is no other such quote on the page, so this is looked for once
+                end = page.find(">", at)
+                return found, end + 1 if end >= 0 else n, False
+            found.append((m[0].lower(), page[at + 1 : end]))
+            at = end + 1
+        else:
+            value = _bare.match(page, at)
+            found.append((m[0].lower(), value[0]))
+            at = value.end()
+
+
+class Builder:
+    """The open elements while a page is read."""
+
+    def __init__(self):
+        self.root = self.here = Node("#root", None)
+        #: How many elements of a tag are open, for each open table cell anew.
+        self.open: list[dict[str, int]] = [{}]
+
+    def text(self, piece: str) -> None:
+        if piece:
+            if self.here.tag == "head" and not piece.isspace():
+                self.leave(self.here)
+            self.here.children.append(entities.unescape(piece))
+
+    def leave(self, node: Node) -> None:
+        """Close an open element with all in it; each is closed once, so all closing is linear."""
+        while True:
+            closed, self.here = self.here, self.here.parent
+            if closed.tag in CELLS:
+                self.open.pop()
+            self.open[-1][closed.tag] -= 1
+            if closed is node:
+                return
+
+    def start(self, tag: str, attrs: list[tuple[str, str]], closed: bool) -> None:
+        if self.here.tag == "head" and tag not in HEAD:
+            self.leave(self.here)
+        if tag in ENDS_P and self.here.scope[PARAGRAPH]:
+            self.leave(self.here.scope[PARAGRAPH])
+        for kind in CLOSES.get(tag, ()):
+            if self.here.scope[kind]:
+                self.leave(self.here.scope[kind])
+                break
+        node = Node(tag, self.here, tuple(attrs))
+        self.here.children.append(node)
+        if tag in VOID or tag in RAW or (closed and node.scope[FOREIGN]):
+            return
+        self.open[-1][tag] = self.open[-1].get(tag, 0) + 1
+        if tag in CELLS:
+            self.open.append({})
+        self.here = node
+
+    def end(self, tag: str) -> None:
+        seen = self.open if tag in TABLE else self.open[-1:]
+        if not any(counts.get(tag) for counts in reversed(seen)):
+            return
+        node = self.here
+        while node.tag != tag:
+            node = node.parent
+        self.leave(node)
 
 
 def parse(page: str) -> Node:
     """The tree of a page under an artificial root."""
-    root = Node("#root", None)
-    at, here, n = 0, root, len(page)
-    while at < n:
-        m = _tag.search(page, at)
-        if m is None:
-            here.children.append(entities.unescape(page[at:]))
+    tree, at, n = Builder(), 0, len(page)
+    text_from = 0
+    while True:
+        at = page.find("<", at)
+        if at < 0:
             break
-        if m.start() > at:
-            here.children.append(entities.unescape(page[at : m.start()]))
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            up: Node | None = here
-            while up and up.tag != tag:
-                up = up.parent
-            if up and up.parent:
-                here = up.parent
+        m = _tag_name.match(page, at + 1)
+        if m:
+            tree.text(page[text_from:at])
+            tag = m[0].lower()
+            attrs, at, closed = _attributes(page, m.end())
+            tree.start(tag, attrs, closed)
+            if tag in RAW:
+                end = _raw_end[tag].search(page, at)
+                stop = page.find(">", end.start()) if end else -1
+                at = stop + 1 if stop >= 0 else n
+        elif page.startswith("</", at):
+            tree.text(page[text_from:at])
+            m = _tag_name.match(page, at + 2)
+            if m:
+                _, at, _ = _attributes(page, m.end())
+                tree.end(m[0].lower())
+            else:
+                at = page.find(">", at) + 1 or n
+        elif page.startswith("<!--", at):
+            tree.text(page[text_from:at])
+            if page.startswith((">", "->"), at + 4):
+                at = page.find(">", at) + 1
+            else:
+                at = page.find("-->", at + 4) + 3
+                at = at if at > 2 else n
+        elif page.startswith(("<!", "<?"), at):
+            tree.text(page[text_from:at])
+            at = page.find(">", at) + 1 or n
+        else:  # a bare sign
+            at += 1
             continue
-        if tag in ENDS_P:
-            here = _ended(here, ("p",), ("table", "td", "th", "button"))
-        if tag in CLOSES:
-            here = _ended(here, *CLOSES[tag])
-        if tag == "body" and here.tag == "head":
-            here = here.parent
-        node = Node(tag, here, m[3])
-        here.children.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            if tag in ("title", "textarea"):
-                node.children.append(entities.unescape(page[at : end.start() if end else n]))
-            stop = page.find(">", end.start()) if end else -1
-            at = stop + 1 if stop >= 0 else n
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            here = node
-    return root
-
-
-def _ended(here: Node, tags: tuple[str, ...], bounds: tuple[str, ...]) -> Node:
-    up: Node | None = here
-    while up and up.tag not in bounds:
-        if up.tag in tags and up.parent:
-            return up.parent
-        up = up.parent
-    return here
+        text_from = at
+    tree.text(page[text_from:])
+    return tree.root
 
 
 def elements(root: Node) -> list[Node]:
@@ -151,16 +245,18 @@ def elements(root: Node) -> list[Node]:
     return out
 
 
-FEATURES = 24 + 2 * len(TOKENS) + len(TAGS)
+def names(node: Node) -> set[str]:
+    """The words of an element's attributes that name it."""
+    return {w for name, value in node.attrs if name in NAMED for w in _token.findall(value.lower())}
 
 
-def features(nodes: list[Node]) -> np.ndarray:
+def features(nodes: list[Node], codes: dict[str, float]) -> np.ndarray:
     """A row per element: subtree density, attribute tokens, depth, siblings."""
     n = len(nodes)
     place = {id(x): i for i, x in enumerate(nodes)}
     parent = np.array([place[id(x.parent)] if x.parent else -1 for x in nodes])
     own = np.zeros((n, 6))  # characters, words, link characters, stops, blocks, elements
-    kinds = np.zeros((n, len(TOKENS)))
+    kinds = np.zeros((n, 4))  # of the names' codes: least, greatest, sum; how many are known
     tags = np.zeros((n, len(TAGS)))
     tag_at = {t: k for k, t in enumerate(TAGS)}
     in_link = np.zeros(n, dtype=bool)
@@ -175,18 +271,15 @@ def features(nodes: list[Node]) -> np.ndarray:
         own[i, 4:] = x.tag in BLOCK, 1
         if x.tag in tag_at:
             tags[i, tag_at[x.tag]] = 1
-        if x.attrs:
-            for name, *values in _attribute.findall(x.attrs):
-                if name.lower() in ("class", "id", "role", "aria-label", "itemprop"):
-                    for word in _token.findall("".join(values).lower()):
-                        if word in _kinds:
-                            kinds[i, _kinds[word]] = 1
+        if x.attrs and (known := [codes[w] for w in names(x) if w in codes]):
+            kinds[i] = min(0, *known), max(0, *known), sum(known), len(known)
     total = own.copy()
     for i in range(n - 1, 0, -1):
         total[parent[i]] += total[i]
-    above = np.zeros_like(kinds)
+    above = np.zeros((n, 2))
     for i in range(1, n):
-        above[i] = above[parent[i]] + kinds[parent[i]]
+        up = parent[i]
+        above[i] = min(above[up, 0], kinds[up, 0]), max(above[up, 1], kinds[up, 1])
     count = np.bincount(parent[1:], minlength=n) if n > 1 else np.zeros(n)
     order = np.zeros(n)
     seen = np.zeros(n)
@@ -218,17 +311,20 @@ def features(nodes: list[Node]) -> np.ndarray:
         hidden.astype(float),
         *inside.T,
     ], axis=1)
-    return np.concatenate([base, kinds, np.minimum(above, 2), tags], axis=1)
+    return np.concatenate([base, kinds, above, tags], axis=1)
 
 
 class Trees:
     """Boosted regression trees for a yes or no, over binned features."""
 
+    #: How often names stand at main text, as log odds.
+    codes: dict[str, float]
+
     def __init__(self, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, bins: int = BINS):
         self.trees, self.depth, self.rate, self.bins = trees, depth, rate, bins
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
+        self.cuts = [self._cuts(c) for c in x.T]
         binned = self._binned(x)
         mean = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.first = float(np.log(mean / (1 - mean)))
@@ -240,6 +336,16 @@ class Trees:
             score += self._leaf(tree, binned)
         return self
 
+    def _cuts(self, column: np.ndarray) -> np.ndarray:
+        """Between values: half at quantiles of the rows, half at those of the distinct values, so that rare ones are told apart too."""
+        values = np.unique(column)
+        if len(values) <= self.bins:
+            return (values[1:] + values[:-1]) / 2
+        steps = np.linspace(0, 1, self.bins // 2 + 1)[1:-1]
+        at = np.unique(np.searchsorted(values, np.concatenate([np.quantile(column, steps), np.quantile(values, steps)])))
+        at = at[(at > 0) & (at < len(values))]
+        return (values[at] + values[at - 1]) / 2
+
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, v, side="right") for c, v in zip(self.cuts, x.T)], axis=1).astype(np.int64)
 
@@ -331,8 +437,10 @@ def blocks(root: Node, kept: set[int]) -> list[str]:
 def main_text(pages: list[str | None], model: Trees) -> list[str]:
     """The main text of each page."""
     trees = [elements(parse(p or "")) for p in pages]
-    rows = [features(t) for t in trees]
+    rows = [features(t, model.codes) for t in trees]
     odds = model.score(np.concatenate(rows)) if rows else np.empty(0)
+    # a formula or drawing is one thing: what is in it goes where it goes
+    odds[[node.parent is not None and node.parent.scope[FOREIGN] is not None for t in trees for node in t]] = 10.0
     out, at = [], 0
     for nodes, x in zip(trees, rows):
         keep = decode(nodes, odds[at : at + len(x)])
@@ -361,23 +469,30 @@ class Maker:
         how = self.r.random()
         return f' class="{word}"' if how < 0.5 else f' id="{word}"' if how < 0.7 else f' class="{self.r.choice(["box", "site", "c1", "block"])} {word}-{self.r.choice(["wrap", "inner", "list", "area"])}"'
 
+    def odd(self) -> str:
+        """A name that says nothing."""
+        return "-".join("".join(self.r.choices("abcdefghjkmnqrstuvwxyz", k=self.r.randint(1, 6))) for _ in range(2))
+
     def links(self, lo: int, hi: int) -> str:
         items = [f'<a href="/{w}">{w}</a>' for w in (self.words(1, 3) for _ in range(self.r.randint(lo, hi)))]
         return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if self.r.random() < 0.75 else " ".join(items)
 
-    def clutter(self) -> str:
+    def clutter(self, inside: bool = False) -> str:
         """One part that is not main text."""
         r = self.r
-        kind = r.choice(("nav", "head", "foot", "side", "note", "advert", "advert", "form", "talk", "share"))
+        kind = r.choice(("nav", "head", "foot", "side", "note", "advert", "advert", "form", "talk", "share", *(() if inside else ("foot", "plain"))))
         say = self.sentences(1, 2) if r.random() < 0.7 else self.words(2, 9)
         box = r.choice(("div", "section", "div"))
+        if kind == "plain":  # nothing but its name or its place tells
+            return r.choice((f"<noscript><p>{self.words(3, 9)}.</p></noscript>", f"<noscript>{self.words(3, 9)}</noscript>", f"<div class='{self.odd()}'>{self.links(2, 6)}</div>", f"<button>{self.words(1, 2)}</button>", f"<p><a href=/x>{self.words(1, 4)}</a></p>"))
         if kind == "nav":
             return f"<nav>{self.links(2, 9)}</nav>" if r.random() < 0.6 else f"<div{self.named(1)}>{self.links(2, 9)}</div>"
         if kind == "head":
             inner = f"<h1><a href='/'>{self.words(1, 3)}</a></h1><p>{self.words(2, 8)}</p>" if r.random() < 0.5 else f"<p>{say}</p>" + self.links(1, 4)
             return f"<header>{inner}</header>" if r.random() < 0.7 else f"<div{self.named(2)}>{inner}</div>"
         if kind == "foot":
-            inner = r.choice((say, f"<p>{say}</p>", self.links(2, 6), f"<p>{say}</p>{self.links(1, 5)}"))
+            say = f"&copy; {self.words(1, 2)} &middot; {say}" if r.random() < 0.5 else say
+            inner = r.choice((say, say, f"<p>{say}</p>", self.links(2, 6), f"<p>{say}</p>{self.links(1, 5)}"))
             return f"<footer>{inner}</footer>" if r.random() < 0.7 else f"<div{self.named(3)}>{inner}</div>"
         if kind == "side":
             inner = f"<h3>{self.words(1, 3)}</h3>" + r.choice((self.links(2, 8), f"<p>{self.sentences(1, 4)}</p>"))
@@ -407,7 +522,7 @@ class Maker:
         for _ in range(r.choice((1, 1, 1, 2, 2, 3, 4, 6, 9, 14))):
             kind = r.random()
             if kind < 0.72:
-                p = self.sentences(1, 30 if r.random() < 0.2 else 7) if r.random() < 0.85 else self.words(1, 6)
+                p = self.sentences(1, 30 if r.random() < 0.2 else 7) if r.random() < 0.75 else self.words(1, 6)
                 parts.append(self.marked(f"<p>{rich(p)}</p>" if r.random() < 0.7 else f"<p>{p}" if r.random() < 0.5 else f"<p><b>{p}<br>"))
             elif kind < 0.8:
                 parts.append(self.marked(f"<h{r.randint(2, 4)}>{self.words(1, 6)}</h2>"))
@@ -417,19 +532,35 @@ class Maker:
                 parts.append(self.marked(f"<blockquote><p>{self.sentences(1, 3)}</p></blockquote>"))
             elif kind < 0.93:
                 parts.append(self.marked("<table>" + "".join(f"<tr><td>{self.words(1, 4)}</td><td>{self.words(1, 4)}</td></tr>" for _ in range(r.randint(2, 5))) + "</table>"))
+            elif kind < 0.97:
+                w = self.words
+                parts.append(self.marked(r.choice((f"<p>{w(4, 9)} <math><mi>{w(1, 1)}</mi><mo>=</mo><mn>2</mn></math> {w(2, 9)}.</p>", *[f"<noscript><p>{self.sentences(1, 3)}</p></noscript>", f"<noscript>{self.sentences(1, 2)}</noscript>"] * 3, f"<figure><img src=x><figcaption>{w(3, 12)}</figcaption></figure>", f"<object><p>{w(4, 14)}</p></object>", f"<p>{w(3, 9)} <button>{w(1, 2)}</button> {w(3, 9)}</p>", f"<pre><code>{w(3, 20)}</code></pre>", f"<dl><dt>{w(1, 3)}<dd>{w(4, 14)}<dt>{w(1, 3)}<dd>{w(4, 14)}</dl>", f"<details><summary>{w(1, 4)}</summary><p>{self.sentences(1, 3)}</p></details>", f"<div class='{self.odd()}'><p>{self.sentences(1, 4)}</p></div>"))))
             else:
-                parts.append(self.clutter())
+                parts.append(self.clutter(inside=True))
         return "".join(parts)
 
     def page(self) -> str:
+        """A page; one in ten leaves out the tags that may be."""
+        whole = self.whole_page()
+        return re.sub(r"</?(?:html|body)[^>]*>", "", whole) if self.r.random() < 0.1 else whole
+
+    def whole_page(self) -> str:
         r = self.r
         title = self.words(1, 14) if r.random() < 0.8 else self.sentences(1, 2)
-        body = self.marked(f"<h1>{title}</h1>") * (r.random() < 0.9) + self.body()
+        body = self.marked(f"<h1>{title}</h1>") * (r.random() < 0.9)
+        body += self.body() if r.random() < 0.85 else self.marked(r.choice((f"<p>{self.words(1, 8)}</p>", f"<p><b>{title}<br></p>", f"<p>{self.words(2, 9)}")))
         how = r.random()
+        if how < 0.03:  # no main text at all
+            return "<html data-y><body data-y>" + "".join(self.clutter() for _ in range(r.choice((1, 1, 2, 4)))) + "</body></html>"
+        if how < 0.15:  # no wrapper: the text stands in the body, now and then with nothing around it
+            body = r.choice((body, self.marked(f"<p>{self.sentences(1, 6)}</p>"), self.sentences(1, 6), self.marked(f"<h1>{title}</h1><p>{self.words(3, 30)}</p>")))
+            return f"<html data-y><head><title>{title}</title></head><body data-y>{self.clutter() * (r.random() < 0.4)}{body}{self.clutter() * (r.random() < 0.4)}</body></html>"
         if how < 0.55:
             main = f"<article data-y{r.choice(['', '', self.named(0)])}>{body}</article>"
         elif how < 0.7:
             main = f"<main data-y{r.choice(['', self.named(0)])}>{body}</main>"
+        elif how < 0.78:
+            main = f"<div data-y class='{self.odd()}'>{body}</div>"
         else:
             main = f"<{(t := r.choice(['div', 'div', 'section']))} data-y{self.named(0)}>{body}</{t}>"
         for _ in range(r.choice((0, 0, 1, 2))):
@@ -440,20 +571,37 @@ class Maker:
         return f"<!DOCTYPE html><html data-y><head><title>{title}</title><style>p{{}}</style></head><body data-y>{before}<!-- {self.words(1, 3)} -->{main}{after}{end}"
 
 
-def labelled(pages: int = TRAIN_PAGES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the elements of generated pages."""
-    maker, x, y = Maker(seed), [], []
-    for _ in range(pages):
-        nodes = elements(parse(maker.page()))
-        x.append(features(nodes))
-        y.append(np.array([float(node.tag == "#root" or "data-y" in node.attrs) for node in nodes]))
-    return np.concatenate(x), np.concatenate(y)
+def is_main(node: Node) -> float:
+    return float(node.tag == "#root" or any(name == "data-y" for name, _ in node.attrs))
+
+
+def counted(trees: list[list[Node]]) -> dict[str, float]:
+    """For each name its log odds to stand at main text; two elements that say nothing are added to both sides."""
+    yes: dict[str, list[float]] = {}
+    for nodes in trees:
+        for node in nodes:
+            for w in names(node):
+                both = yes.setdefault(w, [2.0, 2.0])
+                both[is_main(node) > 0] += 1
+    return {w: float(np.log(b / a)) for w, (a, b) in yes.items() if a + b > 8}
+
+
+def labelled(pages: int = TRAIN_PAGES, seed: int = SEED, codes: dict[str, float] | None = None) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
+    """Features and labels of the elements of generated pages, and the codes of names, counted on as many others."""
+    maker = Maker(seed)
+    if codes is None:
+        codes = counted([elements(parse(maker.page())) for _ in range(pages)])
+    trees = [elements(parse(maker.page())) for _ in range(pages)]
+    return np.concatenate([features(t, codes) for t in trees]), np.array([is_main(node) for t in trees for node in t]), codes
 
 
 @functools.cache
 def fitted(pages: int = TRAIN_PAGES, seed: int = SEED) -> Trees:
     """The model, fitted once in a process."""
-    return Trees().fit(*labelled(pages, seed))
+    x, y, codes = labelled(pages, seed)
+    model = Trees().fit(x, y)
+    model.codes = codes
+    return model
 
 
 def extract(pages: DataFrame, model: Trees | None = None) -> DataFrame:
