@@ -3,18 +3,21 @@
 The longest common turn prefix of a pair is its prompt, rendered once; the
 turns after it are rendered for either side, as its completion.  Every
 rendered turn carries its mask: loss falls on assistant turns of completions
-and on nothing else.  Results are rows of turns, not strings of conversations:
-a conversation of any length is never gathered in one place, and a reader puts
-a pair together in the order of part and turn.
+and on nothing else.  ``preferences`` gives rows of turns; ``paired`` puts them
+together to records of prompt, chosen and rejected text with the spans that
+count.  A record holds the turns of one stretch of PIECE turn numbers, so a
+conversation of any length is never gathered in one place; a reader puts the
+pieces of a pair together in their order.
 
-Turns are numbered by ``turn``; only their order counts.
+Turns are numbered by ``turn``, a whole number; only their order counts.
 
 Defined cases: null text is an empty one, null role reads ``unknown``; a row
 without pair or turn has no place and is left out; repeated rows count once,
 and several different rows of one turn are one turn that holds them in order;
 a pair whose sides do not differ has nothing to prefer and is left out; a side
-may end where the other goes on; an empty table gives no rows; other columns
-are ignored.
+may end where the other goes on, and has an empty text in pieces that only the
+other has; very long texts stay whole; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 
 from .shared import lookup, stash
 
+#: Turn numbers that one record holds.
+PIECE = 64
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 
 
@@ -55,6 +60,25 @@ def preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     return rows.select("pair_id", F.col("piece.part").alias("part"), "turn", rendered(F.col("piece.of")).alias("text"), loss.alias("loss"))
 
 
+def paired(turns: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(pair_id, piece, prompt, chosen, rejected, chosen_loss, rejected_loss) from the rows of ``preferences``.
+
+    The texts are those of the piece's turns in order; the losses are the spans
+    (start, len) of the text, in characters from 0, that training counts.  A
+    prompt has none.
+    """
+    at = turns.withColumn("piece", F.floor(F.col("turn") / piece))
+    grouped = at.groupBy("pair_id", "piece").agg(*[F.sort_array(F.collect_list(F.when(F.col("part") == part, F.struct("turn", "text", "loss")))).alias(part) for part in ("prompt", "chosen", "rejected")])
+    text = lambda part: F.array_join(F.transform(part, lambda t: t["text"]), "")
+
+    def spans(part: str) -> Column:
+        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,len:int>>").alias("spans"))
+        more = lambda a, t: F.when(t["loss"], F.array_append(a["spans"], F.struct(a["end"].alias("start"), F.length(t["text"]).alias("len")))).otherwise(a["spans"])
+        return F.aggregate(part, start, lambda a, t: F.struct((a["end"] + F.length(t["text"])).alias("end"), more(a, t).alias("spans")))["spans"]
+
+    return grouped.select("pair_id", "piece", *[text(p).alias(p) for p in ("prompt", "chosen", "rejected")], spans("chosen").alias("chosen_loss"), spans("rejected").alias("rejected_loss"))
+
+
 def stale_replies(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs from plain conversations: chosen up to its last reply, rejected with the reply before in that place.
 
@@ -85,6 +109,17 @@ parts as (
   select t.pair_id, 'prompt' as part, t.turn, t.role, t.chosen as text from turns t join split s on t.pair_id = s.pair_id where t.turn < s.split
   union all select t.pair_id, 'chosen', t.turn, t.role, t.chosen from turns t join split s on t.pair_id = s.pair_id where t.turn >= s.split
   union all select t.pair_id, 'rejected', t.turn, t.role, t.rejected from turns t join split s on t.pair_id = s.pair_id where t.turn >= s.split)
-select pair_id, part, turn, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as text, part <> 'prompt' and role = 'assistant' as loss
-from parts
+said as (
+  select pair_id, part, turn, turn // 64 as piece, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as text, part <> 'prompt' and role = 'assistant' as loss
+  from parts),
+placed as (
+  select *, coalesce(sum(length(text)) over (partition by pair_id, piece, part order by turn rows between unbounded preceding and 1 preceding), 0) as start
+  from said)
+select pair_id, piece,
+  coalesce(string_agg(text, '' order by turn) filter (where part = 'prompt'), '') as prompt,
+  coalesce(string_agg(text, '' order by turn) filter (where part = 'chosen'), '') as chosen,
+  coalesce(string_agg(text, '' order by turn) filter (where part = 'rejected'), '') as rejected,
+  coalesce(string_agg(start || '+' || length(text), ',' order by turn) filter (where part = 'chosen' and loss), '') as chosen_loss,
+  coalesce(string_agg(start || '+' || length(text), ',' order by turn) filter (where part = 'rejected' and loss), '') as rejected_loss
+from placed group by pair_id, piece
 """

@@ -48,7 +48,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.preferences(*chat.stale_replies(table(spark, sf_dir, "conversations")))
+    pairs = chat.paired(chat.preferences(*chat.stale_replies(table(spark, sf_dir, "conversations"))))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("+", s["start"].cast("string"), s["len"].cast("string"))), ",")
+    return pairs.withColumns({c: spans(c) for c in ("chosen_loss", "rejected_loss")})
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

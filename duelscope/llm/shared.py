@@ -89,15 +89,21 @@ def stash(df: DataFrame, name: str = "table", by: str | None = None) -> DataFram
     _bounded(spark)
     seen = Observation()
     writer = df.observe(seen, *_sizes(df)).write.option("compression", "snappy")
-    _left.add(path)
-    if len(_left) == 1:
-        atexit.register(clean, spark)
+    kept_until_end(spark, path)
     (writer.partitionBy(by) if by else writer).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stashed, back._sizes = path, (seen.get["rows"], seen.get["bytes"])
     return back
 
 
+def kept_until_end(spark: SparkSession, path: str) -> str:
+    """A folder that something else than ``stash`` writes to, to be deleted with the tables of this process."""
+    if not _left:
+        atexit.register(clean, spark)
+    _left.add(path)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -31,7 +31,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, keyed, stash
+from .shared import fresh, kept_until_end, keyed, stash
 
 DATE = "2024-01-01T00:00:00Z"
 #: Bytes of an archive after which a task begins another.
@@ -85,8 +85,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def write(pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Write the archives of all pages; the manifest (path, records, bytes) of those that hold them."""
-    folder = folder or fresh(pages.sparkSession, "warc")
+    """Write the archives of all pages; the manifest (path, records, bytes) of those that hold them.
+
+    Without a folder they stand in the shared one until the process ends, with
+    those that failed attempts of a task have left; the manifest names neither.
+    """
+    folder = folder or kept_until_end(pages.sparkSession, fresh(pages.sparkSession, "warc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
