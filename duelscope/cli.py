@@ -7,7 +7,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from .operators import market
+from .operators import market, scenarios
 from .plans import project
 from .session import session
 from .sources import fetch, files
@@ -52,8 +52,16 @@ def main(argv: list[str] | None = None) -> int:
         return {name: spark.read.parquet(f"{a.out}/{name}").count()}
 
     def scenario_tables() -> dict:
-        observed = project.observations.observations(predictions().where("slam is not null")).withColumns({"min_prior": F.coalesce(F.least("prior_w", "prior_l"), F.lit(0)), "flagged": F.lit(False)})
-        return {k: v for name, df in project.robustness(observed).items() for k, v in write(name, df).items()}
+        rows = predictions().where("slam is not null")
+        if not a.odds:
+            raise SystemExit("robustness needs --odds: a scenario leaves out contests of suspicious prices")
+        found = project.market_benchmark(odds(), predictions(), files.aliases(spark, a.aliases) if a.aliases else None)["linked"]
+        priced = market.consensus(found.where("match_id is not null").withColumn("pairs", market.book_inventory(odds().columns)))
+        odd = priced.select("match_id", F.coalesce("suspicious", F.lit(False)).alias("flagged"))
+        regimes = scenarios.seed_regimes(contests()).select("tour", "slam", "year", "tourney_id", "regime")
+        rows = rows.join(odd, "match_id", "left").join(regimes, ["tour", "slam", "year", "tourney_id"], "left")
+        context = {"min_prior": F.coalesce(F.least("prior_w", "prior_l"), F.lit(0)), "both_surface": F.coalesce(F.least("surface_prior_w", "surface_prior_l") >= 1, F.lit(False)), "flagged": F.coalesce("flagged", F.lit(False)), "regime": F.coalesce("regime", F.lit("no_seeds"))}
+        return {k: v for name, df in project.robustness(project.observations.observations(rows.withColumns(context))).items() for k, v in write(name, df).items()}
 
     run = {
         "build-matches": lambda: project.build_matches(spark, a.raw, a.out),

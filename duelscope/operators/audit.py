@@ -15,7 +15,7 @@ URGENT = ("winner_name", "loser_name", "tourney_id")
 FULL_DRAW, SEVERE = 127, 114
 EXPECTED_ROUNDS = {"R128": 64, "R64": 32, "R32": 16, "R16": 8, "QF": 4, "SF": 2, "F": 1}
 #: Editions that did not take place (fixed values).
-CANCELLED = (("Wimbledon", 2020),)
+CANCELLED = (("Wimbledon", 2020), ("Australian Open", 1986))
 
 
 def _issue(severity, category: str, field: str, value: Column, message, **other) -> list[Column]:
@@ -92,11 +92,28 @@ def missing_events(matches: DataFrame, first: int, last: int) -> DataFrame:
     return grid.join(F.broadcast(cancelled), ["slam", "year"], "left_anti").join(present, ["tour", "year", "slam"], "left_anti")
 
 
-def low_years(matches: DataFrame, share: float = 0.65) -> DataFrame:
-    """Years with fewer contests than this share of their tour's median year."""
-    yearly = matches.groupBy("tour", "year").agg(F.count("*").alias("n"))
-    middle = yearly.groupBy("tour").agg(F.percentile("n", 0.5).alias("middle"))
-    return yearly.join(middle, "tour").where(F.col("n") < share * F.col("middle"))
+def known_cancelled(matches: DataFrame) -> DataFrame:
+    """(tour, year, slam) of editions that are known not to have been held, for every tour."""
+    cancelled = matches.sparkSession.createDataFrame(list(CANCELLED), "slam string, year int")
+    return matches.select("tour").distinct().crossJoin(F.broadcast(cancelled)).select("tour", "year", "slam")
+
+
+def low_years(matches: DataFrame, share: float = 0.65, first: int = 1988, last: int = 2025, left_out: int = 2020) -> DataFrame:
+    """Years of the primary period with fewer contests than this share of their tour's median year.
+
+    The year left out is not in the median, and only an info if it is low itself.
+    """
+    yearly = matches.where(F.col("year").between(first, last)).groupBy("tour", "year").agg(F.count("*").alias("n"))
+    middle = yearly.where(F.col("year") != left_out).groupBy("tour").agg(F.percentile("n", 0.5).alias("middle"))
+    low = yearly.join(middle, "tour").where(F.col("n") < share * F.col("middle"))
+    return low.withColumn("severity", F.when(F.col("year") == left_out, "info").otherwise("warning"))
+
+
+def in_order(issues: DataFrame) -> list[Column]:
+    """The total order of an exported table of findings; nulls come first."""
+    severity = F.when(F.col("severity") == "error", 1).when(F.col("severity") == "warning", 2).otherwise(3)
+    names = ("tour", "year", "tourney_id", "tourney_name", "source_file", "source_row_number", "match_id", "field", "value", "detail")
+    return [severity, F.col("category"), *[F.col(c).asc_nulls_first() for c in names if c in issues.columns]]
 
 
 def issue_table(matches: DataFrame, normalization: DataFrame | None = None) -> DataFrame:
@@ -132,3 +149,16 @@ def exact_duplicate_count() -> Column:
 def probable_duplicate_flag(date: str = "tourney_date") -> Column:
     same = Window.partitionBy("tour", "year", date, F.lower("tourney_name"), "round", F.least("winner_id", "loser_id"), F.greatest("winner_id", "loser_id"))
     return F.count("*").over(same) > 1
+
+
+def placed(issues: DataFrame) -> DataFrame:
+    """The findings with their place in the order of ``in_order``, for exports that other tools read unordered."""
+    return issues.withColumn("place", F.row_number().over(Window.orderBy(*in_order(issues))).cast("bigint"))
+
+
+def blocking(matches: DataFrame) -> DataFrame:
+    """The counters of a verdict that are sums over the rows, from one aggregate and one count of repeated ids."""
+    repeated = duplicate_ids(matches).agg(F.count("*").alias("duplicate_ids"))
+    rows = matches.agg(F.count("*").alias("matches"), F.countDistinct("tour").alias("tours"), F.min("year").alias("first_year"), F.max("year").alias("last_year"),
+                       F.count_if((F.col("tourney_level") == "G") & F.col("slam").isNull() & (F.col("year") >= 1988)).alias("unmapped"), F.count_if(~F.col("surface").isin(*SURFACES)).alias("odd_surfaces"))
+    return rows.crossJoin(repeated)

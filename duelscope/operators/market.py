@@ -168,3 +168,13 @@ def proposals(unmatched: DataFrame, candidates: DataFrame) -> DataFrame:
     """For each unmatched name (id, context, name) the most similar candidate (context, other) of its context."""
     pairs = unmatched.join(candidates, "context").withColumn("score", F.round(ratio("name", "other"), 6))
     return pairs.groupBy("id", "name").agg(F.max_by("other", F.struct("score", "other")).alias("proposal"), F.max("score").alias("score"))
+
+
+def coverage(consensual: DataFrame) -> DataFrame:
+    """Contests, those priced, and counts of methods and reasons as JSON: for all, and by tour and Slam."""
+    status = F.coalesce("odds_method", "unavailable_reason", F.lit("missing"))
+    cells = F.array(F.struct(F.lit("all").alias("tour"), F.lit("all").alias("slam")), F.struct("tour", "slam"))
+    rows = consensual.select(status.alias("status"), F.col("p_winner").isNotNull().alias("ok"), F.explode(cells).alias("c"))
+    counts = rows.groupBy("c.tour", "c.slam", "status").agg(F.count("*").alias("n"), F.count_if("ok").alias("available"))
+    pairs = F.transform(F.sort_array(F.collect_list(F.struct("status", "n"))), lambda x: F.concat(F.lit('"'), x["status"], F.lit('":'), x["n"].cast("string")))
+    return counts.groupBy("tour", "slam").agg(F.sum("n").alias("n"), F.sum("available").alias("available"), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("statuses"))

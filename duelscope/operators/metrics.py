@@ -180,3 +180,43 @@ def with_metadata(observed: DataFrame, metadata: DataFrame, columns: tuple[str,
     lookup = metadata.select("match_id", F.col("model").alias("lookup_model"), *columns)
     rows = observed.withColumn("lookup_model", F.when(F.col("model") == "market_odds", "overall_elo").otherwise(F.col("model")))
     return rows.join(lookup, ["match_id", "lookup_model"], "left").drop("lookup_model")
+
+
+#: Sums of a paired comparison, per edition.
+PAIR_SUMS = ("score_n", "pair_n", "brier", "log_loss", "expected", "actual", "primary_ties", "variant_ties", "ties_created", "ties_removed")
+
+
+def paired_sums(variant: DataFrame, primary: DataFrame) -> DataFrame:
+    """Per model, tour, Slam and edition: variant less primary on the same contests.
+
+    Scores count all contests, upset rates those that neither side calls a tie.
+    """
+    keep = ["match_id", "brier", "log_loss", "upset_eligible", "p_under", "upset"]
+    b = primary.select(*[F.col(c).alias(c if c == "match_id" else f"b_{c}") for c in keep])
+    rows = variant.select("model", "tour", "slam", "edition_id", *keep).join(b, "match_id")
+    both = F.col("upset_eligible") & F.col("b_upset_eligible")
+    less = lambda c: F.col(c) - F.col(f"b_{c}")
+    count = lambda cond: F.count_if(cond).cast("bigint")
+    return rows.groupBy("model", "tour", "slam", "edition_id").agg(
+        F.count("*").alias("score_n"), count(both).alias("pair_n"), F.sum(less("brier")).alias("brier"), F.sum(less("log_loss")).alias("log_loss"),
+        F.coalesce(F.sum(F.when(both, less("p_under"))), F.lit(0.0)).alias("expected"), F.coalesce(F.sum(F.when(both, less("upset"))), F.lit(0)).cast("double").alias("actual"),
+        count(~F.col("b_upset_eligible")).alias("primary_ties"), count(~F.col("upset_eligible")).alias("variant_ties"),
+        count(F.col("b_upset_eligible") & ~F.col("upset_eligible")).alias("ties_created"), count(~F.col("b_upset_eligible") & F.col("upset_eligible")).alias("ties_removed"))
+
+
+def paired_points(sums: DataFrame) -> DataFrame:
+    """The five differences of every model, tour and Slam, with the counts that they rest on."""
+    total = sums.groupBy("model", "tour", "slam").agg(*[F.sum(c).alias(c) for c in PAIR_SUMS], F.count("*").alias("editions"))
+    per = lambda x, n, scale: F.round(F.try_divide(scale * x, F.col(n).cast("double")), 6)
+    return total.select(
+        "model", "tour", "slam", "editions", "score_n", "pair_n", "primary_ties", "variant_ties", "ties_created", "ties_removed",
+        per(F.col("expected"), "pair_n", 100.0).alias("expected_per_100"), per(F.col("actual"), "pair_n", 100.0).alias("actual_per_100"),
+        per(F.col("actual") - F.col("expected"), "pair_n", 100.0).alias("excess_per_100"), per(F.col("brier"), "score_n", 1.0).alias("brier_score"), per(F.col("log_loss"), "score_n", 1.0).alias("log_loss"))
+
+
+def over_dimensions(observed: DataFrame, keys: tuple[str, ...], values: dict[str, Column]) -> DataFrame:
+    """Metrics of the keys within each value of each dimension, from one pass."""
+    of = F.array(*[F.struct(F.lit(name).alias("dimension"), value.alias("value")) for name, value in values.items()])
+    rows = observed.withColumn("__of", F.explode(of)).withColumns({"dimension": F.col("__of.dimension"), "value": F.col("__of.value")})
+    named = (*keys, "dimension", "value")
+    return rows.groupBy(*named).agg(*row_sums()).select(*named, *metrics())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.probability import clamp, log_loss
@@ -71,3 +71,32 @@ def exclusion_counts(observed: DataFrame) -> DataFrame:
     """Rows left out, by population, tour, Slam, model and reason."""
     reason = F.coalesce("population_exclusion", F.when(~F.col("upset_eligible"), F.col("orientation_reason")))
     return observed.withColumn("reason", reason).where("reason is not null").groupBy("population", "tour", "slam", "model", "reason").agg(F.count("*").alias("n"))
+
+
+def odds_universe(predictions: DataFrame, years: tuple[int, int], since: dict[str, int], model: str = "overall_elo") -> DataFrame:
+    """Slam contests that prices can be linked to, each tour from its first priced year on, with their place in order."""
+    own = F.lit(False)
+    for tour, year in since.items():
+        own = own | ((F.col("tour") == tour) & (F.col("year") >= year))
+    place = F.row_number().over(Window.partitionBy("tour").orderBy("year", "slam", F.col("round").asc_nulls_first(), "match_id"))
+    rows = predictions.where((F.col("model") == model) & F.col("slam").isNotNull() & F.col("year").between(*years) & own)
+    return rows.select("match_id", "tour", "year", "slam", "round", place.cast("bigint").alias("place"))
+
+
+def in_scope(predictions: DataFrame, years: tuple[int, int], tours: tuple[str, ...], models: tuple[str, ...]) -> DataFrame:
+    """Slam predictions of these years, tours and models; all conditions reach the scan."""
+    return predictions.where(F.col("slam").isNotNull() & F.col("year").between(*years) & F.col("tour").isin(*tours) & F.col("model").isin(*models))
+
+
+def prefixed(version: str, samples: dict[str, DataFrame]) -> DataFrame:
+    """The samples one after the other, each row under its version and sample."""
+    out = None
+    for name, rows in samples.items():
+        named = rows.withColumns({"version": F.lit(version), "sample": F.lit(name)})
+        out = named if out is None else out.unionByName(named, allowMissingColumns=True)
+    return out
+
+
+def of_winner(one: str, two: str) -> Column:
+    """The value of the side that won, from those of player 1 and 2."""
+    return F.when(F.col("winner_is_player_1"), F.col(one)).otherwise(F.col(two))

@@ -260,3 +260,10 @@ def duplicate_audit(contests: DataFrame) -> DataFrame:
     rows = prepared(contests).where("duplicate")
     decision = F.when(F.col("base").isNotNull(), F.concat(F.lit("ineligible:"), "base")).when(F.col("representative"), "kept").otherwise("removed")
     return rows.select("match_id", "tour", "year", "representative", decision.alias("decision"))
+
+
+def best_by_policy(losses: DataFrame) -> DataFrame:
+    """Per policy (the variant's name up to its first dash) and tour the candidate of least log loss over both windows."""
+    total = losses.groupBy("variant", "tour").agg((F.sum(F.col("log_loss") * F.col("n")) / F.sum("n")).alias("log_loss"), (F.sum(F.col("brier") * F.col("n")) / F.sum("n")).alias("brier"))
+    own = total.withColumn("policy", F.split("variant", "-")[0])
+    return own.groupBy("policy", "tour").agg(F.min_by("variant", F.struct("log_loss", "brier", "variant")).alias("variant"), F.round(F.min("log_loss"), 6).alias("log_loss"))

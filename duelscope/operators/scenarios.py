@@ -12,35 +12,73 @@ from .metrics import metrics, row_sums
 EARLY, LATE = ("R128", "R64", "R32"), ("R16", "QF", "SF", "F")
 
 
-def tags(min_prior: Column | None = None) -> dict[str, Column]:
-    """Scenario name to the condition of its rows."""
+PRIMARY, INCLUSIVE = "completed_non_retirement", "retirement_inclusive"
+ERAS = ("1988-1999", "2000-2009", "2010-2019", "2020-2025")
+REGIMES = ("no_seeds", "16_seeds", "32_seeds")
+
+
+def tags() -> dict[str, Column]:
+    """Scenario name to the condition of its rows.
+
+    ``maximum`` scenarios hold what each model can score, ``common`` ones the
+    contests that all models can.  All but one are of the primary population.
+    """
     c = F.col
-    prior = c("min_prior") if min_prior is None else min_prior
+    primary = c("population") == PRIMARY
+    common = primary & c("common")
+    wimbledon_2022 = (c("slam") == "Wimbledon") & (c("year") == 2022)
     return {
-        "common_primary": F.lit(True),
-        "common_exclude_flagged_overround": ~c("flagged"),
-        **{f"common_min_prior_{n}": prior >= n for n in (1, 5, 20)},
-        "common_exclude_2020_2022": ~c("year").between(2020, 2022),
-        "common_exclude_wimbledon_2022": ~((c("slam") == "Wimbledon") & (c("year") == 2022)),
-        "common_early_rounds": c("round").isin(*EARLY),
-        "common_late_rounds": c("round").isin(*LATE),
-        "common_exclude_extreme_favorites": ~c("extreme"),
-        "common_remove_top10_positive_residuals": ~c("top10"),
-        "common_latest_five_editions": c("latest"),
+        "maximum_available_primary": primary,
+        "common_primary": common,
+        "common_retirement_inclusive": (c("population") == INCLUSIVE) & c("common"),
+        "common_exclude_flagged_overround": common & ~c("flagged"),
+        **{f"common_min_prior_{n}": common & (c("min_prior") >= n) for n in (1, 5, 20)},
+        "common_both_players_surface_history": common & c("both_surface"),
+        "common_exclude_2020_2022": common & ~c("year").between(2020, 2022),
+        "common_exclude_wimbledon_2022": common & ~wimbledon_2022,
+        "common_early_rounds": common & c("round").isin(*EARLY),
+        "common_late_rounds": common & c("round").isin(*LATE),
+        **{f"{name}_seed_field_regime_{r}": of & (c("regime") == r) for name, of in (("maximum", primary), ("common", common)) for r in REGIMES},
+        **{f"{name}_era_{e}": of & (era(c("year")) == e) for name, of in (("maximum", primary), ("common", common)) for e in ERAS},
+        "maximum_latest_five_editions": primary & c("latest"),
+        "common_latest_five_editions": common & c("latest_common"),
+        "common_latest_five_exclude_wimbledon_2022": common & c("latest_common") & ~wimbledon_2022,
+        "common_exclude_extreme_favorites": common & ~c("extreme"),
+        "common_remove_top10_positive_residuals": common & ~c("top10"),
     }
 
 
-def with_flags(observed: DataFrame) -> DataFrame:
-    """Adds what the conditions look at: extreme (by any model of the contest), top10 residuals, latest editions."""
+def with_flags(observed: DataFrame, models: int = 3) -> DataFrame:
+    """Adds what the conditions look at.
+
+    common: all models score the contest; extreme: a side is below 0.05 by any
+    of them; top10 positive residuals of the common panel; latest editions of
+    each sample.  Contexts (min_prior, flagged, both_surface, regime) come with
+    the rows.
+    """
     by_match = Window.partitionBy("population", "match_id")
-    rows = observed.withColumn("extreme", F.coalesce(F.min("p_under").over(by_match) < 0.05, F.lit(False)))
-    residual = F.when(F.col("upset_eligible"), F.col("upset") - F.col("p_under"))
+    scored = F.col("score_eligible").cast("int")
+    rows = observed.withColumns({"common": F.sum(scored).over(by_match) == models, "extreme": F.coalesce(F.min("p_under").over(by_match) < 0.05, F.lit(False))})
+    residual = F.when(F.col("upset_eligible") & F.col("common"), F.col("upset") - F.col("p_under"))
     rows = rows.withColumn("residual", F.when(residual > 0, residual))
     base = ["population", "tour", "slam", "model"]
     place = F.row_number().over(Window.partitionBy(*base).orderBy(F.col("residual").desc_nulls_last(), F.col("match_id").desc()))
     rows = rows.withColumn("top10", F.col("residual").isNotNull() & (place <= 10))
-    newest = F.dense_rank().over(Window.partitionBy(*base).orderBy(F.col("year").desc(), F.col("edition_id").desc()))
-    return rows.withColumn("latest", newest <= 5)
+    newest = [F.col("year").desc(), F.col("edition_id").desc()]
+    latest = F.dense_rank().over(Window.partitionBy(*base, "score_eligible").orderBy(*newest)) <= 5
+    latest_common = F.dense_rank().over(Window.partitionBy(*base, "common").orderBy(*newest)) <= 5
+    return rows.withColumns({"latest": latest & F.col("score_eligible"), "latest_common": latest_common & F.col("common")})
+
+
+def surface_history(contests: DataFrame) -> DataFrame:
+    """(match_id, both_surface): whether both sides played on this surface before the day."""
+    keys = ["tour", "player_id", "surface"]
+    sides = [contests.where("not is_walkover").select("tour", F.col(f"{w}_id").alias("player_id"), "surface", "event_date") for w in ("winner", "loser")]
+    first = sides[0].unionByName(sides[1]).groupBy(*keys).agg(F.min("event_date").alias("since"))
+    rows = contests.select("match_id", "tour", "surface", "event_date", "winner_id", "loser_id")
+    for w in ("winner", "loser"):
+        rows = rows.withColumn("player_id", F.col(f"{w}_id")).join(first.withColumnRenamed("since", f"{w}_since"), keys, "left").drop("player_id")
+    return rows.select("match_id", F.coalesce((F.col("winner_since") < F.col("event_date")) & (F.col("loser_since") < F.col("event_date")), F.lit(False)).alias("both_surface"))
 
 
 def scenario_summaries(flagged: DataFrame, conditions: dict[str, Column]) -> DataFrame:
@@ -85,3 +123,11 @@ def rank_seed_descriptive(contests: DataFrame) -> DataFrame:
         F.count("*").alias("matches"), F.count_if(ranked).alias("ranked"), F.count_if(ranked & (F.col("winner_rank") > F.col("loser_rank"))).alias("rank_upsets"),
         F.count_if(ranked & (F.col("winner_rank") == F.col("loser_rank"))).alias("rank_ties"), F.count_if(seeded).alias("seeded"),
         F.count_if(F.col("ls").isNotNull() & F.col("ws").isNull()).alias("unseeded_beats_seeded"), F.count_if(~F.col("winner_entry").eqNullSafe(F.col("loser_entry"))).alias("entries_differ"))
+
+
+def upsets_by_regime(contests: DataFrame) -> DataFrame:
+    """How often the better ranked and the seeded side lose under each regime of seeds."""
+    rows = contests.where("slam is not null and not is_walkover").join(seed_regimes(contests).select("tour", "slam", "year", "tourney_id", "regime"), ["tour", "slam", "year", "tourney_id"])
+    return rows.groupBy("tour", "slam", "regime").agg(
+        F.count("*").alias("matches"), F.count_if(F.coalesce(F.col("winner_rank") > F.col("loser_rank"), F.lit(False))).alias("rank_upsets"),
+        F.count_if(F.col("loser_seed").isNotNull() & F.col("winner_seed").isNull()).alias("unseeded_beats_seeded"))

@@ -135,7 +135,8 @@ def a08(s, d):
     return src.contests(s, d).agg(F.count_if(F.expr("level = 'G' and slam is null")).alias("unmapped"), F.count_if(F.expr("round is null or winner_rank is null")).alias("incomplete"), F.count_if(F.expr("slam is not null and round not in ('QF', 'SF', 'F')")).alias("early"))
 
 
-query("a09_low_years", f"with {C}, y as (select tour, year, count(*) as n from contests group by all), m as (select tour, quantile_cont(n, 0.5)::double as middle from y group by tour) select tour, year, n, middle from y join m using (tour) where n < 0.65 * middle")(lambda s, d: audit.low_years(src.contests(s, d)))
+query("a09_low_years", f"""with {C}, y as (select tour, year, count(*) as n from contests where year between 1988 and 2025 group by all), m as (select tour, quantile_cont(n, 0.5)::double as middle from y where year <> 2020 group by tour)
+select tour, year, n, middle, case when year = 2020 then 'info' else 'warning' end as severity from y join m using (tour) where n < 0.65 * middle""")(lambda s, d: audit.low_years(src.contests(s, d)))
 
 APPEAR = C + """,
 appearances as (
@@ -309,34 +310,6 @@ query("mkt05_power_pairs")(lambda s, d: market.pair_details(priced(s, d), ("powe
 query("a27_missing_odds", f"""with {PRICED} select c.tour, c.slam, k.odds_method is not null as priced, count(*) as n, count(*) filter (c.is_retirement) as retired, round(avg(c.winner_rank), 6) as mean_rank from contests c join consensus k using (match_id) where c.slam is not null group by all""")(
     lambda s, d: market.consensus(priced(s, d)).where("slam is not null").groupBy("tour", "slam", F.col("odds_method").isNotNull().alias("priced")).agg(F.count("*").alias("n"), F.count_if("is_retirement").alias("retired"), F.round(F.avg("winner_rank"), 6).alias("mean_rank")))
 
-# --- scenarios ---------------------------------------------------------------
-
-def flagged(s, d):
-    o = observed(s, d)
-    prior = coldstart.match_rollup(coldstart.entrants(src.contests(s, d))).select("match_id", "min_prior")
-    odd = market.consensus(priced(s, d)).select("match_id", F.coalesce("suspicious", F.lit(False)).alias("flagged"))
-    return scenarios.with_flags(o.where("slam is not null").join(prior, "match_id", "left").join(odd, "match_id", "left").withColumns({"min_prior": F.coalesce("min_prior", F.lit(0)), "flagged": F.coalesce("flagged", F.lit(False))}))
-
-
-FLAGGED = OBSERVED + "," + APPEAR.split(C + ",")[1] + "," + PRICED.split(C + ",")[1] + f""",
-joined as (select o.*, coalesce(r.min_prior, 0) as min_prior, coalesce(k.suspicious, false) as flagged from observed o left join rollup r on r.match_id = o.match_id left join consensus k on k.match_id = o.match_id where o.slam is not null),
-flags as (
-  select *, coalesce(min(p_under) over (partition by population, match_id) < 0.05, false) as extreme,
-    case when upset_eligible and upset - p_under > 0 then upset - p_under end as residual, dense_rank() over (partition by {BASE} order by year desc, edition_id desc) <= 5 as latest from joined),
-placed as (select *, residual is not null and row_number() over (partition by {BASE} order by residual desc nulls last, match_id desc) <= 10 as top10 from flags),
-tagged as (
-  select *, unnest([{', '.join(f"case when {c} then '{n}' end" for n, c in {
-    'common_primary': 'true', 'common_exclude_flagged_overround': 'not flagged', 'common_min_prior_1': 'min_prior >= 1', 'common_min_prior_5': 'min_prior >= 5', 'common_min_prior_20': 'min_prior >= 20',
-    'common_exclude_2020_2022': 'not (year between 2020 and 2022)', 'common_exclude_wimbledon_2022': "not (slam = 'Wimbledon' and year = 2022)", 'common_early_rounds': "round in ('R128', 'R64', 'R32')",
-    'common_late_rounds': "round in ('R16', 'QF', 'SF', 'F')", 'common_exclude_extreme_favorites': 'not extreme', 'common_remove_top10_positive_residuals': 'not top10', 'common_latest_five_editions': 'latest'}.items())}]) as scenario from placed where score_eligible),
-st as (
-  select scenario, {BASE}, sum(score_eligible::int) as score_n, sum(brier) as brier_sum, sum(log_loss) as log_loss_sum, sum(upset_eligible::int) as upset_n, sum(p_under) as expected, sum(upset) as actual,
-    sum(p_under * (1 - p_under)) as variance, count(distinct edition_id)::bigint as editions from tagged where scenario is not null group by scenario, {BASE}),
-scenario_rows as (select scenario, {BASE}, editions, {METRICS} from st)"""
-query("sc_all_scenarios", f"with {FLAGGED} select * from scenario_rows")(lambda s, d: scenarios.scenario_summaries(flagged(s, d), scenarios.tags()))
-query("j21_scenario_deltas", f"""with {FLAGGED} select a.scenario, a.population, a.tour, a.slam, a.model, a.excess_per_100, b.excess_per_100 as reference, round(a.excess_per_100 - b.excess_per_100, 6) as delta
-from scenario_rows a join scenario_rows b on b.scenario = 'common_primary' and a.population = b.population and a.tour = b.tour and a.slam = b.slam and a.model = b.model""")(lambda s, d: scenarios.deltas(scenarios.scenario_summaries(flagged(s, d), scenarios.tags())))
-
 # --- replay ------------------------------------------------------------------
 
 BASIC = [replay.Variant("basic", k=32.0)]
@@ -367,8 +340,6 @@ select g.match_id, round(w.rating, 6) as rating_w, round(l.rating, 6) as rating_
 from games g join state w on w.tour = g.tour and w.id = g.winner_id and w.k = g.k join state l on l.tour = g.tour and l.id = g.loser_id and l.k = g.k""")(
     lambda s, d: event_replay(s, d).select("match_id", F.round("overall_w", 6).alias("rating_w"), F.round("overall_l", 6).alias("rating_l"), F.round("p_overall", 6).alias("p")))
 POLICY_VARIANTS = [replay.Variant("current"), replay.Variant("half_retirements", retirement=0.5), replay.Variant("no_retirement_delta", retirement=0.0), replay.Variant("strict", skip_retirements=True), replay.Variant("skip_duplicates", duplicates="skip_all"), replay.Variant("keep_one", duplicates="keep_one")]
-query("elo11_policy_replays")(lambda s, d: replay.replay(src.contests(s, d), POLICY_VARIANTS).groupBy("variant", "tour", "exclusion").agg(F.count("*").alias("n"), F.round(F.avg("p_overall"), 6).alias("mean_p"), F.round(F.avg("p_surface"), 6).alias("mean_surface"), F.sum("prior_w").alias("priors")))
-query("elo13_long_predictions")(lambda s, d: replay.long_form(replay.replay(src.contests(s, d))).groupBy("model", "tour", "exclusion").agg(F.count("*").alias("n"), F.round(F.avg("p1"), 6).alias("mean_p1"), F.count_if("cold_start").alias("cold"), F.count_if("no_surface_history").alias("no_surface")))
 query("elo16_selection")(lambda s, d: replay.selection(src.contests(s, d), (1995, 1998), (1999, 2001)).select("variant", "tour", "window", "n", F.round("brier", 6).alias("brier"), F.round("log_loss", 6).alias("log_loss")))
 query("elo16_best")(lambda s, d: replay.best_of_selection(replay.selection(src.contests(s, d), (1995, 1998), (1999, 2001))).select("tour", "variant", F.round("log_loss", 6).alias("log_loss")))
 query("elo11_exclusions", f"""with {C}, b as (select match_id, tour, is_retirement, case when event_date is null then 'missing_tournament_date' when winner_id = loser_id then 'identical_players' when is_walkover then 'walkover'
@@ -402,5 +373,3 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     predictions = predictions.withColumns({"format_conflict": F.lit(False), "edition_id": F.concat_ws(":", F.col("year").cast("string"), "tourney_id")})
     return metrics.summaries(metrics.cube(observations.observations(predictions)))
 
-
-query("flagship_upsets")(flagship)

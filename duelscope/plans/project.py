@@ -134,7 +134,7 @@ def market_benchmark(odds: DataFrame, predictions: DataFrame, aliases: DataFrame
 
 
 def robustness(observed: DataFrame) -> dict[str, DataFrame]:
-    """All scenarios and their distance from the primary one; needs min_prior and flagged."""
+    """All scenarios and their distance from the primary one; needs min_prior, flagged, both_surface and regime."""
     found = scenarios.scenario_summaries(scenarios.with_flags(observed), scenarios.tags())
     return {"scenarios": found, "deltas": scenarios.deltas(found)}
 

@@ -12,7 +12,6 @@ from ..schemas import MODELS, ROUNDS, SLAMS
 from ..sources import contests as src
 from .catalogue import ERA, METRICS, OBSERVED, PRICED, SUMMARY, C, cells, matches, observed, priced, query
 from .catalogue import P as FORECASTS
-from .project import rating_history
 
 Q = src.table
 
@@ -67,7 +66,8 @@ query("elo07_log_loss", f"with {FORECASTS} select match_id, model, round(-ln(gre
 
 query("j01_left_with_lookup", f"with {C}, i as (select match_id, 'round' as field from contests where round is null) select i.match_id, i.field, c.tour, c.tourney_name from i left join contests c using (match_id)")(
     lambda s, d: src.contests(s, d).where("round is null").select("match_id", F.lit("round").alias("field")).join(src.contests(s, d).select("match_id", "tour", "tourney_name"), "match_id", "left"))
-query("j08_pivot_complete_pairs", f"with {FORECASTS} select a.match_id, round(a.p1, 9) as overall, round(b.p1, 9) as surface from forecasts a join forecasts b using (match_id) where a.model = 'overall_elo' and b.model = 'surface_elo' and a.eligible and b.eligible")(
+query("j08_pivot_complete_pairs", f"""with {FORECASTS}, wide as (select match_id, max(p1) filter (model = 'overall_elo') as overall, max(p1) filter (model = 'surface_elo') as surface from forecasts where eligible group by match_id)
+select match_id, round(overall, 9) as overall, round(surface, 9) as surface from wide where overall is not null and surface is not null""")(
     lambda s, d: src.forecasts(s, d).where("eligible").groupBy("match_id").pivot("model", ["overall_elo", "surface_elo"]).agg(F.first("p1")).where("overall_elo is not null and surface_elo is not null").select("match_id", F.round("overall_elo", 9).alias("overall"), F.round("surface_elo", 9).alias("surface")))
 query("j11_exact_pairs", f"with {FORECASTS} select count(*) as compared, 0::bigint as only_a, 0::bigint as only_b, round(max(abs(a.p1 - b.p1)), 9) as gap from forecasts a join forecasts b using (match_id) where a.model = 'overall_elo' and b.model = 'surface_adjusted_elo'")(
     lambda s, d: (lambda f: contracts.largest_gap(f.where("model = 'overall_elo'"), f.where("model = 'surface_adjusted_elo'"), ["match_id"], "p1").withColumn("gap", F.round("gap", 9)))(src.forecasts(s, d)))
@@ -128,9 +128,6 @@ query("mkt11_pair_details", f"""with {PRICED} select match_id, 'proportional' as
 union all select match_id, 'additive', name, round(case when add_p between 0 and 1 then add_p end, 9), round(margin, 9) from fair where complete""")(
     lambda s, d: market.pair_details(priced(s, d), ("proportional", "additive")).select("match_id", "method", "contributor", F.round("p_w", 9).alias("p_w"), F.round("overround", 9).alias("overround")))
 query("mkt09_name_proposals")(lambda s, d: market.proposals(Q(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("context"), F.col("p_name").alias("name")), Q(s, d, "part").select(F.col("p_brand").alias("context"), F.col("p_type").alias("other")).distinct()))
-query("a30_candidate_losses")(lambda s, d: replay.selection(src.contests(s, d), (1995, 1998), (1999, 2001), [replay.Variant("a"), replay.Variant("b", k=16.0)]).select("variant", "tour", "window", "n", F.round("brier", 6).alias("brier"), F.round("log_loss", 6).alias("log_loss")))
-query("elo21_history_summaries")(lambda s, d: rating_history(src.contests(s, d)))
-query("elo22_selection_by_policy")(lambda s, d: replay.selection(src.contests(s, d), (1995, 1998), (1999, 2001), [replay.Variant(f"{n}-k{k:g}", k=k, **p) for n, p in (("current", {}), ("strict", {"skip_retirements": True}), ("skip", {"duplicates": "skip_all"})) for k in (16.0, 32.0)]).select("variant", "tour", "window", "n", F.round("log_loss", 6).alias("log_loss")))
 
 query("elo23_duplicate_audit", f"""with {C}, b as (select *, case when winner_id = loser_id then 'identical_players' when is_walkover then 'walkover' when (case when slam is not null and best_of in (3, 5) then 3 else best_of end) not in (3, 5) then 'unsupported_format' end as base from contests),
 g as (select *, count(*) over (partition by tour, year, event_date, lower(tourney_name), round, least(winner_id, loser_id), greatest(winner_id, loser_id)) > 1 as dup,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from duelscope.functions import probability as P
 from duelscope.functions import text as X
 from duelscope.operators import audit, coldstart, contracts, linkage, market, metrics, normalize, observations, publication, replay, resample, scenarios
-from duelscope.plans import catalogue, project
+from duelscope.plans import catalogue, project, robustness
 from duelscope.schemas import MATCHES, MODELS, RAW_COLUMNS
 from duelscope.sources import contests, fetch, files, sinks
 
@@ -348,7 +348,7 @@ def test_publication_order_and_scenarios(spark, folder):
     s = metrics.summaries(catalogue.cells(spark, folder)).where("slam is not null and population = 'completed_non_retirement'")
     rows = publication.figure_data(s, metrics.contrasts(catalogue.cells(spark, folder)).where("population = 'completed_non_retirement'")).collect()
     assert rows[0]["panel"] == "rates" and rows[0]["slam"] == "Australian Open" and rows[0]["model"] == MODELS[0] and rows[-1]["panel"] == "contrast"
-    found = scenarios.scenario_summaries(catalogue.flagged(spark, folder), scenarios.tags())
+    found = scenarios.scenario_summaries(robustness.flagged(spark, folder), scenarios.tags())
     assert found.select("scenario").distinct().count() >= 8
 
 
