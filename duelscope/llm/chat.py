@@ -108,7 +108,7 @@ split as (select pair_id, min(turn) as split from turns where chosen <> rejected
 parts as (
   select t.pair_id, 'prompt' as part, t.turn, t.role, t.chosen as text from turns t join split s on t.pair_id = s.pair_id where t.turn < s.split
   union all select t.pair_id, 'chosen', t.turn, t.role, t.chosen from turns t join split s on t.pair_id = s.pair_id where t.turn >= s.split
-  union all select t.pair_id, 'rejected', t.turn, t.role, t.rejected from turns t join split s on t.pair_id = s.pair_id where t.turn >= s.split)
+  union all select t.pair_id, 'rejected', t.turn, t.role, t.rejected from turns t join split s on t.pair_id = s.pair_id where t.turn >= s.split),
 said as (
   select pair_id, part, turn, turn // 64 as piece, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as text, part <> 'prompt' and role = 'assistant' as loss
   from parts),
