@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import csv
 import io
+import re
+import zipfile
 from collections.abc import Iterator
 from pathlib import Path, PurePosixPath
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -120,7 +123,8 @@ def workbook_kinds(spark: SparkSession, folder: str) -> DataFrame:
 
 def workbook_rows(rows: list[list], first_row: int = 2) -> list[dict]:
     """Rows of a sheet as dictionaries: blank headers get names, repeated ones are refused, blank rows are left out."""
-    header = [str(h).strip() if h is not None and str(h).strip() else f"_blank_{i}" for i, h in enumerate(rows[0])]
+    first = [*rows[0], *[None] * (max(map(len, rows)) - len(rows[0]))]
+    header = [str(h).strip() if h is not None and str(h).strip() else f"_blank_{i}" for i, h in enumerate(first)]
     if len(set(header)) < len(header):
         raise SourceError("a header is given twice")
     out = []
@@ -131,8 +135,71 @@ def workbook_rows(rows: list[list], first_row: int = 2) -> list[dict]:
     return out
 
 
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def sheet_rows(content: bytes) -> list[list]:
+    """The rows of the first sheet of a workbook (xlsx), row 1 first; texts, numbers and truth values as they are."""
+    if content[:4].hex().upper() != ZIP:
+        raise SourceError("not a workbook of the zipped format; export older ones first")
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = set(z.namelist())
+        texts: list[str] = []
+        if "xl/sharedStrings.xml" in names:
+            texts = ["".join(t.text or "" for t in item.iter(f"{_SHEET}t")) for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+        first = next(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet")).get(_LINK)
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        target = targets[first]
+        sheet = ElementTree.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
+    rows: list[list] = []
+    for row in sheet.iter(f"{_SHEET}row"):
+        cells: list = []
+        for c in row.iter(f"{_SHEET}c"):
+            at = 0
+            for letter in re.match("[A-Z]*", c.get("r", ""))[0]:
+                at = at * 26 + ord(letter) - 64
+            at = at - 1 if at else len(cells)
+            value, kind = c.find(f"{_SHEET}v"), c.get("t", "n")
+            if kind == "inlineStr":
+                found: object = "".join(t.text or "" for t in c.iter(f"{_SHEET}t"))
+            elif value is None or value.text is None:
+                found = None
+            elif kind == "s":
+                found = texts[int(value.text)]
+            elif kind == "b":
+                found = value.text == "1"
+            elif kind == "n":
+                number = float(value.text)
+                found = int(number) if number.is_integer() else number
+            else:
+                found = value.text
+            cells += [None] * (at + 1 - len(cells))
+            cells[at] = found
+        number = int(row.get("r", len(rows) + 1))
+        rows += [[] for _ in range(number - 1 - len(rows))]
+        rows.append(cells)
+    return rows
+
+
+def workbooks(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
+    """Rows of the first sheets of all workbooks of a folder: these columns as text, source_file and source_row_number."""
+    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in columns], T.StructField("source_file", T.StringType()), T.StructField("source_row_number", T.LongType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                text = lambda v: None if v is None or not str(v).strip() else str(v)
+                rows = sheet_rows(bytes(content))
+                if rows:
+                    yield pd.DataFrame([(*[text(r.get(c)) for c in columns], path.rpartition("/")[2], r["_row"]) for r in workbook_rows(rows)], columns=schema.names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+    return files.mapInPandas(run, schema)
+
+
 def price_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Priced rows from CSV with a declared schema (workbooks have to be exported first: no reader is at hand)."""
+    """Priced rows from CSV with a declared schema; for those of workbooks see ``workbooks``."""
     return spark.read.schema(schema).option("header", True).csv(path)
 
 

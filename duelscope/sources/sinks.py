@@ -5,8 +5,12 @@ from __future__ import annotations
 import csv
 import hashlib
 import io
+import zipfile
 from pathlib import Path
+from xml.sax.saxutils import escape
 
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,10 +48,84 @@ def write_text(path: str, text: str) -> None:
     temporary.replace(at)
 
 
-def content_digest(df: DataFrame, order: list[Column | str]) -> str:
-    """SHA-256 over ordered rows, whatever files they are stored in; rows stream through the driver."""
-    digest = hashlib.sha256()
-    for row in df.orderBy(*order).select(F.to_json(F.struct(*df.columns)).alias("j")).toLocalIterator():
-        digest.update(row["j"].encode())
-        digest.update(b"\n")
-    return digest.hexdigest()
+def content_digest(df: DataFrame) -> str:
+    """SHA-256 of what a table holds, whatever its order and files.
+
+    Rows are hashed as JSON; the sorted hashes of a bucket, named by their
+    first six digits, are hashed together, the buckets of three digits
+    likewise, and then those.  Nothing but the last hash reaches the driver.
+    """
+    return content_digests(df).first()["digest"]
+
+
+def content_digests(df: DataFrame) -> DataFrame:
+    """(rows, digest) in one row; an empty table has the digest of an empty text."""
+    of = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), ""), 256)
+    rows = df.select(F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256).alias("h"))
+    leaves = rows.groupBy(F.substring("h", 1, 6).alias("at")).agg(F.count("*").alias("n"), of("h").alias("h"))
+    named = F.concat("at", "h")
+    inner = leaves.groupBy(F.substring("at", 1, 3).alias("at")).agg(F.sum("n").alias("n"), of(named).alias("h"))
+    return inner.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), of(named).alias("digest"))
+
+
+def csv_files(df: DataFrame, folder: str, file: str = "file", order: tuple[str, ...] = ()) -> DataFrame:
+    """Write a CSV with LF ends for each value of ``file``; the manifest (file, rows, bytes, sha256) of what was written.
+
+    A file is one task's work and is written whole; rows stand in the order of
+    the columns ``order``, which are not written themselves.
+    """
+    columns = [c for c in df.columns if c != file and c not in order]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator="\n")
+        writer.writerow(columns)
+        for row in rows.sort_values(list(order))[columns].itertuples(index=False) if order else rows[columns].itertuples(index=False):
+            writer.writerow(["" if v is None or v != v else v for v in row])
+        content = out.getvalue().encode()
+        store, base = pyarrow.fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        with store.open_output_stream(f"{base}/{key[0]}", compression=None) as sink:
+            sink.write(content)
+        return pd.DataFrame({"file": [key[0]], "rows": [len(rows)], "bytes": [len(content)], "sha256": [hashlib.sha256(content).hexdigest()]})
+
+    text = df.select(file, *order, *[F.col(c).cast("string").alias(c) for c in columns])
+    manifest = text.groupBy(file).applyInPandas(run, "file string, rows bigint, bytes bigint, sha256 string")
+    manifest.write.parquet(f"{folder}-manifest")
+    return df.sparkSession.read.parquet(f"{folder}-manifest")
+
+
+def united(tables: list[DataFrame]) -> DataFrame:
+    """Tables one after the other under the union of their columns, in the order in which they are first seen."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def workbook(rows: list[list]) -> bytes:
+    """A workbook of one sheet of texts and numbers."""
+    def cell(v: object, at: str) -> str:
+        if v is None:
+            return ""
+        if isinstance(v, int | float) and not isinstance(v, bool):
+            return f'<c r="{at}"><v>{v}</v></c>'
+        return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+    def name(k: int) -> str:
+        return (name(k // 26 - 1) if k >= 26 else "") + chr(65 + k % 26)
+
+    body = "".join(f'<row r="{n}">' + "".join(cell(v, f"{name(k)}{n}") for k, v in enumerate(row)) + "</row>" for n, row in enumerate(rows, 1))
+    main, office, package = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "http://schemas.openxmlformats.org/package/2006/relationships"
+    parts = {
+        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{package}"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}"><Relationship Id="rId1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for path, content in parts.items():
+            z.writestr(zipfile.ZipInfo(path), f'<?xml version="1.0" encoding="UTF-8"?>{content}')
+    return out.getvalue()
