@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from .operators import market, scenarios
 from .plans import project
 from .session import session
-from .sources import fetch, files
+from .sources import books, fetch, files
 
-COMMANDS = ("fetch", "build-matches", "audit", "pipeline", "rating-readiness", "select-elo", "build-predictions", "ratings", "analyze-slams", "analyze-odds", "robustness", "rating-history-sensitivities", "market-probability-sensitivities", "publish-figure", "reproduce")
+COMMANDS = ("fetch", "fetch-odds", "build-matches", "audit", "pipeline", "rating-readiness", "select-elo", "build-predictions", "ratings", "analyze-slams", "analyze-odds", "robustness", "rating-history-sensitivities", "market-probability-sensitivities", "publish-figure", "reproduce")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -22,6 +22,9 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--out", default="artifacts")
     out.add_argument("--config", default="config/sources.toml")
     out.add_argument("--lock", default="config/sources.lock.json")
+    out.add_argument("--odds-config", default="config/odds_sources.toml")
+    out.add_argument("--odds-lock", default="config/odds_sources.lock.json")
+    out.add_argument("--odds-raw", default="data/raw/odds")
     out.add_argument("--odds", default="data/odds.csv")
     out.add_argument("--odds-schema", default="odds_row_id string, tour string, year int, slam string, round string, odds_winner_name string, odds_loser_name string, AvgW double, AvgL double")
     out.add_argument("--aliases")
@@ -34,6 +37,10 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "fetch":
         print(json.dumps(fetch.fetch(fetch.specs(a.config), a.raw, a.lock), sort_keys=True))
         return 0
+    if a.command == "fetch-odds":
+        found, about = books.sources(a.odds_config)
+        print(json.dumps(fetch.fetch(found, a.odds_raw, a.odds_lock, check=books.workbook, about=about), sort_keys=True))
+        return 0
     spark = session()
     predictions = lambda: spark.read.parquet(f"{a.out}/predictions")
     contests = lambda: project.contests_of(spark.read.parquet(f"{a.out}/matches"))

@@ -14,6 +14,7 @@ from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 from pathlib import Path
 
+from .books import Books
 from .files import SourceError, safe_path
 
 Downloader = Callable[[str], bytes]
@@ -30,6 +31,9 @@ class Spec:
     first_year: int
     last_year: int
 
+    #: what identifies the files beside address and bytes
+    pins = property(lambda self: {"commit": self.commit})
+
     def files(self) -> list[tuple[int, str, str]]:
         """(year, relative path, url) of every file."""
         out = []
@@ -73,8 +77,8 @@ def patient(downloader: Downloader, attempts: int = 4, sleep: Callable[[float],
     return run
 
 
-def _entry(spec: Spec, year: int, path: str, url: str, content: bytes) -> dict:
-    return {"tour": spec.tour, "year": year, "path": path, "url": url, "commit": spec.commit, "bytes": len(content), "sha256": hashlib.sha256(content).hexdigest()}
+def _entry(spec: Spec | Books, year: int, path: str, url: str, content: bytes) -> dict:
+    return {"tour": spec.tour, "year": year, "path": path, "url": url, **spec.pins, "bytes": len(content), "sha256": hashlib.sha256(content).hexdigest()}
 
 
 def write_once(path: Path, text: str) -> None:
@@ -88,31 +92,50 @@ def write_once(path: Path, text: str) -> None:
         temporary.unlink()
 
 
-def fetch(sources: list[Spec], folder: str, lock: str, downloader: Downloader = download, now: Callable[[], datetime] = lambda: datetime.now(UTC), threads: int = 4) -> dict:
-    """Download what the sources list.  With a lock, only missing files that match it are written."""
+def _locked(lock: Path, sources: list[dict], paths: list[str], about: dict | None) -> dict[str, dict] | None:
+    """Entries of the lock by path, None without a lock; it has to be of these sources, with each of their files once."""
+    if not lock.exists():
+        return None
+    kept = json.loads(lock.read_text())
+    if sorted(e["path"] for e in kept["files"]) != sorted(paths):
+        raise SourceError("the lock lists other files than the sources")
+    if kept["sources"] != sources or kept.get("about") != about:
+        raise SourceError("the lock is of other sources")
+    return {e["path"]: e for e in kept["files"]}
+
+
+def fetch(sources: list[Spec] | list[Books], folder: str, lock: str, downloader: Downloader = download, now: Callable[[], datetime] = lambda: datetime.now(UTC), threads: int = 4, check: Callable[[str, bytes], None] | None = None, about: dict | None = None) -> dict:
+    """Download what the sources list.  With a lock, only missing files that match it are written.
+
+    All contents are held against ``check`` and the lock before the first is written, so a failure leaves no file.
+    """
     at = Path(lock)
-    locked = {e["path"]: e for e in json.loads(at.read_text())["files"]} if at.exists() else None
     wanted = [(s, *f) for s in sources for f in s.files()]
-    if locked is not None and set(locked) != {w[2] for w in wanted}:
-        raise SourceError("the lock lists other files than the sources")
+    locked = _locked(at, [asdict(s) for s in sources], [w[2] for w in wanted], about)
     get = patient(downloader)
 
-    def one(job: tuple[Spec, int, str, str]) -> dict:
+    def one(job: tuple[Spec | Books, int, str, str]) -> tuple[dict, Path, bytes | None]:
         spec, year, path, url = job
         full = safe_path(folder, path)
-        content = full.read_bytes() if full.exists() else get(url)
+        there = full.exists()
+        content = full.read_bytes() if there else get(url)
+        if check is not None:
+            check(path, content)
         entry = _entry(spec, year, path, url, content)
-        if locked is not None and any(entry[k] != locked[path][k] for k in ("bytes", "sha256", "url", "commit")):
+        if locked is not None and entry != locked[path]:
             raise SourceError(f"{path} is not what the lock says")
-        if not full.exists():
+        return entry, full, None if there else content
+
+    with ThreadPoolExecutor(threads) as pool:
+        found = list(pool.map(one, wanted))
+    for _, full, content in found:
+        if content is not None:
             full.parent.mkdir(parents=True, exist_ok=True)
             part = full.with_name(full.name + ".part")
             part.write_bytes(content)
             part.replace(full)
-        return entry
-
-    with ThreadPoolExecutor(threads) as pool:
-        entries = sorted(pool.map(one, wanted), key=lambda e: e["path"])
+    entries = sorted((e for e, _, _ in found), key=lambda e: e["path"])
     if locked is None:
-        write_once(at, json.dumps({"created": now().isoformat(), "sources": [asdict(s) for s in sources], "files": entries}, indent=2, sort_keys=True))
+        of = {} if about is None else {"about": about}
+        write_once(at, json.dumps({"created": now().isoformat(), "sources": [asdict(s) for s in sources], "files": entries, **of}, indent=2, sort_keys=True))
     return {"files": len(entries), "bytes": sum(e["bytes"] for e in entries), "new_lock": locked is None}
