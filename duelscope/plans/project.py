@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, coldstart, contracts, linkage, market, metrics, normalize, observations, publication, replay, resample, scenarios
 from ..schemas import MODELS
 from ..sources import files, sinks
+from . import figure
 
 MATCH_ORDER = ("tour", "year", "source_file", "source_row_number", "match_id")
 
@@ -157,10 +160,17 @@ def market_sensitivities(priced: DataFrame) -> DataFrame:
 
 
 def publish(summaries: DataFrame, contrast: DataFrame, out: str) -> dict:
+    """Figure data as CSV, the figure as SVG and PDF, and a digest of each file."""
     rows = publication.figure_data(summaries, contrast)
     contracts.check_no_identities(rows)
-    sinks.write_text(f"{out}/figure_data.csv", sinks.csv_text(rows, ["panel", "tour", "slam", "model", "metric"]))
-    return {"rows": rows.count()}
+    shown = [r.asDict() for r in rows.limit(figure.LIMIT + 1).collect()]
+    scene = figure.scene_of("Upsets per 100 contests", shown)
+    made = {"figure_data.csv": sinks.csv_text(rows, ["panel", "tour", "slam", "model", "metric"]).encode(), "figure.svg": figure.svg(scene).encode(), "figure.pdf": figure.pdf(scene)}
+    for name, content in made.items():
+        sinks.write_bytes(f"{out}/{name}", content)
+    files_made = {name: hashlib.sha256(content).hexdigest() for name, content in made.items()}
+    sinks.write_text(f"{out}/figure.json", json.dumps({"rows": len(shown), "files": files_made}, indent=2, sort_keys=True))
+    return {"rows": len(shown), "files": files_made}
 
 
 #: The order of a whole reproduction.

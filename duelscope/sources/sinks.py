@@ -41,10 +41,14 @@ def csv_text(df: DataFrame, order: list[Column | str], limit: int = 1_000_000) -
 
 def write_text(path: str, text: str) -> None:
     """Replace a file at once."""
+    write_bytes(path, text.encode())
+
+
+def write_bytes(path: str, content: bytes) -> None:
     at = Path(path)
     at.parent.mkdir(parents=True, exist_ok=True)
     temporary = at.with_suffix(at.suffix + ".tmp")
-    temporary.write_text(text, encoding="utf-8", newline="")
+    temporary.write_bytes(content)
     temporary.replace(at)
 
 
