@@ -1,11 +1,12 @@
 """Chronological rating replay.
 
 All rules that need no rating are column expressions: exclusions, duplicate
-ids, policies, formats.  What is left is one ordered fold per (variant, tour):
+ids, policies, formats.  What is left is one ordered fold per (stream, tour):
 rows are dealt out by that key, sorted by date in the JVM (which spills) and
 streamed through a Python worker that keeps the players' ratings and one date
-at a time, never a whole history.  Variants are data, so candidates and
-policies run side by side.
+at a time, never a whole history.  Variants that rate the same rows share a
+stream: their ratings are columns of one array, their forecasts columns of one
+row, which the JVM turns into a row per variant afterwards.
 
 Every contest of a date is forecast from the ratings before that date; the
 changes are summed and applied once.
@@ -13,8 +14,8 @@ changes are summed and applied once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -86,12 +87,13 @@ def with_variants(rows: DataFrame, variants: list[Variant]) -> DataFrame:
 
 
 class Ratings:
-    """Players' ratings of one variant and tour; row 0 is overall, 1 to 3 the rated surfaces."""
+    """Players' ratings on one tour, a column per variant; the first index is 0 for overall, 1 to 3 for the rated surfaces."""
 
-    def __init__(self, k: float, by_rank: bool, half_life: float, weight: float):
-        self.k, self.by_rank, self.half_life, self.weight = k, by_rank, half_life, weight
+    def __init__(self, k, by_rank, half_life, weight):
+        self.k, self.half_life, self.weight = (np.atleast_1d(np.asarray(x, dtype=float)) for x in (k, half_life, weight))
+        self.by_rank = np.atleast_1d(np.asarray(by_rank, dtype=bool))
         self.index: dict[int, int] = {}
-        self.rating = np.full((4, 1024), np.nan)
+        self.rating = np.full((4, 1024, len(self.k)), np.nan)
         self.last = np.zeros((4, 1024), dtype=np.int64)
         self.count = np.zeros((4, 1024), dtype=np.int64)
 
@@ -106,9 +108,11 @@ class Ratings:
         """Start those not seen yet; let the others drift back by the days since they last played."""
         r = self.rating[kind, players]
         new = np.isnan(r)
-        if self.half_life == self.half_life:
-            days = np.where(self.count[kind, players] > 0, day - self.last[kind, players], 0)
-            r = np.where(days > 0, BASE + (r - BASE) * 0.5 ** (days / self.half_life), r)
+        drifting = ~np.isnan(self.half_life)
+        if drifting.any():
+            days = np.where(self.count[kind, players] > 0, day - self.last[kind, players], 0)[:, None]
+            half = np.where(drifting, self.half_life, 1.0)
+            r = np.where((days > 0) & drifting, BASE + (r - BASE) * 0.5 ** (days / half), r)
         self.rating[kind, players] = np.where(new, start, r)
 
     def starts(self, players: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,12 +122,14 @@ class Ratings:
         shown = ranks > 0
         np.minimum.at(low, at[shown], ranks[shown])
         np.maximum.at(high, at[shown], ranks[shown])
-        one = self.by_rank & (low == high)
+        one = low == high
         rated = np.clip(BASE + 400.0 * np.log10(100.0 / np.where(one, low, 100.0)), 900.0, 2200.0)
-        return unique, np.where(one, rated, BASE)
+        return unique, np.where(one[:, None] & self.by_rank, rated[:, None], BASE)
 
     def date(self, day: int, winner: np.ndarray, loser: np.ndarray, ranks: tuple[np.ndarray, np.ndarray], surface: np.ndarray, five: np.ndarray, share: np.ndarray) -> dict[str, np.ndarray]:
-        """Forecasts of all contests of a date from the ratings before it; then the update."""
+        """Forecasts of all contests of a date from the ratings before it; then the update.
+
+        ``five`` and ``share`` and what comes back have a column per variant, counts of prior contests excepted."""
         w, l = self.places(winner), self.places(loser)  # noqa: E741
         players, start = self.starts(np.concatenate([w, l]), np.concatenate(ranks))
         self.prepare(0, players, start, day)
@@ -133,7 +139,7 @@ class Ratings:
         rated = surface > 0
         at = np.where(rated, surface, 0)
         out = {"overall_w": self.rating[0, w], "overall_l": self.rating[0, l]}
-        out["surface_w"], out["surface_l"] = (np.where(rated, self.rating[at, x], np.nan) for x in (w, l))
+        out["surface_w"], out["surface_l"] = (np.where(rated[:, None], self.rating[at, x], np.nan) for x in (w, l))
         out["prior_w"], out["prior_l"] = self.count[0, w], self.count[0, l]
         out["surface_prior_w"], out["surface_prior_l"] = (np.where(rated, self.count[at, x], 0) for x in (w, l))
         blend = [(1 - self.weight) * out[f"overall_{x}"] + self.weight * out[f"surface_{x}"] for x in "wl"]
@@ -161,29 +167,53 @@ def chance(r1: np.ndarray, r2: np.ndarray, five: np.ndarray) -> np.ndarray:
 STATE = ("p_overall", "p_surface", "p_blend", "overall_w", "overall_l", "surface_w", "surface_l", "prior_w", "prior_l", "surface_prior_w", "surface_prior_l")
 
 
-def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by variant, tour and date in; the same rows with forecasts out."""
-    ratings, key = None, None
-    for batch in _whole_dates(batches):
-        parts = []
-        for now, rows in batch.groupby(["variant", "tour"], sort=False):
-            if now != key:
-                key, one = now, rows.iloc[0]
-                ratings = Ratings(one["k"], bool(one["by_rank"]), float(one["half_life"]) if one["half_life"] is not None else float("nan"), one["weight"])
-            cols = {c: rows[c].to_numpy() for c in ("day", "winner_id", "loser_id", "winner_rank", "loser_rank", "surface_code", "five", "share")}
-            bounds = np.flatnonzero(np.r_[True, cols["day"][1:] != cols["day"][:-1], True])
-            found = []
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                of = {c: v[a:b] for c, v in cols.items()}
-                found.append(ratings.date(int(of["day"][0]), of["winner_id"], of["loser_id"], (of["winner_rank"], of["loser_rank"]), of["surface_code"], of["five"].astype(bool), of["share"]))
-            parts.append(rows.assign(**{c: np.concatenate([f[c] for f in found]) for c in STATE}))
-        yield pd.concat(parts) if len(parts) > 1 else parts[0]
+COUNTS = tuple(c for c in STATE if "prior" in c)
+FOLDED = ("day", "winner_id", "loser_id", "winner_rank", "loser_rank", "surface_code", "best_of_five", "retired")
+
+#: So many variants share a stream: fewer copies of the rows against fewer tasks.
+TOGETHER = 9
+
+
+def streams(variants: list[Variant], together: int = TOGETHER) -> list[list[Variant]]:
+    """Variants that rate the same rows, dealt into streams."""
+    by: dict[tuple, list[Variant]] = {}
+    for v in variants:
+        by.setdefault((v.skip_retirements, v.duplicates), []).append(v)
+    return [own[k : k + together] for own in by.values() for k in range(0, len(own), together)]
+
+
+def folded(dealt: list[list[Variant]], kept: list[str], states: tuple[str, ...]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows sorted by stream, tour and date in; the kept columns with forecasts, numbered by the place of the variant in its stream, out."""
+    width = max(map(len, dealt))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = None
+        for batch in _whole_dates(batches):
+            parts = []
+            for now, rows in batch.groupby(["stream", "tour"], sort=False):
+                if now != key:
+                    key, own = now, dealt[now[0]]
+                    ratings = Ratings([v.k for v in own], [v.by_rank for v in own], [np.nan if v.half_life is None else v.half_life for v in own], [v.weight for v in own])
+                    converts, after_retirement = np.array([v.convert_tour == now[1] for v in own]), np.array([float(v.retirement) for v in own])
+                day, winner, loser, rank_w, rank_l, surface, five, retired = (rows[c].to_numpy() for c in FOLDED)
+                five = five.astype(bool)[:, None] & converts
+                share = np.where(retired.astype(bool)[:, None], after_retirement, 1.0)
+                bounds = np.flatnonzero(np.r_[True, day[1:] != day[:-1], True])
+                found = [ratings.date(int(day[a]), winner[a:b], loser[a:b], (rank_w[a:b], rank_l[a:b]), surface[a:b], five[a:b], share[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+                out = {c: rows[c] for c in kept}
+                for c in states:
+                    values = np.concatenate([f[c] for f in found])
+                    out |= {c: values} if c in COUNTS else {f"{c}__{i}": values[:, i] if i < len(own) else np.full(len(values), np.nan) for i in range(width)}
+                parts.append(pd.DataFrame(out))
+            yield pd.concat(parts) if len(parts) > 1 else parts[0]
+
+    return run
 
 
 def _whole_dates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The same rows in pieces that never cut a date."""
     held: list[pd.DataFrame] = []
-    by = ["variant", "tour", "day"]
+    by = ["stream", "tour", "day"]
     for batch in batches:
         if batch.empty:
             continue
@@ -202,26 +232,46 @@ def _whole_dates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held)
 
 
+def _dealt(contests: DataFrame, dealt: list[list[Variant]]) -> DataFrame:
+    """Contests once per stream with the exclusion of its variants and what the fold needs."""
+    leads = [replace(own[0], variant=str(k)) for k, own in enumerate(dealt)]
+    code = F.when(F.col("surface") == "Hard", 1).when(F.col("surface") == "Clay", 2).when(F.col("surface") == "Grass", 3).otherwise(0)
+    return with_variants(prepared(contests), leads).withColumns({
+        "stream": F.col("variant").cast("int"), "surface_code": code, "day": F.unix_date("event_date"),
+        "best_of_five": F.coalesce(effective_best_of(five="ATP") == 5, F.lit(False)), "retired": F.coalesce("is_retirement", F.lit(False)),
+    }).drop("v", "variant", "base", "repeated", "representative")
+
+
+def _forecast(rows: DataFrame, dealt: list[list[Variant]], kept: list[str], states: tuple[str, ...]) -> DataFrame:
+    """The kept columns of the rated rows, once per variant, with the states."""
+    ranks = [F.coalesce(c, F.lit(0)).cast("int").alias(f"__{c}") for c in ("winner_rank", "loser_rank")]
+    needed = list(dict.fromkeys([*kept, "stream", "tour", "match_id", *(c for c in FOLDED if not c.endswith("_rank"))]))
+    rated = rows.where("exclusion is null").select(*[c for c in needed if not c.endswith("_rank")], *ranks).withColumnsRenamed({f"__{c}": c for c in ("winner_rank", "loser_rank")})
+    passed = list(dict.fromkeys([*kept, "stream"]))
+    width = max(map(len, dealt))
+    types = {f.name: f.dataType.simpleString() for f in rated.schema}
+    numbered = [f"{c} bigint" if c in COUNTS else ", ".join(f"{c}__{i} double" for i in range(width)) for c in states]
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in passed), *numbered])
+    forecast = rated.repartition("stream", "tour").sortWithinPartitions("stream", "tour", "day", "match_id").mapInPandas(folded(dealt, passed, states), schema)
+    whole = lambda c: F.when(~F.isnan(c), F.col(c))
+    each = F.array(*[F.struct(F.lit(i).alias("place"), *[whole(f"{c}__{i}").alias(c) for c in states if c not in COUNTS]) for i in range(width)])
+    names = F.get(_names(dealt), F.col("stream"))
+    out = forecast.withColumn("of", F.explode(F.slice(each, 1, F.size(names))))
+    shown = [F.nullif(F.col(c), F.lit(0)).alias(c) if c in ("winner_rank", "loser_rank") else F.col(c) for c in kept]
+    return out.select(*shown, F.get(names, F.col("of.place")).alias("variant"), *[F.col(c) if c in COUNTS else F.col(f"of.{c}") for c in states])
+
+
+def _names(dealt: list[list[Variant]]) -> Column:
+    return F.array(*[F.array(*[F.lit(v.variant) for v in own]) for own in dealt])
+
+
 def replay(contests: DataFrame, variants: list[Variant] | None = None) -> DataFrame:
     """Contests once per variant, with exclusion and, where rated, forecasts of the winner and prior state."""
-    rows = with_variants(prepared(contests), variants or [Variant()])
-    code = F.when(F.col("surface") == "Hard", 1).when(F.col("surface") == "Clay", 2).when(F.col("surface") == "Grass", 3).otherwise(0)
-    five = F.coalesce(F.col("v.convert_tour") == F.col("tour"), F.lit(False)) & (effective_best_of(five="ATP") == 5)
-    rows = rows.withColumns({
-        "k": F.col("v.k"), "by_rank": F.col("v.by_rank"), "half_life": F.col("v.half_life"), "weight": F.col("v.weight"),
-        "share": F.when(F.col("is_retirement"), F.col("v.retirement")).otherwise(1.0),
-        "surface_code": code, "five": five, "day": F.unix_date("event_date"),
-    }).drop("v")
-    keep = [c for c in rows.columns if c not in ("base", "repeated", "representative")]
-    rated = rows.where("exclusion is null").select(*[F.coalesce(c, F.lit(0)).cast("int").alias(c) if c in ("winner_rank", "loser_rank") else F.col(c) for c in keep])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rated.schema) + ", " + ", ".join(f"{c} {'double' if not c.startswith(('prior', 'surface_prior')) else 'bigint'}" for c in STATE)
-    ordered = rated.repartition("variant", "tour").sortWithinPartitions("variant", "tour", "day", "match_id")
-    forecast = ordered.mapInPandas(folded, schema)
-    for c in ("winner_rank", "loser_rank"):
-        forecast = forecast.withColumn(c, F.nullif(F.col(c), F.lit(0)))
-    nan_free = [F.when(~F.isnan(c), F.col(c)).alias(c) if c.startswith(("p_", "overall", "surface_w", "surface_l")) else F.col(c) for c in STATE]
-    forecast = forecast.select(*keep, *nan_free)
-    return forecast.unionByName(rows.where("exclusion is not null").select(*keep), allowMissingColumns=True).drop("k", "by_rank", "half_life", "weight", "share", "surface_code", "five", "day")
+    dealt = streams(variants or [Variant()])
+    rows = _dealt(contests, dealt)
+    kept = [c for c in rows.columns if c not in ("stream", "surface_code", "day", "best_of_five", "retired")]
+    left_out = rows.where("exclusion is not null").select(*kept, F.explode(F.get(_names(dealt), F.col("stream"))).alias("variant"))
+    return _forecast(rows, dealt, kept, STATE).unionByName(left_out, allowMissingColumns=True)
 
 
 def long_form(replayed: DataFrame) -> DataFrame:
@@ -242,7 +292,8 @@ GRID = [Variant(f"k{k:g}-{'rank' if r else 'fixed'}-{h or 'none'}-{'convert' if
 
 def selection(contests: DataFrame, first: tuple[int, int], second: tuple[int, int], variants: list[Variant] | None = None, model: str = "p_overall") -> DataFrame:
     """Losses of every candidate per tour and window of years; Slam contests neither rate nor count."""
-    rows = replay(contests.where("slam is null"), variants or GRID).where("exclusion is null")
+    dealt = streams(variants or GRID)
+    rows = _forecast(_dealt(contests.where("slam is null"), dealt), dealt, ["tour", "year"], (model,))
     window = F.when(F.col("year").between(*first), "first").when(F.col("year").between(*second), "second")
     p = F.greatest(F.lit(EPS), F.col(model))
     return rows.withColumn("window", window).where("window is not null and " + model + " is not null").groupBy("variant", "tour", "window").agg(

@@ -32,7 +32,8 @@ def follow(contests: DataFrame, k: float = 32.0) -> DataFrame:
                 found = {"p_overall": np.full(n, np.nan), "overall_w": np.full(n, np.nan), "overall_l": np.full(n, np.nan)}
             else:
                 zeros = np.zeros(n)
-                found = ratings.date(int(day), of["winner_id"].to_numpy(), of["loser_id"].to_numpy(), (zeros, zeros), zeros.astype(int), zeros.astype(bool), np.ones(n))
+                found = ratings.date(int(day), of["winner_id"].to_numpy(), of["loser_id"].to_numpy(), (zeros, zeros), zeros.astype(int), np.zeros((n, 1), dtype=bool), np.ones((n, 1)))
+                found = {c: found[c][:, 0] for c in ("p_overall", "overall_w", "overall_l")}
                 done = int(day)
             yield pd.DataFrame({"match_id": of["match_id"], "tour": key[0], "event_date": of["event_date"], "winner_id": of["winner_id"], "loser_id": of["loser_id"], "p_overall": found["p_overall"], "rating_w": found["overall_w"], "rating_l": found["overall_l"], "late": late})
         state.update((pickle.dumps((ratings, done)),))
