@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, htmlextract, licences, linededup, mixing, ngramjoin, quality, urlfilter, warc
+from . import chat, decontaminate, htmlextract, licences, linededup, mixing, ngramjoin, prefixtrie, quality, urlfilter, warc
 from .shared import table
 
 
@@ -58,6 +58,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefixes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_preference_format": op9_preference_format,
     "op10_warc": op10_warc,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 #: Only what SQL can express over whole tables in reasonable time.
@@ -79,4 +84,5 @@ SQL: dict[str, str] = {
     "op5_license_scan": licences.SQL,
     "op9_preference_format": chat.SQL,
     "op10_warc": warc.SQL,
+    "op11_prefix_trie": prefixtrie.SQL,
 }
