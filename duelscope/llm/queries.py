@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, htmlextract, licences, linededup, mixing, ngramjoin, prefixtrie, quality, urlfilter, warc
+from . import ballkmeans, chat, decontaminate, htmlextract, licences, linededup, mixing, ngramjoin, prefixtrie, quality, urlfilter, warc
 from .shared import table
 
 
@@ -62,6 +62,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.prefixes(table(spark, sf_dir, "conversations"))
 
 
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ballkmeans.clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_preference_format": op9_preference_format,
     "op10_warc": op10_warc,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_ball_kmeans": op12_ball_kmeans,
 }
 
 #: Only what SQL can express over whole tables in reasonable time.
@@ -85,4 +90,5 @@ SQL: dict[str, str] = {
     "op9_preference_format": chat.SQL,
     "op10_warc": warc.SQL,
     "op11_prefix_trie": prefixtrie.SQL,
+    "op12_ball_kmeans": ballkmeans.SQL,
 }
