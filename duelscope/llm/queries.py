@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ballkmeans, chat, decontaminate, htmlextract, licences, linededup, mixing, ngramjoin, prefixtrie, quality, urlfilter, warc
+from . import ballkmeans, chat, decontaminate, htmlextract, licences, linededup, mixing, neardup, ngramjoin, prefixtrie, quality, urlfilter, warc
 from .shared import table
 
 
@@ -66,6 +66,10 @@ def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ballkmeans.clustered(table(spark, sf_dir, "embeddings"))
 
 
+def op13_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_ball_kmeans": op12_ball_kmeans,
+    "op13_embedding_neardup": op13_embedding_neardup,
 }
 
 #: Only what SQL can express over whole tables in reasonable time.
@@ -91,4 +96,5 @@ SQL: dict[str, str] = {
     "op10_warc": warc.SQL,
     "op11_prefix_trie": prefixtrie.SQL,
     "op12_ball_kmeans": ballkmeans.SQL,
+    "op13_embedding_neardup": neardup.SQL,
 }
