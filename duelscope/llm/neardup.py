@@ -241,11 +241,13 @@ def _linked(members: DataFrame, plan: Plan) -> DataFrame:
 
 def _dealt(placed: DataFrame, plan: Plan) -> DataFrame:
     """The members of projections that are shared: (key, i, j, block, t, ent, copies, vector, keys, values), a row for each pair of blocks."""
-    lists = placed.select("ent", F.explode("keys").alias("key"))
-    shared = stash(lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
-    hits = lookup(lists, shared, "key").where("m is not null")
-    enough = stash(hits.groupBy("ent").agg(F.count("*").alias("n")).where(F.col("n") >= plan.needed).select("ent"), "enough")
-    some = stash(keyed(placed, enough, ["ent"], "left_semi"), "candidates")
+    some = placed
+    for _ in range(2):  # who meets nobody often enough may have been all that others met
+        lists = some.select("ent", F.explode("keys").alias("key"))
+        shared = stash(lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+        hits = lookup(lists, shared, "key").where("m is not null")
+        enough = stash(hits.groupBy("ent").agg(F.count("*").alias("n")).where(F.col("n") >= plan.needed).select("ent"), "enough")
+        some = stash(keyed(some, enough, ["ent"], "left_semi"), "candidates")
     rows = lookup(some.select("*", F.posexplode("keys").alias("t", "key")), shared, "key").where("m is not null")
     least, most = BLOCK
     size = F.least(F.greatest(F.ceil(F.col("m") / 8), F.lit(least)), F.lit(most))
