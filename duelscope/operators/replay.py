@@ -76,14 +76,18 @@ def with_variants(rows: DataFrame, variants: list[Variant]) -> DataFrame:
     """Every row once per variant, with ``exclusion`` by that variant's policies."""
     lit = lambda v: F.lit(v).cast("double") if v is None else F.lit(v)
     kinds = F.array(*[F.struct(*[(F.lit(v).cast("string") if n in ("variant", "convert_tour", "duplicates") else F.lit(v).cast("double") if n in ("k", "half_life", "weight", "retirement") else lit(v)).alias(n) for n, v in asdict(x).items()]) for x in variants])
-    out = rows.withColumn("v", F.explode(kinds))
+    return excluded(rows.withColumn("v", F.explode(kinds)))
+
+
+def excluded(rows: DataFrame) -> DataFrame:
+    """The rows with ``exclusion`` by the policies of their column ``v``, and its name as ``variant``."""
     skip = F.concat_ws(
         ";",
         F.when(F.col("is_retirement") & F.col("v.skip_retirements"), "retirement_strict_skip"),
         F.when(F.col("base").isNull() & F.col("duplicate") & (F.col("v.duplicates") == "skip_all"), "probable_duplicate_skip_all"),
         F.when(F.col("base").isNull() & F.col("duplicate") & (F.col("v.duplicates") == "keep_one") & ~F.col("representative"), "probable_duplicate_keep_one_excluded"),
     )
-    return out.withColumn("exclusion", F.coalesce("base", F.when(F.col("repeated"), "duplicate_match_id"), F.nullif(skip, F.lit("")))).withColumn("variant", F.col("v.variant"))
+    return rows.withColumn("exclusion", F.coalesce("base", F.when(F.col("repeated"), "duplicate_match_id"), F.nullif(skip, F.lit("")))).withColumn("variant", F.col("v.variant"))
 
 
 class Ratings:
@@ -302,8 +306,14 @@ def selection(contests: DataFrame, first: tuple[int, int], second: tuple[int, in
 
 def best_of_selection(losses: DataFrame) -> DataFrame:
     """Per tour the candidate of least log loss, then Brier score, then name, over both windows together."""
-    total = losses.groupBy("variant", "tour").agg((F.sum(F.col("log_loss") * F.col("n")) / F.sum("n")).alias("log_loss"), (F.sum(F.col("brier") * F.col("n")) / F.sum("n")).alias("brier"))
-    return total.groupBy("tour").agg(F.min_by("variant", F.struct("log_loss", "brier", "variant")).alias("variant"), F.min("log_loss").alias("log_loss"))
+    return least_loss(losses, "tour")
+
+
+def least_loss(losses: DataFrame, *by: str) -> DataFrame:
+    """(by, variant, log_loss): the candidate of least log loss, then Brier score, to 12 digits, then name."""
+    mean = lambda c: F.round(F.sum(F.col(c) * F.col("n")) / F.sum("n"), 12).alias(c)
+    total = losses.groupBy("variant", *by).agg(mean("log_loss"), mean("brier"))
+    return total.groupBy(*by).agg(F.min_by("variant", F.struct("log_loss", "brier", "variant")).alias("variant"), F.min("log_loss").alias("log_loss"))
 
 
 def duplicate_audit(contests: DataFrame) -> DataFrame:
@@ -315,6 +325,4 @@ def duplicate_audit(contests: DataFrame) -> DataFrame:
 
 def best_by_policy(losses: DataFrame) -> DataFrame:
     """Per policy (the variant's name up to its first dash) and tour the candidate of least log loss over both windows."""
-    total = losses.groupBy("variant", "tour").agg((F.sum(F.col("log_loss") * F.col("n")) / F.sum("n")).alias("log_loss"), (F.sum(F.col("brier") * F.col("n")) / F.sum("n")).alias("brier"))
-    own = total.withColumn("policy", F.split("variant", "-")[0])
-    return own.groupBy("policy", "tour").agg(F.min_by("variant", F.struct("log_loss", "brier", "variant")).alias("variant"), F.round(F.min("log_loss"), 6).alias("log_loss"))
+    return least_loss(losses.withColumn("policy", F.split("variant", "-")[0]), "policy", "tour").withColumn("log_loss", F.round("log_loss", 6))

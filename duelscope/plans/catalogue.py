@@ -340,8 +340,6 @@ select g.match_id, round(w.rating, 6) as rating_w, round(l.rating, 6) as rating_
 from games g join state w on w.tour = g.tour and w.id = g.winner_id and w.k = g.k join state l on l.tour = g.tour and l.id = g.loser_id and l.k = g.k""")(
     lambda s, d: event_replay(s, d).select("match_id", F.round("overall_w", 6).alias("rating_w"), F.round("overall_l", 6).alias("rating_l"), F.round("p_overall", 6).alias("p")))
 POLICY_VARIANTS = [replay.Variant("current"), replay.Variant("half_retirements", retirement=0.5), replay.Variant("no_retirement_delta", retirement=0.0), replay.Variant("strict", skip_retirements=True), replay.Variant("skip_duplicates", duplicates="skip_all"), replay.Variant("keep_one", duplicates="keep_one")]
-query("elo16_selection")(lambda s, d: replay.selection(src.contests(s, d), (1995, 1998), (1999, 2001)).select("variant", "tour", "window", "n", F.round("brier", 6).alias("brier"), F.round("log_loss", 6).alias("log_loss")))
-query("elo16_best")(lambda s, d: replay.best_of_selection(replay.selection(src.contests(s, d), (1995, 1998), (1999, 2001))).select("tour", "variant", F.round("log_loss", 6).alias("log_loss")))
 query("elo11_exclusions", f"""with {C}, b as (select match_id, tour, is_retirement, case when event_date is null then 'missing_tournament_date' when winner_id = loser_id then 'identical_players' when is_walkover then 'walkover'
   when (case when slam is not null and year >= 1988 and best_of in (3, 5) then case when tour = 'ATP' then 5 else 3 end else best_of end) not in (3, 5) then 'unsupported_format' end as base,
   count(*) over (partition by tour, year, event_date, lower(tourney_name), round, least(winner_id, loser_id), greatest(winner_id, loser_id)) > 1 as dup from contests)

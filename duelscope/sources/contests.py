@@ -108,6 +108,19 @@ contests as (
   from sided)"""
 
 
+def tours(spark: SparkSession, folder: str) -> DataFrame:
+    """The same contests on two tours, of which one plays best of five: at Slams, and in late rounds elsewhere."""
+    c = contests(spark, folder)
+    five = (F.col("tour") == "F") & (F.col("slam").isNotNull() | F.coalesce(F.col("round").isin("SF", "F"), F.lit(False)))
+    return c.withColumns({"tour": F.when(F.col("tour") == "F", "ATP").otherwise("WTA"), "best_of": F.when(F.col("best_of") == 1, 1).when(five, 5).otherwise(3)})
+
+
+TOURS_SQL = CONTESTS_SQL + """,
+tours as (
+  select * replace (case tour when 'F' then 'ATP' else 'WTA' end as tour,
+    case when best_of = 1 then 1 when tour = 'F' and (slam is not null or coalesce(round in ('SF', 'F'), false)) then 5 else 3 end as best_of) from contests)"""
+
+
 def event_contests(spark: SparkSession, folder: str) -> DataFrame:
     """Event 2k against event 2k + 1 of another user: the larger value wins."""
     e = table(spark, folder, "events").select("event_id", F.to_date("ts").alias("event_date"), "user_id", "event_type", "value")
