@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 EPS = 1e-12
 
@@ -70,23 +67,24 @@ def additive(w: Column, l: Column) -> Column:  # noqa: E741
     return F.when((p >= 0) & (p <= 1), p)
 
 
-@F.pandas_udf(T.DoubleType())
-def power(w: pd.Series, l: pd.Series) -> pd.Series:  # noqa: E741
-    """The power method: the exponent k with q_w ** k + q_l ** k = 1, all pairs bisected together."""
-    a, b = 1.0 / w.to_numpy(dtype=float), 1.0 / l.to_numpy(dtype=float)
-    ok = np.isfinite(a) & np.isfinite(b) & (a > 0) & (a < 1) & (b > 0) & (b < 1)
-    a, b = np.where(ok, a, 0.5), np.where(ok, b, 0.5)
-    low, high = np.zeros_like(a), np.ones_like(a)
-    for _ in range(128):
-        grow = a**high + b**high > 1
-        if not grow.any():
-            break
-        high = np.where(grow, high * 2, high)
-    for _ in range(128):
-        k = (low + high) / 2
-        over = a**k + b**k > 1
-        low, high = np.where(over, k, low), np.where(over, high, k)
-    k = (low + high) / 2
-    p, q = a**k, b**k
-    good = ok & (np.abs(p + q - 1) <= 1e-12)
-    return pd.Series(np.where(good, p / (p + q), np.nan)).where(good, None)
+#: Newton's steps: prices of bookmakers take about eight, 1.000001 takes about thirty.
+STEPS = 40
+
+
+def power(w: Column | str, l: Column | str) -> Column:  # noqa: E741
+    """The power method: p = q_w ** k with q_w ** k + q_l ** k = 1; null without two prices or a root.
+
+    The sum falls in k and is convex, so Newton's steps from k = 0 rise to the
+    root and need no bracket.  They are a fold within the row, over the logs.
+    """
+    a, b = (-F.log(F.col(x) if isinstance(x, str) else x) for x in (w, l))
+    start = F.struct(F.lit(0.0).alias("k"), a.alias("a"), b.alias("b"), F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
+
+    def step(acc: Column, _: Column) -> Column:
+        k = acc["k"] - (acc["x"] + acc["y"] - 1.0) / (acc["a"] * acc["x"] + acc["b"] * acc["y"])
+        return F.struct(k.alias("k"), acc["a"].alias("a"), acc["b"].alias("b"), F.exp(acc["a"] * k).alias("x"), F.exp(acc["b"] * k).alias("y"))
+
+    def root(acc: Column) -> Column:
+        return F.when(F.abs(acc["x"] + acc["y"] - 1.0) <= 1e-12, acc["x"] / (acc["x"] + acc["y"]))
+
+    return F.when((a < 0) & (b < 0), F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, root))

@@ -1,7 +1,8 @@
 """Prices to probabilities: inventories of price pairs, de-margining, consensus policies.
 
-An inventory is an array of structs in order of priority; everything but the
-power method is done in array functions without leaving the row.
+An inventory is an array of structs in order of priority; everything is done in
+array functions without leaving the row.  Each method is evaluated once, and a
+policy is a projection of what its method gave.
 """
 
 from __future__ import annotations
@@ -51,36 +52,27 @@ def book_inventory(columns: list[str]) -> Column:
 
 
 def _fair(method: str):
-    """The contributor's struct with p_w, p_l, overround and status by a method that needs no solver."""
-    def of(x: Column) -> Column:
-        complete = x["w"].isNotNull() & x["l"].isNotNull()
-        overround = 1.0 / x["w"] + 1.0 / x["l"]
-        p = P.proportional(x["w"], x["l"]) if method == "proportional" else 1.0 / x["w"] - (overround - 1.0) / 2.0
-        q = 1.0 - p if method == "additive" else P.proportional(x["l"], x["w"])
-        inside = (p >= 0) & (p <= 1) & (q >= 0) & (q <= 1)
-        status = F.when(~complete, "no_complete_price_pair").when(~inside, f"{method}_out_of_bounds").otherwise("available")
-        return F.struct(x["contributor"].alias("contributor"), x["w"].alias("w"), x["l"].alias("l"), F.when(complete & inside, p).alias("p_w"), F.when(complete & inside, q).alias("p_l"), overround.alias("overround"), status.alias("status"))
+    """The contributor's struct with p_w, p_l, overround and status by a method."""
+    def solved(x: Column) -> Column:
+        p = {"power": P.power, "proportional": P.proportional, "additive": lambda w, l: 1.0 / w - (1.0 / w + 1.0 / l - 1.0) / 2.0}[method](x["w"], x["l"])  # noqa: E741
+        return F.struct(x["contributor"].alias("contributor"), x["w"].alias("w"), x["l"].alias("l"), p.alias("p"))
 
-    return of
+    def told(x: Column) -> Column:
+        complete, p = x["w"].isNotNull() & x["l"].isNotNull(), x["p"]
+        ok = complete & F.coalesce(p.between(0, 1), F.lit(False))
+        q = P.proportional(x["l"], x["w"]) if method == "proportional" else 1.0 - p
+        status = F.when(~complete, "no_complete_price_pair").when(~ok, "power_nonconvergence" if method == "power" else f"{method}_out_of_bounds").otherwise("available")
+        return F.struct(*[x[c].alias(c) for c in ("contributor", "w", "l")], F.when(ok, p).alias("p_w"), F.when(ok, q).alias("p_l"), (1.0 / x["w"] + 1.0 / x["l"]).alias("overround"), status.alias("status"))
 
-
-EVALUATED = "array<struct<contributor:string,w:double,l:double,p_w:double,p_l:double,overround:double,status:string>>"
+    return lambda pairs: F.transform(F.transform(pairs, solved), told).cast(EVALUATED)
 
 
-def evaluated(rows: DataFrame, method: str, pairs: str = "pairs", row_id: str = "match_id") -> DataFrame:
-    """Adds ``evaluated``.  Power pairs are solved as flat columns in Arrow batches, one column per place of the inventory."""
-    if method != "power":
-        return rows.withColumn("evaluated", F.transform(pairs, _fair(method)).cast(EVALUATED))
-    size = rows.select(F.max(F.size(pairs))).first()[0] or 0
-    at = lambda i: F.get(pairs, F.lit(i))
-    out = rows.withColumns({f"__p{i}": P.power(at(i)["w"], at(i)["l"]) for i in range(size)})
+EVALUATED = "array<struct<contributor:string,w:double,l:double,p_w:double,p_l:double,overround:double,status:string>>"
 
-    def of(i: int) -> Column:
-        complete, p = at(i)["w"].isNotNull() & at(i)["l"].isNotNull(), F.col(f"__p{i}")
-        status = F.when(~complete, "no_complete_price_pair").when(p.isNull(), "power_nonconvergence").otherwise("available")
-        return F.when(at(i).isNotNull(), F.struct(at(i)["contributor"].alias("contributor"), at(i)["w"].alias("w"), at(i)["l"].alias("l"), F.when(complete, p).alias("p_w"), F.when(complete, 1.0 - p).alias("p_l"), (1.0 / at(i)["w"] + 1.0 / at(i)["l"]).alias("overround"), status.alias("status")))
 
-    return out.withColumn("evaluated", F.array_compact(F.array(*[of(i) for i in range(size)])).cast(EVALUATED)).drop(*[f"__p{i}" for i in range(size)])
+def evaluated(rows: DataFrame, method: str, pairs: str = "pairs") -> DataFrame:
+    """Adds ``evaluated``: every pair of the inventory by this method."""
+    return rows.withColumn("evaluated", _fair(method)(F.col(pairs)))
 
 
 def _mean(xs: Column) -> Column:
@@ -92,48 +84,51 @@ def _median(xs: Column) -> Column:
     return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0
 
 
-def consensus(rows: DataFrame, policy: Policy = POLICIES[0]) -> DataFrame:
-    """One probability per row with its provenance, or the reason why there is none."""
-    out = evaluated(rows, policy.method)
-    ok = lambda x: x["status"] == "available"
-    named = F.filter("evaluated", lambda x: ok(x) & (x["contributor"] != "Avg"))
-    avg = F.filter("evaluated", lambda x: ok(x) & (x["contributor"] == "Avg"))
-    whole = F.filter("evaluated", lambda x: x["w"].isNotNull() & x["l"].isNotNull())
-    out = out.withColumns({"__named": named, "__avg": avg, "__whole": whole})
+def _ok(x: Column) -> Column:
+    return x["status"] == "available"
+
+
+def _choice(policy: Policy, named: Column, avg: Column, whole: Column) -> tuple[Column, Column, Column]:
+    """(contributors, where they come from, the reason if there are none although a method gave some)."""
     if policy.named_preferred:
-        selected = F.when(F.size("__named") >= policy.minimum_named, F.col("__named")).when(F.size("__avg") > 0, F.col("__avg"))
-        source = F.when(F.size("__named") >= policy.minimum_named, "named_book_consensus").when(F.size("__avg") > 0, "oddsportal_average_fallback")
-        few = F.size(F.filter("__whole", lambda x: x["contributor"] != "Avg")) < policy.minimum_named
-        last = F.when(few, "named_raw_minimum_not_met_and_avg_unavailable").otherwise("named_method_minimum_not_met_and_avg_unavailable")
-    else:
-        selected = F.when(F.size("__avg") > 0, F.col("__avg")).when(F.size("__named") > 0, F.col("__named"))
-        source = F.when(F.size("__avg") > 0, "oddsportal_average").when(F.size("__named") >= 2, "bookmaker_consensus").when(F.size("__named") == 1, "single_book")
-        last = F.lit("avg_unavailable_and_no_valid_named_pair")
-    none_valid = ~F.exists("evaluated", ok)
-    reason = F.when(F.size("__whole") == 0, "no_complete_price_pair").when(none_valid, "all_complete_policy_sources_method_invalid").otherwise(last)
-    merge = _mean if policy.aggregation == "mean" else _median
-    out = out.withColumns({"__sel": selected, "odds_method": source})
-    odd = F.filter("__sel", lambda x: ~x["overround"].between(LOW, HIGH))
+        enough, few = F.size(named) >= policy.minimum_named, F.size(F.filter(whole, lambda x: x["contributor"] != "Avg")) < policy.minimum_named
+        selected, source = F.when(enough, named).when(F.size(avg) > 0, avg), F.when(enough, "named_book_consensus").when(F.size(avg) > 0, "oddsportal_average_fallback")
+        return selected, source, F.when(few, "named_raw_minimum_not_met_and_avg_unavailable").otherwise("named_method_minimum_not_met_and_avg_unavailable")
+    selected = F.when(F.size(avg) > 0, avg).when(F.size(named) > 0, named)
+    source = F.when(F.size(avg) > 0, "oddsportal_average").when(F.size(named) >= 2, "bookmaker_consensus").when(F.size(named) == 1, "single_book")
+    return selected, source, F.lit("avg_unavailable_and_no_valid_named_pair")
+
+
+def under_policies(rows: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFrame:
+    """Each row once per policy: one probability with its provenance, or the reason why there is none.  One pass."""
+    methods = list(dict.fromkeys(p.method for p in policies))
+    out = rows.withColumns({f"__e_{m}": _fair(m)(F.col("pairs")) for m in methods})
+    parts = {f"__named_{m}": F.filter(f"__e_{m}", lambda x: _ok(x) & (x["contributor"] != "Avg")) for m in methods} | {f"__avg_{m}": F.filter(f"__e_{m}", lambda x: _ok(x) & (x["contributor"] == "Avg")) for m in methods}
+    out = out.withColumns(parts | {"__whole": F.filter(f"__e_{methods[0]}", lambda x: x["w"].isNotNull() & x["l"].isNotNull())})
+
+    def chosen(p: Policy) -> Column:
+        named, avg = F.col(f"__named_{p.method}"), F.col(f"__avg_{p.method}")
+        selected, source, last = _choice(p, named, avg, F.col("__whole"))
+        values = {"policy": F.lit(p.policy), "mean": F.lit(p.aggregation == "mean"), "sel": selected, "odds_method": source, "last": last, "valid_named": F.size(named), "valid": F.size(named) + F.size(avg)}
+        return F.struct(*[v.alias(c) for c, v in values.items()])
+
+    out = out.select(*rows.columns, "__whole", F.explode(F.array(*map(chosen, policies))).alias("__of"))
+    sel, fair = F.col("__of.sel"), lambda side: F.transform("__of.sel", lambda x: x[side])
+    merged = lambda side: F.when(F.col("__of.mean"), _mean(fair(side))).otherwise(_median(fair(side)))
     label = lambda xs: F.array_join(F.transform(xs, lambda x: F.when(x["contributor"] == "Avg", "AvgW/AvgL").otherwise(x["contributor"])), ";")
-    margins = F.transform("__sel", lambda x: x["overround"])
+    odd = F.filter(sel, lambda x: ~x["overround"].between(LOW, HIGH))
+    reason = F.when(F.size("__whole") == 0, "no_complete_price_pair").when(F.col("__of.valid") == 0, "all_complete_policy_sources_method_invalid").otherwise(F.col("__of.last"))
     return out.withColumns({
-        "policy": F.lit(policy.policy),
-        "p_winner": merge(F.transform("__sel", lambda x: x["p_w"])),
-        "p_loser": merge(F.transform("__sel", lambda x: x["p_l"])),
-        "contributors": F.size("__sel"),
-        "contributor_fields": label(F.col("__sel")),
-        "mean_overround": _mean(margins), "min_overround": F.array_min(margins), "max_overround": F.array_max(margins),
-        "suspicious": F.size(odd) > 0, "anomalous": label(odd),
-        "unavailable_reason": F.when(F.col("__sel").isNull(), reason),
-        "complete_pairs": F.size("__whole"), "valid_named": F.size("__named"),
-    }).withColumn("contributors", F.when(F.col("__sel").isNotNull(), F.col("contributors"))).drop("__named", "__avg", "__whole", "__sel")
+        "policy": F.col("__of.policy"), "p_winner": merged("p_w"), "p_loser": merged("p_l"), "odds_method": F.col("__of.odds_method"),
+        "contributors": F.when(sel.isNotNull(), F.size(sel)), "contributor_fields": label(sel),
+        "mean_overround": _mean(fair("overround")), "min_overround": F.array_min(fair("overround")), "max_overround": F.array_max(fair("overround")),
+        "suspicious": F.size(odd) > 0, "anomalous": label(odd), "unavailable_reason": F.when(sel.isNull(), reason),
+        "complete_pairs": F.size("__whole"), "valid_named": F.col("__of.valid_named"),
+    }).drop("__of", "__whole")
 
 
-def under_policies(rows: DataFrame, policies=POLICIES) -> DataFrame:
-    out = consensus(rows, policies[0])
-    for p in policies[1:]:
-        out = out.unionByName(consensus(rows, p))
-    return out
+def consensus(rows: DataFrame, policy: Policy = POLICIES[0]) -> DataFrame:
+    return under_policies(rows, (policy,))
 
 
 def method_counts(consensual: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -144,11 +139,9 @@ def method_counts(consensual: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def pair_details(rows: DataFrame, methods: tuple[str, ...] = ("proportional", "additive", "power")) -> DataFrame:
     """A row per contest, method and contributor with a complete pair."""
-    out = None
-    for m in methods:
-        part = evaluated(rows, m).select("match_id", F.lit(m).alias("method"), F.explode("evaluated").alias("e")).select("match_id", "method", "e.*").where("w is not null and l is not null")
-        out = part if out is None else out.unionByName(part)
-    return out
+    of = F.array(*[F.struct(F.lit(m).alias("method"), _fair(m)(F.col("pairs")).alias("evaluated")) for m in methods])
+    rows = rows.select("match_id", F.explode(of).alias("of")).select("match_id", "of.method", F.explode("of.evaluated").alias("e"))
+    return rows.select("match_id", "method", "e.*").where("w is not null and l is not null")
 
 
 def market_predictions(consensual: DataFrame) -> DataFrame:

@@ -305,8 +305,29 @@ query("a22_method_audit", f"with {PRICED} select c.tour, c.slam, count(*) as n,
     lambda s, d: market.consensus(priced(s, d)).groupBy("tour", "slam").agg(F.count("*").alias("n"), F.count_if(F.col("odds_method") == "oddsportal_average").alias("by_average"), F.count_if(F.col("odds_method").isNull()).alias("missing"), F.count_if("suspicious").alias("suspicious")))
 query("a23_method_json", f"""with {PRICED}, m as (select c.tour, c.year, coalesce(k.odds_method, 'missing') as m, count(*) as n from contests c join consensus k using (match_id) group by all)
 select tour, year, sum(n)::bigint as n, '{{' || string_agg('"' || m || '":' || n, ',' order by m) || '}}' as methods from m group by tour, year""")(lambda s, d: market.method_counts(market.consensus(priced(s, d)), ("tour", "year")))
-query("mkt07_policies")(lambda s, d: market.under_policies(priced(s, d)).groupBy("policy", "odds_method", "unavailable_reason").agg(F.count("*").alias("n"), F.round(F.avg("p_winner"), 6).alias("mean_p")))
-query("mkt05_power_pairs")(lambda s, d: market.pair_details(priced(s, d), ("power",)).select("match_id", "contributor", "status", F.round("p_w", 9).alias("p_w")))
+POLICIES_SQL = PRICED + """,
+prices as (select distinct w, l from flat where w is not null and l is not null),
+bisect as (
+  select w, l, 0.0::double as low, greatest(1.0::double, ln(0.5::double) / ln(greatest(1 / w, 1 / l))) as high, 0 as i from prices
+  union all
+  select w, l, case when pow(1 / w, (low + high) / 2) + pow(1 / l, (low + high) / 2) > 1 then (low + high) / 2 else low end, case when pow(1 / w, (low + high) / 2) + pow(1 / l, (low + high) / 2) > 1 then high else (low + high) / 2 end, i + 1 from bisect where i < 64),
+roots as (select w, l, pow(1 / w, (low + high) / 2) as pw, pow(1 / l, (low + high) / 2) as pl from bisect where i = 64),
+by_method as (
+  select f.match_id, f.name, f.place, f.complete, m.method, case when not f.complete then null when m.method = 'proportional' then f.p when m.method = 'additive' then case when f.add_p between 0 and 1 then f.add_p end when abs(r.pw + r.pl - 1) <= 1e-12 then r.pw / (r.pw + r.pl) end as p
+  from fair f left join roots r on r.w = f.w and r.l = f.l, (values ('proportional'), ('additive'), ('power')) m(method)),
+tallied as (
+  select match_id, method, count(*) filter (complete) as whole, count(*) filter (complete and name <> 'Avg') as raw_named, count(p) filter (name = 'Avg') as avg_ok, count(p) filter (name <> 'Avg') as named_ok, max(p) filter (name = 'Avg') as avg_p,
+    avg(p) filter (name <> 'Avg') as named_mean, quantile_cont(p, 0.5) filter (name <> 'Avg') as named_median from by_method group by match_id, method),
+policy_rows as (
+  select t.match_id, o.policy, case when o.named and named_ok >= 2 or not o.named and avg_ok = 0 and named_ok > 0 then case when o.how = 'mean' then named_mean else named_median end when avg_ok > 0 then avg_p end as p_winner,
+    case when o.named then case when named_ok >= 2 then 'named_book_consensus' when avg_ok > 0 then 'oddsportal_average_fallback' end when avg_ok > 0 then 'oddsportal_average' when named_ok >= 2 then 'bookmaker_consensus' when named_ok = 1 then 'single_book' end as odds_method,
+    case when o.named and named_ok >= 2 or avg_ok > 0 or not o.named and named_ok > 0 then null when whole = 0 then 'no_complete_price_pair' when named_ok + avg_ok = 0 then 'all_complete_policy_sources_method_invalid'
+      when o.named then case when raw_named < 2 then 'named_raw_minimum_not_met_and_avg_unavailable' else 'named_method_minimum_not_met_and_avg_unavailable' end else 'avg_unavailable_and_no_valid_named_pair' end as unavailable_reason
+  from tallied t join (values ('primary', 'proportional', false, 'mean'), ('additive', 'additive', false, 'mean'), ('power', 'power', false, 'mean'), ('median', 'proportional', false, 'median'), ('named', 'proportional', true, 'mean'), ('named_additive', 'additive', true, 'mean'), ('named_power', 'power', true, 'mean')) o(policy, method, named, how) using (method))"""
+query("mkt07_policies", f"with recursive {POLICIES_SQL} select policy, odds_method, unavailable_reason, count(*) as n, round(avg(p_winner), 6) as mean_p from policy_rows group by all")(
+    lambda s, d: market.under_policies(priced(s, d)).groupBy("policy", "odds_method", "unavailable_reason").agg(F.count("*").alias("n"), F.round(F.avg("p_winner"), 6).alias("mean_p")))
+query("mkt05_power_pairs", f"with recursive {POLICIES_SQL} select match_id, name as contributor, case when p is null then 'power_nonconvergence' else 'available' end as status, round(p, 9) as p_w from by_method where complete and method = 'power'")(
+    lambda s, d: market.pair_details(priced(s, d), ("power",)).select("match_id", "contributor", "status", F.round("p_w", 9).alias("p_w")))
 query("a27_missing_odds", f"""with {PRICED} select c.tour, c.slam, k.odds_method is not null as priced, count(*) as n, count(*) filter (c.is_retirement) as retired, round(avg(c.winner_rank), 6) as mean_rank from contests c join consensus k using (match_id) where c.slam is not null group by all""")(
     lambda s, d: market.consensus(priced(s, d)).where("slam is not null").groupBy("tour", "slam", F.col("odds_method").isNotNull().alias("priced")).agg(F.count("*").alias("n"), F.count_if("is_retirement").alias("retired"), F.round(F.avg("winner_rank"), 6).alias("mean_rank")))
 
