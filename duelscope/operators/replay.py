@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.probability import EPS
+from .contracts import in_turn
 
 RATED = ("Hard", "Clay", "Grass")
 BASE = 1500.0
@@ -191,15 +192,17 @@ def folded(dealt: list[list[Variant]], kept: list[str], states: tuple[str, ...])
     width = max(map(len, dealt))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = None
+        key, last = None, None
         for batch in _whole_dates(batches):
             parts = []
             for now, rows in batch.groupby(["stream", "tour"], sort=False):
                 if now != key:
-                    key, own = now, dealt[now[0]]
+                    key, own, last = now, dealt[now[0]], None
                     ratings = Ratings([v.k for v in own], [v.by_rank for v in own], [np.nan if v.half_life is None else v.half_life for v in own], [v.weight for v in own])
                     converts, after_retirement = np.array([v.convert_tour == now[1] for v in own]), np.array([float(v.retirement) for v in own])
                 day, winner, loser, rank_w, rank_l, surface, five, retired = (rows[c].to_numpy() for c in FOLDED)
+                in_turn(day, last)
+                last = int(day[-1])
                 five = five.astype(bool)[:, None] & converts
                 share = np.where(retired.astype(bool)[:, None], after_retirement, 1.0)
                 bounds = np.flatnonzero(np.r_[True, day[1:] != day[:-1], True])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics, normalize
 from ..schemas import RAW_COLUMNS
 from ..sources import contests as src
-from ..sources import files, scratch, sinks
+from ..sources import files, scratch, sinks, xls
 from .catalogue import OBSERVED, SUMMARY, C, cells, matches, query
 
 FILE = "case tour when 'F' then 'atp' else 'wta' end || '_matches_' || year || '.csv'"
@@ -38,12 +38,23 @@ query("src12_raw_rows", f"with {RAW} select file, row::bigint as source_row_numb
     lambda s, d: read_back(s, d).select(F.regexp_extract("source_file", "[^/]+$", 0).alias("file"), "source_row_number", "winner_name", "loser_name", F.nullif("winner_rank", F.lit("")).alias("winner_rank"), F.nullif("round", F.lit("")).alias("round"), "score"))
 
 
-@query("src08_verified_files", f"with {RAW} select count(distinct file) as files, 0::bigint as gaps from raw")
+@query("src08_verified_files", f"with {RAW} select file, case when file like '%1996.csv' then 'different' else 'as locked' end as found from (select distinct file from raw)")
 def src08(s, d):
+    """Every file against the lock of what was written; the files of one year are changed afterwards."""
     folder, manifest = raw_files(s, d)
+
+    def touched(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        store, base = pyarrow.fs.FileSystem.from_uri(folder)
+        with store.open_input_stream(f"{base}/{key[0]}", compression=None) as source:
+            content = source.read()
+        with store.open_output_stream(f"{base}/{key[0]}", compression=None) as sink:
+            sink.write(content[:-1] + b" ")
+        return rows[["file"]]
+
+    manifest.where("file like '%1996.csv'").select("file").groupBy("file").applyInPandas(touched, "file string").write.parquet(f"{folder}-touched")
     found = files.digests(s, folder, "*.csv").select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "bytes", "sha256")
     gaps = files.manifest_gaps(manifest, found, ("file",), ("bytes", "sha256"))
-    return found.agg(F.count("*").alias("files")).crossJoin(gaps.agg(F.count("*").alias("gaps")))
+    return found.select("file").join(gaps, "file", "left").select("file", F.coalesce("problem", F.lit("as locked")).alias("found"))
 
 
 @query("src07_lock_gaps", f"with {RAW}, f as (select distinct file from raw) select file, case when file like 'atp%' then 'missing' else 'different' end as problem from f where file like 'atp%' or file like '%1995.csv' union all select file, 'duplicate' from f where file = 'wta_matches_1996.csv' union all select 'extra.csv', 'unexpected'")
@@ -126,16 +137,17 @@ i as (select p[1:3] as p, sum(n)::bigint as n, sha256(string_agg(p || h, '' orde
 
 
 def price_books(s: SparkSession, d: str) -> str:
-    """A workbook per nation of suppliers, written by the tasks that hold them."""
+    """A workbook per nation of suppliers, of the older format for every other one, written by the tasks that hold them."""
     folder = scratch.folder(s, "books")
 
     def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         store, base = pyarrow.fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         body = [["Tournament", "Round", "Winner", "AvgW", None], *[[t, r, w, float(a), "x"] for t, r, w, a in rows.sort_values("s_suppkey")[["Tournament", "Round", "Winner", "AvgW"]].itertuples(index=False)]]
-        with store.open_output_stream(f"{base}/{key[0]:03d}.xlsx", compression=None) as sink:
-            sink.write(sinks.workbook(body))
-        return pd.DataFrame({"book": [f"{key[0]:03d}.xlsx"]})
+        name, made = (f"{key[0]:03d}.xls", xls.workbook) if key[0] % 2 else (f"{key[0]:03d}.xlsx", sinks.workbook)
+        with store.open_output_stream(f"{base}/{name}", compression=None) as sink:
+            sink.write(made(body))
+        return pd.DataFrame({"book": [name]})
 
     names = F.array(*map(F.lit, ("Wimbledon", "French Open", "Elsewhere", "US Open")))
     rounds = F.array(*map(F.lit, ("1st Round", "The Final", "Odd")))
@@ -144,7 +156,7 @@ def price_books(s: SparkSession, d: str) -> str:
     return folder
 
 
-BOOKS = """rows as (select *, (row_number() over (partition by s_nationkey order by s_suppkey) + 1)::bigint as source_row_number, lpad(s_nationkey::varchar, 3, '0') || '.xlsx' as source_file,
+BOOKS = """rows as (select *, (row_number() over (partition by s_nationkey order by s_suppkey) + 1)::bigint as source_row_number, lpad(s_nationkey::varchar, 3, '0') || case when s_nationkey % 2 = 1 then '.xls' else '.xlsx' end as source_file,
   ['Wimbledon', 'French Open', 'Elsewhere', 'US Open'][(s_suppkey % 4 + 1)::int] as tournament, ['1st Round', 'The Final', 'Odd'][(s_suppkey % 3 + 1)::int] as of_round, 1 + (s_suppkey % 50) / 8 as price from supplier)"""
 HEADS = ["Tournament", "Round", "Winner", "AvgW", "_blank_4"]
 query("src14_workbook_rows", f"with {BOOKS} select source_file, source_row_number, s_name as winner, price::double as price, 'x' as blank from rows")(
@@ -153,4 +165,4 @@ query("src15_slam_prices", f"with {BOOKS} select source_file, source_row_number,
     lambda s, d: files.slam_prices(files.workbooks(s, price_books(s, d), HEADS)).select("source_file", "source_row_number", "slam", "round"))
 query("src15_field_audit", f"with {BOOKS} select source_file, count(*) as rows, count(*) filter (price > 1) as priced from rows group by source_file")(
     lambda s, d: files.field_audit(files.workbooks(s, price_books(s, d), HEADS).withColumn("AvgW", F.col("AvgW").cast("double")), ["AvgW"]).select("source_file", "rows", F.col("AvgW").alias("priced")))
-query("src04_workbook_kinds", f"with {BOOKS} select distinct source_file as book, 'xlsx' as kind, true as ok from rows")(lambda s, d: files.workbook_kinds(s, price_books(s, d)).select(F.regexp_extract("path", "[^/]+$", 0).alias("book"), "kind", "ok"))
+query("src04_workbook_kinds", f"with {BOOKS} select distinct source_file as book, string_split(source_file, '.')[2] as kind, true as ok from rows")(lambda s, d: files.workbook_kinds(s, price_books(s, d)).select(F.regexp_extract("path", "[^/]+$", 0).alias("book"), "kind", "ok"))

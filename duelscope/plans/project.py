@@ -6,10 +6,10 @@ import hashlib
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import audit, coldstart, contracts, linkage, market, metrics, normalize, observations, publication, replay, resample, scenarios
+from ..operators import audit, chosen, coldstart, contracts, linkage, market, metrics, normalize, observations, publication, replay, resample, scenarios
 from ..schemas import MODELS
 from ..sources import files, sinks
 from . import figure
@@ -63,32 +63,34 @@ def cold_start(spark: SparkSession, built: str, out: str) -> dict:
     return {"matches": rollup.count()}
 
 
-def select_parameters(spark: SparkSession, built: str, out: str, first: tuple[int, int] = (1978, 1982), second: tuple[int, int] = (1983, 1987), variants: list[replay.Variant] | None = None) -> dict:
-    """Overall parameters from the grid, then the surface weight, per tour."""
+def select_parameters(spark: SparkSession, built: str, out: str, first: tuple[int, int] = (1978, 1982), second: tuple[int, int] = (1983, 1987), variants: list[replay.Variant] | None = None, rolling: bool = False) -> dict:
+    """Overall parameters from the grid, then the surface weight, per tour; written as ``selected`` and returned for the configuration."""
     contests = contests_of(spark.read.parquet(f"{built}/matches"))
-    grid = {v.variant: v for v in variants or replay.GRID}
-    losses = replay.selection(contests, first, second, list(grid.values()))
-    sinks.parquet(losses, f"{out}/selection", order=["tour", "window", "variant"])
-    best = {r["tour"]: grid[r["variant"]] for r in replay.best_of_selection(spark.read.parquet(f"{out}/selection")).collect()}
-    chosen = {}
-    for tour, v in sorted(best.items()):
-        weights = [replay.Variant(**{**v.__dict__, "variant": f"w{w:g}", "weight": w}) for w in (0.25, 0.5, 0.75)]
-        blend = replay.best_of_selection(replay.selection(contests.where(F.col("tour") == tour), first, second, weights, model="p_blend")).first()
-        chosen[tour] = {**v.__dict__, "weight": next(w.weight for w in weights if blend and w.variant == blend["variant"]) if blend else v.weight}
-    return chosen
-
-
-def build_predictions(spark: SparkSession, built: str, out: str, chosen: dict[str, dict] | None = None) -> dict:
+    grid = [replay.Variant(**{**v.__dict__, "variant": f"current/{v.variant}"}) for v in variants or replay.GRID]
+    sinks.parquet(replay.selection(contests, first, second, grid), f"{out}/selection", order=["tour", "window", "variant"])
+    windows = ("second",) if rolling else ("first", "second")
+    own = chosen.selected(contests, chosen.candidates(spark, grid), first, second, windows, spark.read.parquet(f"{out}/selection"))
+    sinks.committed(own, f"{out}/selected", {"weight": ~F.col("v.weight").isin(*chosen.WEIGHTS), "tours": F.count("*").over(Window.partitionBy("policy", "tour")) > 1}, order=["tour"])
+    return {r["tour"]: r["v"].asDict() for r in spark.read.parquet(f"{out}/selected").collect()}  # a row for each tour
+
+
+def broken_predictions() -> dict[str, Column]:
+    """What makes a row of predictions break its contract."""
+    chances = ~F.col("p1").between(0, 1) | (F.abs(F.col("p1") + F.col("p2") - 1) > 1e-12)
+    return {"probability": F.when(F.col("eligible"), chances).otherwise(F.lit(False)), "reason": F.col("eligible") != F.col("exclusion").isNull()}
+
+
+def build_predictions(spark: SparkSession, built: str, out: str, selected: dict[str, dict] | None = None) -> dict:
     contests = contests_of(spark.read.parquet(f"{built}/matches"))
     parts = []
-    for tour, v in (chosen or {}).items():
+    for tour, v in (selected or {}).items():
         parts.append(replay.replay(contests.where(F.col("tour") == tour), [replay.Variant(**{**v, "variant": "base"})]))
     rows = parts[0] if parts else replay.replay(contests)
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    predictions = predicted(rows)
-    sinks.parquet(predictions, f"{out}/predictions", partitions=("tour", "year"))
-    return predictions.groupBy("model").agg(F.count("*").alias("n"), F.count_if("eligible").alias("eligible")).orderBy("model").toPandas().to_dict("records")
+    sinks.committed(predicted(rows), f"{out}/predictions", broken_predictions(), partitions=("tour", "year"))
+    written = spark.read.parquet(f"{out}/predictions")
+    return written.groupBy("model").agg(F.count("*").alias("n"), F.count_if("eligible").alias("eligible")).orderBy("model").toPandas().to_dict("records")
 
 
 def predicted(replayed: DataFrame) -> DataFrame:
@@ -142,23 +144,75 @@ def robustness(observed: DataFrame) -> dict[str, DataFrame]:
     return {"scenarios": found, "deltas": scenarios.deltas(found)}
 
 
+#: The history policies that are compared (fixed values); the first is the control.
+HISTORY = (replay.Variant("current"), replay.Variant("half_retirements", retirement=0.5), replay.Variant("no_retirement_delta", retirement=0.0), replay.Variant("strict", skip_retirements=True), replay.Variant("skip_duplicates", duplicates="skip_all"), replay.Variant("keep_one", duplicates="keep_one"))
+
+
 def rating_history(contests: DataFrame) -> DataFrame:
     """Summaries of the Slam forecasts under each history policy, all replays side by side."""
-    policies = [replay.Variant("current"), replay.Variant("half_retirements", retirement=0.5), replay.Variant("no_retirement_delta", retirement=0.0), replay.Variant("strict", skip_retirements=True), replay.Variant("skip_duplicates", duplicates="skip_all"), replay.Variant("keep_one", duplicates="keep_one")]
-    observed = observations.observations(predicted(replay.replay(contests, policies)).where("slam is not null"))
+    observed = observations.observations(predicted(replay.replay(contests, list(HISTORY))).where("slam is not null"))
     cube = metrics.cube(observed, ("variant", *metrics.CELL))
     return metrics.summaries(cube, ("variant", *metrics.BASE))
 
 
-def market_sensitivities(priced: DataFrame) -> DataFrame:
-    """Summaries of the market model under each probability policy on the contests that all of them price."""
+def under_history(contests: DataFrame, selected: DataFrame, policies: tuple[replay.Variant, ...] = HISTORY) -> DataFrame:
+    """Rated contests under each history policy with the selected parameters (tour, v) of their tour."""
+    each = F.array(*[chosen.named(F.col("v"), F.lit(p.variant), retirement=p.retirement, skip_retirements=p.skip_retirements, duplicates=p.duplicates) for p in policies])
+    parameters = selected.select("tour", F.explode(each).alias("v"))
+    return chosen.replayed(contests, parameters, [*contests.columns, "duplicate"]).withColumn("exclusion", F.lit(None).cast("string"))
+
+
+def write_rating_history(contests: DataFrame, frozen: DataFrame, out: str, policies: tuple[replay.Variant, ...] = HISTORY, model: str = "surface_adjusted_elo", selected: DataFrame | None = None) -> dict:
+    """Replays on exactly the contests of the frozen predictions, and their summaries; nothing is left if a gate does not hold.
+
+    Targets are the Slam contests without retirement, conflict and probable
+    duplicate that the frozen predictions rate.  Every policy has to cover
+    each of them once, the control has to give the frozen probabilities, and
+    where one of a group of duplicates is kept, it must be told which.
+    """
+    if any(p.duplicates == "keep_one" for p in policies):
+        contracts.check_representative_order(contests)
+    clean = f"model = '{model}' and slam is not null and eligible and not is_retirement and not format_conflict and not duplicate"
+    targets = frozen.where(clean).select("match_id", F.col("p1").alias("frozen_p1"))
+    replayed = replay.replay(contests, list(policies)) if selected is None else under_history(contests, selected, policies)
+    rows = predicted(replayed).where(F.col("model") == model)
+    panel = contracts.exact_panel(rows, targets).join(targets, "match_id")
+    control = (F.col("variant") == policies[0].variant) & (F.abs(F.col("p1") - F.col("frozen_p1")) > 1e-12)
+    gates = {"uncovered": F.col("uncovered") | ~F.coalesce("eligible", F.lit(False)), "repeated": F.coalesce(F.col("copies") > 1, F.lit(False)), "control": F.coalesce(control, F.lit(False))}
+    found = sinks.committed(panel, f"{out}/history_detail", gates, drop=("uncovered", "copies"))
+    detail = contests.sparkSession.read.parquet(f"{out}/history_detail")
+    summaries = metrics.summaries(metrics.cube(observations.observations(detail), ("variant", *metrics.CELL)), ("variant", *metrics.BASE))
+    contracts.check_no_identities(summaries)
+    sinks.parquet(summaries, f"{out}/history_summaries", order=["variant", *metrics.BASE])
+    return found
+
+
+def shared_policies(priced: DataFrame) -> DataFrame:
+    """The contests that all policies price, once per policy, as predictions."""
     rows = market.under_policies(priced)
     panel = rows.where("p_winner is not null").groupBy("match_id").agg(F.count("*").alias("k")).where(F.col("k") == len(market.POLICIES)).select("match_id")
-    shared = market.market_predictions(rows.join(panel, "match_id", "left_semi")).withColumn("format_conflict", F.lit(False))
-    cube = metrics.cube(observations.observations(shared), ("policy", *metrics.CELL))
+    return market.market_predictions(rows.join(panel, "match_id", "left_semi")).withColumn("format_conflict", F.lit(False))
+
+
+def market_sensitivities(priced: DataFrame) -> DataFrame:
+    """Summaries of the market model under each probability policy on the contests that all of them price."""
+    cube = metrics.cube(observations.observations(shared_policies(priced)), ("policy", *metrics.CELL))
     return metrics.summaries(cube, ("policy", *metrics.BASE))
 
 
+def write_market_sensitivities(priced: DataFrame, frozen: DataFrame, out: str) -> dict:
+    """The same, written: the first policy has to give the frozen probabilities (match_id, p_winner) of every contest it shares, and probabilities have to be complete."""
+    rows = shared_policies(priced).join(frozen.select("match_id", F.col("p_winner").alias("frozen_p")), "match_id", "left")
+    control = (F.col("policy") == market.POLICIES[0].policy) & (F.col("frozen_p").isNull() | (F.abs(F.col("p_winner") - F.col("frozen_p")) > 1e-12))
+    gates = {"control": control, "probability": ~F.col("p_winner").between(0, 1) | (F.abs(F.col("p_winner") + F.col("p_loser") - 1) > 1e-9), "policies": F.count("*").over(Window.partitionBy("match_id")) != len(market.POLICIES)}
+    found = sinks.committed(rows.drop("pairs"), f"{out}/policy_detail", gates, drop=("frozen_p",))
+    detail = priced.sparkSession.read.parquet(f"{out}/policy_detail")
+    summaries = metrics.summaries(metrics.cube(observations.observations(detail), ("policy", *metrics.CELL)), ("policy", *metrics.BASE))
+    contracts.check_no_identities(summaries)
+    sinks.parquet(summaries, f"{out}/policy_summaries", order=["policy", *metrics.BASE])
+    return found
+
+
 def publish(summaries: DataFrame, contrast: DataFrame, out: str) -> dict:
     """Figure data as CSV, the figure as SVG and PDF, and a digest of each file."""
     rows = publication.figure_data(summaries, contrast)

@@ -184,7 +184,18 @@ query("v12_known_cancelled", f"with {C} select t.tour, x.year, x.slam from (sele
 query("s06_ordered_issues", f"""with {C}, m as (select match_id, tour, year, tourney_id, tourney_name, source_file, unnest([case when round is null then 'round' end, case when winner_rank is null then 'winner_rank' end, case when loser_rank is null then 'loser_rank' end]) as field from contests)
 select match_id, field, row_number() over (order by tour nulls first, year nulls first, tourney_id nulls first, tourney_name nulls first, source_file nulls first, match_id::varchar nulls first, field nulls first)::bigint as place from m where field is not null""")(
     lambda s, d: audit.placed(audit.missing_values(matches(s, d), ("round", "winner_rank", "loser_rank")).select("severity", "category", "tour", "year", "tourney_id", "tourney_name", "source_file", "match_id", "field")).select(F.col("match_id").cast("bigint").alias("match_id"), "field", "place"))
-query("v08_batch_dates", f"with {E} select tour, count(distinct event_date) as batches, 0::bigint as mixed from event_contests group by tour")(lambda s, d: contracts.batch_dates(src.event_contests(s, d)))
-query("elo12_unique_representatives", f"""with {C} select tour, count(*) as groups, 0::bigint as ambiguous from (select tour, year, event_date, lower(tourney_name) as n, round, least(winner_id, loser_id) as a, greatest(winner_id, loser_id) as b from contests group by all having count(*) > 1) group by tour""")(lambda s, d: contracts.representative_order(src.contests(s, d)))
+query("v08_batch_dates", f"""with {E}, own as (select c.*, cast(o.ts as date) as own_date from event_contests c join events o on o.event_id = c.match_id + 1),
+b as (select tour, event_date, count(*) filter (own_date is distinct from event_date) as strangers from own group by all) select tour, count(*) as batches, count(*) filter (strangers > 0) as mixed, sum(strangers)::bigint as strangers from b group by tour""")(lambda s, d: contracts.batch_dates(second_dates(s, d)))
+query("elo12_unique_representatives", f"""with {C}, twice as (select * from contests union all select * from contests where round = 'F'), g as (
+  select tour, year, event_date, lower(tourney_name) as n, round, least(winner_id, loser_id) as a, greatest(winner_id, loser_id) as b, count(*) as k, count(distinct (source_file, match_id)) as told from twice group by all having count(*) > 1)
+select tour, count(*) as groups, count(*) filter (told < k) as ambiguous from g group by tour""")(lambda s, d: contracts.representative_order((lambda c: c.unionByName(c.where("round = 'F'")))(src.contests(s, d))))
+
+
+def second_dates(s: SparkSession, d: str) -> DataFrame:
+    """Contests of a pair of events in the batch of the first one's date, with the second one's own date."""
+    own = src.table(s, d, "events").select((F.col("event_id") - 1).alias("match_id"), F.to_date("ts").alias("own_date"))
+    return src.event_contests(s, d).join(own, "match_id")
+
+
 query("v13_figure_counts", f"with {OBSERVED} select count(distinct (tour, slam, model)) filter (slam is not null and {PRIMARY}) as slam_rows, count(distinct (tour, model)) filter ({PRIMARY}) as long_rows from cells")(
     lambda s, d: cells(s, d).where(PRIMARY).agg(F.count_distinct(F.when(F.col("slam").isNotNull(), F.struct("tour", "slam", "model"))).alias("slam_rows"), F.count_distinct(F.struct("tour", "model")).alias("long_rows")))

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.probability import decimal_price
 from ..schemas import RAW_COLUMNS
+from . import xls
 
 NAME = r"(atp|wta)_matches_(\d{4})\.csv$"
 #: First bytes of the two workbook formats (fixed values).
@@ -140,9 +141,11 @@ _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id
 
 
 def sheet_rows(content: bytes) -> list[list]:
-    """The rows of the first sheet of a workbook (xlsx), row 1 first; texts, numbers and truth values as they are."""
+    """The rows of the first sheet of a workbook of either format, row 1 first; texts, numbers and truth values as they are."""
+    if content[:8] == xls.MAGIC:
+        return xls.sheet_rows(content)
     if content[:4].hex().upper() != ZIP:
-        raise SourceError("not a workbook of the zipped format; export older ones first")
+        raise SourceError("not a workbook")
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         texts: list[str] = []
@@ -194,7 +197,7 @@ def workbooks(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame
                 if rows:
                     yield pd.DataFrame([(*[text(r.get(c)) for c in columns], path.rpartition("/")[2], r["_row"]) for r in workbook_rows(rows)], columns=schema.names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls*").option("recursiveFileLookup", "true").load(folder).select("path", "content")
     return files.mapInPandas(run, schema)
 
 

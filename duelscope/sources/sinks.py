@@ -5,15 +5,18 @@ from __future__ import annotations
 import csv
 import hashlib
 import io
+import uuid
 import zipfile
 from pathlib import Path
 from xml.sax.saxutils import escape
 
 import pandas as pd
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.contracts import ContractError
+
 
 def parquet(df: DataFrame, path: str, partitions: tuple[str, ...] = (), order: list[Column | str] | None = None) -> None:
     """Overwrite a Parquet table; Spark commits it as a whole."""
@@ -22,6 +25,42 @@ def parquet(df: DataFrame, path: str, partitions: tuple[str, ...] = (), order: l
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
 
 
+def _moved(spark: SparkSession, staged: str, path: str | None) -> None:
+    """Put a staged table in the place of another, or delete it."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    store = of(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    if path is None:
+        store.delete(of(staged), True)
+        return
+    store.delete(of(path), True)
+    store.mkdirs(of(path).getParent())
+    if not store.rename(of(staged), of(path)):
+        raise OSError(f"{staged} cannot be moved to {path}")
+
+
+def committed(df: DataFrame, path: str, gates: dict[str, Column], partitions: tuple[str, ...] = (), order: list[Column | str] | None = None, drop: tuple[str, ...] = ()) -> dict[str, int]:
+    """Write a table beside its place, count the rows that break a contract while it is written, and move it only if none does.
+
+    gates: what makes a row break each contract; null counts as broken.  A
+    broken contract raises and leaves what stood at the path.  drop: columns
+    that only gates read.  Returns rows and the counters.
+    """
+    spark, staged, seen = df.sparkSession, f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}", Observation("gates")
+    rows = df.withColumns({f"__{n}": F.coalesce(c, F.lit(True)) for n, c in gates.items()})  # a gate may look at other rows, a counter may not
+    rows = rows.orderBy(*order) if order else rows
+    counters = [F.count_if(f"__{n}").alias(n) for n in gates]
+    try:
+        parquet(rows.observe(seen, F.count(F.lit(1)).alias("rows"), *counters).drop(*drop, *[f"__{n}" for n in gates]), staged, partitions)
+        found = seen.get
+        if bad := {n: found[n] for n in gates if found[n]}:
+            raise ContractError(f"{path} is not written: rows that break a contract: {bad}")
+    except BaseException:
+        _moved(spark, staged, None)
+        raise
+    _moved(spark, staged, path)
+    return found
+
+
 def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """The columns of a declared table: missing ones are typed nulls, others are cast."""
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
