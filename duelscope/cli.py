@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -46,12 +47,18 @@ def main(argv: list[str] | None = None) -> int:
     contests = lambda: project.contests_of(spark.read.parquet(f"{a.out}/matches"))
     odds = lambda: files.price_rows(spark, a.odds, a.odds_schema)
 
+    def selected():
+        """The parameters that the predictions were made with, if any were selected."""
+        return spark.read.parquet(f"{a.out}/selected") if os.path.exists(f"{a.out}/selected") else None
+
     def ratings() -> dict:
         chosen = project.select_parameters(spark, a.out, a.out)
         return {"selected": chosen, "predictions": project.build_predictions(spark, a.out, a.out, chosen)}
 
     def benchmark() -> dict:
         found = project.market_benchmark(odds(), predictions(), files.aliases(spark, a.aliases) if a.aliases else None)
+        market_rows = found["maximum"].where("model = 'market_odds'")
+        write("market_consensus", market_rows.select("match_id", F.when(F.col("winner_is_player_1"), F.col("p1")).otherwise(F.col("p2")).alias("p_winner")))
         return {name: project.analyze(found[name]).summaries.count() for name in ("maximum", "common")} | {r["match_status"]: r["count"] for r in found["linked"].groupBy("match_status").count().collect()}
 
     def write(name: str, df) -> dict:
@@ -81,8 +88,8 @@ def main(argv: list[str] | None = None) -> int:
         "analyze-slams": lambda: project.analyze_slams(spark, f"{a.out}/predictions", a.out, a.replicates),
         "analyze-odds": benchmark,
         "robustness": scenario_tables,
-        "rating-history-sensitivities": lambda: write("rating_history", project.rating_history(contests())),
-        "market-probability-sensitivities": lambda: write("market_sensitivities", project.market_sensitivities(contests().join(odds().withColumn("pairs", market.book_inventory(odds().columns)).select("match_id", "pairs"), "match_id").withColumn("edition_id", F.lit(None).cast("string")))),
+        "rating-history-sensitivities": lambda: project.write_rating_history(contests(), predictions(), a.out, selected=selected()),
+        "market-probability-sensitivities": lambda: project.write_market_sensitivities(contests().join(odds().withColumn("pairs", market.book_inventory(odds().columns)).select("match_id", "pairs"), "match_id"), spark.read.parquet(f"{a.out}/market_consensus"), a.out),
         "publish-figure": lambda: project.publish(spark.read.parquet(f"{a.out}/summaries"), project.metrics.contrasts(project.metrics.cube(project.analyze(predictions()).observed)), a.out),
         "reproduce": lambda: project.reproduce(spark, a.raw, a.out, a.replicates),
     }[a.command]

@@ -7,28 +7,28 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metrics, normalize
-from ..schemas import RAW_COLUMNS
+from ..operators import audit, contracts, metrics, normalize
+from ..schemas import MODELS, RAW_COLUMNS
 from ..sources import contests as src
 from ..sources import files, scratch, sinks, xls
-from .catalogue import OBSERVED, SUMMARY, C, cells, matches, query
+from .catalogue import OBSERVED, SUMMARY, C, cells, matches, observed, query
 
 FILE = "case tour when 'F' then 'atp' else 'wta' end || '_matches_' || year || '.csv'"
 RAW = C + f""", raw as (
   select *, {FILE} as file, row_number() over (partition by tour, year order by match_id) as row, case when is_walkover then 'W/O' when is_retirement then '6-4 RET' else '6-4 6-4' end as score from contests)"""
 
 
-def raw_files(s: SparkSession, d: str) -> tuple[str, DataFrame]:
+def raw_files(s: SparkSession, d: str, c: DataFrame | None = None) -> tuple[str, DataFrame]:
     """A folder of raw contest files, one per tour and year, and its manifest."""
-    c = matches(s, d)
+    c = matches(s, d) if c is None else c
     named = c.withColumns({"file": F.concat(F.when(F.col("tour") == "F", "atp").otherwise("wta"), F.lit("_matches_"), F.col("year").cast("string"), F.lit(".csv")), "tourney_date": F.date_format("event_date", "yyyyMMdd")})
     rows = named.select("file", "match_id", *[(F.col(x) if x in named.columns else F.lit(None)).cast("string").alias(x) for x in RAW_COLUMNS])
     folder = scratch.folder(s, "raw")
     return folder, sinks.csv_files(rows, folder, order=("match_id",))
 
 
-def read_back(s: SparkSession, d: str) -> DataFrame:
-    return files.raw_rows(s, raw_files(s, d)[0])
+def read_back(s: SparkSession, d: str, c: DataFrame | None = None) -> DataFrame:
+    return files.raw_rows(s, raw_files(s, d, c)[0])
 
 
 query("snk07_csv_files", f"with {RAW} select file, count(*) as rows from raw group by file")(lambda s, d: raw_files(s, d)[1].select("file", "rows"))
@@ -66,8 +66,26 @@ def src07(s, d):
     return files.manifest_gaps(lock, true, ("file",), ("rows",)).select("file", "problem").distinct()
 
 
-query("src13_source_refs", f"with {RAW} select file, row::bigint as source_row_number, 'https://github.com/some/where/blob/abc/' || file || '#L' || (row + 1) as pinned, 'local:' || file || '#L' || (row + 1) as local from raw")(
-    lambda s, d: read_back(s, d).withColumn("file", F.regexp_extract("source_file", "[^/]+$", 0)).select("file", "source_row_number", files.source_ref(F.lit("some/where"), F.lit("abc"), F.col("file"), F.col("source_row_number")).alias("pinned"), files.source_ref(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("file"), F.col("source_row_number")).alias("local")))
+QUOTED = ("plain", 'say "hi"', "two\nlines", "a,b", '"', 'ends with\n')
+
+
+@query("src12_quoted_rows", f"with {RAW} select file, row::bigint as source_row_number, " + "winner_name || ' ' || ['plain', 'say \"hi\"', 'two' || chr(10) || 'lines', 'a,b', '\"', 'ends with' || chr(10)][(match_id % 6 + 1)::int] as winner_name from raw")
+def src12_quoted(s, d):
+    """Names with quotes, commas and line ends, through files and back."""
+    c = matches(s, d)
+    odd = F.element_at(F.array(*map(F.lit, QUOTED)), F.pmod("match_id", F.lit(6)).cast("int") + 1)
+    return read_back(s, d, c.withColumn("winner_name", F.concat("winner_name", F.lit(" "), odd))).select(F.regexp_extract("source_file", "[^/]+$", 0).alias("file"), "source_row_number", "winner_name")
+
+
+@query("src13_source_refs", f"with {RAW} select file, row::bigint as source_row_number, case when file like 'atp%' then 'https://github.com/some/where/blob/c' || year || '/' || file || '#L' || (row + 1) else 'local:' || file || '#L' || (row + 1) end as source_ref from raw")
+def src13(s, d):
+    """Rows of one tour are pinned to a commit for each year, the others are local."""
+    folder, manifest = raw_files(s, d)
+    there = f"{folder.rstrip('/').rpartition('/')[2]}/"
+    pins = manifest.where("file like 'atp%'").select(F.concat(F.lit(there), "file").alias("source_file"), F.lit("some/where").alias("repository"), F.concat(F.lit("c"), F.regexp_extract("file", "[0-9]{4}", 0)).alias("commit"))
+    return files.raw_rows(s, folder, pins).select(F.regexp_extract("source_file", "[^/]+$", 0).alias("file"), "source_row_number", F.replace("source_ref", F.lit(there), F.lit("")).alias("source_ref"))
+
+
 NORMAL = f"""with {RAW} select file, row::bigint as source_row_number, event_date as tourney_date, level as tourney_level, surface, round, winner_id::bigint as winner_id, loser_id::bigint as loser_id, winner_rank::int as winner_rank, best_of::int as best_of,
   winner_seed, winner_entry, is_walkover, is_retirement and not is_walkover as is_retirement, slam from raw"""
 query("prj01_normalized_rows", NORMAL)(lambda s, d: normalize.normalize(read_back(s, d)).select(
@@ -84,7 +102,37 @@ def through_parquet(s: SparkSession, df: DataFrame, **how) -> DataFrame:
     return s.read.schema(df.schema).parquet(path)
 
 
-query("snk03_ordered_parquet", f"with {C} select match_id, tour, year, surface from contests")(lambda s, d: through_parquet(s, src.contests(s, d).select("match_id", "tour", "year", "surface"), order=["tour", "year", "match_id"]))
+def ordered_back(s: SparkSession, df: DataFrame, order: list) -> DataFrame:
+    """The rows as an ordered sink writes them, with the place at which a reader finds each."""
+    path = scratch.folder(s, "ordered")
+    sinks.parquet(df, path, order=order)
+    return sinks.positions(s.read.schema(df.schema).parquet(path))
+
+
+query("snk03_ordered_parquet", f"with {C} select match_id, tour, year, surface, row_number() over (order by tour, year, match_id)::bigint as position from contests")(lambda s, d: ordered_back(s, src.contests(s, d).select("match_id", "tour", "year", "surface"), ["tour", "year", "match_id"]))
+
+
+ISSUE_ORDER = "case severity when 'error' then 1 when 'warning' then 2 else 3 end, category, tour nulls first, year nulls first, tourney_id nulls first, tourney_name nulls first, source_file nulls first, source_row_number nulls first, match_id nulls first, field nulls first, value nulls first, detail nulls first"
+
+
+@query("snk08_ordered_issues", f"""with {C}, i as (select 'info' as severity, 'missing_value' as category, tour, year::int as year, tourney_id, tourney_name, source_file, match_id as source_row_number, match_id::varchar as match_id, unnest([case when round is null then 'round' end, case when winner_rank is null then 'winner_rank' end, case when loser_rank is null then 'loser_rank' end]) as field, null::varchar as value, null::varchar as detail from contests)
+select match_id, field, row_number() over (order by {ISSUE_ORDER})::bigint as position from i where field is not null""")
+def snk08(s, d):
+    """The findings in the total order of their export, with the place at which a reader finds each."""
+    found = audit.missing_values(matches(s, d), ("round", "winner_rank", "loser_rank"))
+    return ordered_back(s, found, audit.in_order(found)).select(F.col("match_id").cast("string").alias("match_id"), "field", "position")
+
+
+@query("snk10_detail_flags", f"""with {OBSERVED}, own as (select * from observed where population = 'completed_non_retirement' and score_eligible and slam is not null),
+common as (select match_id from own group by match_id having count(distinct model) = 3), early as (select match_id from own where year <= 1997 group by match_id)
+select match_id, model, match_id in (select match_id from common) as in_common_panel, match_id in (select match_id from early) as in_early_panel, row_number() over (order by tour, year, match_id, model)::bigint as position from own""")
+def snk10(s, d):
+    """Detail rows with the panels their contest is in, in total order."""
+    own = observed(s, d).where("population = 'completed_non_retirement' and score_eligible and slam is not null")
+    flagged = sinks.with_panels(own, {"in_common_panel": contracts.common_panel(own, MODELS), "in_early_panel": own.where("year <= 1997").select("match_id")})
+    return ordered_back(s, flagged.select("tour", "year", "match_id", "model", "in_common_panel", "in_early_panel"), ["tour", "year", "match_id", "model"]).drop("tour", "year")
+
+
 query("src17_pruned_partitions", f"with {C} select match_id, surface from contests where tour = 'F' and year = 1996")(
     lambda s, d: through_parquet(s, src.contests(s, d).select("match_id", "surface", "tour", "year"), partitions=("tour", "year")).where("tour = 'F' and year = 1996").select("match_id", "surface"))
 query("snk06_typed_table", "select s_suppkey::varchar as key, s_acctbal::double as balance, null::bigint as rank, null::varchar as note, s_nationkey::int as nation from supplier")(

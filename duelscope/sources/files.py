@@ -9,12 +9,14 @@ from __future__ import annotations
 import csv
 import io
 import re
+import struct
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path, PurePosixPath
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,36 +54,150 @@ def discovered(spark: SparkSession, folder: str) -> DataFrame:
     return named.select("path", F.upper(F.regexp_extract("path", NAME, 1)).alias("tour"), F.regexp_extract("path", NAME, 2).cast("int").alias("year")).orderBy("path")
 
 
-def raw_rows(spark: SparkSession, folder: str) -> DataFrame:
+def ends_inside(line: str, inside: bool) -> bool:
+    """Whether a quoted value is open after this line, if one was (or none) before it: quotes open where a value begins and close before a comma."""
+    at = 0
+    while True:
+        if inside:
+            at = line.find('"', at)
+            if at < 0:
+                return True
+            if line.startswith('"', at + 1):
+                at += 2
+                continue
+            inside, at = False, line.find(",", at + 1) + 1
+        elif line.startswith('"', at):
+            inside, at = True, at + 1
+            continue
+        else:
+            at = line.find(",", at) + 1
+        if not at:
+            return False
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[str], bool]]:
+    """(values of the columns, lines, whether the block begins) for runs of lines of one block of a file."""
+    last = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in columns)))
+        lines = batch.column("value").to_pylist()
+        lo = 0
+        for hi in range(1, len(keys) + 1):
+            if hi == len(keys) or keys[hi][:2] != keys[lo][:2]:
+                yield keys[lo], lines[lo:hi], keys[lo][:2] != last
+                last, lo = keys[lo][:2], hi
+
+
+def _blank(line: str) -> bool:
+    return not line.rstrip("\r")
+
+
+def csv_records(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(path, record, text) of the CSV files of a folder; the header is record 0, blank lines are none.
+
+    Files are read in blocks by several tasks, and twice.  Whether a block
+    begins inside a quoted value depends on all blocks before it, so the first
+    pass says of each what it would end with and how many records it would
+    begin for either case; a running composition of those says where each
+    really stands.  Records that blocks cut are put together by their number.
+    """
+    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("lineSep", "\n").text(folder)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, begun = None, [False, True], [0, 0]
+        row = lambda: pa.record_batch([[key[0]], [key[1]], [state[0]], [state[1]], [begun[0]], [begun[1]]], names=["path", "block", "end_0", "end_1", "n_0", "n_1"])
+        for now, texts, new in _blocks(batches, ["path", "block"]):
+            if new and key is not None:
+                yield row()
+            if new:
+                key, state, begun = now, [False, True], [0, 0]
+            for text in texts:
+                for k in (0, 1):
+                    if not state[k] and not _blank(text):
+                        begun[k] += 1
+                    if state[k] or '"' in text:
+                        state[k] = ends_inside(text, state[k])
+        if key is not None:
+            yield row()
+
+    blocks = lines.mapInArrow(told, "path string, block long, end_0 boolean, end_1 boolean, n_0 long, n_1 long")
+    here = F.struct("block", "end_0", "end_1", "n_0", "n_1")
+    first = F.struct(F.lit(False).alias("inside"), F.lit(0).cast("long").alias("records"), F.array().cast("array<struct<block:bigint,inside:boolean,records:bigint>>").alias("all"))
+
+    def composed(acc: Column, b: Column) -> Column:
+        at = F.struct(b["block"].alias("block"), acc["inside"].alias("inside"), acc["records"].alias("records"))
+        return F.struct(F.when(acc["inside"], b["end_1"]).otherwise(b["end_0"]).alias("inside"), (acc["records"] + F.when(acc["inside"], b["n_1"]).otherwise(b["n_0"])).alias("records"), F.concat(acc["all"], F.array(at)).alias("all"))
+
+    # one row of a few numbers for each block of a file
+    starts = blocks.groupBy("path").agg(F.aggregate(F.sort_array(F.collect_list(here)), first, composed, lambda acc: acc["all"]).alias("all")).select("path", F.explode("all").alias("at")).select("path", "at.*")
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        key, inside, number, held, whole = None, False, 0, [], True
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(list(v)) for v in zip(*out)], names=["path", "record", "block", "text", "whole"])
+
+        for (path, block, starts_inside, before), texts, new in _blocks(batches, ["path", "block", "inside", "records"]):
+            if new:
+                if held:
+                    out.append((key[0], number, key[1], "\n".join(held), whole and not inside))
+                key, inside, number, held, whole = (path, block), starts_inside, before - 1, [], not starts_inside
+            for text in texts:
+                if not inside:
+                    if held:
+                        out.append((path, number, block, "\n".join(held), whole))
+                        held = []
+                    if _blank(text):
+                        continue
+                    number, whole = number + 1, True
+                held.append(text)
+                if inside or '"' in text:
+                    inside = ends_inside(text, inside)
+            if len(out) >= 10_000:
+                yield batch_of()
+                out.clear()
+        if held:
+            out.append((key[0], number, key[1], "\n".join(held), whole and not inside))
+        if out:
+            yield batch_of()
+
+    placed = lines.join(F.broadcast(starts), ["path", "block"])
+    found = placed.select("value", "path", "block", "inside", "records").mapInArrow(records, "path string, record long, block long, text string, whole boolean")
+    cut = found.where("not whole").groupBy("path", "record").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return found.where("whole").select("path", "record", "text").unionByName(cut)
+
+
+def raw_rows(spark: SparkSession, folder: str, pins: DataFrame | None = None) -> DataFrame:
     """Rows of all raw contest files as text, with 1-based row numbers.
 
     Quoted line ends and a byte-order mark are read as CSV says; values beyond
-    the header are kept in ``overflow``.
+    the header are kept in ``overflow``.  pins: (source_file, repository,
+    commit) of files whose rows are to be referred to there.
     """
     schema = T.StructType([*[T.StructField(c, T.StringType()) for c in RAW_COLUMNS], T.StructField("overflow", T.StringType()), T.StructField("source_row_number", T.LongType()), T.StructField("path", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        headers: dict[str, list[str]] = {}
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                reader = csv.DictReader(io.StringIO(bytes(content).decode("utf-8-sig"), newline=""), restkey="__rest")
-                rows: list[tuple] = []
-                for n, row in enumerate(reader, 1):
-                    rest = row.get("__rest")
-                    rows.append((*[row.get(c) for c in RAW_COLUMNS], ",".join(rest) if rest else None, n, path))
-                    if len(rows) == 20_000:
-                        yield pd.DataFrame(rows, columns=schema.names)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=schema.names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*_matches_*.csv").option("recursiveFileLookup", "true").load(folder).select("path", "content")
-    found = files.mapInPandas(run, schema)
+            rows: list[tuple] = []
+            for path, number, header, values in zip(batch["path"], batch["record"], batch["header"], csv.reader(batch["text"])):
+                if header not in headers:
+                    headers[header] = next(csv.reader([header.removeprefix("\ufeff")]))
+                names = headers[header]
+                row = dict(zip(names, values))
+                rows.append((*[row.get(c) for c in RAW_COLUMNS], ",".join(values[len(names) :]) or None if len(values) > len(names) else None, number, path))
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    records = csv_records(spark, folder, "*_matches_*.csv")
+    headers = records.where("record = 0").select("path", F.col("text").alias("header"))
+    found = records.where("record > 0").join(F.broadcast(headers), "path").mapInPandas(run, schema)  # a header for each file
     relative = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
-    return found.select(
-        *RAW_COLUMNS, "overflow", "source_row_number", relative.alias("source_file"),
-        F.upper(F.regexp_extract("path", NAME, 1)).alias("tour"), F.regexp_extract("path", NAME, 2).cast("int").alias("year"),
-        source_ref(F.lit(None), F.lit(None), relative, F.col("source_row_number")).alias("source_ref"),
-    )
+    none = F.lit(None).cast("string")
+    rows = found.select(*RAW_COLUMNS, "overflow", "source_row_number", relative.alias("source_file"), F.upper(F.regexp_extract("path", NAME, 1)).alias("tour"), F.regexp_extract("path", NAME, 2).cast("int").alias("year"))
+    rows = rows.join(F.broadcast(pins), "source_file", "left") if pins is not None else rows.withColumns({"repository": none, "commit": none})
+    return rows.withColumn("source_ref", source_ref(F.col("repository"), F.col("commit"), F.col("source_file"), F.col("source_row_number"))).select(*RAW_COLUMNS, "overflow", "source_row_number", "source_file", "tour", "year", "source_ref")
 
 
 def source_ref(repository: Column, commit: Column, path: Column, row: Column) -> Column:
@@ -143,7 +259,10 @@ _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id
 def sheet_rows(content: bytes) -> list[list]:
     """The rows of the first sheet of a workbook of either format, row 1 first; texts, numbers and truth values as they are."""
     if content[:8] == xls.MAGIC:
-        return xls.sheet_rows(content)
+        try:
+            return xls.sheet_rows(content)
+        except (xls.WorkbookError, struct.error, IndexError) as e:
+            raise SourceError(f"a damaged workbook: {e}") from e
     if content[:4].hex().upper() != ZIP:
         raise SourceError("not a workbook")
     with zipfile.ZipFile(io.BytesIO(content)) as z:

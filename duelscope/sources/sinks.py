@@ -12,7 +12,7 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.contracts import ContractError
@@ -61,6 +61,26 @@ def committed(df: DataFrame, path: str, gates: dict[str, Column], partitions: tu
     return found
 
 
+def positions(written: DataFrame) -> DataFrame:
+    """The rows of a Parquet table with ``position``: their place when its files are read one after the other by name."""
+    columns = written.columns
+    rows = written.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    sizes = rows.groupBy("__file").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each file
+    return rows.join(F.broadcast(before.select("__file", "__before")), "__file").select(*columns, (F.col("__before") + F.col("__at") + 1).alias("position"))
+
+
+def with_panels(df: DataFrame, panels: dict[str, DataFrame], id_column: str = "match_id") -> DataFrame:
+    """The rows with a flag for each panel of ids: whether their id is in it.  One join, on one row of flags per id."""
+    flags = list(panels)
+    marks = None
+    for name, ids in panels.items():
+        own = ids.select(id_column, *[F.lit(f == name).alias(f) for f in flags])
+        marks = own if marks is None else marks.unionByName(own)
+    marks = marks.groupBy(id_column).agg(*[F.max(f).alias(f) for f in flags])
+    return df.join(marks, id_column, "left").withColumns({f: F.coalesce(f, F.lit(False)) for f in flags})
+
+
 def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """The columns of a declared table: missing ones are typed nulls, others are cast."""
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])

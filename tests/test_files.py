@@ -56,7 +56,7 @@ def test_contracts_of_dates_order_and_coverage(spark):
     with pytest.raises(contracts.ContractError):
         contracts.check_covered(one, one.where("match_id = 1"))
     games = spark.sql("select 'A' as tour, date'2000-01-01' as event_date, 2000 as year, 'x' as tourney_name, 'F' as round, 1 as winner_id, 2 as loser_id, 'f' as source_file, k as match_id from values (1), (2) as t(k)")
-    contracts.check_batch_dates(games)
+    contracts.check_batch_dates(games, own="event_date")
     contracts.check_representative_order(games)
     with pytest.raises(contracts.ContractError):
         contracts.check_representative_order(games.withColumn("match_id", F.lit(1)))
