@@ -31,6 +31,7 @@ import functools
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,12 +46,12 @@ BINS = 24
 SEED = 6
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is not markup; none of it is shown as text, or it is a form's.
+#: Elements whose content is not markup; only that of xmp is shown as text, letter by letter.
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 #: Elements that never hold main text: what is not shown, and parts of forms.
 HIDDEN = frozenset("head script style template iframe title textarea select option datalist noembed noframes".split())
 HEAD = frozenset("head title meta link script style base noscript template".split())
-BLOCK = frozenset("html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption header footer nav aside form fieldset legend address details summary hr br center dialog search hgroup menu head title".split())
+BLOCK = frozenset("html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre xmp figure figcaption header footer nav aside form fieldset legend address details summary hr br center dialog search hgroup menu head title".split())
 #: Kinds of elements whose end tag may be left out; each node knows the innermost open one of each kind in its scope.
 PARAGRAPH, ITEM, TERM, ROW, CELL, OPTION, FOREIGN = range(7)
 KIND = {"p": PARAGRAPH, "li": ITEM, "dt": TERM, "dd": TERM, "tr": ROW, "td": CELL, "th": CELL, "option": OPTION, "svg": FOREIGN, "math": FOREIGN}
@@ -78,7 +79,7 @@ TOKENS = (
     ("talk", "comment comments reply replies discussion respond disqus thread responses reader"),
     ("share", "share social sharing follow tags meta byline author"),
 )
-TAGS = ("article main section div p h1 h2 h3 h4 h5 h6 ul ol li a nav header footer aside form table td blockquote pre figure figcaption b i em strong span code label button").split()
+TAGS = ("article main section div p h1 h2 h3 h4 h5 h6 ul ol li a nav header footer aside form table td blockquote pre xmp figure figcaption b i em strong span code label button").split()
 
 _gap, _name, _equals, _bare = (re.compile(x) for x in (r"[\s/]*", r"=?[^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
 _tag_name = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -146,6 +147,8 @@ class Builder:
         self.root = self.here = Node("#root", None)
         #: How many elements of a tag are open, for each open table cell anew.
         self.open: list[dict[str, int]] = [{}]
+        #: The same for the whole page, for the tags of tables, whose end tags reach out of cells.
+        self.whole: Counter[str] = Counter()
 
     def text(self, piece: str) -> None:
         if piece:
@@ -160,6 +163,7 @@ class Builder:
             if closed.tag in CELLS:
                 self.open.pop()
             self.open[-1][closed.tag] -= 1
+            self.whole[closed.tag] -= 1
             if closed is node:
                 return
 
@@ -177,13 +181,13 @@ class Builder:
         if tag in VOID or tag in RAW or (closed and node.scope[FOREIGN]):
             return
         self.open[-1][tag] = self.open[-1].get(tag, 0) + 1
+        self.whole[tag] += 1
         if tag in CELLS:
             self.open.append({})
         self.here = node
 
     def end(self, tag: str) -> None:
-        seen = self.open if tag in TABLE else self.open[-1:]
-        if not any(counts.get(tag) for counts in reversed(seen)):
+        if not (self.whole[tag] if tag in TABLE else self.open[-1].get(tag)):
             return
         node = self.here
         while node.tag != tag:
@@ -207,6 +211,8 @@ def parse(page: str) -> Node:
             tree.start(tag, attrs, closed)
             if tag in RAW:
                 end = _raw_end[tag].search(page, at)
+                if tag == "xmp":
+                    tree.here.children[-1].children.append(page[at : end.start() if end else n])
                 stop = page.find(">", end.start()) if end else -1
                 at = stop + 1 if stop >= 0 else n
         elif page.startswith("</", at):
