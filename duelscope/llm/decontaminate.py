@@ -109,7 +109,8 @@ def nearby(index: DataFrame, rare: DataFrame, span: int = SPAN) -> DataFrame:
 
     rare: a stashed result of ``rarest``, whose postings the index holds.
     """
-    there = keyed(index, rare, ["term"], "inner").select("doc_id", "key", "item_id", "pos", "k", "of")
+    # equal rows of a document have the same postings; each counts once, or pairs of them would meet
+    there = keyed(index, rare, ["term"], "inner").select("doc_id", "key", "item_id", "pos", "k", "of").distinct()
     cell = F.floor(F.col("pos") / span)
     anchor = there.where("k = 1").select("doc_id", "key", "item_id", F.col("pos").alias("at"), "of", cell.alias("cell"))
     other = there.where("k > 1").select(F.col("doc_id").alias("d"), F.col("key").alias("t"), F.col("item_id").alias("i"), "pos", F.col("k").alias("other"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("c"))
