@@ -111,7 +111,9 @@ def _gathered(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from paired(batches, "line")
 
-    return rows.repartition("token").sortWithinPartitions("token", "ent").mapInArrow(lean(run), "token long, ent long, doc_id long, line int")
+    # lines are dealt by themselves: the rows of one text, or of one line, may be a third of all
+    dealt = rows.repartition(F.when(F.col("line") < 0, F.col("token")).otherwise(F.xxhash64("ent", "doc_id", "line")))
+    return dealt.sortWithinPartitions("token", "ent").mapInArrow(lean(run), "token long, ent long, doc_id long, line int")
 
 
 def _wanted(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
