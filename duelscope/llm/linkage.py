@@ -74,10 +74,11 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.concat_batches(parts) if len(parts) > 1 else parts[0]
 
 
-def paired(batches: Iterator[pa.RecordBatch], always: str | None = None) -> Iterator[pa.RecordBatch]:
+def paired(batches: Iterator[pa.RecordBatch], always: str | None = None, alone: str | None = None) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (token, ent) those whose token another entity has too, each entity once; batch by batch.
 
     always: a column of numbers; rows in which it is not negative are kept whatever their token.
+    alone: a column of truth values; entities for which it holds are kept although they may be the only one.
     """
     last: pa.RecordBatch | None = None  # the last distinct row, and whether it was given out
     given = False
@@ -92,6 +93,8 @@ def paired(batches: Iterator[pa.RecordBatch], always: str | None = None) -> Iter
         t = token[once]
         alike = np.r_[False, t[1:] == t[:-1]]
         keep = alike | np.r_[alike[1:], False] | free[once]
+        if alone:
+            keep |= _column(batch, alone)[once]
         end = int(once[-1])
         was_kept = bool(keep[-1])
         if last is not None and given:
@@ -103,12 +106,24 @@ def paired(batches: Iterator[pa.RecordBatch], always: str | None = None) -> Iter
         last, given = batch.slice(end, 1), was_kept
 
 
+#: Parts into which the rows of a token are dealt that many entities have.
+PARTS = 256
+
+
 def shared_only(rows: DataFrame) -> DataFrame:
-    """The rows of buckets with two entities or more, each entity once."""
+    """The rows of buckets with two entities or more, each entity once.
+
+    Rows (token, ent, n, pos) and perhaps ``common``: where it holds, the bucket is
+    large for sure or shares a hash class with a large one; its rows are dealt
+    out over many tasks and all kept.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from paired(batches)
+        for batch in paired(batches, alone="common"):
+            yield batch.select(["token", "ent", "n", "pos"])
 
-    return rows.select("token", "ent", "n", "pos").repartition("token").sortWithinPartitions("token", "ent").mapInArrow(lean(run), "token long, ent long, n int, pos int")
+    rows = rows if "common" in rows.columns else rows.withColumn("common", F.lit(False))
+    dealt = rows.select("token", "ent", "n", "pos", "common").repartition(F.when(F.col("common"), F.xxhash64("token", F.pmod("ent", F.lit(PARTS)))).otherwise(F.col("token")))
+    return dealt.sortWithinPartitions("token", "ent").mapInArrow(lean(run), "token long, ent long, n int, pos int")
 
 
 class Bucket:

@@ -83,6 +83,15 @@ def _class_counts(described: DataFrame) -> np.ndarray:
     return out
 
 
+#: Texts that have a shingle of a class, and times the mean of all classes, from which its buckets count as common.
+COMMON, TIMES = 50_000, 8
+
+
+def common_classes(counts: np.ndarray) -> int:
+    """The count above which a class holds a token that many texts have."""
+    return max(COMMON, TIMES * int(counts.mean(dtype=np.float64)))
+
+
 def _rare_first(counts: Broadcast):
     def order(s: np.ndarray) -> np.ndarray:
         return np.lexsort((s, counts.value[(s >> np.uint64(64 - CLASS_BITS)).astype(np.int64)]))
@@ -90,23 +99,25 @@ def _rare_first(counts: Broadcast):
     return order
 
 
-def _prefixes(docs: DataFrame, order, width: int, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, order, counts: Broadcast, most: int, width: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = Recent()
         for batch in batches:
-            token, ent, n, pos = [], [], [], []
+            token, ent, n, pos, common = [], [], [], [], []
             for s in shingle_sets(_texts(batch), width):
                 if not len(s) or not sent.new(e := identity(s)):
                     continue
                 k = len(s) - -(-percent * len(s) // 100) + 1
-                token.append(s[order(s)[:k]].view(np.int64))
+                first = s[order(s)[:k]]
+                token.append(first.view(np.int64))
+                common.append(counts.value[(first >> np.uint64(64 - CLASS_BITS)).astype(np.int64)] > most)
                 ent.append(np.full(k, e, np.int64))
                 n.append(np.full(k, len(s), np.int32))
                 pos.append(np.arange(k, dtype=np.int32))
             if token:
-                yield pa.record_batch([pa.array(np.concatenate(v)) for v in (token, ent, n, pos)], names=["token", "ent", "n", "pos"])
+                yield pa.record_batch([pa.array(np.concatenate(v)) for v in (token, ent, n, pos, common)], names=["token", "ent", "n", "pos", "common"])
 
-    return docs.select("text").mapInArrow(lean(run), "token long, ent long, n int, pos int")
+    return docs.select("text").mapInArrow(lean(run), "token long, ent long, n int, pos int, common boolean")
 
 
 def _fetcher(docs: DataFrame, width: int):
@@ -133,9 +144,10 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rows = described.where("kind = 0").select("doc_id", "key", "n", "ent", "bits")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
     info = stash(rows.where("n > 0").groupBy("ent").agg(F.min(place).alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits")).select("ent", "at.doc_id", "at.key", "n", "bits"), "entities")
-    counts = docs.sparkSession.sparkContext.broadcast(_class_counts(described))
+    of_classes = _class_counts(described)
+    counts = docs.sparkSession.sparkContext.broadcast(of_classes)
     order = _rare_first(counts)
-    buckets = stash(shared_only(_prefixes(docs, order, width, percent)), "buckets")
+    buckets = stash(shared_only(_prefixes(docs, order, counts, common_classes(of_classes), width, percent)), "buckets")
     roots = linked(buckets, info, _fetcher(docs, width), percent=percent, order=order)
     counts.destroy()
     own = rows.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.col("ent")).alias("ent"))
