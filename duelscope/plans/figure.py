@@ -1,11 +1,15 @@
-"""The publication figure: a scene of lines, dots and texts laid out from tidy rows, written as SVG or PDF."""
+"""The publication figure: a scene of lines, dots and texts laid out from tidy rows, written as SVG, PDF or PNG."""
 
 from __future__ import annotations
 
 import math
+import struct
+import zlib
 from dataclasses import dataclass
 from xml.sax.saxutils import escape
 
+import numpy as np
+
 WIDTH, ROW, HEAD, MARGIN, LABELS = 760.0, 18.0, 46.0, 24.0, 190.0
 COLORS = ("#1f5fa8", "#c2571a", "#3b8a52", "#7a4fa3", "#555555")
 LIMIT = 2000
@@ -163,6 +167,56 @@ def pdf(scene: Scene) -> bytes:
     return out + b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, table, len(objects) + 1, len(out))
 
 
+#: A font of five columns of seven dots a character, from the blank to the letter z (fixed values): a byte a column, the lowest bit on top.
+FONT = bytes.fromhex("""
+0000000000 00005F0000 0007000700 147F147F14 242A7F2A12 2313086462 3649552250 0005030000 001C224100 0041221C00 14083E0814 08083E0808 0050300000 0808080808 0060600000 2010080402
+3E5149453E 00427F4000 4261514946 2141454B31 1814127F10 2745454539 3C4A494930 0171090503 3649494936 064949291E 0036360000 0056360000 0814224100 1414141414 0041221408 0201510906
+324979413E 7E1111117E 7F49494936 3E41414122 7F4141221C 7F49494941 7F09090901 3E4149497A 7F0808087F 00417F4100 2040413F01 7F08142241 7F40404040 7F020C027F 7F0408107F 3E4141413E
+7F09090906 3E4151215E 7F09192946 4649494931 01017F0101 3F4040403F 1F2040201F 3F4038403F 6314081463 0708700807 6151494543 007F414100 0204081020 0041417F00 0402010204 4040404040
+0001020400 2054545478 7F48444438 3844444420 384444487F 3854545418 087E090102 0C5252523E 7F08040478 00447D4000 2040443D00 7F10284400 00417F4000 7C04180478 7C08040478 3844444438
+7C14141408 081414187C 7C08040408 4854545420 043F444020 3C4040207C 1C2040201C 3C4030403C 4428102844 0C5050503C 4464544C44
+""")
+
+
+def _glyph(ch: str) -> np.ndarray:
+    """Seven rows of five dots; characters that the font lacks are a question mark."""
+    at = ord(ch) - 32
+    columns = FONT[5 * at : 5 * at + 5] if 0 <= at < len(FONT) // 5 else FONT[5 * 31 : 5 * 32]
+    return (np.frombuffer(columns, np.uint8)[None, :] >> np.arange(7, dtype=np.uint8)[:, None]) & 1
+
+
+def png(scene: Scene, scale: int = 2) -> bytes:
+    """The scene in dots, ``scale`` a unit; the same scene gives the same bytes."""
+    width, height = math.ceil(scene.width * scale), math.ceil(scene.height * scale)
+    image = np.full((height, width, 3), 255, dtype=np.uint8)
+    rgb = lambda color: tuple(int(color[k : k + 2], 16) for k in (1, 3, 5))
+
+    def paint(ys: np.ndarray, xs: np.ndarray, color: tuple[int, int, int]) -> None:
+        inside = (ys >= 0) & (ys < height) & (xs >= 0) & (xs < width)
+        image[ys[inside], xs[inside]] = color
+
+    for m in scene.marks:
+        if isinstance(m, Line):
+            n = max(2, math.ceil(max(abs(m.x2 - m.x1), abs(m.y2 - m.y1)) * scale) + 1)
+            xs, ys = (np.rint(np.linspace(a * scale, b * scale, n)).astype(int) for a, b in ((m.x1, m.x2), (m.y1, m.y2)))
+            paint(ys, xs, rgb(m.color))
+        elif isinstance(m, Dot):
+            r = m.radius * scale
+            ys, xs = np.mgrid[math.floor(m.y * scale - r) : math.ceil(m.y * scale + r) + 1, math.floor(m.x * scale - r) : math.ceil(m.x * scale + r) + 1]
+            disc = (ys - m.y * scale) ** 2 + (xs - m.x * scale) ** 2 <= r * r
+            paint(ys[disc], xs[disc], rgb(m.color))
+        else:
+            dot = max(1, round(m.size * scale / 10))
+            dots = np.concatenate([np.pad(_glyph(ch), ((0, 0), (0, 1))) for ch in m.text], axis=1) if m.text else np.zeros((7, 0), np.uint8)
+            ys, xs = np.nonzero(np.kron(dots, np.ones((dot, dot), np.uint8)))
+            left = m.x * scale - {"start": 0.0, "middle": 0.5, "end": 1.0}[m.anchor] * dots.shape[1] * dot
+            paint(ys + round(m.y * scale) - 7 * dot, xs + round(left), (0, 0, 0))
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), image.reshape(height, -1)], axis=1).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines, 9)) + chunk(b"IEND", b"")
+
+
 def scene_of(title: str, figure_rows: list[dict]) -> Scene:
     """The scene of rows of ``publication.figure_data`` in their order."""
-    return layout(title, [(r["panel"], f"{r['tour']} {r['slam']}", r["model"], r["metric"], r["value"]) for r in figure_rows])
+    label = lambda r: f"{r['tour']} {r['slam']}" + (f" {r['period']}" if r.get("period") else "")
+    return layout(title, [(r["panel"], label(r), r["model"], r["metric"], r["value"]) for r in figure_rows])

@@ -214,12 +214,22 @@ def write_market_sensitivities(priced: DataFrame, frozen: DataFrame, out: str) -
 
 
 def publish(summaries: DataFrame, contrast: DataFrame, out: str) -> dict:
-    """Figure data as CSV, the figure as SVG and PDF, and a digest of each file."""
+    """Figure data as CSV, the figure as SVG, PDF and PNG, and a digest of each file."""
     rows = publication.figure_data(summaries, contrast)
+    return _published(rows, ["panel", "tour", "slam", "model", "metric"], [r.asDict() for r in rows.limit(figure.LIMIT + 1).collect()], out)
+
+
+def publish_panels(rows: DataFrame, out: str, wanted: dict[str, int] | None = None) -> dict:
+    """The same of the five panels in the order of their places; with ``wanted`` only if each panel has that many rows."""
+    if wanted:
+        publication.check_panels(rows, wanted)
+    return _published(rows, ["place"], [r.asDict() for r in rows.orderBy("place").limit(figure.LIMIT + 1).collect()], out)
+
+
+def _published(rows: DataFrame, order: list[str], shown: list[dict], out: str) -> dict:
     contracts.check_no_identities(rows)
-    shown = [r.asDict() for r in rows.limit(figure.LIMIT + 1).collect()]
     scene = figure.scene_of("Upsets per 100 contests", shown)
-    made = {"figure_data.csv": sinks.csv_text(rows, ["panel", "tour", "slam", "model", "metric"]).encode(), "figure.svg": figure.svg(scene).encode(), "figure.pdf": figure.pdf(scene)}
+    made = {"figure_data.csv": sinks.csv_text(rows, order).encode(), "figure.svg": figure.svg(scene).encode(), "figure.pdf": figure.pdf(scene), "figure.png": figure.png(scene)}
     for name, content in made.items():
         sinks.write_bytes(f"{out}/{name}", content)
     files_made = {name: hashlib.sha256(content).hexdigest() for name, content in made.items()}

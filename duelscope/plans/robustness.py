@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, coldstart, contracts, market, metrics, observations, resample, scenarios
+from ..operators import audit, coldstart, contracts, market, metrics, observations, publication, resample, scenarios
 from ..schemas import MODELS
 from ..sources import contests as src
-from .catalogue import APPEAR, BASE, ERA, METRICS, OBSERVED, PRICED, C, E, P, cells, matches, observed, priced, query
+from .catalogue import APPEAR, BASE, ERA, METRICS, OBSERVED, PRICED, SUMMARY, SUMS, C, E, P, cells, matches, observed, priced, query
 
 PRIMARY = f"population = '{scenarios.PRIMARY}'"
 
@@ -199,3 +199,47 @@ def second_dates(s: SparkSession, d: str) -> DataFrame:
 
 query("v13_figure_counts", f"with {OBSERVED} select count(distinct (tour, slam, model)) filter (slam is not null and {PRIMARY}) as slam_rows, count(distinct (tour, model)) filter ({PRIMARY}) as long_rows from cells")(
     lambda s, d: cells(s, d).where(PRIMARY).agg(F.count_distinct(F.when(F.col("slam").isNotNull(), F.struct("tour", "slam", "model"))).alias("slam_rows"), F.count_distinct(F.struct("tour", "model")).alias("long_rows")))
+
+
+# --- the five panels -------------------------------------------------------------------
+
+MARKET_FORECASTS = f"""{PRICED}, {P.split(C + ',')[1]},
+all_forecasts as (
+  select match_id, tour, slam, year, round, model, p1, p2, exclusion, format_conflict, is_retirement, is_walkover, winner_is_player_1, edition_id from forecasts
+  union all select c.match_id, c.tour, c.slam, c.year, c.round, 'market_odds', case when winner_id <= loser_id then k.p_winner else k.p_loser end, case when winner_id <= loser_id then 1 - k.p_winner else 1 - k.p_loser end,
+    case when k.p_winner is null then 'missing_odds' when c.is_walkover then 'walkover' end, false, c.is_retirement, c.is_walkover, winner_id <= loser_id, c.year || ':' || c.tourney_id from contests c join consensus k using (match_id)){OBSERVED[len(P):].replace('from forecasts', 'from all_forecasts')}"""
+_OWN = f"model = 'surface_adjusted_elo' and {PRIMARY} and slam is not null"
+_PANELS = f"""{MARKET_FORECASTS}, {SUMMARY},
+by_era as (select {BASE}, era, {SUMS} from (select *, {ERA} as era from cells) group by all), eras as (select {BASE}, era, {METRICS} from by_era),
+e as (select {BASE}, year, edition_id, {SUMS} from cells group by all),
+runs as (select {BASE}, {', '.join(f'sum({c}) over w as {c}' for c in metrics.SUMS)}, count(*) over w as in_run, first_value(edition_id) over w as first_edition, last_value(edition_id) over w as last_edition from e window w as (partition by {BASE} order by year, edition_id rows between 4 preceding and current row)),
+rolling as (select {BASE}, first_edition, last_edition, {METRICS} from runs where in_run = 5),
+shared as (select match_id from observed where {PRIMARY} and score_eligible and slam is not null and model in ('overall_elo', 'surface_adjusted_elo', 'market_odds') group by match_id having count(*) = 3),
+common_cells as (select {BASE}, {SUMS} from (select population, tour, slam, model, 1 as score_n, brier as brier_sum, log_loss as log_loss_sum, upset_eligible::int as upset_n, p_under as expected, upset as actual, p_under * (1 - p_under) as variance
+  from observed join shared using (match_id) where {PRIMARY} and score_eligible and model in ('overall_elo', 'surface_adjusted_elo', 'market_odds')) group by all), common as (select {BASE}, {METRICS} from common_cells),
+contrast as (select tour, model, """ + ", ".join(f"round(case when count({m}) filter (slam <> 'Wimbledon') = 3 then max(case when slam = 'Wimbledon' then {m} end) - avg(case when slam <> 'Wimbledon' then {m} end) end, 6) as {m}" for m in ("expected_per_100", "excess_per_100")) + f""" from summaries where {_OWN} group by all),
+wide as (
+  select 'long_run_actual_expected' as panel, 1 as p, tour, slam, model, 'maximum_available' as sample, null as period, score_matches, unnest([('expected_per_100', expected_per_100, 1), ('actual_per_100', actual_per_100, 2)]) as v from summaries where {_OWN}
+  union all select 'wta_latest_era_context', 2, tour, slam, model, 'maximum_available', era, score_matches, unnest([('expected_per_100', expected_per_100, 1), ('actual_per_100', actual_per_100, 2)]) from eras where {_OWN} and tour = 'O' and era in ('1988-1999', '2000-2009')
+  union all select 'rolling_five_excess', 3, tour, slam, model, 'maximum_available', first_edition || ' to ' || last_edition, score_matches, ('excess_per_100', excess_per_100, 3) from rolling where {_OWN}
+  union all select 'market_model_validation', 4, tour, slam, model, 'common_matched', null, score_matches, ('excess_per_100', excess_per_100, 3) from common
+  union all select 'direct_wimbledon_contrast', 5, tour, 'Wimbledon', model, 'common_matched', null, null, unnest([('expected_per_100', expected_per_100, 1), ('excess_per_100', excess_per_100, 3)]) from contrast),
+panels as (
+  select panel, tour, slam, model, sample, period, score_matches, v[1] as metric, v[2] as value, row_number() over (order by p, tour, list_position(['Australian Open', 'Roland Garros', 'Wimbledon', 'US Open'], slam), list_position(['overall_elo', 'surface_elo', 'surface_adjusted_elo', 'market_odds'], model), coalesce(period, ''), v[3])::bigint as place from wide)"""
+
+
+def panels_of(s: SparkSession, d: str) -> DataFrame:
+    """The five panels of the forecasts and of prices beside them."""
+    own = src.forecasts(s, d)
+    priced_rows = market.market_predictions(market.consensus(priced(s, d))).withColumn("format_conflict", F.lit(False))
+    fields = ["match_id", "tour", "slam", "year", "round", "model", "p1", "p2", "exclusion", "format_conflict", "is_retirement", "is_walkover", "winner_is_player_1", "edition_id"]
+    seen = observations.observations(own.select(*fields).unionByName(priced_rows.select(*fields)))
+    cube = metrics.cube(seen)
+    compared = seen.where(f"{PRIMARY} and score_eligible and slam is not null and model in ('overall_elo', 'surface_adjusted_elo', 'market_odds')")
+    shared = contracts.common_panel(compared, ("overall_elo", "surface_adjusted_elo", "market_odds"))
+    common = metrics.summaries(metrics.cube(compared.join(shared, "match_id", "left_semi")))
+    return publication.five_panels(metrics.summaries(cube), metrics.dimensions(cube), metrics.rolling(cube), common, metrics.contrasts(cube), "O", ("1988-1999", "2000-2009"))
+
+
+query("pub01_five_panels", f"with {_PANELS} select * from panels")(panels_of)
+query("v13_panel_counts", f"with {_PANELS} select panel, count(*) as rows from panels group by panel")(lambda s, d: publication.panel_counts(panels_of(s, d)))
