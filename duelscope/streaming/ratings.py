@@ -1,6 +1,8 @@
 """Ratings that follow a stream of contests, keyed by tour.
 
-The state of a tour is that of the batch replay.  The contests of a date must
+The overall ratings of a tour are those of the batch replay without starts by
+rank, conversion and policies; surfaces are left out, and a tour's state is one
+value.  The contests of a date must
 arrive within one micro-batch and dates in order; what comes for a date that
 is already applied is reported as late and changes nothing.
 """

@@ -88,7 +88,7 @@ def test_normalizer_keeps_rows_and_reports(spark):
     assert rows[1]["match_id"] == hashlib.sha256("\x1f".join(key).encode()).hexdigest()
     assert rows[2]["is_walkover"] and rows[2]["surface"] == "Sand" and rows[2]["round"] == "R32" and rows[2]["winner_name"] == "Cy  C"
     assert {i["field"] for i in rows[2]["issues"]} == {"draw_size", "match_num", "tourney_date", "surface"}
-    assert rows[3]["is_retirement"] and rows[3]["slam"] is None and {i["issue"] for i in rows[3]["issues"]} == {"date year differs from source file year 2024", "recognized Slam signal lacks corroboration from level or identifier"}
+    assert rows[3]["is_retirement"] and rows[3]["slam"] is None and {i["issue"] for i in rows[3]["issues"]} == {"date year differs from source file year 2024", "only one sign of a Slam, and level is not G"}
     assert rows[4]["slam"] is None and "conflicting" in rows[4]["issues"][0]["issue"]
     assert normalize.normalize(raw(spark)).drop("issues").columns == MATCHES.names
 
