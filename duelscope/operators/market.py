@@ -7,9 +7,11 @@ policy is a projection of what its method gave.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,6 +165,75 @@ def proposals(unmatched: DataFrame, candidates: DataFrame) -> DataFrame:
     return pairs.groupBy("id", "name").agg(F.max_by("other", F.struct("score", "other")).alias("proposal"), F.max("score").alias("score"))
 
 
+#: Candidates of a context that are looked through at once.
+CHUNK = 2000
+
+
+def _letters(names: list[str], alphabet: dict[str, int]) -> np.ndarray:
+    """How often each letter stands in each name."""
+    out = np.zeros((len(names), len(alphabet)), dtype=np.int16)
+    for k, name in enumerate(names):
+        for ch in name:
+            out[k, alphabet[ch]] += 1
+    return out
+
+
+def best_contest(winner: str, loser: str, candidates: list[tuple[str, str]], letters: tuple, alphabet: dict[str, int]) -> tuple[float, str, int]:
+    """(score, proposal, exact scores made) of the candidate with the greatest mean of both names' similarities; the later text wins ties.
+
+    Two names have no more in common than letters, so 2 * common letters over
+    their lengths bounds the similarity; candidates are scored from the
+    greatest bound down, until none can reach the best score.
+    """
+    bound = np.zeros(len(candidates))
+    for name, own in zip((winner, loser), letters):
+        known = _letters(["".join(ch for ch in name if ch in alphabet)], alphabet)[0]
+        size = len(name) + own.sum(axis=1)
+        bound += np.where(size > 0, 2.0 * np.minimum(own, known).sum(axis=1) / np.maximum(size, 1), 1.0) / 2
+    best, made = (-1.0, ""), 0
+    for k in np.argsort(-bound, kind="stable"):
+        if bound[k] < best[0] - 1e-12:
+            break
+        made += 1
+        score = (SequenceMatcher(None, winner, candidates[k][0]).ratio() + SequenceMatcher(None, loser, candidates[k][1]).ratio()) / 2
+        best = max(best, (score, f"{candidates[k][0]} def. {candidates[k][1]}"))
+    return (*best, made)
+
+
+def contest_proposals(unmatched: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(id, proposal, score): for each unmatched contest (id, context, winner, loser) the most similar candidate (context, winner, loser) of its context.
+
+    For a reviewer only; nothing is matched by it.  Candidates of a context lie
+    in chunks of a bounded size, so a large context is many rows of work.
+    """
+    numbered = candidates.select("context", F.struct("winner", "loser").alias("c")).where("c.winner is not null and c.loser is not null").distinct()
+    sizes = numbered.groupBy("context").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("c"), F.col("chunks"))
+    lists = numbered.join(sizes, "context").groupBy("context", chunk.alias("chunk")).agg(F.collect_list("c").alias("candidates"))
+    pairs = unmatched.where("winner is not null and loser is not null").select("id", "context", "winner", "loser").join(lists, "context")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple, tuple] = {}
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                key = (row.context, row.chunk)
+                if key not in known:
+                    if len(known) > 50:
+                        known.clear()
+                    names = [(c["winner"], c["loser"]) for c in row.candidates]
+                    alphabet = {ch: k for k, ch in enumerate(sorted({ch for pair in names for name in pair for ch in name}))}
+                    known[key] = names, tuple(_letters([n[k] for n in names], alphabet) for k in (0, 1)), alphabet
+                score, proposal, _ = best_contest(row.winner, row.loser, *known[key])
+                out.append((row.id, score, proposal))
+            yield pd.DataFrame(out, columns=["id", "score", "proposal"])
+
+    kind = unmatched.schema["id"].dataType.simpleString()
+    found = pairs.select("id", "context", "chunk", "winner", "loser", "candidates").repartition("context", "chunk").mapInPandas(run, f"id {kind}, score double, proposal string")
+    best = found.groupBy("id").agg(F.max(F.struct("score", "proposal")).alias("best"))
+    return best.select("id", "best.proposal", F.round("best.score", 6).alias("score"))
+
+
 def coverage(consensual: DataFrame) -> DataFrame:
     """Contests, those priced, and counts of methods and reasons as JSON: for all, and by tour and Slam."""
     status = F.coalesce("odds_method", "unavailable_reason", F.lit("missing"))

@@ -129,6 +129,14 @@ union all select match_id, 'additive', name, round(case when add_p between 0 and
     lambda s, d: market.pair_details(priced(s, d), ("proportional", "additive")).select("match_id", "method", "contributor", F.round("p_w", 9).alias("p_w"), F.round("overround", 9).alias("overround")))
 query("mkt09_name_proposals")(lambda s, d: market.proposals(Q(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("context"), F.col("p_name").alias("name")), Q(s, d, "part").select(F.col("p_brand").alias("context"), F.col("p_type").alias("other")).distinct()))
 
+def proposed(s, d):
+    """Finals whose players are spelled otherwise, against all contests of their Slam and year."""
+    c = src.contests(s, d).where("slam is not null").withColumn("context", F.concat_ws("|", "tour", F.col("year").cast("string"), "slam"))
+    odd = lambda x: F.translate(F.upper(x), "LY", "I")
+    return market.contest_proposals(c.where("round = 'F'").select(F.col("match_id").alias("id"), "context", odd("winner_name").alias("winner"), odd("loser_name").alias("loser")), c.select("context", F.upper("winner_name").alias("winner"), F.upper("loser_name").alias("loser")))
+
+
+query("mkt09_contest_proposals")(proposed)
 query("elo23_duplicate_audit", f"""with {C}, b as (select *, case when winner_id = loser_id then 'identical_players' when is_walkover then 'walkover' when (case when slam is not null and best_of in (3, 5) then 3 else best_of end) not in (3, 5) then 'unsupported_format' end as base from contests),
 g as (select *, count(*) over (partition by tour, year, event_date, lower(tourney_name), round, least(winner_id, loser_id), greatest(winner_id, loser_id)) > 1 as dup,
   base is null and row_number() over (partition by base is null, tour, year, event_date, lower(tourney_name), round, least(winner_id, loser_id), greatest(winner_id, loser_id) order by source_file, match_id) = 1 as representative from b)

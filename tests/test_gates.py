@@ -179,3 +179,25 @@ def test_power_equals_bisection(spark):
         assert r["p"] == pytest.approx((1 / r["w"]) ** low, abs=1e-10), r
     none = spark.createDataFrame([(None, 2.0), (1.0, 2.0), (2.0, 0.5)], "w double, l double")
     assert [r[0] for r in none.select(P.power("w", "l")).collect()] == [None, None, None]
+
+
+def test_contest_proposals_equal_all_pairs(spark, monkeypatch):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choices("abcde ", k=rng.randint(0, 9)))
+    candidates = [(rng.choice("xy"), name(), name()) for _ in range(150)] + [("x", "same one", "other"), ("x", "same one", "other"), ("x", None, "n")]
+    unmatched = [(i, rng.choice("xyz"), name(), name()) for i in range(40)] + [(99, "x", "same on", "othér"), (100, "y", None, "n")]
+    monkeypatch.setattr(market, "CHUNK", 20)
+    got = {r["id"]: (r["proposal"], r["score"]) for r in market.contest_proposals(spark.createDataFrame(unmatched, "id int, context string, winner string, loser string"), spark.createDataFrame(candidates, "context string, winner string, loser string")).collect()}
+    want = {}
+    for i, context, w, l in unmatched:  # noqa: E741
+        scored = [((SequenceMatcher(None, w, a).ratio() + SequenceMatcher(None, l, b).ratio()) / 2, f"{a} def. {b}") for c, a, b in candidates if c == context and a is not None and w is not None]
+        if scored:
+            want[i] = (max(scored)[1], round(max(scored)[0], 6))
+    assert got == want
+    names = [(a, b) for c, a, b in candidates if c == "x" and a is not None]
+    alphabet = {ch: k for k, ch in enumerate(sorted({ch for pair in names for n in pair for ch in n}))}
+    letters = tuple(market._letters([n[k] for n in names], alphabet) for k in (0, 1))
+    assert market.best_contest("same on", "othér", names, letters, alphabet)[2] < len(names) / 4
