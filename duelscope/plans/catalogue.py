@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, coldstart, market, metrics, observations, publication, replay, resample, scenarios
 from ..sources import contests as src
+from . import drawsql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,6 +73,11 @@ def observed(spark: SparkSession, d: str) -> DataFrame:
     return observations.observations(src.forecasts(spark, d))
 
 
+def rounded(intervals: DataFrame) -> DataFrame:
+    """Points and bounds to six decimals; the rest as it is."""
+    return intervals.withColumns({c: F.round(c, 6) for c in ("point", "low", "high") if c in intervals.columns})
+
+
 # --- scans and adapters ------------------------------------------------------
 
 query("src_contest_lines", f"with {C} select * from contests")(src.contests)
@@ -228,9 +234,9 @@ s as (select g.*, r.r, unnest(range(0, len(l))) as slot from g, range(0, 200) r(
 dr as (select *, l[(('0x' || substr(md5(name || '|' || r || '|' || slot), 1, 8))::bigint % len(l) + 1)::int] as x from s),
 v as (select {BASE}, r, round(100.0::double * (sum(x[3]) - sum(x[2])) / nullif(sum(x[1]), 0), 9) as value from dr group by {BASE}, r)
 select {BASE}, round(quantile_cont(value, 0.025), 6) as low, round(quantile_cont(value, 0.975), 6) as high from v group by {BASE}""")(lambda s, d: resample.hash_intervals(cells(s, d)))
-query("bs02_seeded_intervals")(lambda s, d: resample.intervals(cells(s, d)).select(*metrics.BASE, "metric", "editions", *[F.round(c, 6).alias(c) for c in ("point", "low", "high")]))
-query("bs05_joint_contrast")(lambda s, d: resample.joint_contrast(cells(s, d)))
-query("bs06_paired_intervals")(lambda s, d: resample.paired_intervals(metrics.paired_differences(observed(s, d), "surface_adjusted_elo", "overall_elo")))
+query("bs02_seeded_intervals", drawsql.intervals_sql(OBSERVED))(lambda s, d: resample.intervals(cells(s, d)).select(*metrics.BASE, "metric", "editions", *[F.round(c, 6).alias(c) for c in ("point", "low", "high")]))
+query("bs05_joint_contrast", drawsql.joint_contrast_sql(OBSERVED))(lambda s, d: rounded(resample.joint_contrast(cells(s, d))))
+query("bs06_paired_intervals", drawsql.paired_sql(OBSERVED, PAIRED))(lambda s, d: rounded(resample.paired_intervals(metrics.paired_differences(observed(s, d), "surface_adjusted_elo", "overall_elo"))))
 
 # --- windows, flags, audit ---------------------------------------------------
 

@@ -10,7 +10,8 @@ from ..functions import text as X
 from ..operators import coldstart, contracts, linkage, market, metrics, normalize, publication, replay, resample
 from ..schemas import MODELS, ROUNDS, SLAMS
 from ..sources import contests as src
-from .catalogue import ERA, METRICS, OBSERVED, PRICED, SUMMARY, C, cells, matches, observed, priced, query
+from . import drawsql
+from .catalogue import ERA, METRICS, OBSERVED, PRICED, SUMMARY, C, cells, matches, observed, priced, query, rounded
 from .catalogue import P as FORECASTS
 
 Q = src.table
@@ -120,7 +121,7 @@ select coalesce(tour, 'all') as tour, coalesce(slam, 'all') as slam, count(*) as
     lambda s, d: market.consensus(priced(s, d)).withColumn("slam", F.coalesce("slam", F.lit("none"))).groupingSets([[], [F.col("tour"), F.col("slam")]], F.col("tour"), F.col("slam")).agg(F.count("*").alias("n"), F.count("odds_method").alias("available")).select(F.coalesce("tour", F.lit("all")).alias("tour"), F.coalesce("slam", F.lit("all")).alias("slam"), "n", "available"))
 query("a29_long_run", f"with {OBSERVED}, t as (select population, tour, model, " + ", ".join(f"sum({c}) as {c}" for c in metrics.SUMS) + f", count(distinct case when upset_n > 0 then edition_id end)::bigint as editions from cells group by all) select population, tour, model, editions, {METRICS} from t")(lambda s, d: metrics.summaries(cells(s, d), ("population", "tour", "model")))
 query("bs03_quantiles", "select event_type, round(quantile_cont(value, 0.025), 6) as low, round(quantile_cont(value, 0.5), 6) as middle, round(quantile_cont(value, 0.975), 6) as high from events group by 1")(lambda s, d: Q(s, d, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", q), 6).alias(n) for q, n in ((0.025, "low"), (0.5, "middle"), (0.975, "high"))]))
-query("bs09_rolling_intervals")(lambda s, d: resample.rolling_intervals(cells(s, d)))
+query("bs09_rolling_intervals", drawsql.rolling_sql(OBSERVED))(lambda s, d: rounded(resample.rolling_intervals(cells(s, d))))
 query("mkt08_market_model", f"""with {PRICED}, m as (select c.tour, c.slam, c.match_id, case when c.winner_id <= c.loser_id then k.p_winner else k.p_loser end as p1, c.winner_id <= c.loser_id as one, k.p_winner is null as missing, c.is_walkover from contests c join consensus k using (match_id))
 select tour, slam, count(*) as n, count(*) filter (missing) as missing, count(*) filter (not missing and is_walkover) as walkovers, round(avg(p1), 6) as mean_p1 from m group by all""")(
     lambda s, d: market.market_predictions(market.consensus(priced(s, d))).groupBy("tour", "slam").agg(F.count("*").alias("n"), F.count_if(F.col("exclusion") == "missing_odds").alias("missing"), F.count_if(F.col("exclusion") == "walkover").alias("walkovers"), F.round(F.avg("p1"), 6).alias("mean_p1")))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import audit, coldstart, contracts, market, metrics, observations, publication, resample, scenarios
 from ..schemas import MODELS
 from ..sources import contests as src
-from .catalogue import APPEAR, BASE, ERA, METRICS, OBSERVED, PRICED, SUMMARY, SUMS, C, E, P, cells, matches, observed, priced, query
+from . import drawsql
+from .catalogue import APPEAR, BASE, ERA, METRICS, OBSERVED, PRICED, SUMMARY, SUMS, C, E, P, cells, matches, observed, priced, query, rounded
 
 PRIMARY = f"population = '{scenarios.PRIMARY}'"
 
@@ -130,7 +131,7 @@ select model, tour, slam, count(distinct edition_id) as editions, count(*)::bigi
   count(*) filter (p_ok and not v_ok)::bigint as ties_created, count(*) filter (v_ok and not p_ok)::bigint as ties_removed, round(100.0::double * sum(expected) / count(expected), 6) as expected_per_100,
   round(100.0::double * sum(actual) / count(expected), 6) as actual_per_100, round(100.0::double * (sum(actual) - sum(expected)) / count(expected), 6) as excess_per_100, round(avg(brier), 6) as brier_score, round(avg(log_loss), 6) as log_loss
 from pairs group by model, tour, slam""")(lambda s, d: metrics.paired_points(metrics.paired_sums(*panel(s, d))))
-query("bs07_paired_intervals")(lambda s, d: resample.paired_probability_intervals(metrics.paired_sums(*panel(s, d))))
+query("bs07_paired_intervals", drawsql.paired_probability_sql(OBSERVED, PAIRS))(lambda s, d: rounded(resample.paired_probability_intervals(metrics.paired_sums(*panel(s, d)))))
 
 # --- samples, panels, universes ------------------------------------------------------
 
