@@ -8,8 +8,9 @@ import os
 
 from pyspark.sql import functions as F
 
-from .operators import market, scenarios
-from .plans import project
+from .operators import market, replay, scenarios
+from .plans import artifacts, project
+from .plans.replays import ALTERNATIVES
 from .session import session
 from .sources import books, fetch, files
 
@@ -66,16 +67,20 @@ def main(argv: list[str] | None = None) -> int:
         return {name: spark.read.parquet(f"{a.out}/{name}").count()}
 
     def scenario_tables() -> dict:
-        rows = predictions().where("slam is not null")
         if not a.odds:
             raise SystemExit("robustness needs --odds: a scenario leaves out contests of suspicious prices")
-        found = project.market_benchmark(odds(), predictions(), files.aliases(spark, a.aliases) if a.aliases else None)["linked"]
-        priced = market.consensus(found.where("match_id is not null").withColumn("pairs", market.book_inventory(odds().columns)))
+        found = project.market_benchmark(odds(), predictions(), files.aliases(spark, a.aliases) if a.aliases else None)
+        linked = found["linked"].where("match_id is not null")
+        priced = market.consensus(linked.withColumn("pairs", market.book_inventory(odds().columns)))
         odd = priced.select("match_id", F.coalesce("suspicious", F.lit(False)).alias("flagged"))
         regimes = scenarios.seed_regimes(contests()).select("tour", "slam", "year", "tourney_id", "regime")
-        rows = rows.join(odd, "match_id", "left").join(regimes, ["tour", "slam", "year", "tourney_id"], "left")
+        rows = found["maximum"].join(odd, "match_id", "left").join(regimes, ["tour", "slam", "year", "tourney_id"], "left")
         context = {"min_prior": F.coalesce(F.least("prior_w", "prior_l"), F.lit(0)), "both_surface": F.coalesce(F.least("surface_prior_w", "surface_prior_l") >= 1, F.lit(False)), "flagged": F.coalesce("flagged", F.lit(False)), "regime": F.coalesce("regime", F.lit("no_seeds"))}
-        return {k: v for name, df in project.robustness(project.observations.observations(rows.withColumns(context))).items() for k, v in write(name, df).items()}
+        seen = project.observations.observations(rows.withColumns(context))
+        replays = project.predicted(replay.replay(contests(), ALTERNATIVES)).where("model = 'surface_adjusted_elo' and slam is not null").withColumn("model", F.col("variant"))
+        known = F.when(F.col("p_winner").isNull(), "missing_probability").otherwise("observed_probability").alias("odds_availability")
+        status = predictions().where("model = 'overall_elo' and slam is not null").select("match_id", "tour", "slam").join(priced.select("match_id", "p_winner"), "match_id", "left").select("match_id", "tour", "slam", known)
+        return artifacts.write_robustness(seen, predictions().where("model = 'overall_elo' and slam is not null"), replays, ALTERNATIVES, status, contests(), a.out, a.replicates)
 
     run = {
         "build-matches": lambda: project.build_matches(spark, a.raw, a.out),

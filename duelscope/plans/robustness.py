@@ -16,15 +16,20 @@ PRIMARY = f"population = '{scenarios.PRIMARY}'"
 # --- scenarios -------------------------------------------------------------------
 
 
-def flagged(s: SparkSession, d: str) -> DataFrame:
-    """Slam observations with the context that scenarios look at."""
+def context(s: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """Slam observations with what scenarios look at besides: prior contests, suspicious prices, history on the surface, regime of seeds."""
     c = src.contests(s, d)
     prior = coldstart.match_rollup(coldstart.entrants(c)).select("match_id", "min_prior")
     odd = market.consensus(priced(s, d)).select("match_id", F.coalesce("suspicious", F.lit(False)).alias("flagged"))
     regimes = scenarios.seed_regimes(c).select("tour", "slam", "year", "tourney_id", "regime")
-    rows = observed(s, d).where("slam is not null").join(prior, "match_id", "left").join(odd, "match_id", "left").join(scenarios.surface_history(c), "match_id", "left")
+    rows = rows.where("slam is not null").join(prior, "match_id", "left").join(odd, "match_id", "left").join(scenarios.surface_history(c), "match_id", "left")
     rows = rows.join(regimes, ["tour", "slam", "year", "tourney_id"], "left")
-    return scenarios.with_flags(rows.withColumns({"min_prior": F.coalesce("min_prior", F.lit(0)), "flagged": F.coalesce("flagged", F.lit(False)), "regime": F.coalesce("regime", F.lit("no_seeds"))}))
+    return rows.withColumns({"min_prior": F.coalesce("min_prior", F.lit(0)), "flagged": F.coalesce("flagged", F.lit(False)), "regime": F.coalesce("regime", F.lit("no_seeds"))})
+
+
+def flagged(s: SparkSession, d: str) -> DataFrame:
+    """Slam observations with the context that scenarios look at."""
+    return scenarios.with_flags(context(s, d, observed(s, d)))
 
 
 WIMBLEDON = "not (slam = 'Wimbledon' and year = 2022)"
