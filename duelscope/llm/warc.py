@@ -9,7 +9,14 @@ files of its own, and only those of the attempt that succeeded are listed.
 Reading: an archive is read from front to back in pieces.  Each member is
 decompressed incrementally, the record is framed by its Content-Length, the
 payload is hashed as it passes and checked against its digest.  Memory does
-not depend on the size of a record or archive.
+not depend on the size of a record or archive unless payloads are asked for.
+
+Archives of others: records about the crawl (warcinfo, request, metadata and
+types not named here) are framed and passed over; a block that is no HTTP
+message is the payload itself.  A payload without a digest of its own gets its
+SHA-1, digests may stand in hex, those of other kinds are not checked; length
+and digest of a record that says it is truncated are those of what is there.
+Bodies are taken as they are stored, whatever their transfer encoding.
 
 Defined cases: null html is an empty payload; null url leaves out the target
 URI, and line ends in a url are percent-encoded; a null page_id leaves out
@@ -37,6 +44,10 @@ DATE = "2024-01-01T00:00:00Z"
 #: Bytes of an archive after which a task begins another.
 ARCHIVE_BYTES = 256 << 20
 CHUNK = 1 << 16
+#: The longest head of an HTTP message that is read.
+HEAD_BYTES = 1 << 20
+#: Types of records with a payload: those that may begin with the head of an HTTP message, and those that do not (fixed values).
+WITH_HEAD, BARE = ("response", "revisit"), ("resource", "conversion")
 #: Payloads of at least so many bytes are looked up for equal ones.
 MIN_BYTES = 0
 MANIFEST = "path string, records long, bytes long"
@@ -180,41 +191,61 @@ def fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
 
 
+def sha1_digest(stated: str) -> str | None:
+    """The digest of a header as bare base32, which may stand there in hex; null if it is of another kind."""
+    kind, _, digest = stated.partition(":")
+    if kind.lower() != "sha1" or not digest:
+        return None
+    try:
+        return base64.b32encode(bytes.fromhex(digest)).decode() if len(digest) == 40 else digest.upper()
+    except ValueError:
+        return None
+
+
 def records(read: Callable[[int], bytes], payloads: bool = False) -> Iterator[dict]:
-    """The records of one archive in order; with their payloads only if asked for."""
+    """The responses, revisits, resources and conversions of one archive in order; with their payloads only if asked for."""
     member = Member(read)
     while member.begin():
         head = member.until(b"\r\n\r\n")
         if not head.startswith(b"WARC/1."):
             raise BrokenArchive("a member does not begin with a WARC version")
         of = fields(head)
-        length = int(of.get("content-length", -1))
-        if length < 0:
+        if not of.get("content-length", "").isdecimal():
             raise BrokenArchive("a record without Content-Length")
-        block = member.exactly(length)
-        http, kept, size, sha = b"", [], 0, hashlib.sha1()
-        for more in block:
+        kind, stated = of.get("warc-type"), sha1_digest(of.get("warc-payload-digest", ""))
+        message = kind in WITH_HEAD and of.get("content-type", "").lower().startswith("application/http")
+        http, kept, size, declared, sha = b"" if message else None, [], 0, None, hashlib.sha1()
+        for more in member.exactly(int(of["content-length"])):
+            if kind not in WITH_HEAD + BARE:
+                continue
             if http is not None:
                 http += more
                 at = http.find(b"\r\n\r\n")
                 if at < 0:
+                    if len(http) > HEAD_BYTES:
+                        raise BrokenArchive("an HTTP head without an end")
                     continue
-                declared = int(fields(http[:at]).get("content-length", -1))
+                length = fields(http[:at]).get("content-length", "")
+                declared = int(length) if length.isdecimal() else None
                 more, http = http[at + 4 :], None
             sha.update(more)
             size += len(more)
             if payloads:
                 kept.append(more)
         rest = b""
-        while more := member.piece():
+        while len(rest) <= 4 and (more := member.piece()):
             rest += more
-        if rest != b"\r\n\r\n" or http is not None:
+        if rest != b"\r\n\r\n" or (http is not None and (http or kind == "response")):
             raise BrokenArchive("a record does not end where its Content-Length says")
-        digest, kind = of.get("warc-payload-digest", "").removeprefix("sha1:"), of.get("warc-type")
-        if kind == "response" and (base64.b32encode(sha.digest()).decode() != digest or size != declared):
+        if kind not in WITH_HEAD + BARE:
+            continue
+        digest = base64.b32encode(sha.digest()).decode()
+        if kind == "revisit":
+            digest, size = stated, declared
+        elif "warc-truncated" not in of and (stated not in (None, digest) or declared not in (None, size)):
             raise BrokenArchive(f"the payload of page {of.get('x-page-id')} is not what its digest and length say")
         number = lambda name: int(of[name]) if name in of else None  # noqa: E731, B023
-        yield {"page_id": number("x-page-id"), "url": of.get("warc-target-uri"), "payload_bytes": declared, "payload_digest": digest, "record_type": kind, "refers_to": number("x-refers-to-page-id"), **({"payload": b"".join(kept)} if payloads else {})}
+        yield {"page_id": number("x-page-id"), "url": of.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number("x-refers-to-page-id"), **({"payload": b"".join(kept)} if payloads else {})}
 
 
 def read(manifest: DataFrame, payloads: bool = False) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import io
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -861,3 +863,41 @@ def test_warc_reader_refuses_broken_records():
     for bad in (packed(good)[:-20], packed(good.replace(b"hello", b"jello")), packed(good + b"x"), packed(good[:-6]), packed(b"HTTP" + good), packed(warc.record(1, "u", b"hello", digest, None))):
         with pytest.raises(warc.BrokenArchive):
             list(warc.records(io.BytesIO(bad).read))
+
+
+def _foreign(kind, block, content_type="application/http; msgtype=response", **more):
+    lines = "".join(f"{k}: {v}\r\n" for k, v in {"WARC-Type": kind, "Content-Type": content_type, "Content-Length": len(block), **more}.items())
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(f"WARC/1.0\r\n{lines}\r\n".encode() + block + b"\r\n\r\n") + packer.flush()
+
+
+def test_warc_reader_takes_archives_of_others():
+    sha = hashlib.sha1(b"body")
+    base32 = __import__("base64").b32encode(sha.digest()).decode()
+    ok = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\nbody"
+    archive = b"".join([
+        _foreign("warcinfo", b"software: crawler\r\n", "application/warc-fields"),
+        _foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "application/http; msgtype=request"),
+        _foreign("response", ok, **{"WARC-Target-URI": "http://a/", "WARC-Payload-Digest": f"sha1:{sha.hexdigest()}"}),
+        _foreign("response", ok),
+        _foreign("response", ok, **{"WARC-Payload-Digest": "md5:1234"}),
+        _foreign("response", b"HTTP/1.1 200 OK\r\nContent-Length: 400\r\n\r\nbody", **{"WARC-Truncated": "length", "WARC-Payload-Digest": "sha1:" + "A" * 32}),
+        _foreign("response", b"body", "text/dns"),
+        _foreign("resource", b"body", "text/plain"),
+        _foreign("revisit", b"", **{"WARC-Payload-Digest": f"sha1:{base32}"}),
+        _foreign("metadata", b"fetchTimeMs: 3", "application/warc-fields"),
+    ])
+    got = list(warc.records(io.BytesIO(archive).read, payloads=True))
+    assert [r["record_type"] for r in got] == ["response"] * 5 + ["resource", "revisit"]
+    assert all(r["payload"] == b"body" and r["payload_bytes"] == 4 and r["payload_digest"] == base32 for r in got[:6])
+    assert got[6]["payload_digest"] == base32 and got[6]["payload_bytes"] is None and got[0]["url"] == "http://a/" and got[0]["page_id"] is None
+
+
+def test_warc_reader_bounds_what_it_holds():
+    wrong = _foreign("response", b"HTTP/1.1 200 OK\r\n\r\nbody", **{"WARC-Payload-Digest": "sha1:" + "A" * 32})
+    endless = _foreign("response", b"x" * (3 << 20))
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    long_rest = packer.compress(b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: 1\r\n\r\na" + b"\r\n\r\n" * (1 << 20)) + packer.flush()
+    for bad in (wrong, endless, long_rest, _foreign("response", b"HTTP/1.1 200 OK\r\n")):
+        with pytest.raises(warc.BrokenArchive):
+            list(warc.records(io.BytesIO(bad).read))
