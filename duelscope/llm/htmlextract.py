@@ -303,8 +303,8 @@ def features(nodes: list[Node], codes: dict[str, float]) -> np.ndarray:
         of_parent[(parent[i], tag_names[i])] = of_parent.get((parent[i], tag_names[i]), 0) + 1
     same[1:] = [of_parent[(parent[i], tag_names[i])] for i in range(1, n)]
     beside = np.maximum(chars[up] - chars, 0) / np.maximum(siblings, 1)
-    flags = {name: np.array([t == name for t in tag_names]) for name in ("nav", "header", "footer", "aside", "form")}
-    inside = np.zeros((n, 5))
+    flags = {name: np.array([t == name for t in tag_names]) for name in ("nav", "header", "footer", "aside", "form", "main", "article", "details")}
+    inside = np.zeros((n, len(flags)))
     for k, name in enumerate(flags):
         for i in range(1, n):
             inside[i, k] = inside[parent[i], k] + flags[name][parent[i]]
@@ -316,10 +316,32 @@ def features(nodes: list[Node], codes: dict[str, float]) -> np.ndarray:
         np.log1p(beside), np.log1p(chars[up]), links[up] / np.maximum(chars[up], 1), chars / np.maximum(chars[up], 1),
         hidden.astype(float),
         *inside.T,
+        # whether the page has a main element or articles, and how much of it an element of a form holds
+        np.full(n, float(flags["main"].any())), np.minimum(np.full(n, float(flags["article"].sum())), 3), np.where(flags["form"], chars / page[0], 0) + np.where(flags["form"], elements_ / total[0, 5], 0),
+        *_kin(parent, tag_names, chars),
     ], axis=1)
     return np.concatenate([base, kinds, above, tags], axis=1)
 
 
+def _kin(parent: np.ndarray, tags: list[str], chars: np.ndarray) -> list[np.ndarray]:
+    """Per element: how many siblings have the same tag and begin with the same child, and the characters of text beside links among its parent's children."""
+    n = len(tags)
+    first = [""] * n
+    for i in range(n - 1, 0, -1):
+        first[parent[i]] = tags[i]
+    alike: dict[tuple[int, str, str], int] = {}
+    heads = np.zeros(n)
+    prose = np.zeros(n)
+    for i in range(1, n):
+        key = (int(parent[i]), tags[i], first[i])
+        alike[key] = alike.get(key, 0) + 1
+        heads[parent[i]] += tags[i] in ("h1", "h2", "h3")
+        prose[parent[i]] += chars[i] if tags[i] in ("p", "pre", "blockquote") else 0
+    up = np.maximum(parent, 0)
+    same = np.array([0.0] + [alike[(int(parent[i]), tags[i], first[i])] for i in range(1, n)])
+    return [np.log1p(same), heads[up], np.log1p(prose), np.log1p(prose[up])]
+
+
 class Trees:
     """Boosted regression trees for a yes or no, over binned features."""
 
@@ -517,6 +539,30 @@ class Maker:
             return f"<{box}{self.named(8)}><h3>{self.words(1, 2)}</h3>{items}</{box}>"
         return f"<div{self.named(9)}>{self.links(1, 5)}</div>"
 
+    def strangers(self) -> str:
+        """Readers' comments or a side column that no name tells, as they stand beside the main text."""
+        r, name = self.r, self.odd()
+        if r.random() < 0.3:
+            return f"<div class='{name}'><h3>{self.words(1, 3)}</h3>{self.links(2, 6)}</div>"
+        tag = r.choice(("h4", "b", "h5", "strong"))
+        items = "".join(f"<div class='{name}'><{tag}>{self.words(1, 2)}</{tag}><p>{self.sentences(1, 3)}</p></div>" for _ in range(r.randint(1, 6)))
+        return items if r.random() < 0.5 else f"<div class='{self.odd()}'>{items}</div>"
+
+    def listed(self) -> str:
+        """A list of the main text whose items are links, with or without more."""
+        r = self.r
+        item = r.choice((lambda: f"<a href=/{self.words(1, 1)}>{self.words(1, 9)}</a>", lambda: f"<a href=/x>{self.words(1, 5)}</a> {self.words(2, 12)}.", lambda: f"{self.words(1, 5)} <a href=/x>{self.words(1, 6)}</a>"))
+        kind = r.choice(("ul", "ul", "ol"))
+        before = r.choice(("", f"<h{r.randint(2, 3)}>{self.words(1, 3)}</h2>", f"<p>{self.sentences(1, 2)}</p>"))
+        return before + f"<{kind}>" + "".join(f"<li>{item()}</li>" for _ in range(r.randint(2, 8))) + f"</{kind}>"
+
+    def folded(self) -> str:
+        return f"<details><summary>{self.words(1, 6)}</summary>" + "".join(f"<p>{self.sentences(1, 3)}</p>" for _ in range(self.r.choice((1, 1, 2)))) + "</details>"
+
+    def parted(self) -> str:
+        """Sections of the main text, short ones too."""
+        return "".join(f"<section><h2>{self.words(1, 4)}</h2><p>{self.sentences(1, 2)}</p>{self.r.choice(('', f'<pre>{self.words(1, 5)}</pre>', f'<p>{self.words(2, 8)}.</p>'))}</section>" for _ in range(self.r.randint(1, 4)))
+
     def marked(self, markup: str) -> str:
         """The markup with every element of it marked as main."""
         return re.sub(r"<([a-z][a-z0-9]*)", r"<\1 data-y", markup)
@@ -527,7 +573,9 @@ class Maker:
         parts = []
         for _ in range(r.choice((1, 1, 1, 2, 2, 3, 4, 6, 9, 14))):
             kind = r.random()
-            if kind < 0.72:
+            if r.random() < 0.1:
+                parts.append(self.marked(r.choice((self.listed, self.listed, self.folded, self.parted))()))
+            elif kind < 0.72:
                 p = self.sentences(1, 30 if r.random() < 0.2 else 7) if r.random() < 0.75 else self.words(1, 6)
                 parts.append(self.marked(f"<p>{rich(p)}</p>" if r.random() < 0.7 else f"<p>{p}" if r.random() < 0.5 else f"<p><b>{p}<br>"))
             elif kind < 0.8:
@@ -573,8 +621,13 @@ class Maker:
             main = f"<{(t := r.choice(['div', 'main', 'div']))} data-y{r.choice(['', self.named(0)])}>{self.clutter() * (r.random() < 0.3)}{main}{self.clutter() * (r.random() < 0.4)}</{t}>"
         before = "".join(self.clutter() for _ in range(r.choice((0, 1, 2, 3, 4))))
         after = "".join(self.clutter() for _ in range(r.choice((0, 1, 1, 2, 4))))
+        if how < 0.7 and r.random() < 0.25:
+            after = self.strangers() + after
         end = "</body></html>" if r.random() < 0.9 else ""
-        return f"<!DOCTYPE html><html data-y><head><title>{title}</title><style>p{{}}</style></head><body data-y>{before}<!-- {self.words(1, 3)} -->{main}{after}{end}"
+        inner = f"{before}<!-- {self.words(1, 3)} -->{main}{after}"
+        if r.random() < 0.08:  # a form around the whole page
+            inner = f"<form data-y method=post action=/{self.words(1, 1)}><input type=hidden name=s value={self.words(1, 1)}>{inner}</form>"
+        return f"<!DOCTYPE html><html data-y><head><title>{title}</title><style>p{{}}</style></head><body data-y>{inner}{end}"
 
 
 def is_main(node: Node) -> float:
