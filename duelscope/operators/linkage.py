@@ -8,7 +8,7 @@ contest claimed by several rows is taken from all of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -40,9 +40,19 @@ def _keyed(df: DataFrame, name: str, out: str, short: bool) -> DataFrame:
     return rows.withColumn(f"{out}_sig", X.short_name_signatures(words) if short else X.full_name_signatures(words))
 
 
+def _tokens(key: Column | None = None, signatures: Column | None = None, ids: Column | None = None) -> Column:
+    """What two names have in common if they are the same: their key, a signature, or a player's id."""
+    parts = [F.array(F.concat(F.lit("k:"), key))] if key is not None else []
+    parts += [F.transform(x, lambda v, kind=kind: F.concat(F.lit(kind), v.cast("string"))) for kind, x in (("s:", signatures), ("i:", ids)) if x is not None]
+    return F.array_distinct(F.array_compact(F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts]))))
+
+
 def linked(odds: DataFrame, canonical: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Odds rows with match_status, match_id (where matched) and candidates."""
-    o = _keyed(_keyed(odds, "odds_winner_name", "wk", True), "odds_loser_name", "lk", True)
+    # names decide, so rows of the same names are one row of work, and only names that share a key, a signature or an id meet
+    context, names = ["tour", "year", "slam", "round"], ["w_name", "l_name"]
+    rows = odds.select("odds_row_id", *context, *[F.coalesce(f"odds_{side}_name", F.lit("")).alias(n) for side, n in zip(("winner", "loser"), names)])
+    o = _keyed(_keyed(rows.select(*context, *names).distinct(), "w_name", "wk", True), "l_name", "lk", True)
     if aliases is None:
         o = o.withColumns({"w_ids": F.lit(None).cast("array<bigint>"), "l_ids": F.lit(None).cast("array<bigint>")})
     else:
@@ -50,15 +60,24 @@ def linked(odds: DataFrame, canonical: DataFrame, aliases: DataFrame | None = No
         for side in "wl":
             o = o.join(a.select("tour", F.col("alias_key").alias(f"{side}k"), "year", F.col("ids").alias(f"{side}_ids")), ["tour", f"{side}k", "year"], "left")
     one = F.col("winner_is_player_1")
-    c = canonical.select("match_id", "tour", "year", "slam", "round", *[F.when(one, F.col(f"player_{a}_{x}")).otherwise(F.col(f"player_{b}_{x}")).alias(f"{s}_{x}") for s, a, b in (("cw", 1, 2), ("cl", 2, 1)) for x in ("id", "name")])
+    told = [f"{s}_{x}" for s in ("cw", "cl") for x in (("name",) if aliases is None else ("id", "name"))]
+    c = canonical.select("match_id", *context, *[F.when(one, F.col(f"player_{a}_{x}")).otherwise(F.col(f"player_{b}_{x}")).alias(f"{s}_{x}") for s, a, b in (("cw", 1, 2), ("cl", 2, 1)) for x in ("id", "name")])
+    c = c.groupBy(*context, *told).agg(F.count("*").alias("n"), F.min("match_id").alias("found"))
+    if aliases is None:
+        c = c.withColumns({"cw_id": F.lit(None).cast("bigint"), "cl_id": F.lit(None).cast("bigint")})
     c = _keyed(_keyed(c, "cw_name", "cwk", False), "cl_name", "clk", False)
 
     def same(side: str):
         alias, key, sig = F.col(f"{side}_ids"), F.col(f"{side}k") == F.col(f"c{side}k"), F.arrays_overlap(f"{side}k_sig", f"c{side}k_sig")
         return F.when(alias.isNotNull(), F.array_contains(alias, F.col(f"c{side}_id"))).otherwise(key | F.coalesce(sig, F.lit(False)))
 
-    pairs = o.join(c, ["tour", "year", "slam", "round"]).where(same("w") & same("l"))
-    found = pairs.groupBy("odds_row_id").agg(F.count("*").alias("candidates"), F.min("match_id").alias("found"))
+    o = o.withColumn("tokens", F.when(F.col("w_ids").isNotNull(), _tokens(ids=F.col("w_ids"))).otherwise(_tokens(F.col("wk"), F.col("wk_sig"))))
+    c = c.withColumn("c_tokens", _tokens(F.col("cwk"), F.col("cwk_sig"), F.array("cw_id")))
+    pairs = o.withColumn("token", F.explode("tokens")).join(c.withColumn("token", F.explode("c_tokens")), [*context, "token"])
+    # a pair that shares several tokens counts at the first of them
+    pairs = pairs.where(same("w") & same("l")).where(F.get(F.array_intersect("tokens", "c_tokens"), F.lit(0)) == F.col("token"))
+    by_names = pairs.groupBy(*context, *names).agg(F.sum("n").alias("n"), F.min("found").alias("found"))
+    found = rows.join(by_names, [*context, *names]).groupBy("odds_row_id").agg(F.sum("n").alias("candidates"), F.min("found").alias("found"))
     rows = odds.join(found, "odds_row_id", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
     status = F.when(F.col("round").isNull(), "unmapped_round").when(F.col("candidates") == 0, "unmatched").when(F.col("candidates") > 1, "ambiguous").otherwise("matched")
     rows = rows.withColumn("status", status)

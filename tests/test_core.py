@@ -410,3 +410,33 @@ def test_registered_bootstraps_draw_the_published_replicates(spark, folder, monk
     monkeypatch.setattr(resample, operator, spy)
     catalogue.QUERIES[query](spark, folder)
     assert seen == [2000]
+
+
+def test_linkage_meets_by_names_and_not_by_context(spark):
+    """Against all pairs of a context, with names that repeat; rows of the same names are one row of the join."""
+    first, last = ("Ann", "Bea", "Al", "B"), ("Boe", "Coe", "van Dam", "Boe")
+    full = [f"{f} {x}" for f in first for x in last] + ["", None, "Solo"]
+    c = [(f"m{i:03d}", "ATP", 2020 + i % 2, "US Open", "R16", i % 3 > 0, i, full[i % len(full)], 1000 + i, full[i * 7 % len(full)]) for i in range(120)]
+    o = [(f"o{i:03d}", "ATP", 2020 + i % 2, "US Open", "R16", full[i * 5 % len(full)] if i % 2 else f"{last[i % 4]} {first[i // 4 % 4][0]}.", full[i * 3 % len(full)]) for i in range(90)]
+    c = spark.createDataFrame(c, "match_id string, tour string, year int, slam string, round string, winner_is_player_1 boolean, player_1_id long, player_1_name string, player_2_id long, player_2_name string")
+    o = spark.createDataFrame(o, "odds_row_id string, tour string, year int, slam string, round string, odds_winner_name string, odds_loser_name string")
+    alias = spark.createDataFrame([("atp", 2020, 2021, "Solo", 3, "x"), ("atp", 2020, 2020, "Solo", 1018, "y"), ("atp", 2021, 2021, "Ann Boe", 1003, "z")], "tour string, start_year int, end_year int, odds_name string, canonical_player_id long, canonical_name string")
+
+    def sides(rows, name, out, short):
+        return linkage._keyed(rows, name, out, short)
+
+    for given in (None, alias):
+        one = F.col("winner_is_player_1")
+        all_c = c.select("match_id", "year", *[F.when(one, F.col(f"player_{a}_{x}")).otherwise(F.col(f"player_{b}_{x}")).alias(f"{s}_{x}") for s, a, b in (("cw", 1, 2), ("cl", 2, 1)) for x in ("id", "name")])
+        all_c = sides(sides(all_c, "cw_name", "cwk", False), "cl_name", "clk", False).collect()
+        all_o = sides(sides(o, "odds_winner_name", "wk", True), "odds_loser_name", "lk", True).collect()
+        ids = {(r["alias_key"], r["year"]): r["ids"] for r in linkage.expanded_aliases(given).collect()} if given is not None else {}
+
+        def same(x, y, side):
+            own = ids.get((x[f"{side}k"], x["year"]))
+            return y[f"c{side}_id"] in own if own else x[f"{side}k"] == y[f"c{side}k"] or bool(set(x[f"{side}k_sig"]) & set(y[f"c{side}k_sig"]))
+
+        want = {x["odds_row_id"]: sum(x["year"] == y["year"] and same(x, y, "w") and same(x, y, "l") for y in all_c) for x in all_o}
+        linked = linkage.linked(o, c, given)
+        assert {r["odds_row_id"]: r["candidates"] for r in linked.collect()} == want
+        assert "token" in linked._jdf.queryExecution().optimizedPlan().toString()
