@@ -45,10 +45,13 @@ def src08(s, d):
 
     def touched(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         store, base = pyarrow.fs.FileSystem.from_uri(folder)
-        with store.open_input_stream(f"{base}/{key[0]}", compression=None) as source:
-            content = source.read()
-        with store.open_output_stream(f"{base}/{key[0]}", compression=None) as sink:
-            sink.write(content[:-1] + b" ")
+        with store.open_input_stream(f"{base}/{key[0]}", compression=None) as source, store.open_output_stream(f"{base}/{key[0]}.changed", compression=None) as sink:
+            last = b""
+            while piece := source.read(files.PIECE):
+                sink.write(last + piece[:-1])
+                last = piece[-1:]
+            sink.write(b" ")
+        store.move(f"{base}/{key[0]}.changed", f"{base}/{key[0]}")
         return rows[["file"]]
 
     manifest.where("file like '%1996.csv'").select("file").groupBy("file").applyInPandas(touched, "file string").write.parquet(f"{folder}-touched")

@@ -1,5 +1,6 @@
 """Workbooks, file sinks, contracts and scenario conditions on small tables."""
 
+import csv
 import io
 import zipfile
 
@@ -83,3 +84,21 @@ def test_paired_differences_against_plain_python(spark):
 
 def test_every_scenario_has_its_sql():
     assert set(scenarios.tags()) == set(robustness.CONDITIONS) == set().union(*robustness.FAMILIES.values())
+
+
+def test_files_are_written_and_read_through_in_pieces(spark, tmp_path):
+    """Rows of a file come to its writer in several batches, never as one table; digests do not hold a file."""
+    rows = spark.range(5000).select(F.concat(F.lit("f"), F.pmod("id", F.lit(3)).cast("string"), F.lit(".csv")).alias("file"), (5000 - F.col("id")).alias("n"), F.when(F.col("id") % 7 > 0, F.concat(F.lit('a,"'), F.col("id").cast("string"))).alias("text"))
+    folder = f"file://{tmp_path}/out"
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        manifest = sinks.csv_files(rows, folder, order=("n",))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    found = {r["path"].rpartition("/")[2]: (r["bytes"], r["sha256"]) for r in files.digests(spark, folder, "f*.csv").collect()}
+    assert found == {r["file"]: (r["bytes"], r["sha256"]) for r in manifest.collect()} and sum(r["rows"] for r in manifest.collect()) == 5000
+    want = sorted((5000 - i, "" if i % 7 == 0 else f'a,"{i}') for i in range(5000) if i % 3 == 1)
+    with open(f"{tmp_path}/out/f1.csv", newline="") as f:
+        assert [r[0] for r in csv.reader(f)] == ["text", *[t for _, t in want]]
+    assert "sha2(" not in files.digests(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
