@@ -129,6 +129,13 @@ def under_policies(rows: DataFrame, policies: tuple[Policy, ...] = POLICIES) ->
     }).drop("__of", "__whole")
 
 
+def policy_means(rows: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFrame:
+    """(policy, odds_method, unavailable_reason, n, mean_p): equal inventories are solved once, with their number as weight."""
+    equal = rows.groupBy("pairs").agg(F.count("*").alias("__n"))
+    priced = F.when(F.col("p_winner").isNotNull(), F.col("__n"))
+    return under_policies(equal, policies).groupBy("policy", "odds_method", "unavailable_reason").agg(F.sum("__n").alias("n"), (F.sum(F.col("p_winner") * F.col("__n")) / F.sum(priced)).alias("mean_p"))
+
+
 def consensus(rows: DataFrame, policy: Policy = POLICIES[0]) -> DataFrame:
     return under_policies(rows, (policy,))
 

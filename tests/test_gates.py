@@ -201,3 +201,12 @@ def test_contest_proposals_equal_all_pairs(spark, monkeypatch):
     alphabet = {ch: k for k, ch in enumerate(sorted({ch for pair in names for n in pair for ch in n}))}
     letters = tuple(market._letters([n[k] for n in names], alphabet) for k in (0, 1))
     assert market.best_contest("same on", "othér", names, letters, alphabet)[2] < len(names) / 4
+
+
+def test_equal_inventories_are_solved_once(spark):
+    rows = spark.createDataFrame([(i, 1.5 + i % 3, 2.5, None if i % 4 else 1.8, 2.1) for i in range(40)], "match_id int, a double, b double, c double, d double")
+    rows = rows.withColumn("pairs", market.inventory(market.pair("Avg", F.col("a"), F.col("b")), market.pair("Book", F.col("c"), F.col("d"))))
+    keys = ("policy", "odds_method", "unavailable_reason")
+    each = market.under_policies(rows).groupBy(*keys).agg(F.count("*").alias("n"), F.avg("p_winner").alias("mean_p"))
+    told = lambda df: {tuple(r[k] for k in keys): (r["n"], r["mean_p"] and round(r["mean_p"], 9)) for r in df.collect()}
+    assert told(market.policy_means(rows)) == told(each)
