@@ -62,12 +62,24 @@ def with_flags(observed: DataFrame, models: int = 3) -> DataFrame:
     residual = F.when(F.col("upset_eligible") & F.col("common"), F.col("upset") - F.col("p_under"))
     rows = rows.withColumn("residual", F.when(residual > 0, residual))
     base = ["population", "tour", "slam", "model"]
-    place = F.row_number().over(Window.partitionBy(*base).orderBy(F.col("residual").desc_nulls_last(), F.col("match_id").desc()))
-    rows = rows.withColumn("top10", F.col("residual").isNotNull() & (place <= 10))
-    newest = [F.col("year").desc(), F.col("edition_id").desc()]
-    latest = F.dense_rank().over(Window.partitionBy(*base, "score_eligible").orderBy(*newest)) <= 5
-    latest_common = F.dense_rank().over(Window.partitionBy(*base, "common").orderBy(*newest)) <= 5
-    return rows.withColumns({"latest": latest & F.col("score_eligible"), "latest_common": latest_common & F.col("common")})
+    # a group is a large share of all rows: only its ten greatest residuals and its editions are put in order
+    place = F.row_number().over(Window.partitionBy(*base).orderBy(F.col("residual").desc(), F.col("match_id").desc()))
+    top = rows.where("residual is not null").select(*base, "match_id", "residual").withColumn("__place", place).where("__place <= 10")
+    rows = _marked(rows, top.select(*base, "match_id").distinct(), [*base, "match_id"], "__top")
+    rows = rows.withColumn("top10", F.col("residual").isNotNull() & F.col("__top")).drop("__top")
+    newest = Window.partitionBy(*base).orderBy(F.col("year").desc(), F.col("edition_id").desc())
+    editions = rows.groupBy(*base, "year", "edition_id").agg(F.max(F.coalesce("score_eligible", F.lit(False))).alias("__scored"), F.max(F.coalesce("common", F.lit(False))).alias("__common"))
+    for name, flag, of in (("latest", "score_eligible", "__scored"), ("latest_common", "common", "__common")):
+        five = editions.where(of).withColumn("__place", F.dense_rank().over(newest)).where("__place <= 5").select(*base, "year", "edition_id")
+        rows = _marked(rows, five, [*base, "year", "edition_id"], "__five").withColumn(name, F.col("__five") & F.col(flag)).drop("__five")
+    return rows
+
+
+def _marked(rows: DataFrame, few: DataFrame, keys: list[str], mark: str) -> DataFrame:
+    """The rows with whether their keys, nulls included, are among a few."""
+    other = few.select(*[F.col(k).alias(f"__{k}") for k in keys], F.lit(True).alias(mark))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return rows.join(F.broadcast(other), same, "left").drop(*[f"__{k}" for k in keys]).withColumn(mark, F.coalesce(mark, F.lit(False)))
 
 
 def surface_history(contests: DataFrame) -> DataFrame:

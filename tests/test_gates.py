@@ -210,3 +210,19 @@ def test_equal_inventories_are_solved_once(spark):
     each = market.under_policies(rows).groupBy(*keys).agg(F.count("*").alias("n"), F.avg("p_winner").alias("mean_p"))
     told = lambda df: {tuple(r[k] for k in keys): (r["n"], r["mean_p"] and round(r["mean_p"], 9)) for r in df.collect()}
     assert told(market.policy_means(rows)) == told(each)
+
+
+def test_flags_put_only_few_rows_in_order(spark):
+    """No window of a group's whole rows: editions and the ten greatest residuals are ordered by themselves."""
+    from duelscope.operators import scenarios
+
+    names = "population string, match_id long, tour string, slam string, model string, year int, edition_id string, score_eligible boolean, upset_eligible boolean, p_under double, upset int"
+    rows = [("p", i, "A", "W", m, 2000 + i % 8, f"{2000 + i % 8}:T", i % 9 > 0, i % 9 > 0, 0.3 + i / 1000, i % 2) for i in range(80) for m in ("x", "y")]
+    flagged = scenarios.with_flags(spark.createDataFrame(rows, names), 2)
+    got = [r for r in flagged.collect() if r["model"] == "x"]
+    assert len(got) == 80
+    best = sorted(((1 - (0.3 + i / 1000), i) for i in range(80) if i % 2 and i % 9), reverse=True)[:10]
+    assert {r["match_id"] for r in got if r["top10"]} == {i for _, i in best}
+    assert {r["match_id"] for r in got if r["latest"]} == {i for i in range(80) if i % 9 and i % 8 >= 3} == {r["match_id"] for r in got if r["latest_common"]}
+    plan = flagged._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("windowspecdefinition(")[1:] if "score_eligible" in x.split(")")[0] or "common#" in x.split("),")[0].split(" DESC")[0]]
