@@ -226,3 +226,14 @@ def test_flags_put_only_few_rows_in_order(spark):
     assert {r["match_id"] for r in got if r["latest"]} == {i for i in range(80) if i % 9 and i % 8 >= 3} == {r["match_id"] for r in got if r["latest_common"]}
     plan = flagged._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.split("windowspecdefinition(")[1:] if "score_eligible" in x.split(")")[0] or "common#" in x.split("),")[0].split(" DESC")[0]]
+
+
+def test_contest_proposals_share_chunks_by_blocks(spark, monkeypatch):
+    names = [f"{a} {b}" for a in ("ann", "bea", "cy") for b in ("boe", "coe", "dee")]
+    candidates = spark.createDataFrame([("c", names[i], names[-1 - i]) for i in range(9)], "context string, winner string, loser string")
+    unmatched = spark.createDataFrame([(i, "c", names[i % 9].replace("e", "i"), names[i * 5 % 9]) for i in range(40)], "id int, context string, winner string, loser string")
+    found = []
+    for size in (3, market.BLOCK):
+        monkeypatch.setattr(market, "BLOCK", size)
+        found.append(sorted(map(tuple, market.contest_proposals(unmatched, candidates).collect())))
+    assert found[0] == found[1] and len(found[0]) == 40
