@@ -16,12 +16,15 @@ pairs at the least cosine wanted: a pair there passes with probability RECALL,
 nearer pairs more often.  More vectors take more blocks, so that unrelated
 vectors seldom share a projection, and with them more tables.
 
-Vectors that share no projection, or too few, with any other are out after one
-count of members.  The others go once to each projection they share; a
-projection of many members is dealt out in blocks of pairs over tasks.  A pair
-is handled in the first table in which it collides, so its links are summed
-without ever writing pairs: tasks return links per vector, and a forest of the
-links for union-find.  Equal vectors are one entity with a weight, however
+Vectors that share no projection, or too few, with any other are out after a
+count of members, for which only ids and keys are written and shuffled.  The
+others are joined by the projections they share.  What is joined in at most
+UNIT vectors goes once to one task, which compares all pairs of it.  Of what is
+joined in more, each vector goes to each projection it shares; a projection of
+many members is dealt out in blocks of pairs over tasks, and a pair is handled
+in the first table in which it collides.  Either way links are summed without
+ever writing pairs: tasks return links per vector, and a forest of the links
+for union-find.  Equal vectors are one entity with a weight, however
 often they occur.  Within a group of near, but not equal, copies every link is
 verified, so the work of such a group grows with its number of links.
 
@@ -46,7 +49,7 @@ from pyspark.sql import functions as F
 
 from .kernels import lean, mix
 from .linkage import grouped
-from .shared import empty, keyed, lookup, measured, stash
+from .shared import empty, forget, keyed, lookup, measured, stash
 from .unionfind import components, forest
 
 #: Directions of a block; with either sign twice as many.
@@ -60,6 +63,8 @@ RECALL = 0.99
 WITHIN = 0.98
 #: Members of a block of a large projection, the least and the most.
 BLOCK = (128, 4096)
+#: Most vectors, joined by shared projections, that one task compares in all pairs; so many rows of the product at once.
+UNIT, ROWS = 16384, 256
 #: Vectors that are projected, and pairs that are compared, at once.
 STEP, PAIRS = 2_000, 1 << 20
 
@@ -133,22 +138,67 @@ def projected(x: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     return key.view(np.int64), value
 
 
+def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, unit vectors) of an array column, some of one length at a time."""
+    sizes = np.array([len(v) for v in column], dtype=np.int64)
+    flat, first = column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(sizes)]
+    for dims in np.unique(sizes):
+        rows = np.flatnonzero(sizes == dims)
+        for lo in range(0, len(rows), STEP):
+            at = rows[lo : lo + STEP]
+            yield at, unit(flat[first[at][:, None] + np.arange(dims)])
+
+
+def _listed(rows: pa.Array, tables: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) // tables + 1, dtype=np.int32) * tables), rows)
+
+
+def _keys(vectors: DataFrame, plan: Plan) -> DataFrame:
+    """(ent, dims, keys): the projections of each vector, half of a key's bits for each table."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, x in _by_length(batch.column("embedding")):
+                keys = projected(x, plan)[0].astype(np.int32)
+                yield pa.record_batch([batch.column("ent").take(pa.array(at)), pa.array(np.full(len(at), x.shape[1], np.int32)), _listed(pa.array(keys.ravel()), plan.tables)], names=["ent", "dims", "keys"])
+
+    return vectors.select("ent", "embedding").mapInArrow(lean(run), "ent long, dims int, keys array<int>")
+
+
+def _joined(lists: DataFrame, plan: Plan) -> DataFrame:
+    """(ent, root): which candidates the projections join, directly or by others between them."""
+    rows = lists.select("ent", "dims", F.posexplode("keys").alias("t", "k")).select("ent", F.xxhash64("dims", "t", "k").alias("key"))
+    for _ in range(2):  # who meets nobody often enough may have been all that others met
+        shared = stash(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "shared")
+        hits = stash(keyed(rows, shared, ["key"], "left_semi"), "hits")
+        enough = stash(hits.groupBy("ent").agg(F.count("*").alias("n")).where(F.col("n") >= plan.needed).select("ent"), "enough")
+        rows = stash(keyed(hits, enough, ["ent"], "left_semi"), "candidates")
+        forget(shared, hits, enough)
+    firsts = stash(rows.groupBy("key").agg(F.min("ent").alias("first"), F.count("*").alias("m")).where("m > 1").select("key", "first"), "firsts")
+    met = stash(keyed(rows, firsts, ["key"], "inner").where("ent <> first").select(F.col("ent").alias("a"), F.col("first").alias("b"), "key"), "met")
+    least = min(2, plan.needed)
+    strong = components(met.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a", "b"))
+    if least == 1:
+        return strong
+    # unrelated vectors share a single projection by chance: what is joined so far joins further by two of them
+    ends = met
+    for c in ("a", "b"):
+        ends = keyed(ends, strong.withColumnsRenamed({"ent": c, "root": f"{c}_root"}), [c], "left").withColumn(c, F.coalesce(f"{c}_root", c)).drop(f"{c}_root")
+    further = components(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "key").distinct().groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a", "b"))
+    if empty(further):
+        return strong
+    moved = keyed(strong.withColumn("end", F.col("root")), further.withColumnsRenamed({"ent": "end", "root": "to"}), ["end"], "left").select("ent", F.coalesce("to", "root").alias("root"))
+    alone = keyed(further, strong.select("ent"), ["ent"], "left_anti").select("ent", "root")
+    return stash(moved.unionByName(alone), "joined")
+
+
 def _placed(entities: DataFrame, plan: Plan) -> DataFrame:
     """(ent, copies, vector, keys, values): the unit vector, its projections, and where it lies in them, as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("embedding")
-            sizes = np.array([len(v) for v in column], dtype=np.int64)
-            flat, first = column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(sizes)]
-            for dims in np.unique(sizes):
-                rows = np.flatnonzero(sizes == dims)
-                for lo in range(0, len(rows), STEP):
-                    at = rows[lo : lo + STEP]
-                    x = unit(flat[first[at][:, None] + np.arange(dims)])
-                    keys, values = projected(x, plan)
-                    arrow = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * plan.tables), pa.array(keys.ravel()))
-                    some = batch.select(["ent", "copies"]).take(pa.array(at))
-                    yield pa.record_batch([*some.columns, pa.array([v.tobytes() for v in x], pa.binary()), arrow, pa.array([v.tobytes() for v in values], pa.binary())], names=["ent", "copies", "vector", "keys", "values"])
+            for at, x in _by_length(batch.column("embedding")):
+                keys, values = projected(x, plan)
+                some = batch.select(["ent", "copies"]).take(pa.array(at))
+                yield pa.record_batch([*some.columns, pa.array([v.tobytes() for v in x], pa.binary()), _listed(pa.array(keys.ravel()), plan.tables), pa.array([v.tobytes() for v in values], pa.binary())], names=["ent", "copies", "vector", "keys", "values"])
 
     return entities.mapInArrow(lean(run), "ent long, copies long, vector binary, keys array<bigint>, values binary")
 
@@ -232,23 +282,84 @@ def _linked(members: DataFrame, plan: Plan) -> DataFrame:
                 ends.append(x[x != y])
                 roots.append(y[x != y])
             if ent:
-                kinds = np.r_[np.zeros(sum(map(len, ent)), np.int32), np.ones(sum(map(len, ends)), np.int32)]
-                yield pa.record_batch([pa.array(kinds), pa.array(np.concatenate([*ent, *ends])), pa.array(np.concatenate([*n, *roots]))], names=["kind", "ent", "other"])
+                yield _told((np.concatenate(ent), np.concatenate(n)), (np.concatenate(ends), np.concatenate(roots)))
 
     dealt = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(lean(run), "kind int, ent long, other long")
 
 
+def _told(n: tuple[np.ndarray, np.ndarray], ends: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """Links per vector as kind 0 and a forest of them as kind 1."""
+    kinds = np.r_[np.zeros(len(n[0]), np.int32), np.ones(len(ends[0]), np.int32)]
+    return pa.record_batch([pa.array(kinds), pa.array(np.concatenate([n[0], ends[0]])), pa.array(np.concatenate([n[1], ends[1]]))], names=["kind", "ent", "other"])
+
+
+def within(x: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (a < b) of unit vectors with at least this cosine; a bounded number at a time."""
+    for lo in range(0, len(x), ROWS):
+        near = x[lo : lo + ROWS] @ x[lo:].T
+        a, b = np.nonzero(near >= cosine - 1e-9)
+        a, b, near = a + lo, b + lo, near[a, b]
+        close = np.flatnonzero(near < cosine + 1e-9)  # a product of matrices may round in another order
+        near[close] = np.einsum("ij,ij->i", x[a[close]], x[b[close]])
+        linked = (a < b) & (near >= cosine)
+        yield a[linked], b[linked]
+
+
+def _compared(members: DataFrame, cosine: float) -> DataFrame:
+    """The same as ``_linked`` of (root, ent, copies, embedding): all pairs of those with one root are compared."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in grouped(batches, ["root"]):
+            root, copies = batch.column("root").to_numpy(), batch.column("copies").to_numpy()
+            starts = np.r_[0, np.flatnonzero(root[1:] != root[:-1]) + 1, len(root)]
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                part = batch.slice(lo, hi - lo)
+                ents, first = np.unique(part.column("ent").to_numpy(), return_index=True)
+                column = part.column("embedding").take(pa.array(first))
+                places = [(at, x) for at, x in _by_length(column)]
+                many = copies[lo:hi][first]
+                for dims in {x.shape[1] for _, x in places}:
+                    at = np.concatenate([p for p, x in places if x.shape[1] == dims])
+                    ent, weight = ents[at], many[at]
+                    n, ends = np.zeros(len(at)), []
+                    for a, b in within(np.concatenate([x for _, x in places if x.shape[1] == dims]), cosine):
+                        n += np.bincount(a, weight[b], len(at)) + np.bincount(b, weight[a], len(at))
+                        if len(a):
+                            ends.append(forest(ent[a], ent[b]))
+                    if ends:
+                        x, y = forest(*(np.concatenate(e) for e in zip(*ends)))
+                        yield _told((ent[n > 0], n[n > 0].astype(np.int64)), (x[x != y], y[x != y]))
+
+    return members.mapInArrow(lean(run), "kind int, ent long, other long")
+
+
+def _links(vectors: DataFrame, entities: DataFrame, joined: DataFrame, plan: Plan) -> DataFrame:
+    """Links per vector and a forest of them, over all that the projections join."""
+    sizes = stash(joined.groupBy("root").agg(F.count("*").alias("members")), "sizes")
+    large = stash(sizes.where(F.col("members") > UNIT), "large")
+    some = stash(keyed(keyed(joined, sizes, ["root"], "inner"), entities.select("ent", "copies"), ["ent"], "inner"), "members")
+    if empty(some):
+        return some.select(F.lit(0).alias("kind"), "ent", F.lit(0).cast("long").alias("other"))
+    wide = keyed(vectors, some, ["ent"], "inner")
+    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), vectors.sparkSession.sparkContext.defaultParallelism)
+    units = wide.where(F.col("members") <= UNIT).select("root", "ent", "copies", "embedding").repartition(tasks, "root").sortWithinPartitions("root", "ent")
+    links = _compared(units, plan.cosine)
+    if empty(large):
+        return links
+    once = wide.where(F.col("members") > UNIT).groupBy("ent").agg(F.first("copies").alias("copies"), F.first("embedding").alias("embedding"))
+    return links.unionByName(_linked(_dealt(stash(_placed(once, plan), "placed"), plan), plan))
+
+
 def _dealt(placed: DataFrame, plan: Plan) -> DataFrame:
     """The members of projections that are shared: (key, i, j, block, t, ent, copies, vector, keys, values), a row for each pair of blocks."""
     some = placed
     for _ in range(2):  # who meets nobody often enough may have been all that others met
         lists = some.select("ent", F.explode("keys").alias("key"))
         shared = stash(lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
-        hits = lookup(lists, shared, "key").where("m is not null")
+        hits = keyed(lists, shared, ["key"], "inner")
         enough = stash(hits.groupBy("ent").agg(F.count("*").alias("n")).where(F.col("n") >= plan.needed).select("ent"), "enough")
         some = stash(keyed(some, enough, ["ent"], "left_semi"), "candidates")
-    rows = lookup(some.select("*", F.posexplode("keys").alias("t", "key")), shared, "key").where("m is not null")
+    rows = keyed(some.select("*", F.posexplode("keys").alias("t", "key")), shared, ["key"], "inner")
     least, most = BLOCK
     size = F.least(F.greatest(F.ceil(F.col("m") / 8), F.lit(least)), F.lit(most))
     blocks = F.ceil(F.col("m") / size).cast("int")
@@ -262,10 +373,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     usable = F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable, F.col("embedding")).alias("embedding"))
     rows = rows.withColumn("ent", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")))
-    entities = stash(rows.where("ent is not null").groupBy("ent").agg(F.first("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("smallest")), "entities")
+    entities = stash(rows.where("ent is not null").groupBy("ent").agg(F.count("*").alias("copies"), F.min("vec_id").alias("smallest")), "entities")
     plan = planned(measured(entities)[0], cosine)
-    placed = stash(_placed(entities, plan), "placed")
-    links = stash(_linked(_dealt(placed, plan), plan), "links", by="kind")
+    # one row of each vector; rows that are equal in vec_id too stay, and count as one where they are compared
+    repeated = stash(entities.where("copies > 1").select("ent", "smallest", F.lit(True).alias("again")), "repeated")
+    vectors = rows.where("ent is not null")
+    vectors = (vectors if empty(repeated) else keyed(vectors, repeated, ["ent"], "left").where("again is null or vec_id <=> smallest")).select("ent", "embedding")
+    lists = stash(_keys(vectors, plan), "keys")
+    joined = _joined(lists, plan)
+    forget(lists)
+    links = stash(_links(vectors, entities, joined, plan), "links", by="kind")
     roots = components(links.where("kind = 1").select(F.col("ent").alias("a"), F.col("other").alias("b")))
     counts = links.where("kind = 0").groupBy("ent").agg(F.sum("other").alias("n"))
     some = keyed(keyed(entities.select("ent", "copies", "smallest"), stash(counts, "counts"), ["ent"], "left"), roots, ["ent"], "left").where("copies > 1 or n is not null")

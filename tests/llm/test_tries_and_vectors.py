@@ -251,6 +251,35 @@ def test_near_duplicates_equal_brute_force(spark):
     assert of_links(neardup.near_duplicates(extended(spark.createDataFrame(rows, VECTORS)).repartition(4))) == brute_links(rows)
 
 
+def copies_of(rng, groups, members):
+    centres = rng.normal(size=(groups, 64))
+    return [(i, (centres[i % groups] + rng.normal(size=64) * 0.05).astype(np.float32).tolist(), 0) for i in range(groups * members)]
+
+
+def test_near_copies_go_once_to_where_they_are_compared(spark, monkeypatch):
+    gone = []
+    for name in ("_linked", "_compared"):
+        own = getattr(neardup, name, None)
+        monkeypatch.setattr(neardup, name, lambda members, *a, own=own: (gone.append(members.count()), own(members, *a))[1], raising=False)
+    rows = copies_of(np.random.default_rng(8), 3, 40)
+    assert of_links(neardup.near_duplicates(spark.createDataFrame(rows, VECTORS))) == brute_links(rows)
+    assert sum(gone) <= len(rows)
+
+
+@pytest.mark.parametrize("unit", [1, 45])
+def test_near_copies_of_too_many_joined_vectors(spark, monkeypatch, unit):
+    monkeypatch.setattr(neardup, "UNIT", unit)
+    rows = copies_of(np.random.default_rng(9), 3, 40) + [(1000 + i, v, 0) for i, (_, v, _) in enumerate(copies_of(np.random.default_rng(9), 1, 60))]
+    rows += [rows[5], (None, rows[7][1], 0), (2000, rows[7][1], 0)]
+    assert of_links(neardup.near_duplicates(spark.createDataFrame(rows, VECTORS).repartition(4))) == brute_links(rows)
+
+
+def test_pairs_within_a_cosine():
+    x = neardup.unit(np.random.default_rng(3).normal(size=(700, 6)))
+    a, b = (np.concatenate(v) for v in zip(*neardup.within(x, 0.9)))
+    assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i in range(700) for j in range(i + 1, 700) if np.einsum("i,i->", x[i], x[j]) >= 0.9}
+
+
 def test_near_duplicates_of_no_rows(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
     assert of_links(neardup.near_duplicates(spark.createDataFrame([(1, None, 0), (2, [1.0, 0.0], 0)], VECTORS))) == [(1, 0, 1, True), (2, 0, 2, True)]
