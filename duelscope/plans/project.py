@@ -150,7 +150,7 @@ HISTORY = (replay.Variant("current"), replay.Variant("half_retirements", retirem
 
 def rating_history(contests: DataFrame) -> DataFrame:
     """Summaries of the Slam forecasts under each history policy, all replays side by side."""
-    observed = observations.observations(predicted(replay.replay(contests, list(HISTORY))).where("slam is not null"))
+    observed = observations.observations(predicted(replay.replay(contests, list(HISTORY), replay.PREDICTED, replay.FORECASTS, "slam is not null")))
     cube = metrics.cube(observed, ("variant", *metrics.CELL))
     return metrics.summaries(cube, ("variant", *metrics.BASE))
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duelscope.functions import probability as P
-from duelscope.operators import chosen, contracts, market, replay
+from duelscope.operators import carried, chosen, contracts, market, replay
 from duelscope.plans import project
 from duelscope.sources import contests as src
 from duelscope.sources import sinks
@@ -129,6 +129,30 @@ def test_streams_that_go_back_in_time_raise(days):
     assert len(pd.concat(run(iter([frame.sort_values("day")])))) == n
 
 
+def test_slices_of_dates_hold_so_many_rows():
+    assert carried.cuts([(1, 5), (2, 5), (3, 11), (4, 1), (9, 2)], 10) == [(1, 2), (3, 3), (4, 9)]
+    assert carried.cuts([], 10) == []
+
+
+def test_replays_in_slices_are_those_of_the_whole(spark, tours, monkeypatch):
+    v = [replay.Variant("a", k=24.0, by_rank=True, half_life=730.0, convert_tour="ATP", retirement=0.5), replay.Variant("b", weight=0.5, skip_retirements=True, duplicates="keep_one"), replay.Variant("c")]
+    columns = ["variant", "match_id", "exclusion", *replay.STATE]
+
+    def rows():
+        declared = replay.replay(tours, v).select(*columns).collect()
+        table = chosen.replayed(tours, chosen.every_tour(tours, chosen.candidates(spark, v)), ["tour", "match_id"]).select("variant", "match_id", *replay.STATE).collect()
+        slam = replay.replay(tours, v, ("match_id",), ("p_blend",), "slam is not null").select("variant", "match_id", "exclusion", "p_blend").collect()
+        return [sorted(map(repr, r)) for r in (declared, table, slam)]
+
+    whole, made = rows(), []
+    own = carried.cuts
+    monkeypatch.setattr(carried, "cuts", lambda days, most: made.append(own(days, 60)) or made[-1])
+    assert rows() == whole
+    assert all(len(s) > 2 for s in made) and len(made) == 3
+    of_slams = tours.where("slam is not null").select("match_id").distinct().count()
+    assert len(whole[2]) == 3 * of_slams
+
+
 # ---- parameters from tables
 
 
