@@ -261,3 +261,27 @@ def test_contest_proposals_share_chunks_by_blocks(spark, monkeypatch):
         monkeypatch.setattr(market, "BLOCK", size)
         found.append(sorted(map(tuple, market.contest_proposals(unmatched, candidates).collect())))
     assert found[0] == found[1] and len(found[0]) == 40
+
+
+def test_candidates_bound_few_of_a_context(monkeypatch):
+    """A contest of a large context makes a handful of scores and bounds, and finds what all pairs give."""
+    import pyarrow as pa
+    from difflib import SequenceMatcher
+
+    candidates = [(f"PLAYER {k * 7919 % 3000}", f"PLAYER {k * 104729 % 2999}") for k in range(20_000)] + [("", ""), ("", "PLAYER 5"), ("żółć 世界", "PLAYER 21")]
+    of = market.Candidates(*(pa.array([c[k] for c in candidates]) for k in (0, 1)))
+    bounded: list[int] = []
+    bounds = of._bounds
+    monkeypatch.setattr(of, "_bounds", lambda name, signs: (bounded.append(len(signs)), bounds(name, signs))[1])
+    odd = lambda x: x.replace("L", "I").replace("Y", "")
+    asked = [tuple(map(odd, candidates[k])) for k in (3, 777, 19_999, 20_001, 20_002)] + [("", ""), ("nobody", "PIAER 77"), ("世", "PIAER 12")]
+    for w, l in asked:  # noqa: E741
+        bounded.clear()
+        score, proposal, made = of.best(w, l)
+        all_pairs = max(((SequenceMatcher(None, w, a).ratio() + SequenceMatcher(None, l, b).ratio()) / 2, f"{a} def. {b}") for a, b in candidates)
+        assert (score, proposal) == all_pairs
+        if w.startswith("PIAER"):
+            assert made < 50 and sum(bounded) < len(candidates) / 10
+    monkeypatch.setattr(market, "CLASSES", 2)
+    few = market.Candidates(*(pa.array([c[k] for c in candidates]) for k in (0, 1)))
+    assert [few.best(*q)[:2] for q in asked[:4]] == [of.best(*q)[:2] for q in asked[:4]]
