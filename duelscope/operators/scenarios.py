@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.probability import elo
 from .coldstart import era
-from .metrics import metrics, row_sums
+from .metrics import BASE, SUMS, metrics, row_sums
 from .observations import EXTREME
 
 EARLY, LATE = ("R128", "R64", "R32"), ("R16", "QF", "SF", "F")
@@ -16,6 +16,9 @@ EARLY, LATE = ("R128", "R64", "R32"), ("R16", "QF", "SF", "F")
 PRIMARY, INCLUSIVE = "completed_non_retirement", "retirement_inclusive"
 ERAS = ("1988-1999", "2000-2009", "2010-2019", "2020-2025")
 REGIMES = ("no_seeds", "16_seeds", "32_seeds")
+MIN_PRIOR = (1, 5, 20)
+#: What conditions read beside population, tour, Slam and model; of min_prior only which of MIN_PRIOR it reaches.
+TOLD = ("year", "round", "regime", "min_prior", "flagged", "both_surface", "common", "extreme", "latest", "latest_common", "top10")
 
 
 def tags() -> dict[str, Column]:
@@ -33,7 +36,7 @@ def tags() -> dict[str, Column]:
         "common_primary": common,
         "common_retirement_inclusive": (c("population") == INCLUSIVE) & c("common"),
         "common_exclude_flagged_overround": common & ~c("flagged"),
-        **{f"common_min_prior_{n}": common & (c("min_prior") >= n) for n in (1, 5, 20)},
+        **{f"common_min_prior_{n}": common & (c("min_prior") >= n) for n in MIN_PRIOR},
         "common_both_players_surface_history": common & c("both_surface"),
         "common_exclude_2020_2022": common & ~c("year").between(2020, 2022),
         "common_exclude_wimbledon_2022": common & ~wimbledon_2022,
@@ -117,11 +120,19 @@ def histories(contests: DataFrame) -> DataFrame:
 
 
 def scenario_summaries(flagged: DataFrame, conditions: dict[str, Column]) -> DataFrame:
-    """Metrics of every scenario, population, tour, Slam and model from one pass and one shuffle."""
+    """Metrics of every scenario, population, tour, Slam and model from one pass.
+
+    Conditions read the columns of TOLD, so rows that are equal in these are
+    summed before any condition is looked at and before they are dealt out to
+    scenarios: a row is in a dozen, but such groups are few at any size.
+    """
+    at = F.col("min_prior")
+    step = F.when(at.isNotNull(), F.coalesce(*[F.when(at >= n, F.lit(n)) for n in sorted(MIN_PRIOR, reverse=True)], F.lit(0)))
+    rows = flagged.where("score_eligible").withColumn("min_prior", step)
+    cells = rows.groupBy(*BASE, "edition_id", *TOLD).agg(*row_sums())
     names = F.array_compact(F.array(*[F.when(cond, name) for name, cond in conditions.items()]))
-    rows = flagged.where("score_eligible").withColumn("scenario", F.explode(names))
-    keys = ("scenario", "population", "tour", "slam", "model")
-    sums = rows.groupBy(*keys).agg(*row_sums(), F.count_distinct("edition_id").cast("bigint").alias("editions"))
+    keys = ("scenario", *BASE)
+    sums = cells.withColumn("scenario", F.explode(names)).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS], F.count_distinct("edition_id").cast("bigint").alias("editions"))
     return sums.select(*keys, "editions", *metrics())
 
 

@@ -96,3 +96,25 @@ def test_shuffle_files_go_with_their_job(spark, tmp_path):
     with scratch.tidy(spark):
         spark.range(10_000).withColumn("k", F.col("id") % 97).groupBy("k").agg(F.collect_list("id")).write.parquet(str(tmp_path / "rows"))
     assert not held() - old and spark.conf.get(name) == before
+
+
+def test_scenarios_sum_equal_rows_before_they_are_dealt_out(spark, folder, monkeypatch):
+    """Lines are paired once, rows meet no scenario before they are summed, and the matrix is that of each condition by itself."""
+    from duelscope.operators import metrics
+    from duelscope.plans import robustness
+
+    paired, made = src.paired, []
+    monkeypatch.setattr(src, "paired", lambda *tables: (made.append(1), paired(*tables))[1])
+    flagged = robustness.flagged(spark, folder)
+    found = scenarios.scenario_summaries(flagged, scenarios.tags())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(made) == 1 and "l_orderkey" not in plan and "Window [sum" not in plan
+    assert "Aggregate" in plan[plan.index("Generate explode") :].split("Relation")[0]
+    got = {(r["scenario"], *[r[c] for c in metrics.BASE]): (r["score_matches"], r["actual_upsets"], r["editions"]) for r in found.collect()}
+    rows, want = [r.asDict() for r in flagged.withColumns({f"in_{n}": F.coalesce(c, F.lit(False)) for n, c in scenarios.tags().items()}).collect()], {}
+    for r in rows:
+        for n in scenarios.tags():
+            if r[f"in_{n}"]:
+                score, upset, editions = want.setdefault((n, *[r[c] for c in metrics.BASE]), (0, 0, set()))
+                want[(n, *[r[c] for c in metrics.BASE])] = score + 1, upset + (r["upset"] or 0), editions | {r["edition_id"]}
+    assert got == {k: (n, u, len(e)) for k, (n, u, e) in want.items()}
